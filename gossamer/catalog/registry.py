@@ -33,13 +33,15 @@ def _lit(v) -> str:
         return "NULL"
     if isinstance(v, bool):
         return "true" if v else "false"
+    if isinstance(v, float):
+        return f"{v!r}::DOUBLE"
     return f"'{v}'" if isinstance(v, str) else repr(v)
 
 
 _METRIC_COLS = ["metric", "topic", "label", "radius_km", "window_min", "tol_abs", "tol_rel", "lo", "hi", "direction",
                 "accumulates", "is_flag", "scored", None, "headline", "headline_min"]
 _METRIC_ROWS = ", ".join("(" + ", ".join(_lit(v) for v, c in zip(m, _METRIC_COLS) if c) + ")" for m in METRICS)
-_THRESH_ROWS = ", ".join(f"('{m[0]}', {a!r}, {s!r})" for m in METRICS for a, s in m[13])
+_THRESH_ROWS = ", ".join(f"('{m[0]}', {a!r}::DOUBLE, {s!r}::DOUBLE)" for m in METRICS for a, s in m[13])
 _KIND = ("CASE user_id % 10 WHEN 0 THEN 'station' WHEN 1 THEN 'official' WHEN 2 THEN 'bot' "
          "WHEN 3 THEN 'authority' ELSE 'human' END")
 

@@ -83,9 +83,9 @@ def area_keys(state, county_slug, zip5, zip9) -> Column:
 
 
 def title_key(title) -> Column:
-    """Drop a ' - Publisher' tail (head at least 12, tail at most 60), lower, keep letters and digits."""
-    t = F.trim(F.coalesce(_c(title), F.lit("")))
-    head = F.regexp_extract(t, r"^(.{12,}) [-–—|] (.{1,60})$", 1)
+    """Drop the text after the last ' - ' (head at least 12, tail at most 60), lower, letters and digits only."""
+    t = F.coalesce(_c(title), F.lit(""))
+    head = F.regexp_extract(t, r"(?s)^(.{12,}) - .{0,60}$", 1)
     base = F.when(head != "", head).otherwise(t)
     return F.trim(F.regexp_replace(F.lower(base), "[^a-z0-9]+", " "))
 
