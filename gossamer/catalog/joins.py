@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gossamer.catalog.registry import query, table_sql
-from gossamer.functions import scalars as X
 from gossamer.operators import corroborate as C
+from gossamer.session import checkpointed
 from gossamer.sources import adapter as A
 
 
@@ -90,13 +90,12 @@ def f7(spark, sf):
 @query("j2_closest_per_sensor", "SELECT seq, o_sensor_id, o_seq, round(km, 6) AS km, agrees FROM closest")
 def j2(spark, sf):
     s, m = _inputs(spark, sf)
-    p = C.neighbor_pairs(s, m, earlier_only=True, same_period=True, left_filter=X.is_people())
-    return C.judged(C.closest_per_sensor(p)).select("seq", "o_sensor_id", "o_seq", F.round("km", 6).alias("km"), "agrees")
+    return C.judged_neighbors(s, m).select("seq", "o_sensor_id", "o_seq", F.round("km", 6).alias("km"), "agrees")
 
 
 @query("j3_corroborate", "SELECT seq, n_corroborating, n_contradicting, ref_agrees FROM corro")
 def j3(spark, sf):
-    return C.corroborate(*_inputs(spark, sf))
+    return C.corroborate(neighbors(spark, sf))
 
 
 @query("j4_alert_support", "SELECT seq, alert_id, severity FROM alert_sup")
@@ -104,9 +103,13 @@ def j4(spark, sf):
     return C.alert_support(A.signals(spark, sf), A.alert_rows(spark, sf), A.dim_alert_support(spark))
 
 
-def arrival(spark, sf):
+def neighbors(spark, sf):
+    return C.judged_neighbors(*_inputs(spark, sf))
+
+
+def arrival(spark, sf, j=None):
     s, m = _inputs(spark, sf)
-    return C.arrival_quality(s, m, A.alert_rows(spark, sf), A.dim_alert_support(spark))
+    return C.arrival_quality(s, m, neighbors(spark, sf) if j is None else j, A.alert_rows(spark, sf), A.dim_alert_support(spark))
 
 
 @query("a4_judge_quality", "SELECT seq, kind, n_corr, n_contra, reference, quality FROM arrival")
@@ -131,36 +134,38 @@ def j6(spark, sf):
     return C.settle_by_daily_total(s, m, (F.col("kind") == "station") & (F.col("period") == "24h"))
 
 
-def evidence(spark, sf):
+def evidence(spark, sf, j):
     s, m = _inputs(spark, sf)
     by_alert = C.settle_by_alert(s, A.alert_rows(spark, sf), A.dim_alert_support(spark), m).select(
         "seq", C._arrival("sent", 1, "alert_id").alias("arrival"), F.lit("corroborated").alias("verdict"), F.lit("alert").alias("via"))
-    return C.evidence_from_people(s, m).unionByName(C.evidence_from_references(s, m)).unionByName(by_alert)
+    return C.evidence_from_people(j).unionByName(C.evidence_from_references(s, m)).unionByName(by_alert)
 
 
 @query("a5_final_quality", "SELECT seq, quality, final_quality, via FROM final")
 def a5(spark, sf):
-    return C.final_quality(arrival(spark, sf), evidence(spark, sf)).select("seq", "quality", "final_quality", "via")
+    j = checkpointed(neighbors(spark, sf))
+    return C.final_quality(arrival(spark, sf, j), evidence(spark, sf, j)).select("seq", "quality", "final_quality", "via")
 
 
 @query("a12_pair_agreements", f"SELECT a, b, count(*) AS n FROM agreed WHERE o_kind IN {PEOPLE} GROUP BY a, b")
 def a12(spark, sf):
-    return C.pair_agreements(C.agreements(*_inputs(spark, sf)))
+    return C.pair_agreements(C.agreements(neighbors(spark, sf)))
 
 
 @query("w9_running_pair_count", "SELECT seq, o_seq, a, b, together FROM together")
 def w9(spark, sf):
-    return C.running_pair_count(C.agreements(*_inputs(spark, sf))).select("seq", "o_seq", "a", "b", "together")
+    return C.running_pair_count(C.agreements(neighbors(spark, sf))).select("seq", "o_seq", "a", "b", "together")
 
 
 @query("x24_independence", "SELECT seq, o_seq, round(weight, 6) AS weight FROM independent")
 def x24(spark, sf):
-    w = C.running_pair_count(C.agreements(*_inputs(spark, sf))).withColumn("weight", C.independence(F.col("together")))
+    w = C.running_pair_count(C.agreements(neighbors(spark, sf))).withColumn("weight", C.independence(F.col("together")))
     return w.select("seq", "o_seq", F.round("weight", 6).alias("weight"))
 
 
-def outcome_rows(spark, sf):
-    return C.outcomes(arrival(spark, sf), C.agreements(*_inputs(spark, sf)))
+def outcome_rows(spark, sf, j=None):
+    j = checkpointed(neighbors(spark, sf)) if j is None else j
+    return C.outcomes(arrival(spark, sf, j), C.agreements(j))
 
 
 @query("a9_trust_record", f"""SELECT sensor_id, topic, round(agree, 6) AS agree, round(disagree, 6) AS disagree, checks, round((2+agree)/(4+agree+disagree), 6) AS trust

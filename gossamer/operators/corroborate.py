@@ -78,11 +78,16 @@ def judged(closest: DataFrame) -> DataFrame:
         "agrees", X.compatible("value", "o_value", "is_flag", "tol_abs", "tol_rel"))
 
 
-def corroborate(signals: DataFrame, dim_metric: DataFrame) -> DataFrame:
+def judged_neighbors(signals: DataFrame, dim_metric: DataFrame) -> DataFrame:
+    """What each people's reading is compared with at arrival. Everything below derives from this one frame, so
+    a job that needs several of them checkpoints it and runs the range join once.
+    """
+    pairs = neighbor_pairs(signals, dim_metric, earlier_only=True, same_period=True, left_filter=X.is_people() & F.col("scored"))
+    return judged(closest_per_sensor(pairs))
+
+
+def corroborate(j: DataFrame) -> DataFrame:
     """Per people's reading, distinct agreeing and disagreeing sensors and what reference sensors say."""
-    pairs = neighbor_pairs(signals, dim_metric, earlier_only=True, same_period=True,
-                           left_filter=X.is_people() & F.col("scored"))
-    j = judged(closest_per_sensor(pairs))
     ref = X.is_reference("o_kind")
     return j.groupBy("seq").agg(
         F.count_if("agrees").alias("n_corroborating"), F.count_if(~F.col("agrees")).alias("n_contradicting"),
@@ -107,11 +112,11 @@ def alert_support(signals: DataFrame, alerts: DataFrame, dim_support: DataFrame)
     return hit.groupBy("seq").agg(F.max_by(F.struct("alert_id", "severity"), rank).alias("a")).select("seq", "a.alert_id", "a.severity")
 
 
-def arrival_quality(signals: DataFrame, dim_metric: DataFrame, alerts: DataFrame | None = None,
+def arrival_quality(signals: DataFrame, dim_metric: DataFrame, j: DataFrame, alerts: DataFrame | None = None,
                     dim_support: DataFrame | None = None) -> DataFrame:
     """A4: quality of every reading at arrival, with the counts behind it."""
     base = with_metric(signals, dim_metric, ["lo", "hi", "scored"])
-    c = corroborate(signals, dim_metric)
+    c = corroborate(j)
     out = base.join(c, "seq", "left")
     n_yes, n_no = F.coalesce("n_corroborating", F.lit(0)).cast("long"), F.coalesce("n_contradicting", F.lit(0)).cast("long")
     alert = F.lit(None).cast("long")
@@ -146,11 +151,9 @@ def _arrival(at: str, order: int, row: str):
     return F.struct(F.unix_micros(at).alias("t"), F.lit(order).alias("o"), F.col(row).cast("long").alias("id"))
 
 
-def evidence_from_people(signals: DataFrame, dim_metric: DataFrame) -> DataFrame:
+def evidence_from_people(j: DataFrame) -> DataFrame:
     """A later reading agrees with an earlier raw one."""
-    pairs = neighbor_pairs(signals, dim_metric, earlier_only=True, same_period=True, left_filter=X.is_people() & F.col("scored"))
-    j = judged(closest_per_sensor(pairs)).filter(F.col("agrees") & X.is_people("o_kind"))
-    return j.select(F.col("o_seq").alias("seq"), _arrival("observed_at", 0, "seq").alias("arrival"),
+    return j.filter(F.col("agrees") & X.is_people("o_kind")).select(F.col("o_seq").alias("seq"), _arrival("observed_at", 0, "seq").alias("arrival"),
                     F.lit("corroborated").alias("verdict"), F.lit("reading").alias("via"))
 
 
@@ -225,10 +228,9 @@ def pair_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("a", F.least("sensor_id", "o_sensor_id")).withColumn("b", F.greatest("sensor_id", "o_sensor_id"))
 
 
-def agreements(signals: DataFrame, dim_metric: DataFrame) -> DataFrame:
+def agreements(j: DataFrame) -> DataFrame:
     """Each (reading, agreeing sensor) with the kinds, places and pair."""
-    pairs = neighbor_pairs(signals, dim_metric, earlier_only=True, same_period=True, left_filter=X.is_people() & F.col("scored"))
-    return pair_keys(judged(closest_per_sensor(pairs)).filter("agrees"))
+    return pair_keys(j.filter("agrees"))
 
 
 def pair_agreements(agreed: DataFrame) -> DataFrame:

@@ -183,3 +183,26 @@ def event_source(members: DataFrame) -> DataFrame:
 def close_emptied(before: DataFrame, after: DataFrame) -> DataFrame:
     """Events that lost their last reading to a corrected message."""
     return before.select("event_id").distinct().join(after.select("event_id"), "event_id", "left_anti")
+
+
+def score_path(members: DataFrame) -> DataFrame:
+    """(event_id, seq, score, verified) after each member: severity so far, distinct sensors so far, references so far.
+
+    Running values are prefix sums over time buckets: bucket totals first, rows inside a bucket after.
+    """
+    from pyspark.sql import Window as W
+
+    first = members.groupBy("event_id", "sensor_id").agg(F.min("seq").alias("seq")).select("event_id", "seq", F.lit(1).alias("_new"))
+    m = members.join(first, ["event_id", "seq"], "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
+    m = m.withColumn("_ref", F.when(X.is_reference(), 1).otherwise(0)).withColumn("_b", bucket_of("observed_at", 3600 * 10**6))
+    tot = m.groupBy("event_id", "_b").agg(F.sum("_new").alias("n"), F.sum("_ref").alias("r"), F.max("severity").alias("s"))
+    wb = W.partitionBy("event_id").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    tot = tot.select("event_id", "_b", F.coalesce(F.sum("n").over(wb), F.lit(0)).alias("_n0"), F.coalesce(F.sum("r").over(wb), F.lit(0)).alias("_r0"),
+                     F.coalesce(F.max("s").over(wb), F.lit(0.0)).alias("_s0"))
+    wi = W.partitionBy("event_id", "_b").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    out = m.join(tot, ["event_id", "_b"])
+    n, r = F.col("_n0") + F.sum("_new").over(wi), F.col("_r0") + F.sum("_ref").over(wi)
+    s = F.greatest(F.col("_s0"), F.max("severity").over(wi))
+    out = out.withColumn("_n", n).withColumn("_r", r).withColumn("_s", s)
+    score = F.col("_s") * (F.lit(1.0) + F.lit(0.5) * F.log1p((F.col("_n") - 1).cast("double"))) * F.when(F.col("_r") >= 1, 1.25).otherwise(1.0)
+    return out.select("event_id", "seq", score.alias("score"), ((F.col("_n") >= 2) | (F.col("_r") >= 1)).alias("verified"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,8 +91,6 @@ def replay(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _replay_arrow(table):
-    import pyarrow as pa
-
     out = replay(table.to_pandas())
     return pa.table({"ref": pa.array(out["ref"], pa.int64()), "story_id": pa.array(out["story_id"], pa.int64())})
 
@@ -103,9 +102,9 @@ def stories_replay(members: DataFrame) -> DataFrame:
     (by aggregated buckets) and blocks are folded in parallel.
     """
     marks = sessions(members, ["topic"], "observed_at", STORY_US)
-    m = members.withColumn("_b", bucket_of("observed_at", STORY_US)).join(F.broadcast(marks), ["topic", "_b"])
+    m = members.withColumn("_b", bucket_of("observed_at", STORY_US)).join(marks, ["topic", "_b"])
     rows = m.select("topic", "session_at", "ref", "lat", "lon", F.unix_micros("observed_at").alias("t"))
-    return rows.groupBy("topic", "session_at").applyInArrow(lambda table: _replay_arrow(table), "ref long, story_id long")
+    return rows.groupBy("topic", "session_at").applyInArrow(_replay_arrow, "ref long, story_id long")
 
 
 def story_rows(labelled: DataFrame, now=None) -> DataFrame:
@@ -122,7 +121,7 @@ def stories_ranked(stories: DataFrame, limit: int) -> DataFrame:
 
 def story_of_event(members: DataFrame, labelled: DataFrame) -> DataFrame:
     """J34."""
-    return members.join(labelled.select("ref", "story_id"), members.seq == labelled.ref).select("event_id", "seq", "story_id")
+    return members.join(labelled.select(F.col("ref").alias("seq"), "story_id"), "seq").select("event_id", "seq", "story_id")
 
 
 def storm_facts(labelled: DataFrame, events: DataFrame, alerts: DataFrame, per_story: int = 5) -> DataFrame:
@@ -137,3 +136,10 @@ def storm_facts(labelled: DataFrame, events: DataFrame, alerts: DataFrame, per_s
     e = top_per_key(e, ["story_id"], [F.desc("severity"), F.asc("id")], per_story, "id")
     e = e.select("story_id", F.lit(1).alias("part"), F.col("rank").cast("double").alias("key"), "id")
     return a.unionByName(e)
+
+
+def template_brief(facts: DataFrame) -> DataFrame:
+    """One cited phrase per fact, joined in order. Facts per story are few: alerts of one storm and at most five events."""
+    phrase = F.concat(F.when(F.col("part") == 0, "alert ").otherwise("event "), F.col("id"))
+    g = facts.groupBy("story_id").agg(F.sort_array(F.collect_list(F.struct("part", "key", "id", phrase.alias("phrase")))).alias("f"))
+    return g.select("story_id", F.array_join(F.transform("f", lambda x: x["phrase"]), "; ").alias("brief"))

@@ -119,3 +119,9 @@ def first_per_group(alerts: DataFrame, counties: DataFrame, now: Column) -> Data
     g = a.groupBy("group_key").agg(F.max_by(F.struct("alert_id", "severity", "sent"), F.struct("severity", "sent", "alert_id")).alias("a"),
                                    F.sort_array(F.collect_list("name")).alias("counties"))
     return g.select("group_key", "a.*", "counties")
+
+
+def card_changes(versions: DataFrame, thread: str, at: str, row_id: str, text: str) -> DataFrame:
+    """Versions whose text differs from the thread's previous one (the first always counts)."""
+    out = lag_columns(versions.withColumn("_h", F.xxhash64(text)), [thread], at, row_id, ["_h"], 86400 * 10**6)
+    return out.filter(F.col("prev__h").isNull() | (F.col("prev__h") != F.col("_h"))).drop("_h", "prev__h")

@@ -77,7 +77,7 @@ def sessions(df: DataFrame, keys: list[str], at: str, gap_us) -> DataFrame:
     w = W.partitionBy(*keys).orderBy("_b")
     opens = F.col("_first") - F.lag("_last").over(w) > F.col("_gap")
     marked = ends.withColumn("_open", F.when(F.coalesce(opens, F.lit(True)), F.col("_first")))
-    return marked.withColumn("session_at", F.last("_open", ignorenulls=True).over(w)).drop("_open", "_gap")
+    return marked.withColumn("session_at", F.last("_open", ignorenulls=True).over(w)).select(*keys, "_b", "session_at")
 
 
 def trailing_count(df: DataFrame, keys: list[str], at: str, span_us: int, name: str) -> DataFrame:
