@@ -84,16 +84,22 @@ def polygon_gap(lat, lon, rings) -> Column:
     lat, lon, rings = _c(lat), _c(lon), _c(rings)
     kx = F.lit(KM_PER_LON_DEG) * F.cos(F.radians(lat))
 
-    def nearest(e: Column) -> Column:
-        ax, ay = (e["x1"] - lon) * kx, (e["y1"] - lat) * KM_PER_LAT_DEG
-        dx, dy = (e["x2"] - e["x1"]) * kx, (e["y2"] - e["y1"]) * KM_PER_LAT_DEG
-        span = dx * dx + dy * dy
-        f = F.coalesce(
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-(ax * dx + ay * dy), span))), F.lit(0.0))
-        px, py = ax + f * dx, ay + f * dy
-        return F.struct(F.sqrt(px * px + py * py).alias("km"), bearing_deg(-px, -py).alias("bearing"))
-
-    return F.array_min(F.flatten(F.transform(rings, lambda r: F.transform(_edges(r), nearest))))
+    # three small passes, each binding what the next one uses more than once; the bearing is worked out for one edge
+    def local(e: Column) -> Column:
+        return F.struct(((e["x1"] - lon) * kx).alias("ax"), ((e["y1"] - lat) * KM_PER_LAT_DEG).alias("ay"),
+                        ((e["x2"] - e["x1"]) * kx).alias("dx"), ((e["y2"] - e["y1"]) * KM_PER_LAT_DEG).alias("dy"))
+
+    def along(v: Column) -> Column:
+        f = F.try_divide(-(v["ax"] * v["dx"] + v["ay"] * v["dy"]), v["dx"] * v["dx"] + v["dy"] * v["dy"])
+        return F.struct(v.alias("v"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), f)), F.lit(0.0)).alias("f"))
+
+    def foot(w: Column) -> Column:
+        v = w["v"]
+        return F.struct((v["ax"] + w["f"] * v["dx"]).alias("px"), (v["ay"] + w["f"] * v["dy"]).alias("py"))
+
+    feet = F.transform(F.transform(F.transform(F.flatten(F.transform(rings, _edges)), local), along), foot)
+    best = F.array_min(F.transform(feet, lambda p: F.struct(F.sqrt(p["px"] * p["px"] + p["py"] * p["py"]).alias("km"), p["px"].alias("px"), p["py"].alias("py"))))
+    return F.when(best.isNotNull(), F.struct(best["km"].alias("km"), bearing_deg(-best["px"], -best["py"]).alias("bearing")))
 
 
 def ring_bounds(rings) -> Column:

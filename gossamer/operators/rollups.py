@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from gossamer.functions import scalars as X
 from gossamer.operators.filters import hours_before
 
-N = F.count(F.lit(1))
+def count_all() -> Column:
+    return F.count(F.lit(1))
 
 
 def mesh(signals: DataFrame, now: Column, hours: float, *, people_only: bool = False, stations_only: bool = False) -> DataFrame:
@@ -21,7 +22,7 @@ def mesh(signals: DataFrame, now: Column, hours: float, *, people_only: bool = F
     if stations_only:
         s = s.filter(F.col("kind") == "station")
     return s.groupBy("county_id", "metric").agg(
-        N.alias("n"), F.count_distinct("sensor_id").alias("n_sensors"), F.count_if(X.is_people()).alias("n_human"),
+        count_all().alias("n"), F.count_distinct("sensor_id").alias("n_sensors"), F.count_if(X.is_people()).alias("n_human"),
         F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.min("value").alias("min_value"),
         F.max("observed_at").alias("latest"))
 
@@ -31,7 +32,7 @@ def county_activity(signals: DataFrame, now: Column, days: float, kinds=None) ->
     s = signals.filter((F.col("observed_at") >= hours_before(now, days * 24)) & F.col("county_id").isNotNull())
     if kinds:
         s = s.filter(F.col("kind").isin(*kinds))
-    return s.groupBy("county_id").agg(N.alias("n"))
+    return s.groupBy("county_id").agg(count_all().alias("n"))
 
 
 def vitals(signals: DataFrame, sensors: DataFrame, events: DataFrame, alerts: DataFrame, subscriptions: DataFrame,
@@ -54,8 +55,8 @@ def vitals(signals: DataFrame, sensors: DataFrame, events: DataFrame, alerts: Da
         events.agg(F.count_if(F.col("status") == "open").alias("events_open"),
                    F.count_if(F.col("updated_at") >= hours_before(now, 24)).alias("events_24h")),
         alerts.filter(F.col("expires").isNull() | (F.col("expires") >= now)).agg(F.count_distinct("group_key").alias("alerts_active")),
-        subscriptions.agg(N.alias("subscriptions"), F.count_distinct("chat_id").alias("subscribers")),
-        counties.agg(N.alias("counties_total")),
+        subscriptions.agg(count_all().alias("subscriptions"), F.count_distinct("chat_id").alias("subscribers")),
+        counties.agg(count_all().alias("counties_total")),
     ]
     out = None
     for p in parts:
@@ -67,7 +68,7 @@ def vitals(signals: DataFrame, sensors: DataFrame, events: DataFrame, alerts: Da
 def leaderboard(signals: DataFrame, sensors: DataFrame, now: Column, days: float, limit: int = 10) -> DataFrame:
     """Most corroborated people. Readings are counted per sensor before the join."""
     counts = signals.filter(X.is_people() & (F.col("received_at") >= hours_before(now, days * 24))).groupBy("sensor_id").agg(
-        N.alias("n"), F.count_if(F.col("quality") == "corroborated").alias("n_corr"))
+        count_all().alias("n"), F.count_if(F.col("quality") == "corroborated").alias("n_corr"))
     s = sensors.filter(X.is_people() & (F.col("status") == "active"))
     return counts.join(s, "sensor_id").orderBy(F.desc("n_corr"), F.desc("n"), F.desc("trust_prior"), "sensor_id").limit(limit)
 
@@ -89,9 +90,9 @@ def county_rollup(signals: DataFrame, alerts: DataFrame, events: DataFrame, coun
     """A15."""
     since = F.col("observed_at") >= hours_before(now, days * 24)
     act = signals.filter(since).groupBy("county_id").agg(F.count_if(X.is_people()).alias("human"), F.count_if(X.is_reference()).alias("reference"))
-    al = alerts.filter(F.col("expires").isNull() | (F.col("expires") > now)).groupBy("county_id").agg(N.alias("alerts"))
-    ev = events.filter(F.col("status") == "open").groupBy("county_id").agg(N.alias("events"))
-    top = (signals.filter(since & X.is_people() & (F.col("quality") != "rejected")).groupBy("county_id", "metric").agg(N.alias("n"))
+    al = alerts.filter(F.col("expires").isNull() | (F.col("expires") > now)).groupBy("county_id").agg(count_all().alias("alerts"))
+    ev = events.filter(F.col("status") == "open").groupBy("county_id").agg(count_all().alias("events"))
+    top = (signals.filter(since & X.is_people() & (F.col("quality") != "rejected")).groupBy("county_id", "metric").agg(count_all().alias("n"))
            .groupBy("county_id").agg(F.max_by("metric", F.struct("n", "metric")).alias("top_metric")))
     out = counties.select("county_id", "name", "lat", "lon")
     for part in (act, al, ev, top):
@@ -110,7 +111,7 @@ def alert_recap(alerts: DataFrame, counties: DataFrame, now: Column, hours: floa
 
 def alert_kinds(recap: DataFrame) -> DataFrame:
     """Per kind of alert. Counties and senders are sets bounded by the dimension tables."""
-    c = recap.groupBy("event").agg(N.alias("n"), F.sort_array(F.collect_set("sender")).alias("senders"), F.max("expires").alias("expires"))
+    c = recap.groupBy("event").agg(count_all().alias("n"), F.sort_array(F.collect_set("sender")).alias("senders"), F.max("expires").alias("expires"))
     names = recap.select("event", F.explode("counties").alias("name")).groupBy("event").agg(F.sort_array(F.collect_set("name")).alias("counties"))
     return c.join(names, "event", "left")
 
@@ -139,7 +140,7 @@ def feed_freshness(run_log: DataFrame) -> DataFrame:
 
 def reference_sizes(sensors: DataFrame, family: Column) -> DataFrame:
     """A21."""
-    return sensors.filter(X.is_reference()).groupBy(family.alias("family")).agg(N.alias("n"))
+    return sensors.filter(X.is_reference()).groupBy(family.alias("family")).agg(count_all().alias("n"))
 
 
 def short_error(error) -> Column:
@@ -152,7 +153,7 @@ def feed_problems(run_log: DataFrame, cadence: DataFrame, now: Column, min_fails
     """Feeds failing most of their last day, or without a good run for longer than their cadence allows."""
     day = F.col("run_at") >= hours_before(now, 24)
     per = run_log.filter(day).groupBy("source").agg(
-        F.count_if(F.col("status") == "error").alias("bad"), N.alias("n"),
+        F.count_if(F.col("status") == "error").alias("bad"), count_all().alias("n"),
         F.max(F.when(F.col("status") == "error", F.col("error"))).alias("err"), F.max_by("status", "id").alias("last"))
     failing = per.filter((F.col("bad") >= min_fails) & (F.col("bad") / F.col("n") >= share)
                          & ((F.col("last") == "error") | (F.col("n") >= chronic)))
@@ -185,7 +186,7 @@ def message_kind() -> Column:
 def messages_by_kind(outbox: DataFrame, since: Column) -> DataFrame:
     """A25."""
     o = outbox.filter((F.col("status") == "sent") & (F.col("action") != "edit") & (F.col("sent_at") >= since))
-    return o.groupBy(message_kind().alias("kind")).agg(N.alias("n"))
+    return o.groupBy(message_kind().alias("kind")).agg(count_all().alias("n"))
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
@@ -193,7 +194,7 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: list[float]) ->
 
     Works on the histogram of distinct values, so a group's rows are combined before any ordering.
     """
-    h = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(N.alias("_c"))
+    h = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(count_all().alias("_c"))
     w = W.partitionBy(*keys)
     h = h.withColumn("_cum", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
     pick = lambda q: F.min(F.when(F.col("_cum") > F.bround(F.lit(q) * (F.col("_n") - 1), 0), F.col(value)))
@@ -222,13 +223,13 @@ def strongest_by_place(signals: DataFrame, top: int = 14) -> DataFrame:
 
 def outbox_counts(outbox: DataFrame) -> DataFrame:
     """A36."""
-    return outbox.groupBy("status").agg(N.alias("n"))
+    return outbox.groupBy("status").agg(count_all().alias("n"))
 
 
 def followup_quota(outbox: DataFrame, prefix: str, since: Column, quota: int = 5) -> DataFrame:
     """How many notes each chat may still get."""
     o = outbox.filter(F.col("key").startswith(prefix) & (F.col("created_at") >= since) & F.col("status").isin("pending", "sent"))
-    return o.groupBy("chat_id").agg(N.alias("sent")).withColumn("left", F.greatest(F.lit(0), F.lit(quota) - F.col("sent")).cast("long"))
+    return o.groupBy("chat_id").agg(count_all().alias("sent")).withColumn("left", F.greatest(F.lit(0), F.lit(quota) - F.col("sent")).cast("long"))
 
 
 def rain_summary(signals: DataFrame, metric: str, now: Column, hours: float) -> DataFrame:
@@ -239,13 +240,13 @@ def rain_summary(signals: DataFrame, metric: str, now: Column, hours: float) ->
 
 def vocabulary_counts(dim_metric: DataFrame) -> DataFrame:
     """A39."""
-    return dim_metric.groupBy("topic").agg(N.alias("metrics"), F.count_if("is_flag").alias("flags"))
+    return dim_metric.groupBy("topic").agg(count_all().alias("metrics"), F.count_if("is_flag").alias("flags"))
 
 
 def night_summary(signals: DataFrame, dim_metric: DataFrame, now: Column, hours: float) -> DataFrame:
     """Per county, metrics people reported or that went past a threshold; the peak by direction."""
     s = signals.filter((F.col("observed_at") >= hours_before(now, hours)) & F.col("county_id").isNotNull() & (F.col("quality") != "rejected"))
-    m = s.groupBy("county_id", "metric").agg(N.alias("n"), F.count_if(X.is_people()).alias("n_human"),
+    m = s.groupBy("county_id", "metric").agg(count_all().alias("n"), F.count_if(X.is_people()).alias("n_human"),
                                              F.max("value").alias("hi_value"), F.min("value").alias("lo_value"))
     m = m.join(F.broadcast(dim_metric.select("metric", "direction", "thresholds")), "metric")
     m = m.withColumn("peak", F.when(F.col("direction") == "below", F.col("lo_value")).otherwise(F.col("hi_value")))
@@ -255,7 +256,7 @@ def night_summary(signals: DataFrame, dim_metric: DataFrame, now: Column, hours:
 def county_top_readings(signals: DataFrame, now: Column, hours: float, top: int = 5) -> DataFrame:
     """Each county's most reported metric (by people) and its largest readings."""
     s = signals.filter((F.col("observed_at") >= hours_before(now, hours)) & (F.col("quality") != "rejected"))
-    best = (s.filter(X.is_people()).groupBy("county_id", "metric").agg(N.alias("n"))
+    best = (s.filter(X.is_people()).groupBy("county_id", "metric").agg(count_all().alias("n"))
             .groupBy("county_id").agg(F.max_by("metric", F.struct("n", "metric")).alias("metric")))
     r = s.join(F.broadcast(best), ["county_id", "metric"]).filter(F.col("value").isNotNull() & (F.col("kind") != "authority"))
     return top_per_key(r, ["county_id", "metric"], [F.desc("value"), F.asc("seq")], top, salt="seq")
