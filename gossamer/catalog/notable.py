@@ -1,0 +1,172 @@
+"""Notability, news links, network graph and text matching on the adapter tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gossamer.catalog.aggregates import events
+from gossamer.catalog.filters import NOW, now
+from gossamer.catalog.joins import PEOPLE
+from gossamer.catalog.registry import query, table_sql
+from gossamer.functions import scalars as X
+from gossamer.operators import notable as N
+from gossamer.operators import text as TX
+from gossamer.operators.filters import hours_before
+from gossamer.sources import adapter as A
+
+
+def recent(spark, sf, hours=240):
+    v = F.broadcast(A.dim_metric(spark).select("metric", "thresholds", "direction"))
+    s = A.assessed(spark, sf).filter((F.col("observed_at") >= hours_before(now(spark, sf), hours)) & (F.col("quality") != "rejected")).join(v, "metric")
+    return s.withColumn("severity", X.severity("value", "thresholds", "direction"))
+
+
+table_sql("recents", f"""SELECT a.*, coalesce(c.severity, 0) AS severity FROM assessed a LEFT JOIN (SELECT seq, severity FROM crossings) c USING (seq)
+    WHERE a.observed_at >= {NOW} - INTERVAL 240 HOURS AND quality <> 'rejected'""")
+table_sql("reason_rows", f"""WITH g AS (SELECT sensor_id AS place, metric, topic, max(severity) AS severity, count(*) FILTER (kind IN {PEOPLE}) AS people,
+     count(*) FILTER (kind IN {PEOPLE} AND quality = 'corroborated') AS checked, count(*) FILTER (kind = 'official') AS official FROM recents GROUP BY 1, 2, 3)
+    SELECT place, metric, topic, 'event' AS kind, severity AS weight FROM g WHERE severity > 0 UNION ALL SELECT place, metric, topic, 'people', CASE WHEN checked > 0 THEN 0.4 ELSE 0.3 END::DOUBLE FROM g WHERE people > 0
+    UNION ALL SELECT place, metric, topic, 'report', 0.15::DOUBLE FROM g WHERE official > 0""")
+table_sql("place_scores", "SELECT place, sum(w) AS score FROM (SELECT place, kind, max(weight) AS w FROM reason_rows GROUP BY 1, 2) GROUP BY 1")
+
+
+@query("x28_reason_weight", "SELECT place, metric, kind, round(weight, 6) AS weight FROM reason_rows")
+def x28(spark, sf):
+    return N.reasons(recent(spark, sf)).select("place", "metric", "kind", F.round("weight", 6).alias("weight"))
+
+
+@query("a33_place_score", "SELECT place, round(score, 6) AS score FROM place_scores")
+def a33(spark, sf):
+    return N.place_scores(N.reasons(recent(spark, sf))).withColumn("score", F.round("score", 6))
+
+
+@query("a30_county_areas", """WITH l AS (SELECT metric, county_id, arg_max(value, row(observed_at, seq)) AS value FROM signals GROUP BY 1, 2)
+    SELECT metric, value, sev, array_to_string(list_sort(list(county_id)), ';') AS counties FROM (SELECT l.metric, l.county_id, l.value, max(t.severity) AS sev FROM l JOIN dim_metric m USING (metric)
+    JOIN dim_threshold t ON t.metric = l.metric AND CASE WHEN m.direction = 'below' THEN l.value <= lim ELSE l.value >= lim END GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""")
+def a30(spark, sf):
+    return N.county_areas(A.signals(spark, sf), A.dim_metric(spark)).select("metric", "value", "sev", F.array_join("counties", ";").alias("counties"))
+
+
+@query("a31_quiet_topics", f"SELECT DISTINCT topic FROM dim_metric WHERE topic NOT IN (SELECT topic FROM crossings WHERE severity >= 0.7 AND observed_at >= {NOW} - INTERVAL 2 HOURS)")
+def a31(spark, sf):
+    shown = recent(spark, sf, 2).filter("severity >= 0.7").select("topic").distinct()
+    return N.quiet_topics(A.dim_metric(spark), shown)
+
+
+def label_rows(spark, sf):
+    r = N.reasons(recent(spark, sf))
+    lead = r.groupBy("place").agg(F.max_by(F.struct("metric", "topic", "kind"), F.struct("weight", "metric", "kind")).alias("l"))
+    s = A.sensors(spark, sf).select(F.col("sensor_id").alias("place"), "lat", "lon")
+    p = lead.join(N.place_scores(r), "place").join(s, "place").select("place", "l.topic", "l.metric", F.when(F.col("place") % 5 == 0, "max").when(F.col("place") % 5 == 1, "rise").otherwise("event").alias("kind"), "score", "lat", "lon")
+    return p.withColumn("headline", (F.col("place") % 10).isin(0, 6) & (F.col("score") > 0.6))
+
+
+@query("t5_pick_labels")
+def t5(spark, sf):
+    return N.pick_labels(label_rows(spark, sf))
+
+
+# ── texts: county names planted in titles, and the documents' own words ──
+
+GAZ = [(f"Nation {k}", [str(k)]) for k in range(25)] + [("Nation 1 area", ["1", "2", "3"]), ("the of", ["4"]), ("der die", ["5", "6"]), ("le la", ["7"]), ("Nation 20 district", ["20", "21"])]
+
+
+def titled(spark, sf):
+    d = A.documents(spark, sf)
+    k = F.col("item_id") % 27
+    extra = F.when(k < 25, F.concat(F.lit("Rain in Nation-"), k.cast("string"), F.when(F.col("item_id") % 2 == 0, " area floods").otherwise(" errors"))).otherwise("Clicks and gusts")
+    return d.withColumn("headline", F.concat(F.col("title"), F.lit(" "), extra))
+
+
+HEAD = """SELECT item_id, title || ' ' || CASE WHEN item_id % 27 < 25 THEN 'Rain in Nation-' || (item_id % 27) || CASE WHEN item_id % 2 = 0 THEN ' area floods' ELSE ' errors' END ELSE 'Clicks and gusts' END AS headline FROM doc_rows"""
+WORDS = r"regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+')"
+# literal names on word boundaries; longer names blank shorter ones (only 'Nation 1 area' holds another name here)
+_SP = "(' ' || array_to_string(" + WORDS.format(t="headline") + ", ' ') || ' ')"
+GAZ_SQL = ", ".join(f"('{n}', {i})" for i, (n, _) in enumerate(GAZ))
+
+
+@query("j13_places_in_text", f"""SELECT item_id, nm AS name FROM (SELECT item_id, {_SP} AS t FROM ({HEAD})) d JOIN (VALUES {GAZ_SQL}) g(nm, i) ON contains(CASE WHEN nm IN ('Nation 1', 'Nation 20') THEN
+    replace(replace(t, ' Nation 1 area ', ' # '), ' Nation 20 district ', ' # ') ELSE t END, ' ' || nm || ' ')""")
+def j13(spark, sf):
+    gaz = spark.createDataFrame(GAZ, "name string, fips array<string>")
+    return TX.places_in_text(titled(spark, sf), "item_id", "headline", gaz, 3).select("item_id", "name").distinct()
+
+
+NEWS = [("purchase", "rain"), ("error", "flood"), ("error", "error"), ("click", "click"), ("view", "gust"), ("signup", "the of")]
+
+
+@query("j14_measures_in_text", f"""SELECT DISTINCT item_id, m AS metric FROM (SELECT item_id, {_SP.replace('headline', 'lower(headline)')} AS t FROM ({HEAD})) d
+    CROSS JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in NEWS)}) g(m, nm) CROSS JOIN (VALUES (''), ('s'), ('es'), ('ing'), ('ed')) x(e) WHERE contains(t, ' ' || nm || e || ' ')""")
+def j14(spark, sf):
+    return TX.measures_in_text(titled(spark, sf), "item_id", F.col("headline"), spark.createDataFrame(NEWS, "metric string, name string"), 2)
+
+
+def story_rows(spark, sf):
+    gaz = spark.createDataFrame(GAZ, "name string, fips array<string>")
+    t = titled(spark, sf)
+    p = TX.places_in_text(t, "item_id", "headline", gaz, 3).groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("fips")))).alias("counties"))
+    m = TX.measures_in_text(t, "item_id", F.col("headline"), spark.createDataFrame(NEWS, "metric string, name string"), 2).groupBy("item_id").agg(F.array_sort(F.collect_set("metric")).alias("measures"))
+    return t.join(p, "item_id").join(m, "item_id", "left").select("item_id", "counties", F.coalesce("measures", F.array().cast("array<string>")).alias("measures"), "topic")
+
+
+@query("g7_group_stories_by_place")
+def g7(spark, sf):
+    return N.group_stories(story_rows(spark, sf))
+
+
+@query("j15_link_news_to_readings")
+def j15(spark, sf):
+    st = story_rows(spark, sf)
+    g = N.group_stories(st).join(st, "item_id")
+    flat = g.select("group", F.explode("counties").alias("county_id"), "measures", "item_id").select("group", "county_id", "item_id", F.explode_outer("measures").alias("metric"))
+    named = flat.groupBy("group", "metric").agg(F.count_distinct("item_id").alias("named"))
+    groups = flat.select("group", "county_id", "metric").distinct().join(named, ["group", "metric"], "left")
+    r = recent(spark, sf)
+    ext = r.groupBy("county_id", "metric", F.col("sensor_id").alias("place")).agg(F.max("value").alias("value"))
+    why = N.reasons(r)
+    places = N.place_scores(why).join(why.groupBy("place").agg(F.max(F.col("kind") == "event").alias("is_event"), F.lit(True).alias("own")), "place").join(
+        A.sensors(spark, sf).select(F.col("sensor_id").alias("place"), "county_id"), "place")
+    return N.link_news(groups, ext, places).select("group", "place", "metric", "rank")
+
+
+@query("t6_group_stories_ranked", """SELECT feed AS "group", round(score, 6) AS score FROM (SELECT feed, max(relevance) + CASE WHEN max(item_id) % 2 = 0 THEN 0.3 ELSE 0 END::DOUBLE + 0.05::DOUBLE * (count(*) - 1) AS score FROM items
+    WHERE relevance IS NOT NULL GROUP BY 1) ORDER BY score DESC, feed LIMIT 7""")
+def t6(spark, sf):
+    g = A.items(spark, sf).filter("relevance is not null").groupBy(F.col("feed").alias("group")).agg(
+        F.max("relevance").alias("relevance"), (F.max("item_id") % 2 == 0).alias("linked"), F.count(F.lit(1)).alias("n"))
+    return N.rank_groups(g).select("group", F.round("score", 6).alias("score"))
+
+
+@query("t6_statewide_variety", """WITH r AS (SELECT item_id, topic, relevance + CASE WHEN item_id % 3 = 0 THEN 0.2 ELSE 0 END::DOUBLE AS score FROM items WHERE relevance IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, item_id) AS rn FROM r) SELECT item_id, topic FROM k ORDER BY CASE WHEN rn = 1 THEN 0 ELSE 1 END, score DESC, item_id LIMIT 3""")
+def t6v(spark, sf):
+    s = A.items(spark, sf).filter("relevance is not null").withColumn("score", F.col("relevance") + F.when(F.col("item_id") % 3 == 0, 0.2).otherwise(0.0))
+    return N.statewide_variety(s).select("item_id", "topic")
+
+
+# ── graph ──
+
+H = "'sensor:s-' || substr(sha1(CAST({c} AS VARCHAR)), 1, 5)"
+table_sql("kept", f"SELECT sensor_id FROM (SELECT sensor_id, count(*) AS n FROM assessed WHERE kind IN {PEOPLE} GROUP BY 1 ORDER BY n DESC, sensor_id LIMIT 60)")
+
+
+@query("a29_graph_nodes", f"""SELECT 'topic:' || topic AS id, 'topic' AS kind, count(*) AS n FROM assessed GROUP BY 1 UNION ALL SELECT 'metric:' || metric, 'metric', count(*) FROM assessed GROUP BY 1
+    UNION ALL SELECT {H.format(c='sensor_id')}, 'sensor', count(*) FROM assessed WHERE sensor_id IN (SELECT sensor_id FROM kept) GROUP BY sensor_id
+    UNION ALL SELECT 'county:' || county_id, 'county', count(*) FROM assessed WHERE sensor_id IN (SELECT sensor_id FROM kept) GROUP BY 1
+    UNION ALL SELECT 'feed:' || source, 'feed', count(*) FROM assessed WHERE kind NOT IN {PEOPLE} GROUP BY 1 UNION ALL SELECT 'event:' || event_id, 'event', n_signals FROM event_rows""")
+def a29n(spark, sf):
+    s = A.assessed(spark, sf)
+    return N.graph_nodes(s, A.dim_metric(spark), events(spark, sf), N.busiest_people(s, 60))
+
+
+@query("a29_graph_edges", f"""WITH p AS (SELECT * FROM assessed WHERE kind IN {PEOPLE} AND sensor_id IN (SELECT sensor_id FROM kept)),
+    d AS (SELECT DISTINCT metric, county_id, CAST(observed_at AS DATE) AS dd, sensor_id FROM p WHERE quality = 'corroborated')
+    SELECT 'metric:' || metric AS source, 'topic:' || topic AS target, 'belongs' AS kind, 1 AS weight FROM dim_metric
+    UNION ALL SELECT 'feed:' || source, 'metric:' || metric, 'reports', count(*) FROM assessed WHERE kind NOT IN {PEOPLE} GROUP BY 1, 2
+    UNION ALL SELECT {H.format(c='sensor_id')}, 'metric:' || metric, 'reports', count(*) FROM p GROUP BY sensor_id, metric
+    UNION ALL SELECT {H.format(c='sensor_id')}, 'county:' || county_id, 'home', 1 FROM p GROUP BY sensor_id, county_id
+    UNION ALL SELECT {H.format(c='a.sensor_id')}, {H.format(c='b.sensor_id')}, 'corroborated', count(*) FROM d a JOIN d b ON a.metric = b.metric AND a.county_id = b.county_id AND a.dd = b.dd AND a.sensor_id < b.sensor_id GROUP BY a.sensor_id, b.sensor_id
+    UNION ALL SELECT 'event:' || event_id, 'metric:' || metric, 'about', 1 FROM event_rows UNION ALL SELECT 'event:' || event_id, 'county:' || county_id, 'in', 1 FROM event_rows""")
+def a29e(spark, sf):
+    s = A.assessed(spark, sf)
+    return N.graph_edges(s, A.dim_metric(spark), events(spark, sf), N.busiest_people(s, 60))

@@ -99,7 +99,7 @@ def polygon_gap(lat, lon, rings) -> Column:
 
     feet = F.transform(F.transform(F.transform(F.flatten(F.transform(rings, _edges)), local), along), foot)
     best = F.array_min(F.transform(feet, lambda p: F.struct(F.sqrt(p["px"] * p["px"] + p["py"] * p["py"]).alias("km"), p["px"].alias("px"), p["py"].alias("py"))))
-    return F.when(best.isNotNull(), F.struct(best["km"].alias("km"), bearing_deg(-best["px"], -best["py"]).alias("bearing")))
+    return F.struct(best["km"].alias("km"), bearing_deg(-best["px"], -best["py"]).alias("bearing"))
 
 
 def ring_bounds(rings) -> Column:

@@ -119,11 +119,15 @@ def nice_number(x) -> Column:
     step = F.pow(F.lit(10.0), digits - 2)
     big = F.format_string("%,.0f", F.rint(v / step) * step)
     mid = F.format_string("%,.0f", F.rint(v))
-    # below 100: round to 2 - digits decimals (half-even on the shortest decimal), then drop trailing zeros
+    # below 100: round to 2 - digits decimals as the exact binary value falls (the product's rounding error decides ties)
     dec = F.least(F.greatest(2 - digits, F.lit(0)), F.lit(6))
-    small = F.lit(None).cast("string")
-    for d in range(6, -1, -1):
-        small = F.when(dec == d, F.format_string(f"%.{d}f", F.bround(v, d))).otherwise(small)
+    m = F.element_at(F.array(*[F.lit(float(10**d)) for d in range(7)]), dec + 1)
+    p = v * m
+    high = v * 134217729.0 - (v * 134217729.0 - v)
+    err = (high * m - p) + (v - high) * m
+    tie = p - F.floor(p) == 0.5
+    n = F.when(tie & (err > 0), F.floor(p) + 1).when(tie & (err < 0), F.floor(p)).otherwise(F.rint(p))
+    small = F.call_function("format_number", n / m, dec)
     small = F.when(small.contains("."), F.regexp_replace(small, r"\.?0+$", "")).otherwise(small)
     tiny = F.format_string("%.2f", v)
     return (F.when(v.isNull(), F.lit(None).cast("string")).when(mag >= 10000, big).when(mag >= 100, mid)

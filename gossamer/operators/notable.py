@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gossamer.functions import scalars as X
-from gossamer.operators.filters import hours_before
+from gossamer.functions.geo import haversine_km
 from gossamer.operators.rollups import top_per_key
-from gossamer.plans.bounded import broadcast_if_small
 
 # What each kind of reason weighs.
 W_HEADLINE, W_PEOPLE, W_CHECKED, W_REPORT, W_NEWS = 0.35, 0.3, 0.1, 0.15, 0.4
@@ -70,61 +65,38 @@ def quiet_topics(dim_metric: DataFrame, shown: DataFrame) -> DataFrame:
 # ── labels ───────────────────────────────────────────────────────────────
 
 def pick_labels(places: DataFrame) -> DataFrame:
-    """T5: (place, tier): at most 14 labelled places in three passes, at most three of a topic, the next 80 as dots.
+    """T5: (place, tier, rank): at most 14 labelled places in three passes, at most three of a topic; the next 80 as dots.
 
-    ``places`` (place, topic, metric, kind, headline, score, lat, lon), one row each. The passes run over a bounded set
-    that provably holds every place they can pick: per (topic, metric, kind) the strongest headline and the strongest of
-    each; in the last pass a place is only skipped for a same-metric label within 50 km, so per (topic, metric) the
-    strongest place of each 25 km cell, as many cells as there can be labels plus their neighbours, suffices. Places are
-    ranked in two levels; one task folds the rest, whose number is set by the vocabulary, not by the readings.
+    ``places`` (place, topic, metric, kind, headline, score, lat, lon), one row each. Within a pass a place once skipped
+    stays skipped, so a pass is "take the best place that still fits" until none does. Each take is one aggregated max
+    over all places with the few labels so far as constants: at most 17 jobs, no candidate list and no cut-off.
     """
-    p = places.filter(F.col("score") >= MIN_LABELLED)
-    order = [F.desc("score"), F.asc("place")]
-    head = top_per_key(p.filter("headline"), ["topic"], order, LABELLED, "place").drop("rank")
-    diverse = top_per_key(p, ["topic", "metric", "kind"], order, LABELLED, "place").drop("rank")
-    step = 25.0 / 111.0
-    cell = p.withColumn("_y", F.floor(F.col("lat") / step)).withColumn("_x", F.floor(F.col("lon") / step))
-    # every label bars at most the cells within 50 km of it; past LABELLED such neighbourhoods a free cell must remain
-    spread = top_per_key(cell, ["topic", "metric", "_y", "_x"], order, LABELLED, "place").drop("rank")
-    spread = top_per_key(spread, ["topic", "metric"], order, LABELLED * LABELLED * 60, "place").drop("rank", "_y", "_x")
-    pool = head.unionByName(diverse).unionByName(spread).dropDuplicates(["place"])
-    picked = pool.withColumn("_one", F.lit(1)).groupBy("_one").applyInArrow(_fold_labels, "place long, tier int, rank int")
-    dots = places.join(F.broadcast(picked.select("place")), "place", "left_anti").orderBy(*order).limit(DOTS)
-    dots = dots.select("place", F.lit(2).alias("tier"), F.lit(None).cast("int").alias("rank"))
-    return picked.unionByName(dots)
-
-
-def fold_labels(rows: pd.DataFrame) -> list[int]:
-    """The three passes over ranked candidates."""
-    rows = rows.sort_values(["score", "place"], ascending=[False, True], kind="stable")
-    cand = list(rows.itertuples(index=False))
+    from gossamer.session import checkpointed
+
+    p = checkpointed(places.filter(F.col("score").isNotNull()))
+    what = F.concat_ws("|", "topic", "metric", F.when(F.col("kind").isin(*HEADLINE_KINDS), F.col("kind")).otherwise("other"))
+    p = p.withColumn("_what", what)
     chosen: list = []
-    taken, per_topic, seen = set(), {}, set()
 
-    def near(a, b):
-        h = (math.sin(math.radians(b.lat - a.lat) / 2) ** 2
-             + math.cos(math.radians(a.lat)) * math.cos(math.radians(b.lat)) * math.sin(math.radians(b.lon - a.lon) / 2) ** 2)
-        return 2 * 6371.0088 * math.asin(math.sqrt(h)) < TWIN_KM
+    def best(rule: Column):
+        full = [t for t in {c.topic for c in chosen} if sum(c.topic == t for c in chosen) >= PER_TOPIC]
+        left = p.filter(rule & (F.col("score") >= MIN_LABELLED) & ~F.col("topic").isin(full) & ~F.col("place").isin([c.place for c in chosen]))
+        fields = ["place", "topic", "metric", "_what", "lat", "lon"]
+        return left.agg(F.max_by(F.struct(*fields), F.struct("score", -F.col("place"))).alias("b")).first()["b"]
 
-    rules = (lambda p, what: p.headline, lambda p, what: what not in seen,
-             lambda p, what: not any(q.metric == p.metric and near(p, q) for q in chosen))
+    def roomy() -> Column:
+        near = F.lit(False)
+        for c in chosen:
+            near = near | ((F.col("metric") == c.metric) & (haversine_km(F.col("lat"), F.col("lon"), F.lit(c.lat), F.lit(c.lon)) < TWIN_KM))
+        return ~near
+
+    rules = (lambda: F.col("headline"), lambda: ~F.col("_what").isin([c["_what"] for c in chosen]), roomy)
     for rule in rules:
-        for p in cand:
-            if len(chosen) >= LABELLED:
-                break
-            what = (p.topic, p.metric, p.kind if p.kind in HEADLINE_KINDS else "other")
-            if p.place in taken or per_topic.get(p.topic, 0) >= PER_TOPIC or not rule(p, what):
-                continue
-            chosen.append(p)
-            taken.add(p.place)
-            seen.add(what)
-            per_topic[p.topic] = per_topic.get(p.topic, 0) + 1
-    return [p.place for p in chosen]
-
-
-def _fold_labels(table: pa.Table) -> pa.Table:
-    got = fold_labels(table.to_pandas())
-    return pa.table({"place": pa.array(got, pa.int64()), "tier": pa.array([1] * len(got), pa.int32()), "rank": pa.array(range(1, len(got) + 1), pa.int32())})
+        while len(chosen) < LABELLED and (b := best(rule())) is not None:
+            chosen.append(b)
+    picked = places.sparkSession.createDataFrame([(c.place, 1, i) for i, c in enumerate(chosen, start=1)], "place long, tier int, rank int")
+    dots = p.filter(~F.col("place").isin([c.place for c in chosen])).orderBy(F.desc("score"), F.asc("place")).limit(DOTS)
+    return picked.unionByName(dots.select("place", F.lit(2).alias("tier"), F.lit(None).cast("int").alias("rank")))
 
 
 # ── news ─────────────────────────────────────────────────────────────────

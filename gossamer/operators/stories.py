@@ -95,16 +95,66 @@ def _replay_arrow(table):
     return pa.table({"ref": pa.array(out["ref"], pa.int64()), "story_id": pa.array(out["story_id"], pa.int64())})
 
 
+BLOCK_DEG = 0.5
+
+
+def merge_boxes(boxes: list[list[float]]) -> list[int]:
+    """Block number per box: boxes within 60 km of each other end in one block, whose own box then counts."""
+    parent = list(range(len(boxes)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    live = {i: b for i, b in enumerate(boxes)}
+    lat_gap = STORY_KM / 111.0
+    changed = True
+    while changed:
+        changed = False
+        # sweep by latitude; only boxes whose latitude ranges touch are compared
+        order = sorted(live, key=lambda i: live[i][0])
+        open_: list[int] = []
+        for i in order:
+            if i not in live:
+                continue
+            open_ = [j for j in open_ if j in live and live[j][1] + lat_gap >= live[i][0]]
+            for j in list(open_):
+                a, b = live[i], live[j]
+                lon_gap = STORY_KM / (111.0 * max(0.02, math.cos(math.radians(min(89.0, max(abs(a[0]), abs(a[1]), abs(b[0]), abs(b[1])) + lat_gap)))))
+                if a[2] - lon_gap <= b[3] and b[2] - lon_gap <= a[3]:
+                    live[i] = [min(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3])]
+                    del live[j]
+                    open_.remove(j)
+                    parent[root(j)] = root(i)
+                    changed = True
+            open_.append(i)
+    return [root(i) for i in range(len(boxes))]
+
+
+def _block_arrow(key, table):
+    cols = table.to_pydict()
+    blocks = merge_boxes([list(t) for t in zip(cols["y0"], cols["y1"], cols["x0"], cols["x1"])])
+    n = table.num_rows
+    return pa.table({"topic": pa.array([key[0].as_py()] * n, pa.string()), "session_at": pa.array([key[1].as_py()] * n, pa.int64()),
+                     "_y": table.column("_y"), "_x": table.column("_x"), "block": pa.array(blocks, pa.int64())})
+
+
 def stories_replay(members: DataFrame) -> DataFrame:
     """G5, exact order-dependent form: a fold per independent block.
 
     Two members can meet only in a chain of activity with no silence over 3 h, so each topic is cut at those silences
-    (by aggregated buckets) and blocks are folded in parallel.
+    (by aggregated buckets). A storm's centre lies in the box of its members, so members whose boxes stay over 60 km
+    apart cannot meet either: boxes are merged over one row per half-degree cell, a number set by the map's area.
     """
     marks = sessions(members, ["topic"], "observed_at", STORY_US)
     m = members.withColumn("_b", bucket_of("observed_at", STORY_US)).join(marks, ["topic", "_b"])
-    rows = m.select("topic", "session_at", "ref", "lat", "lon", F.unix_micros("observed_at").alias("t"))
-    return rows.groupBy("topic", "session_at").applyInArrow(_replay_arrow, "ref long, story_id long")
+    m = m.withColumn("_y", F.floor(F.col("lat") / BLOCK_DEG).cast("long")).withColumn("_x", F.floor(F.col("lon") / BLOCK_DEG).cast("long"))
+    cells = m.groupBy("topic", "session_at", "_y", "_x").agg(F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1"))
+    blocks = cells.groupBy("topic", "session_at").applyInArrow(_block_arrow, "topic string, session_at long, _y long, _x long, block long")
+    rows = m.join(blocks, ["topic", "session_at", "_y", "_x"]).select("topic", "session_at", "block", "ref", "lat", "lon", F.unix_micros("observed_at").alias("t"))
+    return rows.groupBy("topic", "session_at", "block").applyInArrow(_replay_arrow, "ref long, story_id long")
 
 
 def story_rows(labelled: DataFrame, now=None) -> DataFrame:
