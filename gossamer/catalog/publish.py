@@ -1,0 +1,143 @@
+"""Sinks: each query writes to shared storage and reads back what was written."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gossamer.catalog import aggregates as AG
+from gossamer.catalog import graph as GR
+from gossamer.catalog.filters import NOW, ONOW, now
+from gossamer.catalog.joins import PEOPLE
+from gossamer.catalog.registry import query, table_sql
+from gossamer.functions import scalars as X
+from gossamer.operators import publish as PB
+from gossamer.operators import rollups as R
+from gossamer.operators import stories as ST
+from gossamer.operators.filters import hours_before
+from gossamer.session import shared_path
+from gossamer.sources import adapter as A
+
+us = F.unix_micros
+REFS = "('station','official','authority')"
+
+
+@query("k1_write_digest_tables", f"""SELECT 'contributors' AS tab, coalesce(count(*), 0) AS n, coalesce(sum(n_), 0)::BIGINT AS total FROM (SELECT count(*) AS n_ FROM sensors s JOIN assessed g USING (sensor_id) WHERE s.kind IN {PEOPLE} AND s.status = 'active'
+      AND g.received_at >= {NOW} - INTERVAL 336 HOURS GROUP BY sensor_id, trust_prior ORDER BY count(*) FILTER (quality = 'corroborated') DESC, n_ DESC, sensor_id LIMIT 10)
+    UNION ALL SELECT 'official-alerts', count(*), NULL FROM recap UNION ALL SELECT 'reading-list', 0, NULL
+    UNION ALL SELECT 'county-activity', count(*), sum(n)::BIGINT FROM (SELECT count(*) AS n FROM assessed WHERE observed_at >= {NOW} - INTERVAL 168 HOURS AND quality <> 'rejected' GROUP BY county_id, metric)""")
+def k1(spark, sf):
+    n = now(spark, sf)
+    a = A.assessed(spark, sf)
+    mesh = R.mesh(a, n, 168).select(F.col("county_id").alias("county_fips"), F.col("metric").alias("metric_key"), "n", "n_human", "n_sensors", F.col("mean_value").alias("mean"), F.col("max_value").alias("max"), "latest")
+    board = R.leaderboard(a, A.sensors(spark, sf), n, 14).select(X.public_handle("sensor_id").alias("name"), F.col("county_id").alias("county"), F.col("trust_prior").alias("trust"), "n", "n_corr")
+    empty = a.select("metric").limit(0)
+    tables = {"events": empty, "official-alerts": AG.recap(spark, sf), "county-activity": mesh, "station-extremes": empty, "contributors": board, "reading-list": empty, "network-vitals": empty}
+    path = shared_path(spark, "digest")
+    PB.write_digest_tables(tables, path)
+    out = None
+    for t, total in (("contributors", "n"), ("official-alerts", None), ("reading-list", None), ("county-activity", "n")):
+        back = spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in PB.DIGEST_TABLES[t])).csv(f"{path}/{t}")
+        r = back.agg(F.lit(t).alias("tab"), F.count(F.lit(1)).alias("n"), (F.sum(F.col(total).cast("long")) if total else F.lit(None).cast("long")).alias("total"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("k2_write_snapshot_json", f"""SELECT county_id, count(*) FILTER (kind IN {PEOPLE}) AS human, count(*) FILTER (kind NOT IN {PEOPLE}) AS reference FROM assessed WHERE observed_at >= {NOW} - INTERVAL 168 HOURS GROUP BY 1""")
+def k2(spark, sf):
+    n = now(spark, sf)
+    c = A.assessed(spark, sf).filter(F.col("observed_at") >= hours_before(n, 168)).groupBy("county_id").agg(F.count_if(X.is_people()).alias("human"), F.count_if(X.is_reference()).alias("reference"))
+    path = shared_path(spark, "snapshot")
+    PB.write_snapshot_json({"counties": c, "gauges": R.latest_gauges(A.gauge_series(spark, sf), n, 6, {"click": "stage_m"})}, path)
+    return spark.read.schema("county_id string, human long, reference long").json(f"{path}/counties")
+
+
+table_sql("pub_events", f"""SELECT e.*, s.witnesses, s.n_reference, s.n_sensors, s.n_reference_sensors, s.verified, s.score, c.name AS county_name, round_even(c.lat, 4) AS pub_lat, round_even(c.lon, 4) AS pub_lon
+    FROM event_rows e JOIN scored s USING (event_id) JOIN dim_county c USING (county_id)""")
+
+
+def public_events(spark, sf):
+    sc = GR.scored(spark, sf).select("event_id", "witnesses", "n_reference", "n_sensors", "n_reference_sensors", "verified", "score")
+    c = A.dim_county(spark, sf).select("county_id", F.col("name").alias("county_name"), F.bround("lat", 4).alias("pub_lat"), F.bround("lon", 4).alias("pub_lon"))
+    m = A.dim_metric(spark).select("metric", "label", "radius_km")
+    e = GR.events(spark, sf).drop("lat", "lon").join(sc, "event_id").join(F.broadcast(c), "county_id").join(F.broadcast(m), "metric")
+    return e.withColumn("title", F.concat("label", F.lit(" "), X.nice_number("peak"), F.lit(" — "), "county_name")).withColumn("category", F.lit("Other"))
+
+
+@query("k3_write_events_geojson", f"""SELECT event_id, pub_lon AS lon, pub_lat AS lat, round(peak, 6) AS peak, status, witnesses AS sensors, round(score, 3) AS score FROM pub_events WHERE verified AND updated_us >= epoch_us({NOW} - INTERVAL 168 HOURS)""")
+def k3(spark, sf):
+    path = shared_path(spark, "events-geojson")
+    PB.events_geojson(public_events(spark, sf), now(spark, sf)).select("feature").write.text(path)
+    schema = "id string, geometry struct<coordinates: array<double>>, properties struct<peak: double, status: string, sensors: long, score: double>"
+    b = spark.read.schema(schema).json(path)
+    return b.select(F.col("id").alias("event_id"), F.get("geometry.coordinates", F.lit(0)).alias("lon"), F.get("geometry.coordinates", F.lit(1)).alias("lat"), F.round("properties.peak", 6).alias("peak"),
+                    "properties.status", "properties.sensors", F.round("properties.score", 3).alias("score"))
+
+
+@query("k4_write_storms_geojson", """SELECT story_id, round_even(avg(c.lon), 4) AS lon, round_even(avg(c.lat), 4) AS lat, count(*) AS n_members FROM storm_roots JOIN signals USING (seq) JOIN dim_county c USING (county_id) GROUP BY 1""")
+def k4(spark, sf):
+    lab = ST.stories_components(GR.storm_members(spark, sf))
+    c = A.dim_county(spark, sf).select("county_id", F.col("lat").alias("pub_lat"), F.col("lon").alias("pub_lon"))
+    where = A.signals(spark, sf).select(F.col("seq").alias("ref"), "county_id").join(F.broadcast(c), "county_id")
+    m = lab.select("ref", "story_id").join(where, "ref")
+    path = shared_path(spark, "storms-geojson")
+    PB.storms_geojson(m, ST.story_rows(lab)).select("feature").write.text(path)
+    b = spark.read.schema("id long, geometry struct<coordinates: array<double>>, properties struct<n_members: long>").json(path)
+    return b.select(F.col("id").alias("story_id"), F.get("geometry.coordinates", F.lit(0)).alias("lon"), F.get("geometry.coordinates", F.lit(1)).alias("lat"), "properties.n_members")
+
+
+@query("k5_write_cap_rows", """SELECT event_id, CASE WHEN severity >= 0.8 THEN 'Severe' WHEN severity >= 0.5 THEN 'Moderate' ELSE 'Minor' END AS severity, CASE WHEN status = 'closed' THEN 'Past' ELSE 'Unknown' END AS urgency,
+    strftime(make_timestamp(updated_us) + INTERVAL 6 HOURS, '%Y-%m-%dT%H:%M:%S') || '-00:00' AS expires, county_name AS area, 6 AS parameters FROM pub_events WHERE verified""")
+def k5(spark, sf):
+    path = shared_path(spark, "cap")
+    PB.cap_rows(public_events(spark, sf), "net@example.org", "Sensor network").write.parquet(path)
+    ddl = "identifier string, info struct<severity: string, urgency: string, expires: string, parameter: array<struct<valueName: string, value: string>>, area: struct<areaDesc: string>>"
+    b = spark.read.parquet(path).select("event_id", F.from_xml("cap", ddl, {"inferSchema": "false"}).alias("x"))
+    return b.select("event_id", "x.info.severity", "x.info.urgency", "x.info.expires", F.col("x.info.area.areaDesc").alias("area"), F.size("x.info.parameter").alias("parameters"))
+
+
+@query("k6_write_research_tables", f"""SELECT seq, topic, CASE WHEN kind IN {REFS} THEN CAST(sensor_id AS VARCHAR) ELSE 's-' || substr(sha1(CAST(sensor_id AS VARCHAR)), 1, 5) END AS sensor,
+    CASE WHEN kind IN {REFS} THEN lat END AS lat, CASE WHEN kind IN {REFS} THEN lon END AS lon, quality FROM assessed WHERE (kind IN {PEOPLE} OR kind = 'official') AND observed_at >= {NOW} - INTERVAL 480 HOURS""")
+def k6(spark, sf):
+    path = shared_path(spark, "research")
+    PB.write_research_tables({"readings": PB.research_readings(A.assessed(spark, sf), now(spark, sf), 20), "sensors": PB.research_sensors(A.sensors(spark, sf)),
+                              "counties": A.dim_county(spark, sf), "metrics": A.dim_metric(spark)}, path)
+    return spark.read.parquet(f"{path}/readings").select("seq", "topic", "sensor", "lat", "lon", "quality")
+
+
+@query("k7_append_run_log", "SELECT 'feed' AS source, count(*) AS fetched, count(*) FILTER (seq % 3 = 0) AS n_new, 'ok' AS status FROM signals")
+def k7(spark, sf):
+    path, log = shared_path(spark, "landed"), shared_path(spark, "runlog")
+    rows = A.signals(spark, sf).withColumn("is_new", F.col("seq") % 3 == 0)
+    PB.append_run_log(rows, lambda df: df.write.parquet(path), "feed", log)
+    return spark.read.parquet(log).select("source", "fetched", F.col("new").alias("n_new"), "status")
+
+
+@query("k8_upsert_dimension", """SELECT sensor_id, CASE WHEN sensor_id % 3 = 0 THEN 'moved' ELSE kind END AS kind, CASE WHEN sensor_id % 4 = 1 THEN 0 ELSE sensor_id * 2 END AS n_signals FROM sensors WHERE sensor_id % 4 <> 1 OR sensor_id % 3 = 0""")
+def k8(spark, sf):
+    s = A.sensors(spark, sf).select("sensor_id", "kind", "registered_at")
+    cur = s.filter("sensor_id % 4 <> 1").withColumn("n_signals", F.col("sensor_id") * 2)
+    inc = s.filter("sensor_id % 3 = 0").withColumn("kind", F.lit("moved"))
+    return PB.upsert_dimension(cur, inc, "sensor_id", ["n_signals"], "registered_at").select("sensor_id", "kind", "n_signals")
+
+
+@query("k9_prune", f"""SELECT 'signals' AS tab, count(*) AS n FROM signals WHERE NOT (kind IN {REFS} AND observed_at < {NOW} - INTERVAL 240 HOURS AND seq NOT IN (SELECT seq FROM event_members))
+    UNION ALL SELECT 'outbox', count(*) FROM outbox WHERE status = 'pending' OR created_at >= {ONOW} - INTERVAL 8760 HOURS UNION ALL SELECT 'run_log', count(*) FROM run_log WHERE run_at >= {NOW} - INTERVAL 120 HOURS""")
+def k9(spark, sf):
+    n = now(spark, sf)
+    s = PB.prune_signals(A.signals(spark, sf), AG.members(spark, sf), n, 10).agg(F.lit("signals").alias("tab"), F.count(F.lit(1)).alias("n"))
+    o = PB.prune_outbox(A.outbox(spark, sf), AG.onow(spark, sf), 365).agg(F.lit("outbox").alias("tab"), F.count(F.lit(1)).alias("n"))
+    r = PB.prune_run_log(A.run_log(spark, sf), n, 5).agg(F.lit("run_log").alias("tab"), F.count(F.lit(1)).alias("n"))
+    return s.unionByName(o).unionByName(r)
+
+
+@query("k10_forget_sensor", """SELECT 'signals' AS tab, count(*) AS n FROM signals WHERE sensor_id % 31 <> 7 UNION ALL SELECT 'sensors', count(*) FROM sensors WHERE sensor_id % 31 <> 7
+    UNION ALL SELECT 'subscriptions', count(*) FROM subscriptions WHERE chat_id NOT IN (SELECT chat_id FROM sensors WHERE sensor_id % 31 = 7)""")
+def k10(spark, sf):
+    s = A.sensors(spark, sf)
+    gone = s.filter("sensor_id % 31 = 7").select("sensor_id", "chat_id")
+    t = PB.forget_sensor({"signals": (A.signals(spark, sf), "sensor_id"), "sensors": (s, "sensor_id"), "subscriptions": (A.subscriptions(spark, sf), "chat_id")}, gone)
+    out = None
+    for name, df in t.items():
+        r = df.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n"))
+        out = r if out is None else out.unionByName(r)
+    return out

@@ -35,3 +35,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gossamer-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the checkpoints, on storage every executor sees."""
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    root = named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="gossamer-")
+    return f"{root.rstrip('/')}/gossamer-{name}-{uuid.uuid4().hex}"
