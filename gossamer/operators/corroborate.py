@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions import geo
 from gossamer.functions import scalars as X
+from gossamer.plans.bounded import spread
 from gossamer.plans.bucketed import running_count
 from gossamer.plans.spacetime import within
 
@@ -29,8 +30,8 @@ def not_rejected():
 
 
 def _sides(signals: DataFrame, dim_metric: DataFrame) -> tuple[DataFrame, DataFrame]:
-    base = with_metric(signals.select("seq", "sensor_id", "kind", "metric", "topic", "value", "observed_at", "lat", "lon",
-                                      "precision", "period"), dim_metric)
+    base = with_metric(spread(signals.select("seq", "sensor_id", "kind", "metric", "topic", "value", "observed_at", "lat", "lon",
+                                             "precision", "period")), dim_metric.drop("topic"))
     base = base.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     base = base.withColumn("_w", F.col("window_min") * F.lit(MIN_US).cast("long"))
     right = base.filter(not_rejected()).select(

@@ -23,11 +23,42 @@ def county_points(counties: DataFrame) -> Column:
                          "ord: bigint, id: string, lat: double, lon: double")
 
 
+NEAR_DEG = 0.5
+
+
+def nearest_cells(points: list[dict]) -> list[tuple]:
+    """(_ny, _nx, entries) for the half-degree cells of the table's area: the few entries that can be nearest to some
+    point of the cell. An entry drops out when it is farther from the cell's centre than the nearest one by more than
+    the cell's diameter."""
+    import numpy as np
+
+    lat, lon = np.radians([p["lat"] for p in points]), np.radians([p["lon"] for p in points])
+    lo_y, hi_y = (int(np.floor((f([p["lat"] for p in points]) + d) / NEAR_DEG)) for f, d in ((min, -1.0), (max, 1.0)))
+    lo_x, hi_x = (int(np.floor((f([p["lon"] for p in points]) + d) / NEAR_DEG)) for f, d in ((min, -1.0), (max, 1.0)))
+    out = []
+    diameter = NEAR_DEG * 111.2 * 2**0.5 * 1.01
+    for y in range(lo_y, hi_y + 1):
+        for x in range(lo_x, hi_x + 1):
+            cy, cx = np.radians((y + 0.5) * NEAR_DEG), np.radians((x + 0.5) * NEAR_DEG)
+            h = np.sin((lat - cy) / 2) ** 2 + np.cos(lat) * np.cos(cy) * np.sin((lon - cx) / 2) ** 2
+            d = 2 * geo.EARTH_KM * np.arcsin(np.sqrt(h))
+            out.append((y, x, [(int(points[i]["ord"]), points[i]["id"], float(points[i]["lat"]), float(points[i]["lon"])) for i in np.flatnonzero(d <= d.min() + diameter)]))
+    return out
+
+
 def nearest_county(points: DataFrame, counties: DataFrame, max_km: float | None = None) -> DataFrame:
-    """Nearest centre, ties to table order, as an expression over the constant centres (no join, no shuffle)."""
-    best = geo.nearest_of("lat", "lon", county_points(counties), max_km)
-    out = points.withColumn("_n", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), best))
-    return out.withColumn("nearest_county", F.col("_n.id")).withColumn("nearest_km", F.col("_n.km")).drop("_n")
+    """Nearest centre, ties to table order. A point meets the few candidates of its half-degree cell (one broadcast
+    row of a checked county table); outside the table's area it is compared with every centre, a constant."""
+    rows = bounded_rows(counties.select("ord", "county_id", "lat", "lon"), MAX_COUNTIES)
+    table = [{"ord": r["ord"], "id": r["county_id"], "lat": r["lat"], "lon": r["lon"]} for r in rows]
+    ddl = "ord: bigint, id: string, lat: double, lon: double"
+    cells = points.sparkSession.createDataFrame(nearest_cells(table), f"_ny long, _nx long, _near array<struct<{ddl}>>")
+    cell = lambda c: F.floor(F.col(c) / NEAR_DEG).cast("long")
+    out = points.withColumn("_ny", cell("lat")).withColumn("_nx", cell("lon")).join(F.broadcast(cells), ["_ny", "_nx"], "left")
+    best = F.when(F.col("_near").isNotNull(), geo.nearest_of("lat", "lon", F.col("_near"), max_km)).when(
+        F.col("lat").isNotNull() & F.col("lon").isNotNull(), geo.nearest_of("lat", "lon", literal_array(table, ddl), max_km))
+    out = out.withColumn("_n", best)
+    return out.withColumn("nearest_county", F.col("_n.id")).withColumn("nearest_km", F.col("_n.km")).drop("_n", "_ny", "_nx", "_near")
 
 
 def ring_cells(regions: DataFrame, keep: list[str], cell: float = CELL_DEG) -> DataFrame:

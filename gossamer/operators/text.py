@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.plans.bounded import broadcast_if_small
+from gossamer.plans.bounded import broadcast_if_small, spread
 
 # Endings a measure's name may take.
 ENDINGS = ["", "s", "es", "ing", "ed"]
 
 
-def word_spans(text: Column, max_words: int) -> Column:
-    """Every run of 1..max_words words as structs (start, size, words); a word is a run of letters, digits or '_'."""
-    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+def words_of(text: Column) -> Column:
+    """A word is a run of letters, digits or '_'."""
+    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+
+
+def word_spans(words: Column, max_words: int) -> Column:
+    """Every run of 1..max_words words as structs (start, size, words)."""
     n = F.size(words)
 
     def runs(i: Column) -> Column:
@@ -31,7 +35,8 @@ def places_in_text(docs: DataFrame, doc_id: str, text: str, gazetteer: DataFrame
     when its size is checked; texts are expanded to spans and joined by equality, then only matches are compared.
     """
     g = gazetteer.select(F.replace("name", F.lit("-"), F.lit(" ")).alias("words"), "name", "fips", F.length("name").alias("chars"))
-    spans = docs.select(doc_id, F.explode(word_spans(F.col(text), max_words)).alias("s")).select(doc_id, "s.start", "s.size", "s.words")
+    split = spread(docs.select(doc_id, text)).select(doc_id, words_of(F.col(text)).alias("_w"))
+    spans = split.select(doc_id, F.explode(word_spans(F.col("_w"), max_words)).alias("s")).select(doc_id, "s.start", "s.size", "s.words")
     hits = spans.join(broadcast_if_small(g), "words")
     # one row per document: its few matches, longest first, folded left to right
     h = hits.groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct((-F.col("chars")).alias("c"), "start", "size", "name", "fips"))).alias("m"))
@@ -45,5 +50,6 @@ def places_in_text(docs: DataFrame, doc_id: str, text: str, gazetteer: DataFrame
 def measures_in_text(docs: DataFrame, doc_id: str, text: str, names: DataFrame, max_words: int) -> DataFrame:
     """Distinct (doc, metric) whose name, with one of the endings, occurs as whole words (lower case)."""
     n = names.select("metric", F.explode(F.array(*[F.concat(F.lower("name"), F.lit(e)) for e in ENDINGS])).alias("words"))
-    spans = docs.select(doc_id, F.explode(word_spans(F.lower(text), max_words)).alias("s")).select(doc_id, "s.words")
+    split = spread(docs.select(doc_id, F.lower(text).alias("_t"))).select(doc_id, words_of(F.col("_t")).alias("_w"))
+    spans = split.select(doc_id, F.explode(word_spans(F.col("_w"), max_words)).alias("s")).select(doc_id, "s.words")
     return spans.join(broadcast_if_small(n), "words").select(doc_id, "metric").distinct()

@@ -28,3 +28,12 @@ def literal_array(rows: list[dict], ddl: str) -> Column:
 def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """Broadcast hint when the table has at most ``limit`` rows; otherwise leave the join to the planner."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan planned with fewer tasks than the cluster has cores over all of them, ahead of work that copies or
+    parses rows. A large input is planned with many splits and passes through unchanged."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
