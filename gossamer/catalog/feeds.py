@@ -199,10 +199,11 @@ def s9(spark, sf):
     k = F.col("event_id")
     depth = F.when(k % 3 == 0, -2).when(k % 3 == 1, -8).otherwise(-20)
     e = events(spark, sf).withColumn("depth", depth)
-    series = e.groupBy("user_id", "event_type", "depth").agg(F.sort_array(F.collect_list(F.struct("event_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.when(k % 4 != 0, F.col("value")).alias("value")))).alias("vs"))
-    series = series.select("user_id", F.struct(F.struct(F.col("event_type").alias("elementCode"), F.col("depth").alias("heightDepth"), F.lit("pct").alias("storedUnitCode")).alias("stationElement"),
+    chunk = (k / 1000).cast("long").alias("file")     # a landed file holds a bounded slice of time
+    series = e.groupBy("user_id", "event_type", "depth", chunk).agg(F.sort_array(F.collect_list(F.struct("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("date"), F.when(k % 4 != 0, F.col("value")).alias("value")))).alias("vs"))
+    series = series.select("user_id", "file", F.struct(F.struct(F.col("event_type").alias("elementCode"), F.col("depth").alias("heightDepth"), F.lit("pct").alias("storedUnitCode")).alias("stationElement"),
                                                F.transform("vs", lambda v: F.struct(v["date"].alias("date"), v["value"].alias("value"))).alias("values")).alias("d"))
-    st = series.groupBy("user_id").agg(F.collect_list("d").alias("data")).select("user_id", F.to_json(F.struct(F.concat(F.col("user_id").cast("string"), F.lit(":IL:SCAN")).alias("stationTriplet"), "data")).alias("j"))
+    st = series.groupBy("user_id", "file").agg(F.collect_list("d").alias("data")).select("user_id", F.to_json(F.struct(F.concat(F.col("user_id").cast("string"), F.lit(":IL:SCAN")).alias("stationTriplet"), "data")).alias("j"))
     stations = st.select(F.from_json("j", S.SOIL_STATION).alias("s"))
     places = A.sensors(spark, sf).select(F.concat(F.col("sensor_id").cast("string"), F.lit(":IL:SCAN")).alias("triplet"), "county_id", "lat", "lon")
     m = mapping(spark, [("click", "soil_moisture", 1.0, 0.0, None, 0.0, 300.0, False, 0), ("view", "soil_temp", 1.0, 0.0, None, 0.0, 300.0, False, 1)])
@@ -309,7 +310,7 @@ def s16(spark, sf):
 def s18(spark, sf):
     e = events(spark, sf, "view")
     pt = F.struct(F.date_format("ts", ISO).alias("validTime"), F.when(F.col("event_id") % 6 == 0, -999.0).otherwise(F.col("value") / 10).alias("primary"))
-    g = e.groupBy("user_id").agg(F.collect_list(pt).alias("data")).select(F.to_json(F.struct(F.col("user_id").cast("string").alias("lid"), F.struct("data").alias("observed"))).alias("j"))
+    g = e.groupBy("user_id", (F.col("event_id") / 1000).cast("long").alias("file")).agg(F.collect_list(pt).alias("data")).select(F.to_json(F.struct(F.col("user_id").cast("string").alias("lid"), F.struct("data").alias("observed"))).alias("j"))
     g = g.select(F.from_json("j", f"struct<lid: string, observed: {S.RIVER_SERIES}>").alias("g")).select("g.*")
     return S.river_series(g, "observed").select("lid", F.unix_seconds("taken").alias("sec"), "stage")
 

@@ -273,7 +273,7 @@ ROUTE_SQL = ", ".join(f"({a}, '{b}', {c})" for a, b, c in ROUTING)
     WHERE s.chat_id NOT IN (SELECT chat_id FROM sensors WHERE status = 'banned')""")
 def j10(spark, sf):
     zc = zips(spark, sf).groupBy("county_id").agg(F.collect_set("zip5").alias("zips"))
-    t = events(spark, sf).filter("severity >= 1").join(F.broadcast(zc), "county_id", "left").select(
+    t = events(spark, sf).filter("severity >= 1").join(zc, "county_id", "left").select(
         F.col("event_id").alias("target_id"), F.lit("events").alias("category"), F.array(F.lit("st"), F.concat(F.lit("st."), "county_id")).alias("area_keys"),
         F.coalesce("zips", F.array().cast("array<string>")).alias("zips"))
     return AU.subscribers_for(t, A.subscriptions(spark, sf), A.sensors(spark, sf))

@@ -170,7 +170,7 @@ def empty_streaks(run_log: DataFrame, runs: int = 3) -> DataFrame:
     """
     last = run_log.groupBy("source").agg(F.max(F.when(F.col("fetched") > 0, F.col("id"))).alias("_last"))
     out = run_log.filter(F.col("fetched") == 0).groupBy("source", "id").agg(F.lit(1).alias("one"))
-    out = out.join(F.broadcast(last), "source").filter(F.coalesce(F.col("id") > F.col("_last"), F.lit(True)))
+    out = out.join(last, "source").filter(F.coalesce(F.col("id") > F.col("_last"), F.lit(True)))
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("streak")).filter(F.col("streak") >= runs)
 
 
@@ -189,16 +189,22 @@ def messages_by_kind(outbox: DataFrame, since: Column) -> DataFrame:
     return o.groupBy(message_kind().alias("kind")).agg(count_all().alias("n"))
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
+def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: list[float], step: float = 1.0) -> DataFrame:
     """X11: exact nearest-rank percentiles (rank round-half-even of q(n-1)).
 
-    Works on the histogram of distinct values, so a group's rows are combined before any ordering.
+    Values are counted, first per ``step``-wide bucket: ranks are located among bucket totals, and only the buckets that
+    hold a wanted rank are ordered value by value. A group's rows never meet in one task.
     """
-    h = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(count_all().alias("_c"))
+    v = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(count_all().alias("_c")).withColumn("_s", F.floor(F.col(value) / step))
+    s = v.groupBy(*keys, "_s").agg(F.sum("_c").alias("_sc"))
     w = W.partitionBy(*keys)
-    h = h.withColumn("_cum", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
-    pick = lambda q: F.min(F.when(F.col("_cum") > F.bround(F.lit(q) * (F.col("_n") - 1), 0), F.col(value)))
-    return h.groupBy(*keys).agg(*[pick(q).alias(f"p{int(q * 100)}") for q in qs])
+    s = s.withColumn("_hi", F.sum("_sc").over(w.orderBy("_s"))).withColumn("_n", F.sum("_sc").over(w)).withColumn("_lo", F.col("_hi") - F.col("_sc"))
+    wanted = F.array(*[F.struct(F.lit(f"p{int(q * 100)}").alias("name"), F.bround(F.lit(q) * (F.col("_n") - 1), 0).cast("long").alias("rank")) for q in qs])
+    here = s.withColumn("_q", F.filter(wanted, lambda x: (x["rank"] >= F.col("_lo")) & (x["rank"] < F.col("_hi")))).filter(F.size("_q") > 0)
+    inner = v.join(here.select(*keys, "_s", "_lo", "_q"), [*keys, "_s"])
+    inner = inner.withColumn("_cum", F.col("_lo") + F.sum("_c").over(W.partitionBy(*keys, "_s").orderBy(value)))
+    hits = inner.withColumn("_x", F.explode("_q")).filter((F.col("_x.rank") < F.col("_cum")) & (F.col("_x.rank") >= F.col("_cum") - F.col("_c")))
+    return hits.groupBy(*keys).agg(*[F.max(F.when(F.col("_x.name") == f"p{int(q * 100)}", F.col(value))).alias(f"p{int(q * 100)}") for q in qs])
 
 
 def latest_gauges(series: DataFrame, now: Column, hours: float, wanted: dict[str, str]) -> DataFrame:
@@ -258,13 +264,13 @@ def county_top_readings(signals: DataFrame, now: Column, hours: float, top: int
     s = signals.filter((F.col("observed_at") >= hours_before(now, hours)) & (F.col("quality") != "rejected"))
     best = (s.filter(X.is_people()).groupBy("county_id", "metric").agg(count_all().alias("n"))
             .groupBy("county_id").agg(F.max_by("metric", F.struct("n", "metric")).alias("metric")))
-    r = s.join(F.broadcast(best), ["county_id", "metric"]).filter(F.col("value").isNotNull() & (F.col("kind") != "authority"))
+    r = s.join(best, ["county_id", "metric"]).filter(F.col("value").isNotNull() & (F.col("kind") != "authority"))
     return top_per_key(r, ["county_id", "metric"], [F.desc("value"), F.asc("seq")], top, salt="seq")
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, salt: str) -> DataFrame:
     """Top k rows per key in two levels: k per (key, slice) first, so a hot key is ranked in parallel."""
-    sliced = df.withColumn("_s", F.pmod(F.xxhash64(salt), F.lit(64)))
+    sliced = df.withColumn("_s", F.pmod(F.xxhash64(salt), F.lit(256)))
     first = sliced.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_s").orderBy(*order))).filter(F.col("_r") <= k)
     ranked = first.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
     return ranked.drop("_s", "_r")
