@@ -56,8 +56,9 @@ def trust_table(spark, sf, j):
 def trusted_members(spark, sf):
     """Members combined per sensor with their trust, written once: stats, witnesses and scores all read it."""
     j = checkpointed(J.neighbors(spark, sf))
-    refs = J.arrival(spark, sf, j).select("seq", "reference")
-    return checkpointed(E.sensor_trust(E.per_sensor(members(spark, sf).join(refs, "seq")), trust_table(spark, sf, j)))
+    ar = checkpointed(J.arrival(spark, sf, j))
+    trust = C.pooled_trust(C.outcomes(ar, C.agreements(j)), A.sensors(spark, sf), now(spark, sf))
+    return checkpointed(E.sensor_trust(E.per_sensor(members(spark, sf).join(ar.select("seq", "reference"), "seq")), trust))
 
 
 @query("a6_event_stats", """SELECT event_id, n_signals, n_sensors, n_reference, n_reference_sensors, round(mean_trust, 6) AS mean_trust, max_value, min_value FROM event_stat""")

@@ -158,11 +158,11 @@ def push_decisions(scores: DataFrame, min_score: float = 1.0) -> DataFrame:
     Each push is one aggregated min over candidates past the last pushed score; a score has a small upper bound, so a
     handful of rounds decide every event without ordering any event's rows.
     """
-    cand = scores.filter(F.col("verified") & (F.col("score") >= min_score)).select("event_id", "seq", "score")
-    cur = cand.groupBy("event_id").agg(F.min(F.struct("seq", "score")).alias("p")).select("event_id", "p.seq", "p.score")
-    out = cur.withColumn("reason", F.lit("new"))
     from gossamer.session import checkpointed
 
+    cand = checkpointed(scores.filter(F.col("verified") & (F.col("score") >= min_score)).select("event_id", "seq", "score"))
+    cur = cand.groupBy("event_id").agg(F.min(F.struct("seq", "score")).alias("p")).select("event_id", "p.seq", "p.score")
+    out = cur.withColumn("reason", F.lit("new"))
     while True:
         cur = checkpointed(cur)
         if cur.isEmpty():
