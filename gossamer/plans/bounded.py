@@ -30,10 +30,19 @@ def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+SPLIT_BYTES = 128 * 2**20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan planned with fewer tasks than the cluster has cores over all of them, ahead of work that copies or
-    parses rows. A large input is planned with many splits and passes through unchanged."""
+    """Spread a small scan, planned with fewer tasks than the cluster has cores, over all of them ahead of work that copies
+    or parses rows. A large input is planned with many splits and passes through unchanged.
+
+    Decided from the optimizer's size estimate and the file list alone: nothing is executed.
+    """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * SPLIT_BYTES or not 0 < len(df.inputFiles()) < cores:
+        return df
+    return df.repartition(cores)
