@@ -12,6 +12,7 @@ from gossamer.functions import scalars as X
 from gossamer.operators import notable as N
 from gossamer.operators import text as TX
 from gossamer.operators.filters import hours_before
+from gossamer.session import checkpointed
 from gossamer.sources import adapter as A
 
 
@@ -116,7 +117,7 @@ def g7(spark, sf):
 
 @query("j15_link_news_to_readings")
 def j15(spark, sf):
-    st = story_rows(spark, sf)
+    st = checkpointed(story_rows(spark, sf))
     g = N.group_stories(st).join(st, "item_id")
     flat = g.select("group", F.explode("counties").alias("county_id"), "measures", "item_id").select("group", "county_id", "item_id", F.explode_outer("measures").alias("metric"))
     named = flat.groupBy("group", "metric").agg(F.count_distinct("item_id").alias("named"))
@@ -124,6 +125,7 @@ def j15(spark, sf):
     r = recent(spark, sf)
     ext = r.groupBy("county_id", "metric", F.col("sensor_id").alias("place")).agg(F.max("value").alias("value"))
     why = N.reasons(r)
+    why = checkpointed(why)
     places = N.place_scores(why).join(why.groupBy("place").agg(F.max(F.col("kind") == "event").alias("is_event"), F.lit(True).alias("own")), "place").join(
         A.sensors(spark, sf).select(F.col("sensor_id").alias("place"), "county_id"), "place")
     return N.link_news(groups, ext, places).select("group", "place", "metric", "rank")

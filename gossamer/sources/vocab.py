@@ -24,73 +24,33 @@ def load_packs(*paths: str | Path) -> list[dict[str, Any]]:
     return [{"topic": f.stem, **(yaml.safe_load(f.read_text(encoding="utf-8")) or {})} for f in files]
 
 
-def linear(spec: Any) -> tuple[float, float] | None:
-    """(a, b) of canonical = a x + b for a factor or an arithmetic expression in x; None when it isn't linear."""
-    if not isinstance(spec, dict):
-        return float(spec), 0.0
-    expr = str(spec["expr"])
-    if not ARITHMETIC.match(expr):
-        raise ValueError(f"unsupported unit expression: {expr!r}")
-    if "**" in expr:
-        return None
-    terms = [t for t in re.split(r"x", expr.replace(" ", ""))]
-    if len(terms) != 2:
-        return None
-    # x appears once: probe the expression through Spark-free rational steps on two points
-    from fractions import Fraction
-
-    def at(v: int) -> Fraction:
-        return _value(re.findall(r"\d+(?:\.\d+)?|[-+*/()x]", expr), Fraction(v))
-
-    b = at(0)
-    a = at(1) - b
-    return (float(a), float(b)) if at(2) == 2 * a + b else None
-
-
-def _value(tokens: list[str], x):
-    """Value of a + - * / expression with parentheses (unit conversions are one line of school arithmetic)."""
-    from fractions import Fraction
-
-    pos = 0
-
-    def atom():
-        nonlocal pos
-        t = tokens[pos]
-        pos += 1
-        if t == "(":
-            v = total()
-            pos += 1
-            return v
-        if t in "+-":
-            return atom() if t == "+" else -atom()
-        return x if t == "x" else Fraction(t)
-
-    def product():
-        nonlocal pos
-        v = atom()
-        while pos < len(tokens) and tokens[pos] in "*/":
-            op = tokens[pos]
-            pos += 1
-            w = atom()
-            v = v * w if op == "*" else v / w
-        return v
-
-    def total():
-        nonlocal pos
-        v = product()
-        while pos < len(tokens) and tokens[pos] in "+-":
-            op = tokens[pos]
-            pos += 1
-            w = product()
-            v = v + w if op == "+" else v - w
-        return v
-
-    return total()
+def linear_units(spark: SparkSession, packs: list[dict[str, Any]]) -> dict[str, tuple[float, float] | None]:
+    """(a, b) with canonical = a x + b for every unit expression of the packs that is linear in x, else None.
+
+    One tiny job evaluates all of them at 0, 1 and 2 in decimals; powers stay expressions.
+    """
+    specs = [u for p in packs for m in (p.get("metrics") or {}).values() for u in ((m or {}).get("units") or {}).values() if isinstance(u, dict)]
+    exprs = sorted({str(u["expr"]) for u in specs})
+    for e in exprs:
+        if not ARITHMETIC.match(e):
+            raise ValueError(f"unsupported unit expression: {e!r}")
+    plain = [e for e in exprs if "**" not in e]
+    out: dict[str, tuple[float, float] | None] = dict.fromkeys(exprs)
+    if plain:
+        at = lambda e, v: F.expr(re.sub(r"\bx\b|x", f"cast({v} as decimal(20,10))", e)).cast("decimal(38,18)")
+        row = spark.range(1).select(*[at(e, v) for e in plain for v in (0, 1, 2)]).first()
+        for i, e in enumerate(plain):
+            zero, one, two = row[3 * i:3 * i + 3]
+            a = one - zero
+            if abs(two - one - a) < 1e-9:
+                out[e] = (float(a), float(zero))
+    return out
 
 
 def frames(spark: SparkSession, packs: list[dict[str, Any]]) -> dict[str, DataFrame]:
     """dim_metric, dim_unit, dim_word, dim_alias, dim_alert_support, dim_source_map."""
     metrics, units, words, aliases, news, support, sources = [], [], [], [], [], [], []
+    known = linear_units(spark, packs)
     for pack in packs:
         topic = str(pack["topic"])
         for key, m in (pack.get("metrics") or {}).items():
@@ -106,7 +66,7 @@ def frames(spark: SparkSession, packs: list[dict[str, Any]]) -> dict[str, DataFr
                             next(iter(head), None), fl(m.get("headline_min"))))
             default = str(m.get("default_unit", "")).lower()
             for u, spec in (m.get("units") or {}).items():
-                ab = linear(spec)
+                ab = known[str(spec["expr"])] if isinstance(spec, dict) else (float(spec), 0.0)
                 units.append((key, str(u).lower(), *(ab or (None, None)), None if ab else str(spec["expr"]), str(u).lower() == default))
             words += [(key, str(w).lower(), float(v)) for w, v in (m.get("words") or {}).items()]
             aliases += [(key, str(a).lower(), flag) for a in [key, *(m.get("aliases") or [])]]
