@@ -31,37 +31,15 @@ def _signature(edges: DataFrame):
     return r["n"], r["h"]
 
 
-SMALL = 50_000
-
-
-def _small(table):
-    """Roots of a graph that was counted to be a few thousand edges."""
-    import pyarrow as pa
-
-    up: dict[int, int] = {}
-
-    def root(n):
-        while up.setdefault(n, n) != n:
-            up[n] = up[up[n]]
-            n = up[n]
-        return n
-
-    for u, v in zip(table.column("u").to_pylist(), table.column("v").to_pylist()):
-        a, b = root(u), root(v)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    return pa.table({"node": pa.array(list(up), pa.int64()), "root": pa.array([root(n) for n in up], pa.int64())})
-
-
-def components(edges: DataFrame, max_rounds: int = 60, small: int = SMALL) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge; the root is the component's least node. Other nodes are their own root.
 
-    Edges are counted first. Up to ``small`` of them (under a megabyte) one task settles at once; more go through the rounds.
+    Nodes may be of any type with an order: longs, strings.
     """
-    e = checkpointed(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter(F.col("u") != F.col("v")).distinct())
+    e = checkpointed(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct())
     before = _signature(e)
-    if before[0] <= small:
-        return e.withColumn("_one", F.lit(1)).groupBy("_one").applyInArrow(_small, "node long, root long")
+    if before[0] == 0:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         e = checkpointed(_small_star(_large_star(e)))
         now = _signature(e)

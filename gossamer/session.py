@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,23 +25,24 @@ def build_session(app: str = "gossamer", master: str | None = None, shuffle_part
     return b.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
+def _shared_root(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where one machine runs everything."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to storage that all executors share")
+    return tempfile.mkdtemp(prefix="gossamer-")
+
 
-    Only where that setting is absent (tests on one machine) is a folder of our own used.
-    """
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gossamer-ckpt-"))
+        sc.setCheckpointDir(_shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, on storage every executor sees."""
-    import uuid
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    root = named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="gossamer-")
-    return f"{root.rstrip('/')}/gossamer-{name}-{uuid.uuid4().hex}"
+    return f"{_shared_root(spark).rstrip('/')}/gossamer-{name}-{uuid.uuid4().hex}"

@@ -67,8 +67,7 @@ def test_bucketed_ordered_helpers(spark):
             assert trail[r[1]] == sum(dt.timedelta(0) < r[2] - q[2] <= dt.timedelta(minutes=10) for q in rs)
 
 
-@pytest.mark.parametrize("small", [0, 50_000])
-def test_components(spark, small):
+def test_components(spark):
     rnd = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 160)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)]
     up = {}
@@ -82,8 +81,11 @@ def test_components(spark, small):
         a, b = root(u), root(v)
         up[max(a, b)] = min(a, b)
     df = spark.createDataFrame(edges, "u long, v long")
-    got = {r["node"]: r["root"] for r in components(df, small=small).collect()}
+    got = {r["node"]: r["root"] for r in components(df).collect()}
     assert got == {n: root(n) for u, v in edges if u != v for n in (u, v)}
+    named = {r["node"]: r["root"] for r in components(df.selectExpr("'urn:' || lpad(u, 4, '0') AS u", "'urn:' || lpad(v, 4, '0') AS v")).collect()}
+    assert named == {f"urn:{n:04}": f"urn:{r:04}" for n, r in got.items()}
+    assert components(df.limit(0)).count() == 0
 
 
 def test_pointers(spark):
