@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import decontamination, packing, quality, simhash, urlfilter
+from gossamer.llm import decontamination, packing, quality, repeats, simhash, urlfilter
 from gossamer.llm.common import table
 
 
@@ -29,7 +29,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(packing.word_lengths(table(spark, sf_dir, "documents")))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.without_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op9_repeats": op9_repeats,
     "op1_quality": op1_quality, "op3_simhash": op3_simhash, "op4_urls": op4_urls, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing,
 }
 SQL: dict[str, str] = {}
