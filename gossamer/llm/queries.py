@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import decontamination, packing, quality, repeats, simhash, urlfilter
+from gossamer.llm import chunks, decontamination, packing, quality, repeats, simhash, urlfilter
 from gossamer.llm.common import table
 
 
@@ -33,7 +33,12 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.without_repeats(table(spark, sf_dir, "documents")))
 
 
+def op10_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.digest(chunks.without_repeated_chunks(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op10_chunks": op10_chunks,
     "op9_repeats": op9_repeats,
     "op1_quality": op1_quality, "op3_simhash": op3_simhash, "op4_urls": op4_urls, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing,
 }
