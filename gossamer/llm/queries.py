@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import chunks, decontamination, packing, quality, repeats, simhash, urlfilter
-from gossamer.llm.common import table
+from gossamer.llm import chunks, decontamination, langid, packing, quality, repeats, simhash, suffixtree, urlfilter
+from gossamer.llm.common import is_held_out, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = is_held_out(F.col("doc_id"), 3, 1)
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs.filter(~held)))
+    return found.select("row.doc_id", is_held_out(F.col("row.doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -29,6 +36,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(packing.word_lengths(table(spark, sf_dir, "documents")))
 
 
+def op8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffixtree.score(docs, docs.filter(~is_held_out(F.col("doc_id"), 7, 2)))
+    return found.select("doc_id", is_held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.without_repeats(table(spark, sf_dir, "documents")))
 
@@ -39,7 +52,7 @@ def op10_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op10_chunks": op10_chunks,
-    "op9_repeats": op9_repeats,
-    "op1_quality": op1_quality, "op3_simhash": op3_simhash, "op4_urls": op4_urls, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing,
+    "op8_scores": op8_scores, "op9_repeats": op9_repeats,
+    "op1_quality": op1_quality, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_urls": op4_urls, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing,
 }
 SQL: dict[str, str] = {}
