@@ -112,14 +112,37 @@ def _covered(spans: list) -> tuple[list, int]:
     return out, sum(e - s for s, e in out)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, columns: list[str], window: int = WINDOW, automaton_chars: int = AUTOMATON_CHARS, max_parts: int = 64) -> DataFrame:
-    """One row per document: n_words, n_hit (words inside an occurrence), items, spans."""
+def automaton_parts(items: DataFrame, columns: list[str], window: int = WINDOW, automaton_chars: int = AUTOMATON_CHARS, max_parts: int = 64) -> list[list[tuple[str, list[str]]]]:
+    """Windows with their items, in as many parts as keep each automaton under ``automaton_chars``."""
     w = item_windows(items, columns, window).withColumn("_h", F.xxhash64("window"))
     size = w.agg(F.coalesce(F.sum(F.length("window") + 2), F.lit(0)).alias("n")).first()["n"]
     n = -(-size // automaton_chars) or 1
     if n > max_parts:
         raise ValueError(f"benchmark windows of {size} characters need {n} automata, more than {max_parts}")
-    return scan(docs, [[(r["window"], r["items"]) for r in w.filter(F.pmod("_h", F.lit(n)) == k).collect()] for k in range(n)])
+    return [[(r["window"], r["items"]) for r in w.filter(F.pmod("_h", F.lit(n)) == k).collect()] for k in range(n)]
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, columns: list[str], **limits) -> DataFrame:
+    """One row per document: n_words, n_hit (words inside an occurrence), items, spans."""
+    return scan(docs, automaton_parts(items, columns, **limits))
+
+
+def clean(docs: DataFrame, items: DataFrame, columns: list[str], **limits) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window occurs."""
+    sc = docs.sparkSession.sparkContext
+    shared = [sc.broadcast([w for w, _ in p]) for p in automaton_parts(items, columns, **limits) if p]
+    at = docs.columns.index("text")
+
+    def run(batches):
+        built = _automaton(shared[0].value) if len(shared) == 1 else None
+        for b in batches:
+            keep = [True] * b.num_rows
+            for part in shared:
+                automaton = built or _automaton(part.value)
+                keep = [k and not _scan(t.as_py(), automaton)[0] for k, t in zip(keep, b.column(at))]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema) if shared else docs
 
 
 def digest(found: DataFrame) -> DataFrame:

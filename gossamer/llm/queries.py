@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import chunks, decontamination, langid, packing, quality, repeats, simhash, suffixtree, urlfilter
+from gossamer.llm import chunks, decontamination, langid, packing, pii, quality, repeats, simhash, suffixtree, urlfilter
 from gossamer.llm.common import is_held_out, table
 
 
@@ -36,6 +36,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(packing.word_lengths(table(spark, sf_dir, "documents")))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(pii.pseudonymised(table(spark, sf_dir, "documents")))
+
+
 def op8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffixtree.score(docs, docs.filter(~is_held_out(F.col("doc_id"), 7, 2)))
@@ -52,7 +56,7 @@ def op10_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op10_chunks": op10_chunks,
-    "op8_scores": op8_scores, "op9_repeats": op9_repeats,
+    "op7_pii": op7_pii, "op8_scores": op8_scores, "op9_repeats": op9_repeats,
     "op1_quality": op1_quality, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_urls": op4_urls, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing,
 }
 SQL: dict[str, str] = {}
