@@ -57,14 +57,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return texts(docs).select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _head(counts: DataFrame, most: int) -> tuple[dict, int]:
-    """The words with at least 2**b occurrences, b the least for which they are at most ``most``; and 2**b."""
+def _head(counts: DataFrame, most: int, floor: float) -> tuple[dict, float]:
+    """The words with at least 2**b occurrences, b the least for which they are at most ``most``, and those with ``floor``; and the lower of these counts."""
     sizes = {r["b"]: r["k"] for r in counts.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
     b, held = max(sizes, default=0) + 1, 0
     while b > 0 and held + sizes.get(b - 1, 0) <= most:
         b -= 1
         held += sizes.get(b, 0)
-    return {bytes(r["token"]): r["n"] for r in counts.filter(F.col("n") >= 2**b).collect()}, 2**b
+    least = min(2.0**b, floor)
+    return {bytes(r["token"]): r["n"] for r in counts.filter(F.col("n") >= least).collect()}, least
 
 
 class WordTree:
@@ -218,7 +219,7 @@ def _discount(counts: DataFrame) -> float:
     """Absolute discount from the numbers of words that occur once and twice."""
     got = counts.agg(F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice")).first()
     both = got["once"] + 2 * got["twice"]
-    return min(max(got["once"] / both, 0.1), 0.9) if both else 0.5
+    return min(max(got["once"] / both, 0.05), 0.9) if both else 0.05
 
 
 def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_MIN, order: int = ORDER) -> DataFrame:
@@ -230,9 +231,9 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, v = size["n"], size["v"]
     off = _discount(counts)
-    common, least = _head(counts, head)
     floor = max(2.0, p_min * total)
-    tree = WordTree({bytes(r["token"]): r["n"] for r in counts.filter(F.col("n") >= floor).collect()})
+    common, least = _head(counts, head, floor)
+    tree = WordTree({w: n for w, n in common.items() if n >= floor})
     for d in range(2, order + 2):
         _train_words(train, tree, d, floor)
     tree.finish((tree.count[1] - off) / max(total, 1))
@@ -277,7 +278,7 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
     texts(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, schema).write.parquet(scored)
     rows = spark.read.schema(schema).parquet(scored)
     rest = rows.select("row", F.explode("rest").alias("x")).select("row", "x.token", "x.n")
-    # a word below the head is no frequent one, so the contexts never settle it
+    # a word below the head is no frequent one, so no context settles it
     rare = counts.filter(F.col("n") < least).select("token", F.col("n").alias("c"))
     n, c = F.col("n"), F.col("c")
     found = rest.join(rare, "token", "left").groupBy("row").agg(
