@@ -81,11 +81,14 @@ def _record(arrays, schema: str) -> pa.RecordBatch:
 
 
 def _earlier(h1, h2, doc, s, e):
-    """Rows in order of digest and place, and whether each has an equal one before it."""
+    """Rows in order of digest and place, and whether each has an equal one before it; a place that comes twice (a repeated row) is one."""
     order = np.lexsort((s, doc, h2, h1))
     h1, h2, doc, s, e = h1[order], h2[order], doc[order], s[order], e[order]
     again = np.zeros(len(h1), bool)
     again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+    once = np.ones(len(h1), bool)
+    once[1:] = ~again[1:] | (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])
+    h1, h2, doc, s, e, again = h1[once], h2[once], doc[once], s[once], e[once], again[once]
     return h1, h2, doc, s, e, again
 
 
