@@ -101,6 +101,15 @@ def _pieces(parts: list[bytes], length: int, size: int = BLOCK_BYTES):
         yield [t[a:s + size + length]], a, s - a, s - a + size
 
 
+def _ordered(kh, sh, doc, lo, *rest):
+    """Segments by gram, hash and place; a place that comes twice (a repeated row) is one."""
+    order = np.lexsort((lo, doc, sh, kh))
+    kh, sh, doc, lo, *rest = (c[order] for c in (kh, sh, doc, lo, *rest))
+    once = np.ones(len(kh), bool)
+    once[1:] = (kh[1:] != kh[:-1]) | (sh[1:] != sh[:-1]) | (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1])
+    return [c[once] for c in (kh, sh, doc, lo, *rest)]
+
+
 def _anchor_rows(docs: np.ndarray, parts: list[bytes], length: int):
     """Segments of a block as (gram, segment hash, doc, lo, n, end), copies within the block as intervals with n = 0."""
     out = []
@@ -116,8 +125,7 @@ def _anchor_rows(docs: np.ndarray, parts: list[bytes], length: int):
         sh = np.fromiter((digest(raw[s:e]) for s, e in zip(lo.tolist(), (lo + n - 1 + length).tolist())), np.uint64, len(lo))
         out.append((kh, sh, docs[text], lo - ends[text] + base, n))
     kh, sh, doc, lo, n = (np.concatenate(c) for c in zip(*out))
-    order = np.lexsort((lo, doc, sh, kh))
-    kh, sh, doc, lo, n = kh[order], sh[order], doc[order], lo[order], n[order]
+    kh, sh, doc, lo, n = _ordered(kh, sh, doc, lo, n)
     copy = np.zeros(len(kh), bool)
     copy[1:] = (kh[1:] == kh[:-1]) & (sh[1:] == sh[:-1])
     d, s, e = merged_by(doc[copy], lo[copy], lo[copy] + n[copy] - 1 + length)
@@ -166,9 +174,7 @@ def _meet(t: pa.Table, length: int) -> pa.RecordBatch:
     direct = n == 0
     gone = [(doc[direct], lo[direct], e[direct])]
     seg = ~direct
-    kh, sh, doc, lo, n, e = kh[seg], sh[seg], doc[seg], lo[seg], n[seg], e[seg]
-    order = np.lexsort((lo, doc, sh, kh))
-    kh, sh, doc, lo, n, e = kh[order], sh[order], doc[order], lo[order], n[order], e[order]
+    kh, sh, doc, lo, n, e = _ordered(kh[seg], sh[seg], doc[seg], lo[seg], n[seg], e[seg])
     gram = np.ones(len(kh), bool)
     gram[1:] = kh[1:] != kh[:-1]
     first = gram.copy()
