@@ -153,7 +153,7 @@ def a17(spark, sf):
     return k.select("event", "n", F.array_join("senders", ";").alias("senders"), us("expires").alias("expires"), F.array_join("counties", ";").alias("counties"))
 
 
-WANTED = [("click", "max"), ("view", "min"), ("purchase", "max"), ("error", "max")]
+WANTED = [(m, h) for m in ("click", "view", "purchase", "signup", "error") for h in ("max", "min")]
 table_sql("station_mesh", f"""SELECT county_id, metric, count(*) AS n, max(value) AS max_value, min(value) AS min_value FROM assessed
     WHERE observed_at >= {NOW} - INTERVAL 168 HOURS AND kind = 'station' AND quality <> 'rejected' GROUP BY 1, 2""")
 
@@ -293,10 +293,10 @@ from gossamer.catalog.filters import TITLE  # noqa: E402
 
 
 @query("t4_reading_list", f"""SELECT item_id, relevance FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY relevance DESC, published_at DESC, item_id) AS rn FROM (
-    SELECT *, {TITLE} AS k FROM items WHERE relevance = 1 AND NOT regexp_matches(title, '(?i)ier'))) WHERE rn = 1
+    SELECT *, {TITLE} AS k FROM items WHERE relevance IS NOT NULL AND NOT regexp_matches(title, '(?i)ier'))) WHERE rn = 1
     ORDER BY relevance DESC, published_at DESC, item_id LIMIT 30""")
 def t4(spark, sf):
-    return M.reading_list(A.items(spark, sf).filter("relevance = 1"), ["ier"], 30).select("item_id", "relevance")
+    return M.reading_list(A.items(spark, sf).filter("relevance IS NOT NULL"), ["ier"], 30).select("item_id", "relevance")
 
 
 @query("t9_county_top_readings", f"""WITH r AS (SELECT * FROM assessed WHERE observed_at >= {NOW} - INTERVAL 168 HOURS AND quality <> 'rejected'),
@@ -322,11 +322,11 @@ def j16(spark, sf):
 
 @query("j19_activation", f"""SELECT s.sensor_id, epoch_us(min(g.received_at)) AS first_us, coalesce(min(g.received_at) - s.registered_at <= INTERVAL 24 HOURS, false) AS activated
     FROM (SELECT sensor_id, kind, registered_at - to_hours(sensor_id % 48) AS registered_at FROM sensors WHERE kind = 'human') s
-    LEFT JOIN (SELECT sensor_id, received_at FROM signals WHERE metric = 'click') g USING (sensor_id)
+    LEFT JOIN (SELECT sensor_id, received_at FROM signals) g USING (sensor_id)
     WHERE s.registered_at >= {NOW} - INTERVAL 760 HOURS GROUP BY s.sensor_id, s.registered_at""")
 def j19(spark, sf):
     s = A.sensors(spark, sf).withColumn("registered_at", F.timestamp_micros(us("registered_at") - (F.col("sensor_id") % 48) * 3600000000))
-    g = A.signals(spark, sf).filter("metric = 'click'")
+    g = A.signals(spark, sf)
     return M.activation(s, g, hours_before(now(spark, sf), 760)).select("sensor_id", us("first_at").alias("first_us"), "activated")
 
 

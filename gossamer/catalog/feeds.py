@@ -255,13 +255,13 @@ def s13(spark, sf):
     return d.select("item_id", "feed", "topic", F.length("content").cast("long").alias("n"), us("published_at").alias("at_us"))
 
 
-@query("s14_statement_headline", """SELECT item_id, CASE WHEN item_id % 3 = 0 THEN substr('Survey of ' || item_id || ' for the storm', 1, 160) ELSE 'Public Information Statement' END AS title, least(length(t), 600) AS n FROM (
+@query("s14_statement_headline", """SELECT item_id, CASE WHEN item_id % 3 = 0 THEN substr('Survey of ' || item_id || ' for the storm', 1, 160) ELSE 'Public Information Statement' END AS title, least(length(t), 6000) AS n FROM (
     SELECT item_id, CASE WHEN item_id % 3 = 0 THEN chr(10) || '...Survey of ' || item_id || chr(10) || '   for the storm...' || chr(10) ELSE '' END || content AS t FROM doc_rows)""")
 def s14(spark, sf):
     k = F.col("item_id")
     lead = F.when(k % 3 == 0, F.concat(F.lit("\n...Survey of "), k.cast("string"), F.lit("\n   for the storm...\n"))).otherwise("")
     p = A.documents(spark, sf).select("item_id", F.concat(lead, "content").alias("text"), F.lit(None).cast("string").alias("product_name"))
-    return S.normalize_statements(p, 600).select("item_id", "title", F.length("content").cast("long").alias("n"))
+    return S.normalize_statements(p).select("item_id", "title", F.length("content").cast("long").alias("n"))
 
 
 @query("s15_normalize_json_readings", """SELECT seq, item, CASE WHEN bad THEN NULL ELSE metric END AS metric, CASE WHEN bad OR unknown OR (metric <> 'signup' AND (value < 0 OR value > 300)) THEN NULL ELSE CASE WHEN metric = 'signup' THEN 1.0 ELSE value END END::DOUBLE AS value,

@@ -57,7 +57,7 @@ def trusted_members(spark, sf):
     """Members combined per sensor with their trust, written once: stats, witnesses and scores all read it."""
     j = checkpointed(J.neighbors(spark, sf))
     ar = checkpointed(J.arrival(spark, sf, j))
-    trust = C.pooled_trust(C.outcomes(ar, C.agreements(j)), A.sensors(spark, sf), now(spark, sf))
+    trust = C.pooled_trust(J.all_outcomes(spark, sf, j, ar), A.sensors(spark, sf), now(spark, sf))
     return checkpointed(E.sensor_trust(E.per_sensor(members(spark, sf).join(ar.select("seq", "reference"), "seq")), trust))
 
 

@@ -33,8 +33,8 @@ table_sql("closest", f"""SELECT *, {AGREES} AS agrees FROM (SELECT *, row_number
 table_sql("corro", f"""SELECT seq, count(*) FILTER (agrees) AS n_corroborating, count(*) FILTER (NOT agrees) AS n_contradicting,
     bool_or(agrees) FILTER (o_kind IN {REFS}) AS ref_agrees FROM closest GROUP BY seq""")
 table_sql("alert_sup", f"""SELECT s.seq, arg_max(a.alert_id, row(a.severity, a.sent, a.alert_id)) AS alert_id,
-    max(a.severity) AS severity FROM signals s JOIN dim_alert_support d USING (metric) JOIN alert_rows a
-    ON a.county_id = s.county_id AND a.slug = d.slug AND a.expires > s.observed_at AND a.sent <= s.observed_at
+    max(a.severity) AS severity FROM signals s JOIN dim_alert_support d USING (metric) JOIN standing_alerts a
+    ON a.county_id = s.county_id AND a.slug = d.slug AND (a.expires IS NULL OR a.expires > s.observed_at) AND a.sent <= s.observed_at
     WHERE s.kind IN {PEOPLE} GROUP BY s.seq""")
 table_sql("arrival", f"""SELECT seq, sensor_id, kind, metric, topic, observed_at, n_corr, n_contra, reference, CASE WHEN kind NOT IN {PEOPLE} THEN 'reference'
     WHEN value NOT BETWEEN lo AND hi THEN 'rejected' WHEN n_corr >= 1 OR reference = 'agree' THEN 'corroborated'
@@ -44,16 +44,26 @@ table_sql("arrival", f"""SELECT seq, sensor_id, kind, metric, topic, observed_at
           WHEN u.alert_id IS NOT NULL THEN 'agree' ELSE 'none' END AS reference
     FROM signals s JOIN dim_metric m USING (metric) LEFT JOIN corro USING (seq) LEFT JOIN alert_sup u USING (seq))""")
 table_sql("by_alert", f"""SELECT s.seq, arg_min(a.alert_id, row(a.sent, a.alert_id)) AS alert_id, min(a.sent) AS sent FROM crossings s
-    JOIN dim_alert_support d USING (metric) JOIN alert_rows a ON a.county_id = s.county_id AND a.slug = d.slug
-    AND s.observed_at BETWEEN a.sent - to_minutes(s.window_min) AND a.sent WHERE s.kind IN {PEOPLE} GROUP BY s.seq""")
-table_sql("evidence", f"""SELECT o_seq AS seq, row(observed_at, 0, seq) AS arrival, 'corroborated' AS verdict, 'reading' AS via
-    FROM closest WHERE agrees AND o_kind IN {PEOPLE}
-    UNION ALL SELECT o_seq, row(observed_at, 0, seq), CASE WHEN {AGREES} THEN 'corroborated' ELSE 'flagged' END, 'reference'
-    FROM earlier WHERE kind IN {REFS} AND o_kind IN {PEOPLE}
-    UNION ALL SELECT seq, row(sent, 1, alert_id), 'corroborated', 'alert' FROM by_alert""")
+    JOIN dim_alert_support d USING (metric) JOIN standing_alerts a ON a.county_id = s.county_id AND a.slug = d.slug
+    AND s.observed_at BETWEEN a.sent - to_minutes(s.window_min) AND a.sent LEFT JOIN inside i ON i.sensor_id = s.sensor_id AND i.hit = a.county_id
+    WHERE s.kind IN {PEOPLE} AND (a.alert_id % 2 = 1 OR i.hit IS NOT NULL) GROUP BY s.seq""")
+table_sql("by_total", f"""SELECT o.seq, arg_min(s.seq, row(s.observed_at, s.seq)) AS ref_seq, min(s.observed_at) AS ref_at FROM signals s JOIN dim_metric m USING (metric)
+    JOIN signals o ON o.metric = s.metric AND o.observed_at BETWEEN s.observed_at - INTERVAL 24 HOURS AND s.observed_at
+    WHERE s.kind = 'station' AND s.period = '24h' AND o.kind IN {PEOPLE} AND (o.period IS NULL OR o.period = '24h') AND o.value BETWEEN m.lo AND m.hi
+     AND {hav('s.lat','s.lon','o.lat','o.lon')} <= m.radius_km
+     AND (is_flag OR abs(s.value - o.value) <= greatest(tol_abs, tol_rel * greatest(abs(s.value), abs(o.value)))) GROUP BY o.seq""")
+ARRIVAL = "{{'t': {}, 'o': {}, 'id': {}}}"
+table_sql("evidence", f"""SELECT o_seq AS seq, {ARRIVAL.format('epoch_us(observed_at)', 0, 'seq')} AS arrival, 'corroborated' AS verdict, 'reading' AS via, weight AS agree, 0.0::DOUBLE AS disagree FROM independent
+    UNION ALL SELECT o_seq, {ARRIVAL.format('epoch_us(observed_at)', 0, 'seq')}, CASE WHEN {AGREES} THEN 'corroborated' ELSE 'flagged' END, 'reference',
+      CASE WHEN {AGREES} THEN 1.0 ELSE 0.0 END, CASE WHEN {AGREES} THEN 0.0 ELSE 1.0 END FROM earlier WHERE kind IN {REFS} AND o_kind IN {PEOPLE}
+    UNION ALL SELECT seq, {ARRIVAL.format('epoch_us(sent)', 1, 'alert_id')}, 'corroborated', 'alert', 1.0, 0.0 FROM by_alert
+    UNION ALL SELECT seq, {ARRIVAL.format('epoch_us(ref_at)', 3, 'ref_seq')}, 'corroborated', 'total', 0.5, 0.0 FROM by_total
+    UNION ALL SELECT seq, {ARRIVAL.format('valid_us', 2, 'seq')}, CASE verdict WHEN 'agree' THEN 'corroborated' ELSE 'flagged' END, 'grid', CASE verdict WHEN 'agree' THEN 0.5 ELSE 0.0 END,
+      CASE verdict WHEN 'agree' THEN 0.0 ELSE 1.0 END FROM verdicts JOIN as_of USING (seq) WHERE verdict IN ('agree', 'far')""")
+table_sql("first_evidence", "SELECT seq, min(arrival) AS arrival, arg_min(verdict, arrival) AS verdict, arg_min(via, arrival) AS via, arg_min(agree, arrival) AS agree, arg_min(disagree, arrival) AS disagree FROM evidence GROUP BY seq")
 table_sql("final", """SELECT a.*, CASE WHEN quality = 'raw' THEN e.via END AS via,
     CASE WHEN quality = 'raw' THEN coalesce(e.verdict, 'raw') ELSE quality END AS final_quality
-    FROM arrival a LEFT JOIN (SELECT seq, arg_min(verdict, arrival) AS verdict, arg_min(via, arrival) AS via FROM evidence GROUP BY seq) e USING (seq)""")
+    FROM arrival a LEFT JOIN first_evidence e USING (seq)""")
 table_sql("agreed", """SELECT *, least(sensor_id, o_sensor_id) AS a, greatest(sensor_id, o_sensor_id) AS b FROM closest WHERE agrees""")
 table_sql("together", f"""SELECT *, count(*) OVER (PARTITION BY a, b ORDER BY seq, o_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS together
     FROM agreed WHERE o_kind IN {PEOPLE}""")
@@ -62,8 +72,11 @@ table_sql("independent", """SELECT *, least(CASE WHEN "precision" = 'point' AND
 table_sql("outcomes", f"""SELECT sensor_id, topic, observed_at AS happened, CASE WHEN quality <> 'corroborated' THEN 0.0 WHEN reference = 'agree' THEN 1.0
     ELSE least(1.0, coalesce(w, 0.0)) END::DOUBLE AS agree, CASE WHEN quality IN ('flagged','rejected') THEN 1.0 ELSE 0.0 END::DOUBLE AS disagree
     FROM arrival LEFT JOIN (SELECT seq, sum(weight) AS w FROM independent GROUP BY seq) USING (seq)
-    WHERE kind IN {PEOPLE} AND quality IN ('corroborated','flagged','rejected')""")
-FADE = "pow(0.5, (epoch_us((SELECT max(observed_at) FROM signals)) - epoch_us(happened)) / 86400e6 / 180.0)"
+    WHERE kind IN {PEOPLE} AND quality IN ('corroborated','flagged','rejected')
+    UNION ALL SELECT sensor_id, topic, make_timestamp(e.arrival.t), agree, disagree FROM arrival a JOIN first_evidence e USING (seq) WHERE quality = 'raw' AND kind = 'human'
+    UNION ALL SELECT sensor_id, topic, make_timestamp(valid_us), 0.0, 0.5 FROM arrival a JOIN verdicts v USING (seq) JOIN as_of USING (seq) LEFT JOIN first_evidence e USING (seq)
+    WHERE quality = 'raw' AND kind = 'human' AND v.verdict = 'disagree' AND (e.seq IS NULL OR (valid_us, 2, seq) < (e.arrival.t, e.arrival.o, e.arrival.id))""")
+FADE = "pow(0.5, greatest(0, epoch_us((SELECT max(observed_at) FROM signals)) - epoch_us(happened)) / 86400e6 / 180.0)"
 STANDING = """(4*0.5+agree)/(4+agree+disagree) AS trust"""
 
 
@@ -100,7 +113,7 @@ def j3(spark, sf):
 
 @query("j4_alert_support", "SELECT seq, alert_id, severity FROM alert_sup")
 def j4(spark, sf):
-    return C.alert_support(A.signals(spark, sf), A.alert_rows(spark, sf), A.dim_alert_support(spark))
+    return C.alert_support(A.signals(spark, sf), A.standing_alerts(spark, sf), A.dim_alert_support(spark))
 
 
 def neighbors(spark, sf):
@@ -109,7 +122,7 @@ def neighbors(spark, sf):
 
 def arrival(spark, sf, j=None):
     s, m = _inputs(spark, sf)
-    return C.arrival_quality(s, m, neighbors(spark, sf) if j is None else j, A.alert_rows(spark, sf), A.dim_alert_support(spark))
+    return C.arrival_quality(s, m, neighbors(spark, sf) if j is None else j, A.standing_alerts(spark, sf), A.dim_alert_support(spark))
 
 
 @query("a4_judge_quality", "SELECT seq, kind, n_corr, n_contra, reference, quality FROM arrival")
@@ -120,31 +133,38 @@ def a4(spark, sf):
 @query("j5_settle_by_alert", "SELECT seq, alert_id, epoch_us(sent) AS sent_us FROM by_alert")
 def j5(spark, sf):
     s, m = _inputs(spark, sf)
-    return C.settle_by_alert(s, A.alert_rows(spark, sf), A.dim_alert_support(spark), m).select(
+    return C.settle_by_alert(s, A.standing_alerts(spark, sf), A.dim_alert_support(spark), m).select(
         "seq", "alert_id", F.unix_micros("sent").alias("sent_us"))
 
 
-@query("j6_settle_by_daily_total", f"""SELECT o.seq, arg_min(s.seq, row(s.observed_at, s.seq)) AS ref_seq FROM signals s JOIN dim_metric m USING (metric)
-    JOIN signals o ON o.metric = s.metric AND o.observed_at BETWEEN s.observed_at - INTERVAL 24 HOURS AND s.observed_at
-    WHERE s.kind = 'station' AND s.period = '24h' AND o.kind IN {PEOPLE} AND (o.period IS NULL OR o.period = '24h') AND o.value BETWEEN m.lo AND m.hi
-     AND {hav('s.lat','s.lon','o.lat','o.lon')} <= m.radius_km
-     AND (is_flag OR abs(s.value - o.value) <= greatest(tol_abs, tol_rel * greatest(abs(s.value), abs(o.value)))) GROUP BY o.seq""")
+@query("j6_settle_by_daily_total", "SELECT seq, ref_seq FROM by_total")
 def j6(spark, sf):
+    return by_total(spark, sf).select("seq", "ref_seq")
+
+
+def by_total(spark, sf):
     s, m = _inputs(spark, sf)
     return C.settle_by_daily_total(s, m, (F.col("kind") == "station") & (F.col("period") == "24h"))
 
 
-def evidence(spark, sf, j):
+def settling(spark, sf, j):
+    """(first evidence of every reading, radar doubts): neighbours, references, alerts, day totals and grids."""
+    from gossamer.catalog.places import verdicts
+    from gossamer.operators import grids as G
+
     s, m = _inputs(spark, sf)
-    by_alert = C.settle_by_alert(s, A.alert_rows(spark, sf), A.dim_alert_support(spark), m).select(
-        "seq", C._arrival("sent", 1, "alert_id").alias("arrival"), F.lit("corroborated").alias("verdict"), F.lit("alert").alias("via"))
-    return C.evidence_from_people(j).unionByName(C.evidence_from_references(s, m)).unionByName(by_alert)
+    by_alert = C.settle_by_alert(s, A.standing_alerts(spark, sf), A.dim_alert_support(spark), m)
+    grid = checkpointed(verdicts(spark, sf).select("seq", "valid_us", "verdict"))
+    rows = C.evidence_from_people(C.weighted(C.agreements(j)))
+    for part in (C.evidence_from_references(s, m), C.evidence_from_alerts(by_alert), C.evidence_from_totals(by_total(spark, sf)), G.grid_evidence(grid)):
+        rows = rows.unionByName(part)
+    return checkpointed(C.first_evidence(rows)), G.grid_doubts(grid)
 
 
 @query("a5_final_quality", "SELECT seq, quality, final_quality, via FROM final")
 def a5(spark, sf):
     j = checkpointed(neighbors(spark, sf))
-    return C.final_quality(arrival(spark, sf, j), evidence(spark, sf, j)).select("seq", "quality", "final_quality", "via")
+    return C.final_quality(arrival(spark, sf, j), settling(spark, sf, j)[0]).select("seq", "quality", "final_quality", "via")
 
 
 @query("a12_pair_agreements", f"SELECT a, b, count(*) AS n FROM agreed WHERE o_kind IN {PEOPLE} GROUP BY a, b")
@@ -165,7 +185,12 @@ def x24(spark, sf):
 
 def outcome_rows(spark, sf, j=None):
     j = checkpointed(neighbors(spark, sf)) if j is None else j
-    return C.outcomes(arrival(spark, sf, j), C.agreements(j))
+    return all_outcomes(spark, sf, j, checkpointed(arrival(spark, sf, j)))
+
+
+def all_outcomes(spark, sf, j, ar):
+    """At arrival, and by the evidence that settled a reading later."""
+    return C.outcomes(ar, C.weighted(C.agreements(j))).unionByName(C.settled_outcomes(ar, *settling(spark, sf, j)))
 
 
 @query("a9_trust_record", f"""SELECT sensor_id, topic, round(agree, 6) AS agree, round(disagree, 6) AS disagree, checks, round((2+agree)/(4+agree+disagree), 6) AS trust

@@ -157,12 +157,13 @@ def a35(spark, sf):
 
 
 PUB = """SELECT s.seq, round_even(coalesce(z.lat, c.lat), 4) AS pub_lat, round_even(coalesce(z.lon, c.lon), 4) AS pub_lon, s.kind, s.sensor_id, s.metric, s.quality, s.lat, s.lon, s.observed_at
-    FROM assessed s LEFT JOIN (SELECT zip5, any_value(lat) AS lat, any_value(lon) AS lon FROM zips WHERE ord < 1000 GROUP BY 1) z USING (zip5) LEFT JOIN dim_county c ON c.county_id = s.county_id"""
+    FROM assessed s LEFT JOIN (SELECT zip5, arg_min(lat, ord) AS lat, arg_min(lon, ord) AS lon FROM zips GROUP BY 1) z USING (zip5) LEFT JOIN dim_county c ON c.county_id = s.county_id"""
 table_sql("pub", PUB)
 
 
 def zip_table(spark, sf):
-    return zips(spark, sf).filter("ord < 1000")
+    first = zips(spark, sf).groupBy("zip5").agg(F.min_by(F.struct("ord", "county_id", "lat", "lon"), "ord").alias("z"))
+    return first.select("zip5", "z.*")
 
 
 @query("x13_public_point", "SELECT seq, pub_lat, pub_lon FROM pub")
@@ -282,9 +283,9 @@ def j10(spark, sf):
 @query("j11_alert_audience", f"""SELECT a.alert_id, s.chat_id, min(r.priority) AS priority FROM alert_rows a JOIN (VALUES {ROUTE_SQL}) r(severity, category, priority) ON r.severity = a.severity
     JOIN subscriptions s ON s.category = r.category AND (s.area = 'st' OR s.area = 'st.' || a.county_id
       OR (s.area LIKE 'st.zip.%' AND EXISTS (SELECT 1 FROM zips z WHERE z.zip5 = substr(s.area, 8, 5) AND z.county_id = a.county_id)))
-    WHERE s.chat_id NOT IN (SELECT chat_id FROM sensors WHERE status = 'banned') AND a.sent >= {NOW} - INTERVAL 120 HOURS GROUP BY 1, 2""")
+    WHERE s.chat_id NOT IN (SELECT chat_id FROM sensors WHERE status = 'banned') GROUP BY 1, 2""")
 def j11(spark, sf):
-    al = A.alert_rows(spark, sf).filter(F.col("sent") >= hours_before(now(spark, sf), 120))
+    al = A.alert_rows(spark, sf)
     routing = spark.createDataFrame(ROUTING, "severity long, category string, priority int")
     return AU.alert_audience(al, routing, zips(spark, sf).select("zip5", "county_id").distinct(), A.subscriptions(spark, sf), A.sensors(spark, sf))
 
@@ -296,8 +297,8 @@ def j12(spark, sf):
 
 
 def located(spark, sf):
-    """Recent alerts with a polygon around their county and a motion, next to the people of nearby counties."""
-    al = A.alert_rows(spark, sf).filter(F.col("sent") >= hours_before(now(spark, sf), 240)).join(A.county_rings(spark, sf).select(
+    """Alerts with a polygon around their county and a motion, next to the people of nearby counties."""
+    al = A.alert_rows(spark, sf).join(A.county_rings(spark, sf).select(
         "county_id", F.col("rings").alias("polygon"), F.col("lat").alias("clat"), F.col("lon").alias("clon")), "county_id")
     people = A.sensors(spark, sf).filter("kind = 'human'").select((F.col("sensor_id") % 25).cast("string").alias("county_id"), "chat_id", "lat", "lon")
     k = F.col("alert_id")
@@ -309,7 +310,7 @@ def located(spark, sf):
 
 table_sql("aud", f"""SELECT a.alert_id, p.chat_id, p.sensor_id, p.lat, p.lon, a.sent, a.expires, a.county_id, c.lat AS clat, c.lon AS clon, CAST((a.alert_id*37) % 360 AS DOUBLE) AS from_deg,
     CAST(20 + a.alert_id % 40 AS DOUBLE) AS kt FROM alert_rows a JOIN dim_county c USING (county_id) JOIN sensors p ON p.county_id = a.county_id
-    WHERE p.kind = 'human' AND a.sent >= {NOW} - INTERVAL 240 HOURS""")
+    WHERE p.kind = 'human'""")
 _A = "((({lo}) - lon)*111.32::DOUBLE*cos(radians(lat))*ux + (({la}) - lat)*110.57::DOUBLE*uy)"
 _C = "((({lo}) - lon)*111.32::DOUBLE*cos(radians(lat))*uy - (({la}) - lat)*110.57::DOUBLE*ux)"
 _P1, _P2 = dict(la="clat - 0.3::DOUBLE", lo="clon - 0.3::DOUBLE"), dict(la="clat + 0.3::DOUBLE", lo="clon + 0.3::DOUBLE")

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = with_tables(sql)
+            SQL[name] = sql
         return fn
 
     return add
@@ -83,6 +83,7 @@ TABLES: dict[str, str] = {
     "alert_rows": """SELECT event_id AS alert_id, user_id, CAST(user_id % 25 AS VARCHAR) AS county_id, 1 + event_id % 4 AS severity,
         ts AS sent, ts + INTERVAL 6 HOURS AS expires, 'error_alert' AS slug, value, 'office' || (user_id % 7) AS sender,
         'g' || (event_id // 3) AS group_key, 'Kind ' || (event_id % 5) AS event FROM events WHERE event_type = 'error'""",
+    "standing_alerts": """SELECT * REPLACE (CASE WHEN alert_id % 13 = 0 THEN NULL WHEN alert_id % 17 = 0 THEN expires + INTERVAL 40 DAYS ELSE expires END AS expires) FROM alert_rows""",
     "subscriptions": """SELECT c_custkey AS chat_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'warnings' WHEN 'BUILDING' THEN 'alerts'
         WHEN 'FURNITURE' THEN 'events' WHEN 'HOUSEHOLD' THEN 'reports' ELSE 'digest' END AS category,
         CASE WHEN c_custkey % 10 = 0 THEN 'st' WHEN c_custkey % 10 = 1 THEN 'st.zip.' || (60000 + c_custkey % 100)
@@ -99,9 +100,9 @@ TABLES: dict[str, str] = {
         CASE WHEN value >= 60 THEN 'HTTPError: ' || CAST(floor(value) AS BIGINT) END AS error, CAST(floor(value / 10) AS BIGINT) AS fetched
         FROM events""",
     "gauge_series": "SELECT user_id AS site, event_type AS metric, ts AS taken, value / 10.0::DOUBLE AS stage, event_id AS seq FROM events",
-    "items": """SELECT doc_id AS item_id, substr(text,1,60) AS title, text AS content, source AS feed, lang AS topic, quality AS relevance,
+    "items": """SELECT doc_id AS item_id, split_part(text, chr(10), 1) AS title, text AS content, source AS feed, lang AS topic, quality AS relevance,
         make_timestamp(1704067200000000 + doc_id * 3600000000) AS published_at FROM documents LEFT JOIN labels USING (doc_id)""",
-    "doc_rows": """SELECT doc_id AS item_id, substr(text,1,60) AS title, text AS content, source AS feed, lang AS topic,
+    "doc_rows": """SELECT doc_id AS item_id, split_part(text, chr(10), 1) AS title, text AS content, source AS feed, lang AS topic,
         make_timestamp(1704067200000000 + doc_id * 3600000000) AS published_at FROM documents""",
     "messages": "SELECT conv_id * 1000 + turn AS message_id, text FROM conversations WHERE role = 'user'",
 }
@@ -135,6 +136,11 @@ def with_tables(body: str) -> str:
     return f"WITH {head} {body}"
 
 
+def sql_texts() -> dict[str, str]:
+    """Every query's SQL with the adapter tables it names in front."""
+    return {name: with_tables(text) for name, text in SQL.items()}
+
+
 def load_all() -> None:
     for m in MODULES:
         name = f"gossamer.catalog.{m}"

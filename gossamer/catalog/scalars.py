@@ -134,12 +134,12 @@ def x18(spark, sf):
     return s.select("s_suppkey", X.parse_zip5("t").alias("zip5"), X.parse_zip9("t").alias("zip9"))
 
 
-NICE = """CASE WHEN abs(x) >= 10000 THEN format('{:,.0f}', round_even(x / pow(10, floor(log10(abs(x))) - 2), 0) * pow(10, floor(log10(abs(x))) - 2)) WHEN abs(x) >= 100 THEN format('{:,.0f}', round_even(x, 0)) ELSE format('{:.3g}', x) END"""
+NICE = """CASE WHEN abs(x) >= 10000 THEN format('{:,.0f}', round_even(x / pow(10, floor(log10(abs(x))) - 2), 0) * pow(10, floor(log10(abs(x))) - 2)) WHEN abs(x) >= 100 THEN format('{:,.0f}', round_even(x, 0)) WHEN abs(x) < 0.0001 AND x <> 0 THEN format('{:.2f}', x) ELSE format('{:.3g}', x) END"""
 
 
-@query("x19_nice_number", f"SELECT seq, {NICE} AS a, {NICE.replace('x', 'y').replace('my', 'max')} AS b FROM (SELECT seq, value AS x, floor(value * 317.3) AS y FROM signals WHERE value >= 0.0001)")
+@query("x19_nice_number", f"SELECT seq, {NICE} AS a, {NICE.replace('x', 'y').replace('my', 'max')} AS b FROM (SELECT seq, value AS x, floor(value * 317.3) AS y FROM signals)")
 def x19(spark, sf):
-    return A.signals(spark, sf).filter("value >= 0.0001").select("seq", X.nice_number("value").alias("a"), X.nice_number(F.floor(F.col("value") * 317.3)).alias("b"))
+    return A.signals(spark, sf).select("seq", X.nice_number("value").alias("a"), X.nice_number(F.floor(F.col("value") * 317.3)).alias("b"))
 
 
 @query("x20_fraction", """SELECT seq, CASE WHEN x >= 3 THEN format('{:,.0f}', round_even(x, 0)) WHEN r = 0 THEN CAST(w AS VARCHAR) ELSE CASE WHEN w > 0 THEN w || ' ' ELSE '' END || (r // g) || '/' || (16 // g) END AS txt FROM (
@@ -150,9 +150,9 @@ def x20(spark, sf):
 
 
 @query("x21_display", f"""SELECT seq, CASE metric WHEN 'signup' THEN 'reported' WHEN 'view' THEN format('{{:,.2f}}', x / 33.0::DOUBLE) || ' u' WHEN 'error' THEN CASE WHEN x = 5 THEN 'few' ELSE {NICE} || ' n' END ELSE {NICE} || ' n' END AS txt
-    FROM (SELECT seq, metric, CASE WHEN metric = 'error' AND seq % 2 = 0 THEN 5.0::DOUBLE ELSE value END AS x FROM signals WHERE value >= 0.0001)""")
+    FROM (SELECT seq, metric, CASE WHEN metric = 'error' AND seq % 2 = 0 THEN 5.0::DOUBLE ELSE value END AS x FROM signals)""")
 def x21(spark, sf):
-    s = A.signals(spark, sf).filter("value >= 0.0001").withColumn("value", F.when((F.col("metric") == "error") & (F.col("seq") % 2 == 0), 5.0).otherwise(F.col("value")))
+    s = A.signals(spark, sf).withColumn("value", F.when((F.col("metric") == "error") & (F.col("seq") % 2 == 0), 5.0).otherwise(F.col("value")))
     spec = spark.createDataFrame([("click", "n", False, None, 0.0, None, None), ("purchase", "n", False, None, 0.0, None, None), ("signup", "", True, None, 0.0, None, None),
                                   ("view", "n", False, 1 / 33.0, 0.0, "u", 2), ("error", "n", False, None, 0.0, None, None)],
                                  "metric string, unit string, is_flag boolean, a double, b double, shown_unit string, decimals int")

@@ -7,6 +7,7 @@ settled once by the first later evidence. Both are declarative, so any partition
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gossamer.functions import geo
@@ -16,6 +17,7 @@ from gossamer.plans.bucketed import running_count
 from gossamer.plans.spacetime import within
 
 MIN_US = 60 * 10**6
+MAX_TIER = 16  # 6 hours times two to this power: 45 years
 PARAMS = ["radius_km", "window_min", "tol_abs", "tol_rel", "lo", "hi", "direction", "accumulates", "is_flag", "scored", "thresholds"]
 
 
@@ -99,20 +101,44 @@ def alert_support(signals: DataFrame, alerts: DataFrame, dim_support: DataFrame)
     """The alert that supports a reading: same county, listed for its metric, not expired when it was observed,
     already received; highest severity, then newest.
 
-    Alerts are long in time, so both sides carry 6-hour buckets: an alert is copied to the buckets of its life.
+    Time buckets follow the alerts' spans: 6 hours times a power of two, so each alert lies in one or two buckets of its own
+    width, and a reading is copied once per width in use. An alert without an end, or with one beyond all widths, supports everything observed
+    from its sending on; of those only the best one sent so far counts.
     """
     width = 6 * 3600 * 10**6
-    bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(width)).cast("long")
-    s = signals.filter(X.is_people() & F.col("county_id").isNotNull()).join(F.broadcast(dim_support), "metric").select(
-        "seq", "county_id", "slug", "observed_at", bucket("observed_at").alias("_b"))
-    a = alerts.select("alert_id", "county_id", "slug", "severity", "sent", "expires",
-                      F.explode(F.sequence(bucket("sent"), bucket("expires"))).alias("_b"))
-    hit = s.join(a, ["county_id", "slug", "_b"]).filter(
-        (F.col("expires") > F.col("observed_at")) & (F.col("sent") <= F.col("observed_at")))
+    s = signals.filter(X.is_people() & F.col("county_id").isNotNull()).join(F.broadcast(dim_support), "metric").select("seq", "county_id", "slug", "observed_at")
+    span = F.unix_micros("expires") - F.unix_micros("sent")
+    k = F.greatest(F.lit(0), F.ceil(F.log2(span / F.lit(width)))).cast("int")
+    a = alerts.select("alert_id", "county_id", "slug", "severity", "sent", "expires", F.when(span > 0, k).otherwise(F.when(span.isNotNull(), -1)).alias("_k")).filter("_k IS NULL OR _k >= 0")
+    closed = a.filter(F.col("_k") <= MAX_TIER)
+    tiers = sorted(r["_k"] for r in closed.select("_k").distinct().collect())  # MAX_TIER + 1 values at most
+    size = F.call_function("shiftleft", F.lit(width).cast("long"), F.col("_k"))
+    copies = s.withColumn("_k", F.explode(F.lit(tiers).cast("array<int>"))).withColumn("_b", F.floor(F.unix_micros("observed_at") / size))
+    lives = closed.withColumn("_b", F.explode(F.sequence(F.floor(F.unix_micros("sent") / size), F.floor(F.unix_micros("expires") / size))))
+    hit = copies.join(lives.select("alert_id", "county_id", "slug", "severity", "sent", "expires", "_k", "_b"), ["county_id", "slug", "_k", "_b"]).filter(
+        (F.col("expires") > F.col("observed_at")) & (F.col("sent") <= F.col("observed_at"))).select("seq", "severity", "sent", "alert_id")
+    open_ended = a.filter(F.col("_k").isNull() | (F.col("_k") > MAX_TIER))
+    hit = hit.unionByName(_open_support(s, open_ended))
     rank = F.struct("severity", F.unix_micros("sent"), "alert_id")
     return hit.groupBy("seq").agg(F.max_by(F.struct("alert_id", "severity"), rank).alias("a")).select("seq", "a.alert_id", "a.severity")
 
 
+def _open_support(s: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The best alert without an end that was sent by the time of each reading: readings and alerts of a (county, slug) in one order, the best so far carried on."""
+    best = F.struct("severity", F.unix_micros("sent").alias("sent"), "alert_id")
+    both = s.select("county_id", "slug", "observed_at", F.lit(1).alias("o"), "seq", F.lit(None).cast(alerts.select(best.alias("b")).schema["b"].dataType).alias("b")).unionByName(
+        alerts.select("county_id", "slug", F.col("sent").alias("observed_at"), F.lit(0).alias("o"), F.lit(None).cast("long").alias("seq"), best.alias("b")))
+    # the order is cut at days: a day's best goes on to the later days, so no window holds a whole (county, slug)
+    day = F.floor(F.unix_micros("observed_at") / F.lit(86400 * 10**6))
+    both = both.withColumn("_d", day)
+    inside = W.partitionBy("county_id", "slug", "_d").orderBy("observed_at", "o").rowsBetween(W.unboundedPreceding, W.currentRow)
+    days = both.groupBy("county_id", "slug", "_d").agg(F.max("b").alias("top"))
+    before = W.partitionBy("county_id", "slug").orderBy("_d").rowsBetween(W.unboundedPreceding, -1)
+    days = days.withColumn("before", F.max("top").over(before)).select("county_id", "slug", "_d", "before")
+    got = both.withColumn("b", F.max("b").over(inside)).filter("o = 1").join(days, ["county_id", "slug", "_d"])
+    return got.withColumn("b", F.greatest("b", "before")).filter("b IS NOT NULL").select("seq", "b.severity", F.timestamp_micros("b.sent").alias("sent"), "b.alert_id")
+
+
 def arrival_quality(signals: DataFrame, dim_metric: DataFrame, j: DataFrame, alerts: DataFrame | None = None,
                     dim_support: DataFrame | None = None) -> DataFrame:
     """A4: quality of every reading at arrival, with the counts behind it."""
@@ -152,10 +178,24 @@ def _arrival(at: str, order: int, row: str):
     return F.struct(F.unix_micros(at).alias("t"), F.lit(order).alias("o"), F.col(row).cast("long").alias("id"))
 
 
-def evidence_from_people(j: DataFrame) -> DataFrame:
-    """A later reading agrees with an earlier raw one."""
-    return j.filter(F.col("agrees") & X.is_people("o_kind")).select(F.col("o_seq").alias("seq"), _arrival("observed_at", 0, "seq").alias("arrival"),
-                    F.lit("corroborated").alias("verdict"), F.lit("reading").alias("via"))
+def _evidence(seq: str, arrival, verdict, via: str, agree, disagree) -> list:
+    """One row of evidence: when it came, what it makes of a raw reading, and what that adds to its sender's record."""
+    return [F.col(seq).alias("seq"), arrival.alias("arrival"), verdict.alias("verdict"), F.lit(via).alias("via"), agree.cast("double").alias("agree"), disagree.cast("double").alias("disagree")]
+
+
+def evidence_from_people(weighted_agreements: DataFrame) -> DataFrame:
+    """A later reading agrees with an earlier raw one; it is worth its independence."""
+    return weighted_agreements.select(*_evidence("o_seq", _arrival("observed_at", 0, "seq"), F.lit("corroborated"), "reading", F.col("weight"), F.lit(0.0)))
+
+
+def evidence_from_alerts(by_alert: DataFrame) -> DataFrame:
+    """Rows of J5."""
+    return by_alert.select(*_evidence("seq", _arrival("sent", 1, "alert_id"), F.lit("corroborated"), "alert", F.lit(1.0), F.lit(0.0)))
+
+
+def evidence_from_totals(by_total: DataFrame) -> DataFrame:
+    """Rows of J6: half a reference."""
+    return by_total.select(*_evidence("seq", _arrival("ref_at", 3, "ref_seq"), F.lit("corroborated"), "total", F.lit(X.GRID_WEIGHT), F.lit(0.0)))
 
 
 def evidence_from_references(signals: DataFrame, dim_metric: DataFrame) -> DataFrame:
@@ -163,9 +203,8 @@ def evidence_from_references(signals: DataFrame, dim_metric: DataFrame) -> DataF
     pairs = neighbor_pairs(signals, dim_metric, earlier_only=True, same_period=True,
                            left_filter=X.is_reference() & F.col("scored") & F.col("value").isNotNull(), right_filter=X.is_people("o_kind"))
     agrees = X.compatible("value", "o_value", "is_flag", "tol_abs", "tol_rel")
-    return pairs.filter(F.col("o_value").isNotNull()).select(
-        F.col("o_seq").alias("seq"), _arrival("observed_at", 0, "seq").alias("arrival"),
-        F.when(agrees, "corroborated").otherwise("flagged").alias("verdict"), F.lit("reference").alias("via"))
+    return pairs.filter(F.col("o_value").isNotNull()).select(*_evidence(
+        "o_seq", _arrival("observed_at", 0, "seq"), F.when(agrees, "corroborated").otherwise("flagged"), "reference", F.when(agrees, 1.0).otherwise(0.0), F.when(agrees, 0.0).otherwise(1.0)))
 
 
 def settle_by_alert(signals: DataFrame, alerts: DataFrame, dim_support: DataFrame, dim_metric: DataFrame) -> DataFrame:
@@ -211,12 +250,16 @@ def settle_by_daily_total(signals: DataFrame, dim_metric: DataFrame, totals_filt
              & X.compatible("value", "o_value", "is_flag", "tol_abs", "tol_rel"))
     p = within(refs, people, ["metric"], "radius_km", "_lo", "_hi", extra=extra)
     rank = F.struct(F.unix_micros("observed_at"), "seq")
-    return p.groupBy(F.col("o_seq").alias("seq")).agg(F.min_by("seq", rank).alias("ref_seq"))
+    return p.groupBy(F.col("o_seq").alias("seq")).agg(F.min_by(F.struct("seq", "observed_at"), rank).alias("r")).select("seq", F.col("r.seq").alias("ref_seq"), F.col("r.observed_at").alias("ref_at"))
+
 
+def first_evidence(evidence: DataFrame) -> DataFrame:
+    """(seq, e: arrival, verdict, via, agree, disagree) of each reading's first evidence."""
+    return evidence.groupBy("seq").agg(F.min(F.struct("arrival", "verdict", "via", "agree", "disagree")).alias("e"))
 
-def final_quality(arrival: DataFrame, evidence: DataFrame) -> DataFrame:
+
+def final_quality(arrival: DataFrame, first: DataFrame) -> DataFrame:
     """A5: a raw reading takes the verdict of its first later evidence; every other quality stands."""
-    first = evidence.groupBy("seq").agg(F.min_by(F.struct("verdict", "via"), F.col("arrival")).alias("e"))
     out = arrival.join(first, "seq", "left")
     raw = (F.col("quality") == "raw") & F.col("e").isNotNull()
     return out.withColumn("via", F.when(raw, F.col("e.via"))).withColumn(
@@ -252,10 +295,25 @@ def independence(together):
         F.least(weight, F.lit(1.0) / (F.lit(1.0) + F.coalesce(together, F.lit(0)) / 3.0)))
 
 
-def outcomes(arrival: DataFrame, agreed: DataFrame) -> DataFrame:
-    """What each people's reading adds to its sender's record: (sensor, topic, at, agree, disagree)."""
-    w9 = running_pair_count(agreed).withColumn("weight", independence(F.col("together")))
-    sums = w9.groupBy("seq").agg(F.sum("weight").alias("weight"))
+def weighted(agreed: DataFrame) -> DataFrame:
+    """X24 on every agreement between people."""
+    return running_pair_count(agreed).withColumn("weight", independence(F.col("together")))
+
+
+def settled_outcomes(arrival: DataFrame, first: DataFrame, doubts: DataFrame | None = None) -> DataFrame:
+    """What later evidence adds to people's records: of each raw reading the evidence that settled it, and a radar grid's doubt (``doubts``: seq, arrival)
+    that came before."""
+    raw = arrival.filter((F.col("quality") == "raw") & (F.col("kind") == "human")).select("seq", "sensor_id", "topic")
+    got = raw.join(first, "seq").select("sensor_id", "topic", F.timestamp_micros("e.arrival.t").alias("at"), "e.agree", "e.disagree")
+    if doubts is not None:
+        open_ = raw.join(doubts, "seq").join(first, "seq", "left").filter(F.col("e").isNull() | (F.col("arrival") < F.col("e.arrival")))
+        got = got.unionByName(open_.select("sensor_id", "topic", F.timestamp_micros("arrival.t").alias("at"), F.lit(0.0).alias("agree"), F.lit(X.GRID_WEIGHT).alias("disagree")))
+    return got
+
+
+def outcomes(arrival: DataFrame, weighted_agreements: DataFrame) -> DataFrame:
+    """What each people's reading adds to its sender's record at arrival: (sensor, topic, at, agree, disagree)."""
+    sums = weighted_agreements.groupBy("seq").agg(F.sum("weight").alias("weight"))
     out = arrival.filter(X.is_people() & F.col("quality").isin("corroborated", "flagged", "rejected")).join(sums, "seq", "left")
     agree = (F.when(F.col("quality") != "corroborated", 0.0).when(F.col("reference") == "agree", 1.0)
              .otherwise(F.least(F.lit(1.0), F.coalesce("weight", F.lit(0.0)))))

@@ -85,16 +85,18 @@ def grid_verdict(reading, grid_value, min_signal, tol_abs, tol_rel, far_ratio, i
             .when(is_event, "disagree").otherwise("quiet"))
 
 
+def _valid():
+    return F.struct(F.col("valid_us").alias("t"), F.lit(2).alias("o"), F.col("seq").cast("long").alias("id"))
+
+
 def grid_evidence(judged: DataFrame) -> DataFrame:
     """Evidence rows for A5 from verdicts: agree confirms, far flags; the record gets half weight, far a full miss."""
-    verdict = F.when(F.col("verdict") == "agree", "corroborated").when(F.col("verdict") == "far", "flagged")
-    arrival = F.struct(F.col("valid_us").alias("t"), F.lit(2).alias("o"), F.col("seq").cast("long").alias("id"))
-    return judged.filter(F.col("verdict").isin("agree", "far")).select("seq", arrival.alias("arrival"), verdict.alias("verdict"), F.lit("grid").alias("via"))
+    agree = F.col("verdict") == "agree"
+    return judged.filter(F.col("verdict").isin("agree", "far")).select(
+        "seq", _valid().alias("arrival"), F.when(agree, "corroborated").otherwise("flagged").alias("verdict"), F.lit("grid").alias("via"),
+        F.when(agree, X.GRID_WEIGHT).otherwise(0.0).alias("agree"), F.when(agree, 0.0).otherwise(1.0).alias("disagree"))
 
 
-def grid_outcomes(judged: DataFrame) -> DataFrame:
-    """What verdicts add to people's trust records."""
-    agree = F.when(F.col("verdict") == "agree", X.GRID_WEIGHT).otherwise(0.0)
-    disagree = F.when(F.col("verdict") == "far", 1.0).when(F.col("verdict") == "disagree", X.GRID_WEIGHT).otherwise(0.0)
-    return judged.filter(F.col("verdict").isin("agree", "far", "disagree") & (F.col("kind") == "human")).select(
-        "sensor_id", "topic", F.timestamp_micros("valid_us").alias("at"), agree.alias("agree"), disagree.alias("disagree"))
+def grid_doubts(judged: DataFrame) -> DataFrame:
+    """(seq, arrival) of mild misses: they settle nothing but count half a miss on a person's record."""
+    return judged.filter(F.col("verdict") == "disagree").select("seq", _valid().alias("arrival"))

@@ -143,6 +143,14 @@ def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("Kind "), (F.col("event_id") % 5).cast("string")).alias("event"))
 
 
+def standing_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alert rows, some without an end, some with a far one; every other one with its county's outline as a polygon."""
+    k = F.col("alert_id")
+    rings = county_rings(spark, sf).select("county_id", F.col("rings").alias("_rings"))
+    ends = F.when(k % 13 == 0, F.lit(None).cast("timestamp")).when(k % 17 == 0, F.col("expires") + F.expr("INTERVAL 40 DAYS")).otherwise(F.col("expires"))
+    return alert_rows(spark, sf).withColumn("expires", ends).join(rings, "county_id", "left").withColumn("polygon", F.when(k % 2 == 0, F.col("_rings"))).drop("_rings")
+
+
 def subscriptions(spark: SparkSession, sf: str) -> DataFrame:
     k, seg = F.col("c_custkey"), F.col("c_mktsegment")
     cat = (F.when(seg == "AUTOMOBILE", "warnings").when(seg == "BUILDING", "alerts").when(seg == "FURNITURE", "events")
@@ -188,7 +196,7 @@ def gauge_series(spark: SparkSession, sf: str) -> DataFrame:
 def items(spark: SparkSession, sf: str) -> DataFrame:
     d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
     return d.join(l, "doc_id", "left").select(
-        F.col("doc_id").alias("item_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"),
+        F.col("doc_id").alias("item_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"),
         F.col("source").alias("feed"), F.col("lang").alias("topic"), F.col("quality").alias("relevance"),
         F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * 3600000000).alias("published_at"))
 
@@ -196,7 +204,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """News rows without the triage join."""
     return table(spark, sf, "documents").select(
-        F.col("doc_id").alias("item_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"),
+        F.col("doc_id").alias("item_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"),
         F.col("source").alias("feed"), F.col("lang").alias("topic"),
         F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * 3600000000).alias("published_at"))
 

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gossamer.plans.bounded import bounded_rows
 from gossamer.sources.adapter import METRIC_SCHEMA
 
 ARITHMETIC = re.compile(r"^[\sx0-9.+\-*/()eE]*$")
@@ -89,6 +90,10 @@ def frames(spark: SparkSession, packs: list[dict[str, Any]]) -> dict[str, DataFr
     }
 
 
+# A vocabulary with more distinct unit expressions than this is refused.
+MAX_EXPRESSIONS = 10_000
+
+
 def convert_unit(df: DataFrame, dim_unit: DataFrame, dim_metric: DataFrame) -> DataFrame:
     """raw_value with a typed unit to the canonical value; no unit means the metric's default; a flag is 1.
 
@@ -102,7 +107,7 @@ def convert_unit(df: DataFrame, dim_unit: DataFrame, dim_metric: DataFrame) -> D
     out = out.join(default, "metric", "left").withColumn("_t", F.when(typed == "", F.coalesce("_d", F.lit(""))).otherwise(typed))
     out = out.join(F.broadcast(u.select(F.col("metric").alias("_m"), "_u", "a", "b", "expr")), (F.col("_m") == F.col("metric")) & (F.col("_u") == F.col("_t")), "left")
     value = F.when(F.col("is_flag"), 1.0).when(F.col("a").isNotNull(), F.col("a") * F.col("raw_value") + F.col("b")).when(F.col("_t") == "", F.col("raw_value"))
-    for expr in sorted({r["expr"] for r in dim_unit.filter("expr is not null").select("expr").distinct().limit(200).collect()}):
+    for expr in sorted(r["expr"] for r in bounded_rows(dim_unit.filter("expr is not null").select("expr").distinct(), MAX_EXPRESSIONS)):
         value = value.when(F.col("expr") == expr, F.expr(re.sub(r"\bx\b", "raw_value", expr.replace("**", "^")) if "**" not in expr else _power(expr)))
     out = out.withColumn("value", value)
     bad = F.col("value").isNull() & F.col("raw_value").isNotNull()

@@ -109,8 +109,8 @@ def readings(spark, rows):
 def quality(spark, rows):
     s, m = readings(spark, rows), spark.createDataFrame(HOT, METRIC_SCHEMA)
     a = C.arrival_quality(s, m, C.judged_neighbors(s, m))
-    ev = C.evidence_from_people(C.judged_neighbors(s, m)).unionByName(C.evidence_from_references(s, m))
-    return {r["seq"]: (r["quality"], r["final_quality"]) for r in C.final_quality(a, ev).collect()}
+    ev = C.evidence_from_people(C.weighted(C.agreements(C.judged_neighbors(s, m)))).unionByName(C.evidence_from_references(s, m))
+    return {r["seq"]: (r["quality"], r["final_quality"]) for r in C.final_quality(a, C.first_evidence(ev)).collect()}
 
 
 def test_corroboration_both_ways(spark):
