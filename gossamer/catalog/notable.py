@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gossamer.catalog.aggregates import events
 from gossamer.catalog.filters import NOW, now
 from gossamer.catalog.joins import PEOPLE
-from gossamer.catalog.registry import query, table_sql
+from gossamer.catalog.registry import SQL, query, table_sql
 from gossamer.functions import scalars as X
 from gossamer.operators import notable as N
 from gossamer.operators import text as TX
@@ -110,7 +110,17 @@ def story_rows(spark, sf):
     return t.join(p, "item_id").join(m, "item_id", "left").select("item_id", "counties", F.coalesce("measures", F.array().cast("array<string>")).alias("measures"), "topic")
 
 
-@query("g7_group_stories_by_place")
+GAZ_FIPS = ", ".join(f"('{n}', {f!r})" for n, f in GAZ)
+table_sql("story_sets", f"""SELECT d.item_id, d.topic, c.counties, coalesce(m.measures, []) AS measures FROM doc_rows d
+    JOIN (SELECT item_id, list_sort(list(DISTINCT f)) AS counties FROM (SELECT item_id, unnest(fips) AS f FROM ({SQL['j13_places_in_text']}) JOIN (VALUES {GAZ_FIPS}) g(name, fips) USING (name)) GROUP BY 1) c USING (item_id)
+    LEFT JOIN (SELECT item_id, list(DISTINCT metric) AS measures FROM ({SQL['j14_measures_in_text']}) GROUP BY 1) m USING (item_id)""")
+table_sql("sets", """SELECT array_to_string(counties, '|') AS "key", counties, list_distinct(flatten(list(measures))) AS measures, list(DISTINCT topic) AS topics FROM story_sets GROUP BY counties""")
+table_sql("set_parents", """SELECT a."key", arg_min(b."key", row(-len(b.counties), b."key")) AS over FROM sets a JOIN sets b ON (len(b.counties) > len(a.counties) OR (len(b.counties) = len(a.counties) AND b."key" < a."key"))
+    AND list_has_all(b.counties, a.counties) AND (list_has_any(a.measures, b.measures) OR (len(a.measures) = 0 AND len(b.measures) = 0 AND list_has_any(a.topics, b.topics))) GROUP BY 1""")
+
+
+@query("g7_group_stories_by_place", """SELECT item_id, root AS "group" FROM story_sets JOIN (WITH RECURSIVE up AS (SELECT "key", "key" AS root FROM sets UNION ALL SELECT up."key", p.over FROM up JOIN set_parents p ON p."key" = up.root)
+    SELECT "key", root FROM up WHERE root NOT IN (SELECT "key" FROM set_parents)) r ON r."key" = array_to_string(counties, '|')""")
 def g7(spark, sf):
     return N.group_stories(story_rows(spark, sf))
 

@@ -79,27 +79,32 @@ def point_in_polygon_with_holes(lat, lon, polygons) -> Column:
     return F.coalesce(F.exists(polygons, holds), F.lit(False))
 
 
-def polygon_gap(lat, lon, rings) -> Column:
-    """struct(km, bearing) from the nearest ring edge to the point, flat earth around the point."""
-    lat, lon, rings = _c(lat), _c(lon), _c(rings)
-    kx = F.lit(KM_PER_LON_DEG) * F.cos(F.radians(lat))
+def _vec(x, y) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
 
-    # three small passes, each binding what the next one uses more than once; the bearing is worked out for one edge
-    def local(e: Column) -> Column:
-        return F.struct(((e["x1"] - lon) * kx).alias("ax"), ((e["y1"] - lat) * KM_PER_LAT_DEG).alias("ay"),
-                        ((e["x2"] - e["x1"]) * kx).alias("dx"), ((e["y2"] - e["y1"]) * KM_PER_LAT_DEG).alias("dy"))
+def _dot(a: Column, b: Column) -> Column:
+    return a["x"] * b["x"] + a["y"] * b["y"]
 
-    def along(v: Column) -> Column:
-        f = F.try_divide(-(v["ax"] * v["dx"] + v["ay"] * v["dy"]), v["dx"] * v["dx"] + v["dy"] * v["dy"])
-        return F.struct(v.alias("v"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), f)), F.lit(0.0)).alias("f"))
 
-    def foot(w: Column) -> Column:
-        v = w["v"]
-        return F.struct((v["ax"] + w["f"] * v["dx"]).alias("px"), (v["ay"] + w["f"] * v["dy"]).alias("py"))
+def _from_point(lon, lat, origin_lon, origin_lat) -> Column:
+    """Offset in km of a place from an origin, flat earth around the origin."""
+    return _vec((lon - origin_lon) * (F.lit(KM_PER_LON_DEG) * F.cos(F.radians(origin_lat))), (lat - origin_lat) * KM_PER_LAT_DEG)
 
-    feet = F.transform(F.transform(F.transform(F.flatten(F.transform(rings, _edges)), local), along), foot)
-    best = F.array_min(F.transform(feet, lambda p: F.struct(F.sqrt(p["px"] * p["px"] + p["py"] * p["py"]).alias("km"), p["px"].alias("px"), p["py"].alias("py"))))
-    return F.struct(best["km"].alias("km"), bearing_deg(-best["px"], -best["py"]).alias("bearing"))
+
+def _nearest_on(segment: Column) -> Column:
+    """Point nearest to the origin of the segment from ``p`` to ``q``: p plus its share of the way, the projection kept between 0 and 1."""
+    way = F.transform(F.array(segment), lambda s: F.struct(s["p"].alias("p"), _vec(s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]).alias("d")))
+    cut = F.transform(way, lambda w: F.struct(w["p"].alias("p"), w["d"].alias("d"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-_dot(w["p"], w["d"]), _dot(w["d"], w["d"])))), F.lit(0.0)).alias("k")))
+    return F.transform(cut, lambda w: _vec(w["p"]["x"] + w["k"] * w["d"]["x"], w["p"]["y"] + w["k"] * w["d"]["y"]))[0]
+
+
+def polygon_gap(lat, lon, rings) -> Column:
+    """struct(km, bearing) from the nearest ring edge to the point."""
+    lat, lon, rings = _c(lat), _c(lon), _c(rings)
+    segments = F.transform(F.flatten(F.transform(rings, _edges)), lambda e: F.struct(_from_point(e["x1"], e["y1"], lon, lat).alias("p"), _from_point(e["x2"], e["y2"], lon, lat).alias("q")))
+    nearest = F.array_min(F.transform(F.transform(segments, _nearest_on), lambda v: F.struct(F.sqrt(_dot(v, v)).alias("km"), v.alias("v"))))
+    return F.struct(nearest["km"].alias("km"), bearing_deg(-nearest["v"]["x"], -nearest["v"]["y"]).alias("bearing"))
 
 
 def ring_bounds(rings) -> Column:
@@ -117,22 +122,17 @@ def storm_arrival_hours(from_deg, speed_kt, points, lat, lon, max_hours: float =
     span covers across the track.
     """
     from_deg, speed_kt, points, lat, lon = map(_c, (from_deg, speed_kt, points, lat, lon))
-    speed = speed_kt * KM_PER_KNOT
-    head = F.radians(F.pmod(from_deg + 180.0, F.lit(360.0)))
-    ux, uy = F.sin(head), F.cos(head)
-    kx = F.lit(KM_PER_LON_DEG) * F.cos(F.radians(lat))
-    frames = F.transform(points, lambda p: F.struct(
-        ((p[1] - lon) * kx * ux + (p[0] - lat) * KM_PER_LAT_DEG * uy).alias("a"),
-        ((p[1] - lon) * kx * uy - (p[0] - lat) * KM_PER_LAT_DEG * ux).alias("c")))
-    direct = F.transform(F.filter(frames, lambda f: (f["a"] < 0) & (F.abs(f["c"]) <= STORM_TRACK_KM)), lambda f: f["a"])
-    legs = F.zip_with(F.slice(frames, F.lit(1), F.greatest(F.size(frames) - 1, F.lit(0))),
-                      F.slice(frames, F.lit(2), F.greatest(F.size(frames) - 1, F.lit(0))),
-                      lambda p, q: F.when(
-                          (p["c"] != q["c"]) & (F.least(p["c"], q["c"]) <= 0) & (F.greatest(p["c"], q["c"]) >= 0),
-                          p["a"] - F.try_divide((q["a"] - p["a"]) * p["c"], q["c"] - p["c"])))
-    swept = F.filter(legs, lambda a: a.isNotNull() & (a < 0))
-    hours = -F.array_max(F.concat(direct, swept)) / speed
-    return F.when((speed >= 5) & (F.size(points) > 0) & (hours <= max_hours), hours)
+    course = F.radians(F.pmod(from_deg + 180.0, F.lit(360.0)))
+    heading, across = _vec(F.sin(course), F.cos(course)), _vec(F.cos(course), -F.sin(course))
+    # storm points as seen from the place: distance along the heading (negative: still to come) and off the track
+    seen = F.transform(points, lambda p: _from_point(p[1], p[0], lon, lat))
+    seen = F.transform(seen, lambda v: F.struct(_dot(v, heading).alias("along"), _dot(v, across).alias("off")))
+    ahead = F.transform(F.filter(seen, lambda s: (s["along"] < 0) & (F.abs(s["off"]) <= STORM_TRACK_KM)), lambda s: s["along"])
+    # where the line between two neighbouring points crosses the place's own track
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(points) - 1, F.lit(1))), lambda i: F.struct(F.get(seen, i - 1).alias("s"), F.get(seen, i).alias("t")))
+    crossing = F.transform(F.filter(pairs, lambda w: w["s"]["off"] * w["t"]["off"] <= 0), lambda w: w["s"]["along"] - F.try_divide((w["t"]["along"] - w["s"]["along"]) * w["s"]["off"], w["t"]["off"] - w["s"]["off"]))
+    hours = -F.array_max(F.concat(ahead, F.filter(crossing, lambda a: a < 0))) / (speed_kt * KM_PER_KNOT)
+    return F.when((speed_kt * KM_PER_KNOT >= 5) & (F.size(points) > 0) & (hours <= max_hours), hours)
 
 
 def storm_track(from_deg, speed_kt, lat, lon, step_min: int = 15, total_min: int = 60) -> Column:

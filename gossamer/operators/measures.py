@@ -42,30 +42,39 @@ def alert_cards(outbox: DataFrame, threads: DataFrame, first_fanout_min: int = 3
     return c.withColumn("lag_s", F.greatest(F.lit(0.0), lag))
 
 
-def weekly(signals: DataFrame, counties: DataFrame, questions: DataFrame, outbox: DataFrame, threads: DataFrame,
-           subscriptions: DataFrame, now: Column, days: int) -> DataFrame:
-    """(name, value). Median and percentiles come from histograms of whole minutes and seconds."""
+def weekly(signals: DataFrame, sensors: DataFrame, counties: DataFrame, questions: DataFrame, outbox: DataFrame, threads: DataFrame,
+           subscriptions: DataFrame, now: Column, days: int, mail_now: Column | None = None) -> DataFrame:
+    """(name, value) of the last ``days`` days. Median and percentiles are located in histograms of whole minutes and seconds and read exactly.
+
+    ``mail_now`` is the end of the period for questions and messages, where their clock is another.
+    """
     since = hours_before(now, days * 24)
+    mail_since = since if mail_now is None else hours_before(mail_now, days * 24)
     people = signals.filter((F.col("kind") == "human") & (F.col("received_at") >= since))
     settled = people.filter((F.col("quality") == "corroborated") & F.col("settled_at").isNotNull())
     wait = (F.unix_micros("settled_at") - F.unix_micros("received_at")) / F.lit(60e6)
-    cards = alert_cards(outbox, threads).select(F.lit(1).alias("k"), "lag_s")
-    asked = asked_delivered(questions, outbox)
+    cards = alert_cards(outbox.filter(F.col("sent_at") >= mail_since), threads).select(F.lit(1).alias("k"), "lag_s")
+    asked = asked_delivered(questions.filter(F.col("asked_at") >= mail_since), outbox)
+    kinds = R.messages_by_kind(outbox, mail_since)
+    readers = subscriptions.select("chat_id").distinct().agg(F.count("chat_id").alias("subscribers"))
     parts = [
+        activation(sensors, signals, since).agg(F.count(F.lit(1)).alias("joined"), F.count_if("activated").alias("activated")),
         people.agg(F.count(F.lit(1)).alias("human_readings"), F.count_if((F.col("quality") == "corroborated") & F.col("settled_at").isNotNull()).alias("corroborated")),
-        settled.agg(F.bround(F.median(wait), 1).alias("confirm_minutes_median")),
+        R.median(settled.select(wait.alias("wait")), "wait").select(F.bround("median", 1).alias("confirm_minutes_median")),
         cards.agg(F.count(F.lit(1)).alias("alert_cards")),
         R.nearest_rank(cards, ["k"], "lag_s", [0.5, 0.95]).select(F.col("p50").alias("alert_seconds_p50"), F.col("p95").alias("alert_seconds_p95")),
         asked.agg(F.count(F.lit(1)).alias("asked"), F.count("answered_at").alias("answered")),
-        signals.filter(X.is_people() & (F.col("observed_at") >= since)).agg(F.count_distinct("county_id").alias("counties_covered")),
+        signals.filter(X.is_people() & (F.col("observed_at") >= since)).select("county_id").distinct().agg(F.count("county_id").alias("counties_covered")),
         counties.agg(F.count(F.lit(1)).alias("counties_total")),
-        subscriptions.agg(F.count_distinct("chat_id").alias("subscribers")),
+        readers,
     ]
-    out = None
+    out = kinds.select(F.concat(F.lit("messages_"), "kind").alias("name"), F.col("n").cast("double").alias("value"))
     for p in parts:
-        rows = p.select(*[F.col(c).cast("double").alias(c) for c in p.columns]).unpivot([], p.columns, "name", "value")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        out = out.unionByName(p.select(*[F.col(c).cast("double").alias(c) for c in p.columns]).unpivot([], p.columns, "name", "value"))
+    # two one-row totals meet on a constant key
+    per = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("k", F.lit(1)).join(readers.withColumn("k", F.lit(1)), "k").select(
+        F.lit("messages_per_subscriber_week").alias("name"), F.bround(F.when(F.col("subscribers") > 0, F.col("n") / F.col("subscribers") * (7.0 / days)), 1).alias("value"))
+    return out.unionByName(per)
 
 
 def items_to_triage(items: DataFrame, limit: int) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.functions import scalars as X
 from gossamer.functions.geo import haversine_km
 from gossamer.operators.rollups import top_per_key
+from gossamer.plans.components import resolve_pointers
+from gossamer.session import checkpointed
 
 # What each kind of reason weighs.
 W_HEADLINE, W_PEOPLE, W_CHECKED, W_REPORT, W_NEWS = 0.35, 0.3, 0.1, 0.15, 0.4
@@ -71,8 +72,6 @@ def pick_labels(places: DataFrame) -> DataFrame:
     stays skipped, so a pass is "take the best place that still fits" until none does. Each take is one aggregated max
     over all places with the few labels so far as constants: at most 17 jobs, no candidate list and no cut-off.
     """
-    from gossamer.session import checkpointed
-
     p = checkpointed(places.filter(F.col("score").isNotNull()))
     what = F.concat_ws("|", "topic", "metric", F.when(F.col("kind").isin(*HEADLINE_KINDS), F.col("kind")).otherwise("other"))
     p = p.withColumn("_what", what)
@@ -102,41 +101,25 @@ def pick_labels(places: DataFrame) -> DataFrame:
 # ── news ─────────────────────────────────────────────────────────────────
 
 def group_stories(stories: DataFrame) -> DataFrame:
-    """(item_id, group): stories by county set; a set joins the first wider group that holds it when a measure is
-    shared, or when both name none and share a topic.
+    """(item_id, group): stories by county set; a set follows the widest other set that holds all its counties when both name a measure in
+    common, or when neither names one and they share a topic. Sets of one size go by name. Followed to the end, that names the group.
 
-    ``stories`` (item_id, counties array, measures array, topic). Stories are combined per county set first; the ordered
-    pass sees one row per distinct set with its measures and topics, a number bounded by the gazetteer's names.
+    ``stories`` (item_id, counties array, measures array, topic). Stories are combined per county set first. A set can only be held by sets that
+    have its rarest county, so each set looks there alone, and chains are followed by pointer jumping.
     """
-    key = F.array_join(F.sort_array("counties"), "|")
-    s = stories.filter(F.size("counties") > 0).withColumn("key", key)
-    sets = s.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("measures"))).alias("measures"), F.collect_set("topic").alias("topics"))
-    homes = sets.withColumn("_one", F.lit(1)).groupBy("_one").applyInArrow(_fold_groups, "key string, grp string")
-    return s.join(homes, "key").select("item_id", F.col("grp").alias("group"))
-
-
-def fold_groups(rows: list[tuple[str, set, set]]) -> dict[str, str]:
-    """Widest set first; each set's home is the first group that holds it and fits."""
-    groups: list[list] = []
-    home = {}
-    for key, measures, topics in sorted(rows, key=lambda r: (-len(r[0].split("|")), r[0].split("|"))):
-        mine = set(key.split("|"))
-        for g in groups:
-            if mine <= g[1] and (measures & g[2] or (not measures and not g[2] and topics & g[3])):
-                g[2] |= measures
-                g[3] |= topics
-                home[key] = g[0]
-                break
-        else:
-            groups.append([key, mine, set(measures), set(topics)])
-            home[key] = key
-    return home
-
-
-def _fold_groups(table: pa.Table) -> pa.Table:
-    rows = [(k, set(m or []), set(t or [])) for k, m, t in zip(*(table.column(c).to_pylist() for c in ("key", "measures", "topics")))]
-    home = fold_groups(rows)
-    return pa.table({"key": pa.array(list(home), pa.string()), "grp": pa.array(list(home.values()), pa.string())})
+    s = stories.filter(F.size("counties") > 0).withColumn("key", F.array_join(F.sort_array("counties"), "|"))
+    # one set's measures and topics are lists of vocabulary names, so collecting them is bounded by the packs
+    sets = checkpointed(s.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("measures"))).alias("measures"), F.collect_set("topic").alias("topics")).withColumn("counties", F.split("key", r"\|")))
+    at = sets.select("key", F.explode("counties").alias("county"))
+    rare = at.join(at.groupBy("county").agg(F.count(F.lit(1)).alias("n")), "county").groupBy("key").agg(F.min(F.struct("n", "county")).alias("r")).select("key", "r.county")
+    wide = sets.select(F.col("key").alias("over"), F.col("counties").alias("o_counties"), F.col("measures").alias("o_measures"), F.col("topics").alias("o_topics"), F.explode("counties").alias("county"))
+    size, o_size = F.size("counties"), F.size("o_counties")
+    first = (o_size > size) | ((o_size == size) & (F.col("over") < F.col("key")))
+    alike = F.arrays_overlap("measures", "o_measures") | ((F.size("measures") == 0) & (F.size("o_measures") == 0) & F.arrays_overlap("topics", "o_topics"))
+    held = sets.join(rare, "key").join(wide, "county").filter(first & (F.size(F.array_except("counties", "o_counties")) == 0) & alike)
+    parent = held.groupBy("key").agg(F.min(F.struct((-o_size).alias("s"), "over")).alias("p")).select("key", "p.over")
+    roots = resolve_pointers(sets.select("key").join(parent, "key", "left"), "key", "over")
+    return s.join(roots.withColumnRenamed("node", "key"), "key").select("item_id", F.col("root").alias("group"))
 
 
 def link_news(groups: DataFrame, extremes: DataFrame, notable_places: DataFrame, k: int = LINKS) -> DataFrame:

@@ -81,28 +81,33 @@ def cap_time(ts) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'-00:00'")
 
 
-def cap_rows(events: DataFrame, sender: str, network: str) -> DataFrame:
-    """K5: one CAP 1.2 message per verified event, as XML text per row."""
+CAP_NAMESPACE = "urn:oasis:names:tc:emergency:cap:1.2"
+
+
+def cap_rows(events: DataFrame, sender: str, network: str, description: str = "{label}: peak {peak}; people {people}, official sources {sources}",
+             note: str = "Readings of a sensor network, not an official warning", page: str | None = None) -> DataFrame:
+    """K5: one CAP 1.2 message per verified event, as XML text per row. ``description`` may name label, peak, people and sources; ``page`` may name id."""
     host = sender.split("@")[-1]
     sev = F.when(F.col("severity") >= 0.8, "Severe").when(F.col("severity") >= 0.5, "Moderate").otherwise("Minor")
     people = F.greatest(F.lit(0), F.col("n_sensors") - F.col("n_reference_sensors"))
-    desc = F.concat(F.col("label"), F.lit(" peaking at "), X.nice_number("peak"), F.lit(", reported by "), people.cast("string"), F.when(people == 1, " person").otherwise(" people"),
-                    F.when(F.col("n_reference") > 0, F.concat(F.lit(" and "), F.col("n_reference").cast("string"), F.when(F.col("n_reference") == 1, " official source").otherwise(" official sources"))).otherwise(""),
-                    F.lit(", checked against each other and official sources by the network."))
+    facts = {"label": F.col("label"), "peak": F.concat_ws(" ", X.nice_number("peak"), F.col("unit") if "unit" in events.columns else F.lit(None)), "people": people, "sources": F.col("n_reference")}
+    desc = F.lit(description)
+    for name, value in facts.items():
+        desc = F.replace(desc, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
     par = lambda n, v: F.struct(F.lit(n).alias("valueName"), v.cast("string").alias("value"))
     geocode = F.array(*[F.struct(F.lit(n).alias("valueName"), F.concat(F.lit("0"), "county_id").alias("value")) for n in ("SAME", "FIPS6")])
     info = F.struct(
         F.lit("en-US").alias("language"), F.col("category").alias("category"), F.concat("label", F.lit(" (network observation)")).alias("event"),
         F.when(F.col("status") == "closed", "Past").otherwise("Unknown").alias("urgency"), sev.alias("severity"), F.lit("Observed").alias("certainty"),
         cap_time("opened_at").alias("effective"), cap_time("opened_at").alias("onset"), cap_time(F.col("updated_at") + F.expr("INTERVAL 6 HOURS")).alias("expires"),
-        F.lit(network).alias("senderName"), F.col("title").alias("headline"), desc.alias("description"),
+        F.lit(network).alias("senderName"), F.col("title").alias("headline"), desc.alias("description"), *([F.replace(F.lit(page), F.lit("{id}"), F.col("event_id").cast("string")).alias("web")] if page else []),
         F.array(par("NetworkEventID", F.col("event_id")), par("Metric", F.col("metric")), par("Peak", F.col("peak")), par("Sensors", F.col("witnesses")), par("OfficialSources", F.col("n_reference")),
                 par("Score", F.col("score"))).alias("parameter"),
         F.struct(F.col("county_name").alias("areaDesc"), F.concat_ws(" ", F.concat_ws(",", "pub_lat", "pub_lon"), F.col("radius_km").cast("string")).alias("circle"), geocode.alias("geocode")).alias("area"))
     ident = F.concat(F.lit(f"{host}.event."), F.col("event_id"))
-    alert = F.struct(F.concat(ident, F.lit("."), F.date_format("updated_at", "yyyyMMdd'T'HHmmss")).alias("identifier"), F.lit(sender).alias("sender"), cap_time("updated_at").alias("sent"),
+    alert = F.struct(F.lit(CAP_NAMESPACE).alias("_xmlns"), F.concat(ident, F.lit("."), F.date_format("updated_at", "yyyyMMdd'T'HHmmss")).alias("identifier"), F.lit(sender).alias("sender"), cap_time("updated_at").alias("sent"),
                      F.lit("Actual").alias("status"), F.lit("Alert").alias("msgType"), F.lit("Public").alias("scope"),
-                     F.lit("Citizen sensor network observation, verified by the network. Not an official warning.").alias("note"), ident.alias("incidents"), info.alias("info"))
+                     F.lit(note).alias("note"), ident.alias("incidents"), info.alias("info"))
     return events.filter("verified").select("event_id", F.to_xml(alert, {"rowTag": "alert"}).alias("cap"))
 
 

@@ -40,22 +40,24 @@ def vitals(signals: DataFrame, sensors: DataFrame, events: DataFrame, alerts: Da
     """A3: (name, value) of the network's state. Each input is read once; distinct counts are two-phase."""
     day, week = F.col("received_at") >= hours_before(now, 24), F.col("received_at") >= hours_before(now, 168)
     people, q = X.is_people(), F.col("quality")
-    sig = signals.filter(week).agg(
-        F.count_distinct(F.when(people & day, F.col("sensor_id"))).alias("sensors_active_24h"),
-        F.count_distinct(F.when(people, F.col("sensor_id"))).alias("sensors_active_7d"),
-        F.count_if(people & day).alias("signals_24h_human"), F.count_if(X.is_reference() & day).alias("signals_24h_reference"),
-        F.count_if(people & (q == "corroborated")).alias("corroborated_7d"), F.count_if(people & (q == "flagged")).alias("flagged_7d"),
-        F.count_if(people).alias("human_7d"),
-        F.count_distinct(F.when(people, F.col("county_id"))).alias("counties_covered_7d"),
-        F.count_distinct("county_id").alias("counties_reference_7d"))
+    # one row per (sensor, county) first: the distinct counts below are plain counts over its two roll-ups
+    per = signals.filter(week).groupBy("sensor_id", "county_id").agg(
+        F.max(people & day).alias("p24"), F.max(people).alias("p7"), F.count_if(people & day).alias("h24"), F.count_if(X.is_reference() & day).alias("r24"),
+        F.count_if(people & (q == "corroborated")).alias("c7"), F.count_if(people & (q == "flagged")).alias("f7"), F.count_if(people).alias("h7"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    by_sensor = per.groupBy("sensor_id").agg(F.max("p24").alias("p24"), F.max("p7").alias("p7"), *[F.sum(c).alias(c) for c in ("h24", "r24", "c7", "f7", "h7")])
+    sig = by_sensor.agg(F.count_if(F.col("p24") & F.col("sensor_id").isNotNull()).alias("sensors_active_24h"), F.count_if(F.col("p7") & F.col("sensor_id").isNotNull()).alias("sensors_active_7d"),
+                        total("h24").alias("signals_24h_human"), total("r24").alias("signals_24h_reference"), total("c7").alias("corroborated_7d"), total("f7").alias("flagged_7d"), total("h7").alias("human_7d"))
+    by_county = per.filter(F.col("county_id").isNotNull()).groupBy("county_id").agg(F.max("p7").alias("p7")).agg(F.count_if("p7").alias("counties_covered_7d"), count_all().alias("counties_reference_7d"))
     sig = sig.withColumn("corroboration_rate_7d", F.when(F.col("human_7d") > 0, F.col("corroborated_7d") / F.col("human_7d")).otherwise(0.0))
     parts = [
         sig,
+        by_county,
         sensors.agg(F.count_if(people).alias("sensors_total")),
         events.agg(F.count_if(F.col("status") == "open").alias("events_open"),
                    F.count_if(F.col("updated_at") >= hours_before(now, 24)).alias("events_24h")),
         alerts.filter(F.col("expires").isNull() | (F.col("expires") >= now)).agg(F.count_distinct("group_key").alias("alerts_active")),
-        subscriptions.agg(count_all().alias("subscriptions"), F.count_distinct("chat_id").alias("subscribers")),
+        subscriptions.groupBy("chat_id").agg(count_all().alias("n")).agg(total("n").alias("subscriptions"), F.count("chat_id").alias("subscribers")),
         counties.agg(count_all().alias("counties_total")),
     ]
     out = None
@@ -144,9 +146,11 @@ def reference_sizes(sensors: DataFrame, family: Column) -> DataFrame:
 
 
 def short_error(error) -> Column:
-    """URLs dropped, whitespace collapsed, cut before '(' or 'for url', 70 characters."""
-    e = F.regexp_replace(F.regexp_replace(F.coalesce(error, F.lit("")), r"https?://\S+", ""), r"\s+", " ")
-    return F.left(F.trim(F.regexp_replace(e, r"(?s)(\s*\(|:?\s+for url).*$", ""), F.lit(" :")), F.lit(70))
+    """The first 70 characters of an error's message: its words without addresses, up to a bracket or the words "for url"."""
+    words = F.filter(F.split(F.trim(F.coalesce(error, F.lit(""))), r"\s+"), lambda w: ~w.startswith("http://") & ~w.startswith("https://"))
+    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    lead = F.substring_index(F.substring_index(text, "(", 1), " for url ", 1)
+    return F.left(F.trim(F.trim(lead), F.lit(" :")), F.lit(70))
 
 
 def feed_problems(run_log: DataFrame, cadence: DataFrame, now: Column, min_fails: int = 4, share: float = 0.5, chronic: int = 12) -> DataFrame:
@@ -195,16 +199,27 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: list[float], st
     Values are counted, first per ``step``-wide bucket: ranks are located among bucket totals, and only the buckets that
     hold a wanted rank are ordered value by value. A group's rows never meet in one task.
     """
+    return at_ranks(df, keys, value, {f"p{int(q * 100)}": lambda n, q=q: F.bround(F.lit(q) * (n - 1), 0) for q in qs}, step)
+
+
+def median(df: DataFrame, value: str, step: float = 1.0) -> DataFrame:
+    """One row: the mean of the middle value, or of the two middle ones."""
+    mid = at_ranks(df.withColumn("_all", F.lit(1)), ["_all"], value, {"a": lambda n: F.floor((n - 1) / 2), "b": lambda n: F.floor(n / 2)}, step)
+    return mid.agg(F.max((F.col("a") + F.col("b")) / 2).alias("median"))
+
+
+def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict, step: float) -> DataFrame:
+    """Values at ranks (from 0) given as functions of each key's number of rows."""
     v = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(count_all().alias("_c")).withColumn("_s", F.floor(F.col(value) / step))
     s = v.groupBy(*keys, "_s").agg(F.sum("_c").alias("_sc"))
     w = W.partitionBy(*keys)
     s = s.withColumn("_hi", F.sum("_sc").over(w.orderBy("_s"))).withColumn("_n", F.sum("_sc").over(w)).withColumn("_lo", F.col("_hi") - F.col("_sc"))
-    wanted = F.array(*[F.struct(F.lit(f"p{int(q * 100)}").alias("name"), F.bround(F.lit(q) * (F.col("_n") - 1), 0).cast("long").alias("rank")) for q in qs])
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank")) for name, rank in ranks.items()])
     here = s.withColumn("_q", F.filter(wanted, lambda x: (x["rank"] >= F.col("_lo")) & (x["rank"] < F.col("_hi")))).filter(F.size("_q") > 0)
     inner = v.join(here.select(*keys, "_s", "_lo", "_q"), [*keys, "_s"])
     inner = inner.withColumn("_cum", F.col("_lo") + F.sum("_c").over(W.partitionBy(*keys, "_s").orderBy(value)))
     hits = inner.withColumn("_x", F.explode("_q")).filter((F.col("_x.rank") < F.col("_cum")) & (F.col("_x.rank") >= F.col("_cum") - F.col("_c")))
-    return hits.groupBy(*keys).agg(*[F.max(F.when(F.col("_x.name") == f"p{int(q * 100)}", F.col(value))).alias(f"p{int(q * 100)}") for q in qs])
+    return hits.groupBy(*keys).agg(*[F.max(F.when(F.col("_x.name") == name, F.col(value))).alias(name) for name in ranks])
 
 
 def latest_gauges(series: DataFrame, now: Column, hours: float, wanted: dict[str, str]) -> DataFrame:

@@ -207,10 +207,10 @@ def test_pick_labels_equals_plain_passes(spark):
     assert N.pick_labels(df).filter("tier = 2").count() == 80
 
 
-def test_group_stories():
-    rows = [("1|2|3", {"rain"}, {"w"}), ("1", {"rain"}, {"w"}), ("2", set(), {"w"}), ("3", {"hail"}, {"w"}), ("3|4", set(), {"w"})]
-    home = N.fold_groups(rows)
-    assert home == {"1|2|3": "1|2|3", "1": "1|2|3", "2": "2", "3": "3", "3|4": "3|4"}
+def test_group_stories(spark):
+    rows = [(1, ["1", "2", "3"], ["rain"], "w"), (2, ["1"], ["rain"], "w"), (3, ["2"], [], "w"), (4, ["3"], ["hail"], "w"), (5, ["3", "4"], [], "w"), (6, ["4"], [], "w"), (7, ["2", "1"], ["rain", "hail"], "x"), (8, ["4"], [], "w")]
+    df = spark.createDataFrame(rows, "item_id long, counties array<string>, measures array<string>, topic string")
+    assert {r["item_id"]: r["group"] for r in N.group_stories(df).collect()} == {1: "1|2|3", 2: "1|2|3", 3: "2", 4: "3", 5: "3|4", 6: "3|4", 7: "1|2|3", 8: "3|4"}
 
 
 def test_motion_and_impact(spark):
