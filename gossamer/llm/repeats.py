@@ -38,7 +38,7 @@ LENGTH = 100
 GRAM = 32
 HOT = 4096
 LAST = 2**63 - 1
-SUFFIX_BYTES = 4 << 20  # text under one suffix array
+SUFFIX_BYTES = 1 << 20  # text under one suffix array: some 130 bytes of ranks and sort buffers each
 
 _U = np.uint64
 _BYTE_CODES = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
@@ -218,13 +218,13 @@ class EnhancedSuffixArray:
         key = np.zeros(n, np.int64)
         for k in range(7):
             key = (key << 9) | padded[k:n + k]
-        ranks = [np.unique(key, return_inverse=True)[1].astype(np.int64)]
+        ranks = [np.unique(key, return_inverse=True)[1]]
         steps = [7]
         while steps[-1] < 112:
             r, h = ranks[-1], steps[-1]
             later = np.zeros(n, np.int64)
             later[:max(0, n - h)] = r[h:] + 1
-            ranks.append(np.unique(r * (n + 2) + later, return_inverse=True)[1].astype(np.int64))
+            ranks.append(np.unique(r * (n + 2) + later, return_inverse=True)[1])
             steps.append(2 * h)
         r = ranks[-1]
         later = np.zeros(n, np.int64)
