@@ -20,11 +20,14 @@ SYMBOLS = "#*$%&|<>"
 # Word breaks of the contract: \x20 and \x09-\x0D.
 BREAKS = " \t\n\x0b\x0c\r"
 # Phrases of pages' furniture and licence lines.
-BOILERPLATE = re.compile(
+FURNITURE = (
     r"all rights reserved|privacy policy|terms of (?:use|service)|cookie|enable javascript|sign up|log ?in|subscribe|newsletter"
-    r"|licensed under|released under|general public license|lorem ipsum|click here|share (?:this|on)|read more", re.IGNORECASE)
-_SEPARATOR = re.compile(r"(?:^|\s)[|>»›·•/~](?=\s|$)")
-_NOISE = re.compile(r"[#*$%&|<>~^=+\\@]{2,}|[!?]{2,}")
+    r"|licensed under|released under|general public license|lorem ipsum|click here|share (?:this|on)|read more")
+BOILERPLATE = re.compile(FURNITURE, re.IGNORECASE)
+SEPARATORS = ("|", ">", "»", "›", "·", "•", "/", "~")
+NOISE = r"[#*$%&|<>~^=+\\@]{2,}|[!?]{2,}"
+_NOISE = re.compile(NOISE)
+_TEXT = re.compile(r"[^\W_]")
 
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
           "kept boolean, n_lines long, n_kept_lines long, lost_share double, cleaned string")
@@ -36,9 +39,9 @@ def line_verdict(line: str, n_words: int, separator_share: float = 0.3, noise_sh
     Punctuation: marks come doubled, or symbols in rows, at many of its words, or the line has no letter or digit at all.
     Navigation: separators stand between many of its words. Boilerplate: a short line with a known phrase.
     """
-    if len(_NOISE.findall(line)) > noise_share * n_words or not any(c.isalnum() for c in line):
+    if len(_NOISE.findall(line)) > noise_share * n_words or not _TEXT.search(line):
         return "punctuation"
-    if len(_SEPARATOR.findall(line)) > separator_share * n_words:
+    if sum(w in SEPARATORS for w in re.split(f"[{BREAKS}]+", line)) > separator_share * n_words:
         return "navigation"
     if n_words <= boilerplate_words and BOILERPLATE.search(line):
         return "boilerplate"

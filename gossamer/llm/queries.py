@@ -59,4 +59,52 @@ QUERIES = {
     "op7_pii": op7_pii, "op8_scores": op8_scores, "op9_repeats": op9_repeats,
     "op1_quality": op1_quality, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_urls": op4_urls, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing,
 }
-SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_SEPARATORS = ", ".join(f"'{c}'" for c in quality.SEPARATORS)
+OP1 = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT r, doc_id, text, regexp_extract_all(text, '{_WORD}') AS w FROM t),
+    grams AS (SELECT r, i, w[i:i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) x(i)),
+    twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
+    rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, unnest(range(3)) y(k) GROUP BY 1),
+    lines AS (SELECT r, line, regexp_extract_all(line, '{_WORD}') AS own FROM t, unnest(string_split(text, chr(10))) z(line)),
+    judged AS (SELECT r, line, length(line) AS chars, len(regexp_extract_all(line, '{quality.NOISE}')) > 0.3::DOUBLE * len(own) OR NOT regexp_matches(line, '[\p{{L}}\p{{N}}]')
+        OR len(list_filter(own, lambda x: x IN ({_SEPARATORS}))) > 0.3::DOUBLE * len(own) OR (len(own) <= 40 AND regexp_matches(line, '(?i){quality.FURNITURE}')) AS bad FROM lines WHERE len(own) > 0),
+    l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (NOT bad) AS n_kept, coalesce(sum(chars) FILTER (bad), 0)::DOUBLE AS lost, sum(chars)::DOUBLE AS chars FROM judged GROUP BY 1),
+    f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+      coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept_lines, coalesce(lost / nullif(chars, 0), 0) AS lost_share
+      FROM w LEFT JOIN rep USING (r) LEFT JOIN l USING (r))
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_share <= 0.5 AS kept FROM f"""
+
+_LAST = lambda n: f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+_STRENGTH = "(SELECT CASE WHEN whole IS NULL OR whole = 0 OR over IS NULL OR over <= 0 THEN 1000.0 ELSE least(greatest(whole / over - 1, 1.0), 1000.0) END FROM (SELECT sum(pow(bad - n * m, 2) - n * m * (1 - m)) AS over, sum(n * (n - 1) * m * (1 - m)) AS whole FROM {t}))"  # noqa: E501
+_RULES = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in sorted(urlfilter.RULES, key=lambda r: (-len(r[1] + r[2]), r)))
+_ACTIONS = " ".join(f"WHEN '{h}{p}' THEN '{a}'" for a, h, p in urlfilter.RULES)
+_UPPER, _LOWER = urlfilter.UPPER, urlfilter.LOWER
+OP4 = rf"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+    p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+    o AS (SELECT doc_id AS page_id, max(CASE WHEN coalesce(quality = 0, false) OR coalesce(toxic = 1, false) THEN 1 ELSE 0 END) AS bad FROM labels WHERE coalesce(quality, toxic) IS NOT NULL GROUP BY 1),
+    h AS (SELECT host, count(o.bad)::DOUBLE AS n, coalesce(sum(o.bad), 0)::DOUBLE AS bad, CASE WHEN regexp_matches(host, '(^|\.)[a-z]{{2,3}}\.[a-z]{{2}}$') THEN {_LAST(3)} ELSE {_LAST(2)} END AS domain, {_LAST(1)} AS suffix
+      FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+    d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2),
+    s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) FROM d) AS m FROM d GROUP BY 1),
+    s2 AS (SELECT suffix, (k * m + bad) / (k + n) AS m FROM s, (SELECT {_STRENGTH.format(t='s')} AS k)),
+    d1 AS (SELECT d.*, s2.m FROM d JOIN s2 USING (suffix)), d2 AS (SELECT domain, (k * m + bad) / (k + n) AS m FROM d1, (SELECT {_STRENGTH.format(t='d1')} AS k)),
+    h1 AS (SELECT h.*, d2.m FROM h JOIN d2 USING (domain)),
+    h2 AS (SELECT host, n, (k * m + bad) / (n + k) AS mean, n + k AS total FROM h1, (SELECT {_STRENGTH.format(t='h1')} AS k)),
+    j AS (SELECT *, mean - {urlfilter.Z}::DOUBLE * sqrt(mean * (1 - mean) / (total + 1)) AS lower FROM h2),
+    r AS (SELECT *, CASE {_RULES} END AS rule FROM p JOIN j USING (host))
+    SELECT page_id, host, path, rule, CASE rule {_ACTIONS} ELSE CASE WHEN lower > {urlfilter.THRESHOLD}::DOUBLE THEN 'block' ELSE 'allow' END END AS verdict, n::BIGINT AS n_labelled,
+      round(mean, 6) AS bad_share, round(lower, 6) AS bad_lower FROM r"""
+
+_SPLIT = "regexp_extract_all(translate({t}, '" + _UPPER + "', '" + _LOWER + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT.format(t="coalesce(text, '')")} AS w FROM documents),
+    i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SPLIT.format(t='text')} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+    win AS (SELECT DISTINCT item, array_to_string(w[p:p + 9], ' ') AS g, least(len(w), 10) AS n FROM i, unnest(range(1, greatest(len(w) - 8, 2))) x(p) WHERE len(w) > 0),
+    pos AS (SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM win) y, unnest(range(1, len(w) - n + 2)) x(p)),
+    hit AS (SELECT pos.r, pos.p, pos.n, win.item FROM pos JOIN win USING (g, n)),
+    c AS (SELECT r, count(DISTINCT p + k) AS n_hit FROM (SELECT DISTINCT r, p, n FROM hit), unnest(range(n)) z(k) GROUP BY 1),
+    it AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c USING (r) LEFT JOIN it USING (r)"""
+
+SQL: dict[str, str] = {"op1_quality": OP1, "op4_urls": OP4, "op5_decontamination": OP5}
