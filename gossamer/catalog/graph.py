@@ -240,21 +240,41 @@ def g6(spark, sf):
 
 # ── storms ──
 
-LINK = f"""a.topic = b.topic AND a.seq < b.seq AND abs(epoch_us(a.observed_at) - epoch_us(b.observed_at)) <= 10800000000 AND {J.hav('a.lat','a.lon','b.lat','b.lon')} <= 60"""
-table_sql("storm_pts", "SELECT seq, topic, lat, lon, observed_at, severity FROM crossings WHERE value >= 60")
-table_sql("storm_links", f"""SELECT a.seq AS u, b.seq AS v FROM storm_pts a JOIN storm_pts b ON {LINK}""")
-table_sql("storm_roots", """SELECT seq, min(r) AS story_id FROM (WITH RECURSIVE reach AS (SELECT seq, seq AS r FROM storm_pts
-    UNION SELECT CASE WHEN l.u = reach.seq THEN l.v ELSE l.u END, reach.r FROM reach JOIN storm_links l ON l.u = reach.seq OR l.v = reach.seq) SELECT * FROM reach) GROUP BY 1""")
+LINK = f"""a.topic = b.topic AND a.ref < b.ref AND abs(epoch_us(a.observed_at) - epoch_us(b.observed_at)) <= 10800000000 AND {J.hav('a.lat','a.lon','b.lat','b.lon')} <= 60"""
+
+
+def roots_sql(pts: str) -> tuple[str, str]:
+    return (f"SELECT a.ref AS u, b.ref AS v FROM {pts} a JOIN {pts} b ON {LINK}",
+            f"""SELECT ref, min(r) AS story_id FROM (WITH RECURSIVE reach AS (SELECT ref, ref AS r FROM {pts}
+    UNION SELECT CASE WHEN l.u = reach.ref THEN l.v ELSE l.u END, reach.r FROM reach JOIN {pts}_links l ON l.u = reach.ref OR l.v = reach.ref) SELECT * FROM reach) GROUP BY 1""")
+
+
+# members of storms: events where and when they opened, and warnings at their county's centre
+table_sql("storm_pts", """SELECT 'event:' || event_id AS ref, topic, arg_min(lat, seq) AS lat, arg_min(lon, seq) AS lon, min(observed_at) AS observed_at, max(severity) AS severity FROM event_members GROUP BY event_id, topic
+    UNION ALL SELECT 'alert:' || alert_id, 'ops', c.lat, c.lon, sent, a.severity / 4.0::DOUBLE FROM alert_rows a JOIN dim_county c USING (county_id)""")
+table_sql("cross_pts", "SELECT seq AS ref, topic, lat, lon, observed_at, severity FROM crossings")
+for _pts, _roots in (("storm_pts", "storm_roots"), ("cross_pts", "cross_roots")):
+    _l, _r = roots_sql(_pts)
+    table_sql(f"{_pts}_links", _l)
+    table_sql(_roots, _r)
 
 
 def storm_members(spark, sf):
+    ev = events(spark, sf).select(F.concat(F.lit("event:"), "event_id").alias("ref"), "topic", "lat", "lon", F.col("opened_at").alias("observed_at"), "severity")
+    c = A.dim_county(spark, sf).select("county_id", "lat", "lon")
+    al = A.alert_rows(spark, sf).join(c, "county_id").select(F.concat(F.lit("alert:"), F.col("alert_id").cast("string")).alias("ref"), F.lit("ops").alias("topic"), "lat", "lon",
+                                                             F.col("sent").alias("observed_at"), (F.col("severity") / 4.0).alias("severity"))
+    return ev.unionByName(al)
+
+
+def crossing_points(spark, sf):
     from gossamer.operators.filters import crossings
 
-    c = crossings(A.signals(spark, sf).join(F.broadcast(A.dim_metric(spark).drop("topic")), "metric")).filter("value >= 60")
+    c = crossings(A.signals(spark, sf).join(F.broadcast(A.dim_metric(spark).drop("topic")), "metric"))
     return c.select(F.col("seq").alias("ref"), "topic", "lat", "lon", "observed_at", "severity")
 
 
-@query("g5_stories_components", "SELECT seq AS ref, story_id FROM storm_roots")
+@query("g5_stories_components", "SELECT ref, story_id FROM storm_roots")
 def g5c(spark, sf):
     return ST.stories_components(storm_members(spark, sf)).select("ref", "story_id")
 
@@ -264,38 +284,32 @@ def g5r(spark, sf):
     return ST.stories_replay(storm_members(spark, sf))
 
 
-@query("t2_stories_ranked", """SELECT topic, story_id, count(*) AS n_members, max(severity) AS severity FROM storm_pts JOIN storm_roots USING (seq) GROUP BY 1, 2
+@query("t2_stories_ranked", """SELECT topic, story_id, count(*) AS n_members, max(severity) AS severity FROM storm_pts JOIN storm_roots USING (ref) GROUP BY 1, 2
     ORDER BY severity DESC, max(observed_at) DESC, story_id LIMIT 20""")
 def t2(spark, sf):
     rows = ST.story_rows(ST.stories_components(storm_members(spark, sf)))
     return ST.stories_ranked(rows, 20).select("topic", "story_id", "n_members", "severity")
 
 
-@query("j34_story_of_event", "SELECT event_id, seq, story_id FROM event_members JOIN storm_roots USING (seq)")
+@query("j34_story_of_event", "SELECT event_id, story_id FROM event_rows e JOIN storm_roots r ON r.ref = 'event:' || e.event_id")
 def j34(spark, sf):
-    return ST.story_of_event(members(spark, sf).select("event_id", "seq"), ST.stories_components(storm_members(spark, sf)))
+    return ST.story_of_event(events(spark, sf).select("event_id"), ST.stories_components(storm_members(spark, sf)))
 
 
-FACTS = """(SELECT story_id, 0 AS part, epoch_us(sent)::DOUBLE AS "key", CAST(alert_id AS VARCHAR) AS id FROM (SELECT s.seq % 97 AS story_id, alert_id, sent FROM alert_rows a JOIN storm_pts s ON s.seq = a.alert_id)
+FACTS = """(SELECT story_id, 0 AS part, epoch_us(sent)::DOUBLE AS "key", CAST(alert_id AS VARCHAR) AS id FROM alert_rows a JOIN storm_roots r ON r.ref = 'alert:' || a.alert_id
     UNION ALL SELECT story_id, 1, rk::DOUBLE, event_id FROM (SELECT story_id, event_id, row_number() OVER (PARTITION BY story_id ORDER BY severity DESC, event_id) AS rk FROM (
-    SELECT seq % 97 AS story_id, event_id, max(severity) AS severity FROM event_members WHERE value >= 60 GROUP BY 1, 2)) WHERE rk <= 5)"""
+    SELECT story_id, event_id, severity FROM event_rows e JOIN storm_roots r ON r.ref = 'event:' || e.event_id)) WHERE rk <= 5)"""
 
 
-def fact_inputs(spark, sf):
-    pts = storm_members(spark, sf).select(F.col("ref").alias("seq"))
-    al = A.alert_rows(spark, sf).join(pts.select(F.col("seq").alias("alert_id")), "alert_id", "left_semi").select(
-        (F.col("alert_id") % 97).alias("story_id"), "alert_id", "sent")
-    ev = members(spark, sf).filter("value >= 60").groupBy((F.col("seq") % 97).alias("story_id"), "event_id").agg(F.max("severity").alias("severity"))
-    return ev, al
+def facts(spark, sf):
+    return ST.storm_facts(ST.stories_components(storm_members(spark, sf)), events(spark, sf).select("event_id", "severity"), A.alert_rows(spark, sf).select("alert_id", "sent"))
 
 
 @query("a34_storm_facts", f'SELECT story_id, part, "key", id FROM {FACTS}')
 def a34(spark, sf):
-    ev, al = fact_inputs(spark, sf)
-    return ST.storm_facts(None, ev, al)
+    return facts(spark, sf)
 
 
 @query("x37_template_brief", f"""SELECT story_id, string_agg(CASE part WHEN 0 THEN 'alert ' ELSE 'event ' END || id, '; ' ORDER BY part, "key", id) AS brief FROM {FACTS} GROUP BY 1""")
 def x37(spark, sf):
-    ev, al = fact_inputs(spark, sf)
-    return ST.template_brief(ST.storm_facts(None, ev, al))
+    return ST.template_brief(facts(spark, sf))

@@ -59,7 +59,7 @@ def public_events(spark, sf):
     sc = GR.scored(spark, sf).select("event_id", "witnesses", "n_reference", "n_sensors", "n_reference_sensors", "verified", "score")
     c = A.dim_county(spark, sf).select("county_id", F.col("name").alias("county_name"), F.bround("lat", 4).alias("pub_lat"), F.bround("lon", 4).alias("pub_lon"))
     m = A.dim_metric(spark).select("metric", "label", "radius_km")
-    e = GR.events(spark, sf).drop("lat", "lon").join(sc, "event_id").join(F.broadcast(c), "county_id").join(F.broadcast(m), "metric")
+    e = GR.events(spark, sf).drop("lat", "lon").join(sc, "event_id").join(c, "county_id").join(F.broadcast(m), "metric")
     return e.withColumn("title", F.concat("label", F.lit(" "), X.nice_number("peak"), F.lit(" — "), "county_name")).withColumn("category", F.lit("Other"))
 
 
@@ -73,15 +73,16 @@ def k3(spark, sf):
                     "properties.status", "properties.sensors", F.round("properties.score", 3).alias("score"))
 
 
-@query("k4_write_storms_geojson", """SELECT story_id, round_even(avg(c.lon), 4) AS lon, round_even(avg(c.lat), 4) AS lat, count(*) AS n_members FROM storm_roots JOIN signals USING (seq) JOIN dim_county c USING (county_id) GROUP BY 1""")
+@query("k4_write_storms_geojson", """SELECT story_id, round_even(avg(c.lon), 4) AS lon, round_even(avg(c.lat), 4) AS lat, count(*) AS n_members FROM storm_roots r JOIN (SELECT 'event:' || event_id AS ref, county_id FROM event_rows UNION ALL SELECT 'alert:' || alert_id, county_id FROM alert_rows) w USING (ref) JOIN dim_county c USING (county_id) GROUP BY 1""")
 def k4(spark, sf):
     lab = ST.stories_components(GR.storm_members(spark, sf))
     c = A.dim_county(spark, sf).select("county_id", F.col("lat").alias("pub_lat"), F.col("lon").alias("pub_lon"))
-    where = A.signals(spark, sf).select(F.col("seq").alias("ref"), "county_id").join(F.broadcast(c), "county_id")
+    where = GR.events(spark, sf).select(F.concat(F.lit("event:"), "event_id").alias("ref"), "county_id").unionByName(
+        A.alert_rows(spark, sf).select(F.concat(F.lit("alert:"), F.col("alert_id").cast("string")).alias("ref"), "county_id")).join(c, "county_id")
     m = lab.select("ref", "story_id").join(where, "ref")
     path = shared_path(spark, "storms-geojson")
     PB.storms_geojson(m, ST.story_rows(lab)).select("feature").write.text(path)
-    b = spark.read.schema("id long, geometry struct<coordinates: array<double>>, properties struct<n_members: long>").json(path)
+    b = spark.read.schema("id string, geometry struct<coordinates: array<double>>, properties struct<n_members: long>").json(path)
     return b.select(F.col("id").alias("story_id"), F.get("geometry.coordinates", F.lit(0)).alias("lon"), F.get("geometry.coordinates", F.lit(1)).alias("lat"), "properties.n_members")
 
 
@@ -96,10 +97,10 @@ def k5(spark, sf):
 
 
 @query("k6_write_research_tables", f"""SELECT seq, topic, CASE WHEN kind IN {REFS} THEN CAST(sensor_id AS VARCHAR) ELSE 's-' || substr(sha1(CAST(sensor_id AS VARCHAR)), 1, 5) END AS sensor,
-    CASE WHEN kind IN {REFS} THEN lat END AS lat, CASE WHEN kind IN {REFS} THEN lon END AS lon, quality FROM assessed WHERE (kind IN {PEOPLE} OR kind = 'official') AND observed_at >= {NOW} - INTERVAL 480 HOURS""")
+    CASE WHEN kind IN {REFS} THEN lat END AS lat, CASE WHEN kind IN {REFS} THEN lon END AS lon, quality FROM assessed WHERE (kind IN {PEOPLE} OR kind = 'official') AND observed_at >= {NOW} - INTERVAL 2160 HOURS""")
 def k6(spark, sf):
     path = shared_path(spark, "research")
-    PB.write_research_tables({"readings": PB.research_readings(A.assessed(spark, sf), now(spark, sf), 20), "sensors": PB.research_sensors(A.sensors(spark, sf)),
+    PB.write_research_tables({"readings": PB.research_readings(A.assessed(spark, sf), now(spark, sf)), "sensors": PB.research_sensors(A.sensors(spark, sf)),
                               "counties": A.dim_county(spark, sf), "metrics": A.dim_metric(spark)}, path)
     return spark.read.parquet(f"{path}/readings").select("seq", "topic", "sensor", "lat", "lon", "quality")
 

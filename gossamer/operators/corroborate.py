@@ -61,18 +61,20 @@ def neighbor_pairs(signals: DataFrame, dim_metric: DataFrame, *, earlier_only: b
     return within(left, right, ["metric"], "radius_km", "_w", "_w", extra=extra).drop("_w")
 
 
-def closest_per_sensor(pairs: DataFrame) -> DataFrame:
+_LAST = 2**62 - 1  # row numbers stay below
+
+
+def closest_per_sensor(pairs: DataFrame, own: DataFrame, others: DataFrame) -> DataFrame:
     """One neighbour reading per (reading, other sensor): least time apart, then newest, then latest row.
 
-    A partially aggregated min, so the pairs shrink before they shuffle.
+    The order is one number per pair, a plain minimum that hash aggregation combines before the shuffle; of two readings equally far off one is
+    later and one earlier, which is one bit. Columns of both sides are joined to the few pairs that stay.
     """
-    dt = F.abs(F.unix_micros("o_observed_at") - F.unix_micros("observed_at"))
-    rank = F.struct(dt.alias("dt"), (-F.unix_micros("o_observed_at")).alias("t"), (-F.col("o_seq")).alias("s"))
-    keep = ["o_seq", "o_kind", "o_value", "o_observed_at", "o_lat", "o_lon", "o_precision", "km"]
-    own = ["sensor_id", "kind", "topic", "metric", "value", "observed_at", "lat", "lon", "precision", "is_flag", "tol_abs", "tol_rel"]
-    g = pairs.groupBy("seq", "o_sensor_id").agg(
-        F.min_by(F.struct(*keep), rank).alias("o"), *[F.first(c).alias(c) for c in own])
-    return g.select("seq", "o_sensor_id", *own, "o.*")
+    gap = F.unix_micros("o_observed_at") - F.unix_micros("observed_at")
+    rank = (F.abs(gap) * 2 + (gap < 0).cast("long")).cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + (F.lit(_LAST) - F.col("o_seq")).cast("decimal(19,0)")
+    best = pairs.groupBy("seq", "o_sensor_id").agg(F.min(rank).alias("r"))
+    best = best.select("seq", (F.lit(_LAST) - (F.col("r") % F.lit(2**62).cast("decimal(19,0)")).cast("long")).alias("o_seq"))
+    return best.join(own, "seq").join(others, "o_seq").withColumn("km", geo.haversine_km("lat", "lon", "o_lat", "o_lon"))
 
 
 def judged(closest: DataFrame) -> DataFrame:
@@ -86,7 +88,10 @@ def judged_neighbors(signals: DataFrame, dim_metric: DataFrame) -> DataFrame:
     a job that needs several of them checkpoints it and runs the range join once.
     """
     pairs = neighbor_pairs(signals, dim_metric, earlier_only=True, same_period=True, left_filter=X.is_people() & F.col("scored"))
-    return judged(closest_per_sensor(pairs))
+    cols = ["seq", "sensor_id", "kind", "value", "observed_at", "lat", "lon", "precision"]
+    own = with_metric(signals.filter(X.is_people()).select(*cols, "topic", "metric"), dim_metric.drop("topic"), ["is_flag", "tol_abs", "tol_rel"])
+    others = signals.select(*[F.col(c).alias(f"o_{c}") for c in cols])
+    return judged(closest_per_sensor(pairs, own, others))
 
 
 def corroborate(j: DataFrame) -> DataFrame:

@@ -59,14 +59,14 @@ def replay(pdf: pd.DataFrame) -> pd.DataFrame:
     """Members of one block in time order: join the nearest open story within 60 km of its centroid and active in the
     last 3 h, else open one; then fold stories whose centroids have come within 60 km (the older survives)."""
     pdf = pdf.sort_values(["t", "ref"], kind="stable")
-    live: dict[int, list] = {}          # story -> [n, sum lat, sum lon, last t]
-    moved: dict[int, int] = {}
+    live: dict = {}          # story -> [n, sum lat, sum lon, last t]
+    moved: dict = {}
     label = []
     for lat, lon, t, ref in zip(pdf["lat"], pdf["lon"], pdf["t"], pdf["ref"]):
         for sid in [s for s, v in live.items() if v[3] < t - STORY_US]:
             del live[sid]
         best = min(((_km(lat, lon, v[1] / v[0], v[2] / v[0]), s) for s, v in live.items()), default=None)
-        sid = best[1] if best is not None and best[0] <= STORY_KM else int(ref)
+        sid = best[1] if best is not None and best[0] <= STORY_KM else ref
         v = live.setdefault(sid, [0, 0.0, 0.0, t])
         v[0], v[1], v[2], v[3] = v[0] + 1, v[1] + lat, v[2] + lon, max(v[3], t)
         label.append(sid)
@@ -92,7 +92,8 @@ def replay(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _replay_arrow(table):
     out = replay(table.to_pandas())
-    return pa.table({"ref": pa.array(out["ref"], pa.int64()), "story_id": pa.array(out["story_id"], pa.int64())})
+    kind = table.schema.field("ref").type
+    return pa.table({"ref": pa.array(out["ref"], kind), "story_id": pa.array(out["story_id"], kind)})
 
 
 BLOCK_DEG = 0.5
@@ -148,13 +149,14 @@ def stories_replay(members: DataFrame) -> DataFrame:
     (by aggregated buckets). A storm's centre lies in the box of its members, so members whose boxes stay over 60 km
     apart cannot meet either: boxes are merged over one row per half-degree cell, a number set by the map's area.
     """
+    kind = members.schema["ref"].dataType.simpleString()
     marks = sessions(members, ["topic"], "observed_at", STORY_US)
     m = members.withColumn("_b", bucket_of("observed_at", STORY_US)).join(marks, ["topic", "_b"])
     m = m.withColumn("_y", F.floor(F.col("lat") / BLOCK_DEG).cast("long")).withColumn("_x", F.floor(F.col("lon") / BLOCK_DEG).cast("long"))
     cells = m.groupBy("topic", "session_at", "_y", "_x").agg(F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1"))
     blocks = cells.groupBy("topic", "session_at").applyInArrow(_block_arrow, "topic string, session_at long, _y long, _x long, block long")
     rows = m.join(blocks, ["topic", "session_at", "_y", "_x"]).select("topic", "session_at", "block", "ref", "lat", "lon", F.unix_micros("observed_at").alias("t"))
-    return rows.groupBy("topic", "session_at", "block").applyInArrow(_replay_arrow, "ref long, story_id long")
+    return rows.groupBy("topic", "session_at", "block").applyInArrow(_replay_arrow, f"ref {kind}, story_id {kind}")
 
 
 def story_rows(labelled: DataFrame, now=None) -> DataFrame:
@@ -169,20 +171,22 @@ def stories_ranked(stories: DataFrame, limit: int) -> DataFrame:
     return stories.orderBy(F.desc("severity"), F.desc("updated_at"), "story_id").limit(limit)
 
 
-def story_of_event(members: DataFrame, labelled: DataFrame) -> DataFrame:
-    """J34."""
-    return members.join(labelled.select(F.col("ref").alias("seq"), "story_id"), "seq").select("event_id", "seq", "story_id")
+def story_of_event(events: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The storm of each event; members are named event:<id> and alert:<id>."""
+    return events.withColumn("ref", F.concat(F.lit("event:"), F.col("event_id").cast("string"))).join(labelled.select("ref", "story_id"), "ref").drop("ref")
 
 
 def storm_facts(labelled: DataFrame, events: DataFrame, alerts: DataFrame, per_story: int = 5) -> DataFrame:
-    """Numbered facts of each story: its alerts in order, then its most severe events.
+    """Numbered facts of each storm: its alerts in order, then its most severe events.
 
-    Facts are ranked per story in two levels, alerts kept whole.
+    Facts are ranked per storm in two levels, alerts kept whole. ``events`` (event_id, severity), ``alerts`` (alert_id, sent).
     """
     from gossamer.operators.rollups import top_per_key
 
-    a = alerts.select("story_id", F.lit(0).alias("part"), F.unix_micros("sent").cast("double").alias("key"), F.col("alert_id").cast("string").alias("id"))
-    e = events.select("story_id", "severity", F.col("event_id").alias("id"))
+    of = labelled.select("ref", "story_id")
+    a = alerts.withColumn("ref", F.concat(F.lit("alert:"), F.col("alert_id").cast("string"))).join(of, "ref").select(
+        "story_id", F.lit(0).alias("part"), F.unix_micros("sent").cast("double").alias("key"), F.col("alert_id").cast("string").alias("id"))
+    e = story_of_event(events, labelled).select("story_id", "severity", F.col("event_id").alias("id"))
     e = top_per_key(e, ["story_id"], [F.desc("severity"), F.asc("id")], per_story, "id")
     e = e.select("story_id", F.lit(1).alias("part"), F.col("rank").cast("double").alias("key"), "id")
     return a.unionByName(e)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gossamer.plans.bounded import bounded_rows
 from gossamer.plans.bucketed import lag_columns
 from gossamer.plans.components import components
+from gossamer.session import checkpointed
 
 ABSENT_US = 90 * 10**6
 SUSPECT_EMPTY = 3
@@ -34,63 +37,75 @@ def thread_rows(alerts: DataFrame, threads: DataFrame, now: Column) -> DataFrame
                     F.when(over, F.col("n.expires")).alias("ended_at"))
 
 
+HOUR_US, DAY_US = 3600 * 10**6, 86400 * 10**6
+MAX_DAYS = 200_000  # days with a fetch or a change: five centuries
+
+
 def thread_lifecycle(threads: DataFrame, manifests: DataFrame, seen: DataFrame) -> DataFrame:
     """How and when each thread ended, from fetch manifests.
 
     ``threads`` (thread_id, current_id, updated_at, expires); ``manifests`` (fetch_at, n_ids) one row per successful
     fetch; ``seen`` (fetch_at, alert_id). A thread is cancelled at the first fetch at least 90 s after the first fetch
     of the absence run that follows its last sighting; it expires when a fetch finds its end passed. An empty fetch with
-    three or more threads in force is a glitch and says nothing.
+    three or more threads in force, by their own ends, is a glitch and says nothing.
     """
-    from pyspark.sql import Window as W
-
     f = manifests.select(F.unix_micros("fetch_at").alias("f"), "n_ids")
     t = threads.select("thread_id", "current_id", F.unix_micros("updated_at").alias("u"), F.unix_micros("expires").alias("x"))
-    # threads in force at each fetch, by prefix sums over the fetch axis (starts minus ends), not by a range join
-    steps = (t.select(F.col("u").alias("at"), F.lit(1).alias("d"))
-             .unionByName(t.filter(F.col("x").isNotNull()).select(F.col("x").alias("at"), F.lit(-1).alias("d"))).groupBy("at").agg(F.sum("d").alias("d")))
-    axis = f.select(F.col("f").alias("at"), F.lit(0).alias("d"), "n_ids", F.lit(1).alias("is_fetch")).unionByName(
-        steps.select("at", "d", F.lit(None).cast("long").alias("n_ids"), F.lit(0).alias("is_fetch")))
-    day = F.floor(F.col("at") / F.lit(86400 * 10**6))
-    axis = axis.withColumn("_d", day)
-    base = axis.groupBy("_d").agg(F.sum("d").alias("_t"))
-    base = base.withColumn("_before", F.coalesce(F.sum("_t").over(W.orderBy("_d").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    force = axis.join(F.broadcast(base), "_d").withColumn(
-        "in_force", F.col("_before") + F.sum("d").over(W.partitionBy("_d").orderBy("at", F.col("is_fetch"))))
-    good = force.filter((F.col("is_fetch") == 1) & ~((F.col("n_ids") == 0) & (F.col("in_force") >= SUSPECT_EMPTY))).select(F.col("at").alias("f"))
+    good = checkpointed(f.filter("n_ids > 0").select("f").unionByName(_trusted_empty(f.filter("n_ids = 0").select("f"), t)).distinct())
     last_seen = seen.groupBy("alert_id").agg(F.max(F.unix_micros("fetch_at")).alias("last"))
-    t = t.join(last_seen, t.current_id == last_seen.alert_id, "left").drop("alert_id").withColumn(
-        "_from", F.greatest("u", F.coalesce("last", F.col("u") - 1)))
-    # first good fetch after an instant: fetches are put in hour buckets with the next fetch of later buckets carried back
-    hour = 3600 * 10**6
-    missing = next_at_or_after(t.withColumn("_p", F.col("_from") + 1), "thread_id", "_p", good, hour, "missing_at")
-    gone = next_at_or_after(missing.withColumn("_p", F.col("missing_at") + ABSENT_US), "thread_id", "_p", good, hour, "cancel_at")
-    every = f.select("f")
-    done = next_at_or_after(gone.withColumn("_p", F.col("x")), "thread_id", "_p", every, hour, "expire_at")
+    t = t.join(last_seen, t.current_id == last_seen.alert_id, "left").select("thread_id", "x", (F.greatest("u", F.coalesce("last", F.col("u") - 1)) + 1).alias("_p"))
+    days = _day_firsts(good)
+    missing = next_at_or_after(t, "_p", good, days, "missing_at").withColumn("_p", F.col("missing_at") + ABSENT_US)
+    gone = next_at_or_after(missing, "_p", good, days, "cancel_at").withColumn("_p", F.col("x"))
+    every = f.select("f").distinct()
+    done = next_at_or_after(gone, "_p", every, _day_firsts(every), "expire_at")
     reason = F.when(F.col("expire_at").isNotNull() & (F.col("cancel_at").isNull() | (F.col("expire_at") <= F.col("cancel_at"))), "expired") \
         .when(F.col("cancel_at").isNotNull(), "cancelled")
     return done.select("thread_id", reason.alias("reason"), F.least("expire_at", "cancel_at").alias("ended_us"))
 
 
-def next_at_or_after(rows: DataFrame, row_id: str, at: str, ticks: DataFrame, width_us: int, name: str) -> DataFrame:
-    """Add the first tick ``f`` at or after each row's ``at`` (microseconds), NULL when none.
+def _trusted_empty(empty: DataFrame, t: DataFrame) -> DataFrame:
+    """Empty fetches with fewer than three threads in force: starts minus ends so far, summed within the hour, over the hours of the day, and over days."""
+    steps = t.select(F.col("u").alias("at"), F.lit(1).alias("d")).unionByName(t.filter("x IS NOT NULL").select(F.col("x").alias("at"), F.lit(-1).alias("d")))
+    steps = steps.groupBy("at").agg(F.sum("d").alias("d"))
+    axis = steps.select("at", "d", F.lit(0).alias("is_fetch")).unionByName(empty.distinct().select(F.col("f").alias("at"), F.lit(0).cast("long").alias("d"), F.lit(1).alias("is_fetch")))
+    axis = axis.withColumns({"_h": F.floor(F.col("at") / HOUR_US), "_d": F.floor(F.col("at") / DAY_US)})
+    hours = axis.groupBy("_d", "_h").agg(F.sum("d").alias("n"))
+    before, rows = 0, []
+    for day, n in sorted(bounded_rows(hours.groupBy("_d").agg(F.sum("n").alias("n")), MAX_DAYS)):
+        rows.append((day, before))
+        before += n
+    days = t.sparkSession.createDataFrame(rows, "_d long, _days long")
+    in_day = F.coalesce(F.sum("n").over(W.partitionBy("_d").orderBy("_h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    hours = hours.withColumn("_hours", in_day).join(days, "_d").select("_h", (F.col("_hours") + F.col("_days")).alias("_before"))
+    force = F.col("_before") + F.sum("d").over(W.partitionBy("_h").orderBy("at", "is_fetch"))
+    return axis.join(hours, "_h").withColumn("in_force", force).filter((F.col("is_fetch") == 1) & (F.col("in_force") < SUSPECT_EMPTY)).select(F.col("at").alias("f"))
+
+
+def _day_firsts(ticks: DataFrame) -> list[tuple[int, int]]:
+    """(day, first tick) of every day that has one."""
+    return sorted((r["d"], r["f"]) for r in bounded_rows(ticks.groupBy(F.floor(F.col("f") / DAY_US).alias("d")).agg(F.min("f").alias("f")), MAX_DAYS))
+
+
+def next_at_or_after(rows: DataFrame, at: str, ticks: DataFrame, days: list[tuple[int, int]], name: str) -> DataFrame:
+    """Add the first tick ``f`` at or after each row's ``at`` (microseconds) as ``name``, NULL when none; ``at`` is dropped.
 
-    Ticks and rows meet inside a time bucket; a row with no tick left in its bucket takes the first tick of the next
-    non-empty bucket, from a table with one row per bucket.
+    Ticks and rows are put in one order inside each hour; past the hour the first tick of the day's later hours counts, past the day that of the
+    next day in ``days``.
     """
-    from pyspark.sql import Window as W
-
-    w = F.lit(width_us)
-    tk = ticks.select("f", F.floor(F.col("f") / w).alias("_b"))
-    firsts = tk.groupBy("_b").agg(F.min("f").alias("_first"))
-    nxt = firsts.withColumn("_later", F.lead("_first").over(W.orderBy("_b"))).select("_b", "_first", "_later")
-    r = rows.withColumn("_b", F.floor(F.col(at) / w))
-    inner = r.select(row_id, F.col(at).alias("_at"), "_b").join(tk, "_b").filter(F.col("f") >= F.col("_at")).groupBy(row_id).agg(F.min("f").alias("_in"))
-    # bucket table extended so that a row in an empty bucket still finds the following one
-    span = r.select("_b").filter(F.col("_b").isNotNull()).distinct().join(firsts, "_b", "left")
-    all_b = span.unionByName(nxt.select("_b", "_first")).groupBy("_b").agg(F.max("_first").alias("_first"))
-    after = all_b.withColumn("_after", F.first("_first", ignorenulls=True).over(W.orderBy("_b").rowsBetween(1, W.unboundedFollowing))).select("_b", "_after")
-    return r.join(inner, row_id, "left").join(after, "_b", "left").withColumn(name, F.coalesce("_in", "_after")).drop("_in", "_after", "_b", at if at == "_p" else "_b")
+    own = [F.col(c) for c in rows.columns]
+    both = rows.select(F.struct(*own).alias("r"), F.col(at).alias("_at")).unionByName(ticks.select(F.lit(None).cast(rows.select(F.struct(*own).alias("r")).schema["r"].dataType).alias("r"), F.col("f").alias("_at")))
+    f = F.when(F.col("r").isNull(), F.col("_at"))
+    both = both.withColumns({"_h": F.floor(F.col("_at") / HOUR_US), "_d": F.floor(F.col("_at") / DAY_US)})
+    on = W.partitionBy("_h").orderBy("_at", F.col("r").isNull()).rowsBetween(0, W.unboundedFollowing)
+    later = W.partitionBy("_d").orderBy("_h").rowsBetween(1, W.unboundedFollowing)
+    hours = both.groupBy("_d", "_h").agg(F.min(f).alias("_first")).select("_h", F.first("_first", ignorenulls=True).over(later).alias("_today"))
+    found = both.withColumn("_now", F.first(f, ignorenulls=True).over(on)).filter("r IS NOT NULL").join(hours, "_h", "left")
+    table = F.lit([d for d, _ in days]).cast("array<long>"), F.lit([x for _, x in days]).cast("array<long>")
+    # days are sorted: as many as do not lie after the row's own precede the one looked for
+    passed = F.size(F.filter(table[0], lambda d: d <= F.col("_d")))
+    tomorrow = F.get(table[1], passed)
+    return found.select("r.*", F.coalesce("_now", "_today", F.when(F.col("_at").isNotNull(), tomorrow)).alias(name)).drop(at)
 
 
 def impact_rises(versions: DataFrame) -> DataFrame:

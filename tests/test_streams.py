@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gossamer.catalog.graph import storm_members
+from gossamer.catalog.graph import crossing_points
 from gossamer.operators import stories as ST
 from gossamer.sources import adapter as A
 from gossamer.streaming import jobs as J
@@ -17,7 +17,7 @@ def parts(df, order, folder, n=3):
 
 
 def test_stories_over_batches(spark, sf, tmp_path):
-    m = storm_members(spark, sf)
+    m = crossing_points(spark, sf)
     parts(m, "observed_at", tmp_path / "in")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.schema)
     got = J.stories(J.landed(spark, str(tmp_path / "in"), schema, files_per_batch=1), "stories-test")
