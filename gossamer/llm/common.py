@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def broadcast(spark: SparkSession, value) -> Broadcast:
+    """A model for Python workers; ``pickle.loads`` of the broadcast's value gives it back. Its classes travel with it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def is_held_out(doc_id, mod: int, rest: int):
     """crc32 of the id's text leaves ``rest``; a null id is hashed as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == rest

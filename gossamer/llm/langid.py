@@ -13,12 +13,14 @@ for itself. Long texts are labelled whole.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import BLOCK_BYTES
+from gossamer.llm.common import BLOCK_BYTES, broadcast
 
 SAMPLE_ROWS = 2000
 SWITCH = 8.0
@@ -198,13 +200,13 @@ def _labelled(texts_: list[str], model: Model, switch: float):
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     """``docs`` (any columns, among them text) with lang_pred, score and spans (start, end in characters, lang)."""
     span = "array<struct<start:long,end:long,lang:string>>"
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcast(docs.sparkSession, model)
     names = docs.columns
     schema = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast(span).alias("spans")).schema
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches):
-        m = shared.value
+        m = pickle.loads(shared.value)
         for b in batches:
             out: list = []
             for part in _parts([t.as_py() or "" for t in b.column("text")], 4 * BLOCK_BYTES):
