@@ -15,10 +15,11 @@ from gossamer.session import checkpointed, shared_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: a null, empty or letterless text goes, as does one where no language has half of the letters."""
+    """Documents with a language: a null, empty or letterless text goes, as does one where no language has three tenths of the letters. Texts in two or three
+    languages stay."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     found = langid.identify(docs, langid.fit(labelled))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select("row.*")
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.3)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
