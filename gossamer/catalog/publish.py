@@ -8,8 +8,9 @@ from gossamer.catalog import aggregates as AG
 from gossamer.catalog import graph as GR
 from gossamer.catalog.filters import NOW, ONOW, now
 from gossamer.catalog.joins import PEOPLE
-from gossamer.catalog.registry import query, table_sql
+from gossamer.catalog.registry import SQL, query, table_sql
 from gossamer.functions import scalars as X
+from gossamer.operators import measures as M
 from gossamer.operators import publish as PB
 from gossamer.operators import rollups as R
 from gossamer.operators import stories as ST
@@ -23,21 +24,31 @@ REFS = "('station','official','authority')"
 
 @query("k1_write_digest_tables", f"""SELECT 'contributors' AS tab, coalesce(count(*), 0) AS n, coalesce(sum(n_), 0)::BIGINT AS total FROM (SELECT count(*) AS n_ FROM sensors s JOIN assessed g USING (sensor_id) WHERE s.kind IN {PEOPLE} AND s.status = 'active'
       AND g.received_at >= {NOW} - INTERVAL 336 HOURS GROUP BY sensor_id, trust_prior ORDER BY count(*) FILTER (quality = 'corroborated') DESC, n_ DESC, sensor_id LIMIT 10)
-    UNION ALL SELECT 'official-alerts', count(*), NULL FROM recap UNION ALL SELECT 'reading-list', 0, NULL
+    UNION ALL SELECT 'official-alerts', count(*), NULL FROM recap
+    UNION ALL SELECT 'reading-list', count(*), sum(relevance)::BIGINT FROM ({SQL['t4_reading_list']})
+    UNION ALL SELECT 'station-extremes', count(*), round(sum(value))::BIGINT FROM ({SQL['a18_station_extremes']})
+    UNION ALL SELECT 'network-vitals', count(*), round(sum(value))::BIGINT FROM ({SQL['a3_vitals']})
+    UNION ALL SELECT 'events', count(*), sum(n_signals)::BIGINT FROM pub_events WHERE updated_us >= epoch_us({NOW} - INTERVAL 168 HOURS)
     UNION ALL SELECT 'county-activity', count(*), sum(n)::BIGINT FROM (SELECT count(*) AS n FROM assessed WHERE observed_at >= {NOW} - INTERVAL 168 HOURS AND quality <> 'rejected' GROUP BY county_id, metric)""")
 def k1(spark, sf):
     n = now(spark, sf)
     a = A.assessed(spark, sf)
     mesh = R.mesh(a, n, 168).select(F.col("county_id").alias("county_fips"), F.col("metric").alias("metric_key"), "n", "n_human", "n_sensors", F.col("mean_value").alias("mean"), F.col("max_value").alias("max"), "latest")
     board = R.leaderboard(a, A.sensors(spark, sf), n, 14).select(X.public_handle("sensor_id").alias("name"), F.col("county_id").alias("county"), F.col("trust_prior").alias("trust"), "n", "n_corr")
-    empty = a.select("metric").limit(0)
-    tables = {"events": empty, "official-alerts": AG.recap(spark, sf), "county-activity": mesh, "station-extremes": empty, "contributors": board, "reading-list": empty, "network-vitals": empty}
+    ev = public_events(spark, sf).filter(F.col("updated_at") >= hours_before(n, 168)).select(
+        "opened_at", "updated_at", "topic", "metric", F.col("label").alias("metric_label"), "title", F.col("county_name").alias("county_label"), F.col("county_id").alias("county_fips"), F.col("pub_lat").alias("lat"),
+        F.col("pub_lon").alias("lon"), F.col("peak").alias("peak_value"), X.nice_number("peak").alias("peak_display"), "score", "severity", "n_signals", "n_sensors", "n_reference", "verified", "status")
+    extremes = R.station_extremes(R.mesh(a, n, 168, stations_only=True), AG.WANTED).select("metric", "how", "value", F.col("county_id").alias("county"))
+    vitals = R.vitals(a, A.sensors(spark, sf), GR.events(spark, sf), A.alert_rows(spark, sf), A.subscriptions(spark, sf), A.dim_county(spark, sf), n).select(F.col("name").alias("metric"), "value")
+    items = A.items(spark, sf).filter("relevance IS NOT NULL")
+    reading = M.reading_list(items, ["ier"], 30)
+    tables = {"events": ev, "official-alerts": AG.recap(spark, sf), "county-activity": mesh, "station-extremes": extremes, "contributors": board, "reading-list": reading, "network-vitals": vitals}
     path = shared_path(spark, "digest")
     PB.write_digest_tables(tables, path)
     out = None
-    for t, total in (("contributors", "n"), ("official-alerts", None), ("reading-list", None), ("county-activity", "n")):
+    for t, total in (("contributors", "n"), ("official-alerts", None), ("reading-list", "relevance"), ("county-activity", "n"), ("station-extremes", "value"), ("network-vitals", "value"), ("events", "n_signals")):
         back = spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in PB.DIGEST_TABLES[t])).csv(f"{path}/{t}")
-        r = back.agg(F.lit(t).alias("tab"), F.count(F.lit(1)).alias("n"), (F.sum(F.col(total).cast("long")) if total else F.lit(None).cast("long")).alias("total"))
+        r = back.agg(F.lit(t).alias("tab"), F.count(F.lit(1)).alias("n"), (F.round(F.sum(F.col(total).cast("double"))).cast("long") if total else F.lit(None).cast("long")).alias("total"))
         out = r if out is None else out.unionByName(r)
     return out
 
