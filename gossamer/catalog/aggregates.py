@@ -307,9 +307,11 @@ def t9(spark, sf):
     return R.county_top_readings(A.assessed(spark, sf), now(spark, sf), 168).select("county_id", "metric", "seq", "value", F.col("rank").cast("long").alias("rank"))
 
 
-@query("t10_digest_ledger", "SELECT CAST(dd AS VARCHAR) AS day, n FROM (SELECT CAST(observed_at AS DATE) AS dd, count(*) AS n FROM signals GROUP BY 1) ORDER BY dd DESC LIMIT 60")
+@query("t10_digest_ledger", """SELECT CAST(dd AS VARCHAR) AS day, n, sent FROM (SELECT CAST(created_at AS DATE) AS dd, count(*) AS n, count(*) FILTER (status = 'sent') AS sent FROM outbox WHERE "key" LIKE 'digest:%' GROUP BY 1)
+    ORDER BY dd DESC LIMIT 60""")
 def t10(spark, sf):
-    d = A.signals(spark, sf).groupBy(F.to_date("observed_at").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    d = A.outbox(spark, sf).filter(F.col("key").startswith("digest:")).groupBy(F.to_date("created_at").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "sent").alias("sent"))
     return d.orderBy(F.desc("day")).limit(60)
 
 

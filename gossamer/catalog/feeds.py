@@ -235,10 +235,12 @@ def s11(spark, sf):
 
 
 @query("s12_normalize_grain_bids", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'soy_basis' ELSE 'corn_basis' END AS metric, round(((o_orderkey % 90) - 40) / 100.0::DOUBLE, 6) AS value,
-    (epoch_us(date_trunc('day', o_orderdate)) // 1000000) + 43200 AS winter_s, round(o_totalprice, 2) AS cash FROM orders WHERE o_orderkey % 3 <> 0 AND month(o_orderdate) IN (1, 2, 12)""")
+    (epoch_us(date_trunc('day', o_orderdate)) // 1000000) + CASE WHEN CAST(o_orderdate AS DATE) >= april + CAST((7 - dayofweek(april)) % 7 AS INTEGER) AND CAST(o_orderdate AS DATE) < october - CAST(dayofweek(october) AS INTEGER)
+      THEN 39600 ELSE 43200 END AS published_s, round(o_totalprice, 2) AS cash
+    FROM (SELECT *, make_date(year(o_orderdate), 4, 1) AS april, make_date(year(o_orderdate), 10, 31) AS october FROM orders) WHERE o_orderkey % 3 <> 0""")
 def s12(spark, sf):
     k = F.col("o_orderkey")
-    o = A.table(spark, sf, "orders").filter(F.month("o_orderdate").isin(1, 2, 12))
+    o = A.table(spark, sf, "orders")
     basis = ((k % 90) - 40).cast("string")
     rows = o.select(F.when(k % 4 == 0, "Soybeans").otherwise("Corn").alias("commodity"), F.concat(F.lit("District "), (k % 5).cast("string")).alias("trade_loc"), k.cast("string").alias("delivery_point"),
                     F.when(k % 2 == 0, basis).alias("basis Min"), F.when(k % 2 == 1, basis).alias("basis Max"), F.lit(None).cast("string").alias("price Max"),
@@ -247,7 +249,7 @@ def s12(spark, sf):
     com = spark.createDataFrame([("Corn", "corn_basis", 0.01), ("Soybeans", "soy_basis", 0.01)], "commodity string, metric string, a double")
     reg = spark.createDataFrame([(f"District {i}", f"1700{i}", 40.0, -89.0) for i in range(5)], "trade_loc string, county_id string, lat double, lon double")
     r = S.normalize_grain_bids(rows, com, reg, "America/Chicago")
-    return r.select(F.col("delivery_point").cast("long").alias("id"), "metric", F.round("value", 6).alias("value"), F.unix_seconds("observed_at").alias("winter_s"), F.round("cash_price", 2).alias("cash"))
+    return r.select(F.col("delivery_point").cast("long").alias("id"), "metric", F.round("value", 6).alias("value"), F.unix_seconds("observed_at").alias("published_s"), F.round("cash_price", 2).alias("cash"))
 
 
 @query("s13_normalize_items", "SELECT item_id, feed, topic, length(content) AS n, epoch_us(published_at) AS at_us FROM doc_rows")
