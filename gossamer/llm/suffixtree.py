@@ -17,6 +17,7 @@ long texts are scored whole.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -24,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import blocks, texts
+from gossamer.llm.common import blocks, broadcast, texts
 from gossamer.session import shared_path
 
 ORDER = 3
 P_MIN = 1e-4
 STRENGTH = 10.0
 DIVERGENCE = 20.0
-HEAD = 1 << 17
-FLUSH = 500_000  # distinct words a task holds before it hands its counts on
+HEAD = 1 << 16
+FLUSH = 250_000  # distinct words a task holds before it hands its counts on
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -238,40 +239,44 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
         _train_words(train, tree, d, floor)
     tree.finish((tree.count[1] - off) / max(total, 1))
     # per common word: log10 of count + 1, and log10 of its probability in the empty context
-    shared = spark.sparkContext.broadcast((tree, {w: (math.log10(n + 1), math.log10((n - off) / total)) for w, n in common.items()}))
+    shared = broadcast(spark, (tree, {w: (math.log10(n + 1), math.log10((n - off) / total)) for w, n in common.items()}))
     unknown = math.log10(off * v / total) if total else 0.0
     schema = "row long, doc_id long, n_tokens long, known long, logs double, score double, rest array<struct<token:binary,n:long>>"
-    kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
 
     def run(batches):
-        tree, table = shared.value
+        tree, table = pickle.loads(shared.value)
         for b in batches:
-            out: list = []
-            for _, part in blocks(b):
+            for first, part in blocks(b):
                 words = [t.lower().split() for t in part]
                 ids, token = tree.numbers(words)
                 log, open_ = tree.score(ids)
                 place = np.flatnonzero(token)
-                at = 0
+                at, out = 0, []
+                tokens, counts_, sizes = [], [], []
                 for w in words:
                     w.append(b"")
                     mine = place[at:at + len(w)]
                     at += len(w)
                     value = float(log[mine].sum()) / math.log(10)
                     settled = Counter(w[k] for k in np.flatnonzero(~open_[mine]).tolist())
-                    known, base, rest = 0, 0.0, []
+                    known, base, before = 0, 0.0, len(tokens)
                     for x, n in Counter(w).items():
                         got = table.get(x)
                         if got is None:
-                            rest.append({"token": x, "n": n})
+                            tokens.append(x)
+                            counts_.append(n)
                         else:
                             known += n
                             base += n * got[0]
                             value += (n - settled[x]) * got[1]
-                    out.append((len(w), known, base, value, rest))
-            c = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64()),
-                                              pa.array(c[4], kind)], ["row", "doc_id", "n_tokens", "known", "logs", "score", "rest"])
+                    sizes.append(len(tokens) - before)
+                    out.append((len(w), known, base, value))
+                c = list(zip(*out))
+                rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()),
+                                                pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(counts_, pa.int64())], ["token", "n"]))
+                rows = b.slice(first, len(part))
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64()), rest],
+                                                 ["row", "doc_id", "n_tokens", "known", "logs", "score", "rest"])
 
     scored = shared_path(spark, "scored")
     # the row number is written with the row, so both readers below see the same one
