@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gossamer.session import checkpointed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # (verdict, host, path prefix)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -58,7 +60,7 @@ def _strength(children: DataFrame, low: float = 1.0, high: float = 1000.0) -> fl
 
 
 def _level(children: DataFrame, key: str) -> DataFrame:
-    """children (key, n, bad, m = parent's mean) with ``post``, the posterior mean that is the next level's prior."""
+    """(key, m): posterior means of children (key, n, bad, m = parent's mean), the priors of the next level."""
     s = _strength(children)
     return children.select(key, ((s * F.col("m") + F.col("bad")) / (s + F.col("n"))).alias("m"))
 
@@ -71,7 +73,8 @@ def reputations(pages: DataFrame, labels: DataFrame, z: float = Z) -> DataFrame:
     hosts = (pages.join(outcome, "page_id", "left").groupBy("host")
              .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
              .withColumns({"domain": domain_of(F.col("host")), "suffix": F.substring_index("host", ".", -1)}))
-    # A host's counts are a few bytes; the level tables below are aggregates of this one.
+    # One small row per host, written once: the three levels and their strengths all read it.
+    hosts = checkpointed(hosts)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     all_pages = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
