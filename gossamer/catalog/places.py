@@ -365,7 +365,7 @@ def x36(spark, sf):
 def j35(spark, sf):
     from gossamer.operators import corroborate as C
 
-    s, al = A.signals(spark, sf), A.alert_rows(spark, sf)
+    s, al = A.signals(spark, sf), A.standing_alerts(spark, sf)
     by = C.settle_by_alert(s, al, A.dim_alert_support(spark), A.dim_metric(spark)).select("seq", "alert_id")
     w = al.join(A.sensors(spark, sf).select(F.col("sensor_id").alias("user_id"), F.col("lat").alias("w_lat"), F.col("lon").alias("w_lon")), "user_id").select(
         "alert_id", F.col("user_id").alias("w_sensor_id"), "w_lat", "w_lon", F.col("sent").alias("w_at"))
@@ -385,7 +385,7 @@ def j35e(spark, sf):
 
 def outlooks(spark, sf):
     k = F.col("alert_id")
-    al = A.alert_rows(spark, sf).join(A.dim_county(spark, sf).select("county_id", F.col("lat").alias("la"), F.col("lon").alias("lo")), "county_id")
+    al = A.standing_alerts(spark, sf).join(A.dim_county(spark, sf).select("county_id", F.col("lat").alias("la"), F.col("lon").alias("lo")), "county_id")
 
     def square(d):
         return F.array(*[F.array(F.col("lo") + dx * d, F.col("la") + dy * d) for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
