@@ -8,7 +8,6 @@ from gossamer.catalog.joins import hav
 from gossamer.catalog.places import zips  # noqa: F401
 from gossamer.catalog.registry import query, table_sql
 from gossamer.catalog.scalars import PACK
-from gossamer.functions import scalars as X
 from gossamer.sources import adapter as A
 from gossamer.sources import feeds as S
 from gossamer.sources import messages as MS

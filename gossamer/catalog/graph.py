@@ -12,7 +12,6 @@ from gossamer.operators import corroborate as C
 from gossamer.operators import events as E
 from gossamer.operators import stories as ST
 from gossamer.operators import threads as TH
-from gossamer.plans.bucketed import lag_columns
 from gossamer.plans.components import resolve_pointers
 from gossamer.session import checkpointed
 from gossamer.sources import adapter as A
