@@ -14,6 +14,7 @@ from gossamer.operators import measures as M
 from gossamer.operators import publish as PB
 from gossamer.operators import rollups as R
 from gossamer.operators import stories as ST
+from gossamer.operators import threads as TH
 from gossamer.operators.filters import hours_before
 from gossamer.session import shared_path
 from gossamer.sources import adapter as A
@@ -132,24 +133,35 @@ def k8(spark, sf):
     return PB.upsert_dimension(cur, inc, "sensor_id", ["n_signals"], "registered_at").select("sensor_id", "kind", "n_signals")
 
 
-@query("k9_prune", f"""SELECT 'signals' AS tab, count(*) AS n FROM signals WHERE NOT (kind IN {REFS} AND observed_at < {NOW} - INTERVAL 240 HOURS AND seq NOT IN (SELECT seq FROM event_members))
-    UNION ALL SELECT 'outbox', count(*) FROM outbox WHERE status = 'pending' OR created_at >= {ONOW} - INTERVAL 8760 HOURS UNION ALL SELECT 'run_log', count(*) FROM run_log WHERE run_at >= {NOW} - INTERVAL 120 HOURS""")
+def summed(tables, keys):
+    """(tab, n, ids): rows and sum of ids of each table read back."""
+    out = None
+    for name, df in tables.items():
+        r = df.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(keys[name]).cast("long")), F.lit(0)).alias("ids"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("k9_prune", f"""SELECT 'signals' AS tab, count(*) AS n, sum(seq)::BIGINT AS ids FROM signals WHERE NOT (kind IN {REFS} AND observed_at < {NOW} - INTERVAL 240 HOURS AND seq NOT IN (SELECT seq FROM event_members))
+    UNION ALL SELECT 'outbox', count(*), sum(id)::BIGINT FROM outbox WHERE status = 'pending' OR created_at >= {ONOW} - INTERVAL 8760 HOURS
+    UNION ALL SELECT 'run_log', count(*), sum(id)::BIGINT FROM run_log WHERE run_at >= {NOW} - INTERVAL 120 HOURS
+    UNION ALL SELECT 'threads', count(*), coalesce(sum(thread_id), 0)::BIGINT FROM thread_tab WHERE expires >= {NOW} - INTERVAL 240 HOURS""")
 def k9(spark, sf):
     n = now(spark, sf)
-    s = PB.prune_signals(A.signals(spark, sf), AG.members(spark, sf), n, 10).agg(F.lit("signals").alias("tab"), F.count(F.lit(1)).alias("n"))
-    o = PB.prune_outbox(A.outbox(spark, sf), AG.onow(spark, sf), 365).agg(F.lit("outbox").alias("tab"), F.count(F.lit(1)).alias("n"))
-    r = PB.prune_run_log(A.run_log(spark, sf), n, 5).agg(F.lit("run_log").alias("tab"), F.count(F.lit(1)).alias("n"))
-    return s.unionByName(o).unionByName(r)
+    al, th = GR.threads(spark, sf)
+    kept = {"signals": PB.prune_signals(A.signals(spark, sf), AG.members(spark, sf), n, 10), "outbox": PB.prune_outbox(A.outbox(spark, sf), AG.onow(spark, sf), 365),
+            "run_log": PB.prune_run_log(A.run_log(spark, sf), n, 5), "threads": PB.prune_threads(TH.thread_rows(al, th, n), n, 10)}
+    return summed(PB.rewritten(kept, shared_path(spark, "pruned")), {"signals": "seq", "outbox": "id", "run_log": "id", "threads": "thread_id"})
 
 
-@query("k10_forget_sensor", """SELECT 'signals' AS tab, count(*) AS n FROM signals WHERE sensor_id % 31 <> 7 UNION ALL SELECT 'sensors', count(*) FROM sensors WHERE sensor_id % 31 <> 7
-    UNION ALL SELECT 'subscriptions', count(*) FROM subscriptions WHERE chat_id NOT IN (SELECT chat_id FROM sensors WHERE sensor_id % 31 = 7)""")
+@query("k10_forget_sensor", """WITH gone AS (SELECT sensor_id, chat_id FROM sensors WHERE sensor_id % 31 = 7)
+    SELECT 'signals' AS tab, count(*) AS n, sum(seq)::BIGINT AS ids FROM signals WHERE sensor_id % 31 <> 7 UNION ALL SELECT 'sensors', count(*), sum(sensor_id)::BIGINT FROM sensors WHERE sensor_id % 31 <> 7
+    UNION ALL SELECT 'subscriptions', count(*), sum(chat_id)::BIGINT FROM subscriptions WHERE chat_id NOT IN (SELECT chat_id FROM gone)
+    UNION ALL SELECT 'outbox', count(*), sum(id)::BIGINT FROM outbox WHERE chat_id NOT IN (SELECT chat_id FROM gone)
+    UNION ALL SELECT 'pairs', count(*), sum(a)::BIGINT FROM (SELECT DISTINCT user_id AS a, (user_id * 7) % 97 AS b FROM events) WHERE a NOT IN (SELECT sensor_id FROM gone) AND b NOT IN (SELECT sensor_id FROM gone)""")
 def k10(spark, sf):
     s = A.sensors(spark, sf)
     gone = s.filter("sensor_id % 31 = 7").select("sensor_id", "chat_id")
-    t = PB.forget_sensor({"signals": (A.signals(spark, sf), "sensor_id"), "sensors": (s, "sensor_id"), "subscriptions": (A.subscriptions(spark, sf), "chat_id")}, gone)
-    out = None
-    for name, df in t.items():
-        r = df.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    pairs = A.table(spark, sf, "events").select(F.col("user_id").alias("a"), ((F.col("user_id") * 7) % 97).alias("b")).distinct()
+    t = PB.forget_sensor({"signals": (A.signals(spark, sf), "sensor_id"), "sensors": (s, "sensor_id"), "subscriptions": (A.subscriptions(spark, sf), "chat_id"), "outbox": (A.outbox(spark, sf), "chat_id"), "pairs": (pairs, "a|b")}, gone)
+    return summed(PB.rewritten(t, shared_path(spark, "forgotten")), {"signals": "seq", "sensors": "sensor_id", "subscriptions": "chat_id", "outbox": "id", "pairs": "a"})

@@ -182,6 +182,15 @@ def prune_threads(threads: DataFrame, now: Column, days: float) -> DataFrame:
     return threads.filter(~((F.col("status") == "ended") & (F.col("ended_at") < hours_before(now, days * 24))))
 
 
+def rewritten(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """Each table written whole to a new folder and read from there; the caller swaps the folders. The old files stay readable until then."""
+    out = {}
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+        out[name] = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+    return out
+
+
 def forget_sensor(tables: dict[str, tuple[DataFrame, str]], forgotten: DataFrame) -> dict[str, DataFrame]:
     """Every table without the rows of forgotten people. ``tables`` maps a name to (frame, the column of
     ``forgotten`` it is keyed by: sensor_id or chat_id); pair tables list both ends as 'a|b'."""
