@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +111,55 @@ def test_thread_lifecycle(spark):
     got = {r["thread_id"]: (r["reason"], r["ended_us"]) for r in TH.thread_lifecycle(threads, spark.createDataFrame(fetch, "fetch_at timestamp, n_ids long"), spark.createDataFrame(seen, "fetch_at timestamp, alert_id long")).collect()}
     at = lambda x: int(m(x).timestamp() * 10**6)
     assert got[1] == ("cancelled", at(330 + 90)) and got[2] == ("cancelled", at(30 + 90)) and got[3] == ("expired", at(600)) and got[4] == (None, None)
+
+
+def test_alert_support_with_and_without_end(spark):
+    from gossamer.operators.corroborate import alert_support
+
+    rnd = random.Random(12)
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    alerts = [(i, rnd.choice("ab"), "wind", rnd.randrange(1, 5), at(s := rnd.randrange(0, 400)), None if i % 5 == 0 else at(s + rnd.choice([0, 1, 3, 6, 7, 50, 2000, 900000]))) for i in range(60)]
+    readings = [(i, "human", "m", rnd.choice("abc"), at(rnd.randrange(0, 900))) for i in range(150)]
+    want = {}
+    for seq, _, _, county, t in readings:
+        best = max(((sev, sent, i) for i, c, _, sev, sent, end in alerts if c == county and sent <= t and (end is None or end > t)), default=None)
+        if best:
+            want[seq] = (best[2], best[0])
+    s = spark.createDataFrame(readings, "seq long, kind string, metric string, county_id string, observed_at timestamp")
+    a = spark.createDataFrame(alerts, "alert_id long, county_id string, slug string, severity long, sent timestamp, expires timestamp")
+    got = {r["seq"]: (r["alert_id"], r["severity"]) for r in alert_support(s, a, spark.createDataFrame([("m", "wind")], "metric string, slug string")).collect()}
+    assert got == want
+
+
+def test_median(spark):
+    for values in ([3.0], [1.0, 4.0], [5.0, 1.0, 9.5, 2.25], [7.5] * 3 + [0.1]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert R.median(df, "v").first()["median"] == statistics.median(values)
+    assert R.median(df.limit(0), "v").first()["median"] is None
+
+
+def test_settled_outcomes(spark):
+    from gossamer.operators import corroborate as C
+
+    arrival = spark.createDataFrame([(1, 7, "human", "t", "raw"), (2, 7, "human", "t", "raw"), (3, 8, "bot", "t", "raw"), (4, 7, "human", "t", "flagged"), (5, 9, "human", "t", "raw")], "seq long, sensor_id long, kind string, topic string, quality string")
+    kind = "seq long, arrival struct<t: long, o: int, id: long>, verdict string, via string, agree double, disagree double"
+    rows = [(1, (50, 0, 9), "corroborated", "reading", 0.3, 0.0), (1, (40, 3, 8), "corroborated", "total", 0.5, 0.0), (3, (1, 0, 9), "flagged", "reference", 0.0, 1.0), (4, (1, 0, 9), "corroborated", "alert", 1.0, 0.0), (5, (30, 0, 1), "corroborated", "alert", 1.0, 0.0)]
+    first = C.first_evidence(spark.createDataFrame(rows, kind))
+    doubts = spark.createDataFrame([(1, (45, 2, 1)), (2, (45, 2, 2)), (5, (20, 2, 5))], "seq long, arrival struct<t: long, o: int, id: long>")
+    got = sorted((r["sensor_id"], r["agree"], r["disagree"]) for r in C.settled_outcomes(arrival, first, doubts).collect())
+    assert got == [(7, 0.0, 0.5), (7, 0.5, 0.0), (9, 0.0, 0.5), (9, 1.0, 0.0)]
+    assert {r["seq"]: (r["final_quality"], r["via"]) for r in C.final_quality(arrival, first).collect()} == {1: ("corroborated", "total"), 2: ("raw", None), 3: ("flagged", "reference"), 4: ("flagged", None), 5: ("corroborated", "alert")}
+
+
+def test_message_tokens(spark):
+    from gossamer.sources import messages as MS
+    from gossamer.sources import vocab as V
+
+    pack = {"topic": "web", "metrics": {"click": {"aliases": ["clicks", "page click"], "units": {"n": 1, "k": {"expr": "x*1000"}}, "default_unit": "n", "range": [0, 9000], "words": {"few": 5, "many": 100}}, "outage": {"kind": "flag", "aliases": ["outage"]}}}
+    fr = V.frames(spark, [pack])
+    vocab = {"aliases": [("click", "click", False), ("clicks", "click", False), ("page click", "click", False), ("outage", "outage", True)], "units": ["n", "k"], "words": ["few", "many"]}
+    texts = ["clicks: 12n @gate #Web -- note; outage 5 min ago", "many clicks at the gate", "page click very few", "2k of clicks", "clicks", "7 clicks 8 clicks", "nothing here 5"]
+    r = MS.extract_readings(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", vocab, fr["dim_metric"], fr["dim_unit"], fr["dim_word"])
+    got = sorted(((x["id"], x["clause"], x["metric"], x["value"], x["minutes_ago"], x["place"], tuple(x["tags"]), x["note"], x["error"]) for x in r.collect()), key=str)
+    assert got == [(0, 0, "click", 12.0, None, "gate", ("web",), "note", None), (0, 1, "outage", 1.0, 5.0, None, (), None, None), (1, 0, "click", 100.0, None, None, (), None, None), (2, 0, "click", 5.0, None, None, (), None, None),
+                   (3, 0, "click", 2000.0, None, None, (), None, None), (4, 0, "click", None, None, None, (), None, "give a value"), (5, 0, "click", 8.0, None, None, (), None, None), (5, 0, "click", None, None, None, (), None, "give a value")]
