@@ -1,14 +1,17 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The symbols are the training words, one end token per text, and one class for every unknown word. Contexts are the last 0 to ``ORDER`` words. A context is
-retained if it has at least a ``p_min`` share of all training tokens and its next-symbol distribution diverges from that of the next shorter retained
-context; a next symbol is listed under a context if the two together have that share. Listed and unlisted symbols are smoothed towards the shorter
-context; the empty context gives each word its count less an absolute discount, and the unknown class what the discounts add up to. ``p_min`` bounds the
-tree: at most 1 / p_min contexts of each length, so it is small enough to collect and broadcast whatever the corpus holds.
-
-Frequent word sequences are counted level by level: a sequence is a candidate only if both its ends are frequent. A text's score is a sum of logs over
-longest suffix states, of which all but the words' own counts are known from the tree. Words of a high count, at most ``head`` of them, are broadcast with
-theirs; the others of each document are joined to their counts, which serves the base score too.
+The symbols are the training words, one end token per text, and one class for every unknown word. Contexts are the last 0 to ``ORDER`` words. A sequence
+belongs to the tree if the training texts hold it ``support`` times, however many texts there are, so the tree grows with the corpus. A context is retained
+if its next-symbol distribution diverges from that of the next shorter retained context; its listed symbols are the sequences of the tree that it begins.
+Listed and unlisted symbols are smoothed towards the shorter context; the empty context gives each word its count less an absolute discount, and the unknown
+class what the discounts add up to. A text begins after one end token.
+
+The tree is tables in the shared folder, a row per sequence, keyed by a 64-bit hash of the hashes of the sequence without its last and without its first
+word. Sequences are counted level by level: one is a candidate only if both these parts are in the tree, which a bitmap of fixed size tells; it lets through
+some that are not and loses none. The log of a word's probability is that of its own count plus one value for each sequence of the tree that ends at it, and
+one for each that ends before it, so a text's score is a sum of values of the sequences in it. Those with at least a ``p_min`` share of all training tokens are
+broadcast with their values, as are others of a high count, at most ``top`` of them, and words of a high count, at most ``head`` of them, with theirs; the
+rest of each document is joined to the tables.
 
 A null text is the empty text: one end token. Without training texts every text has probability 1 of unknown words. Repeated rows are scored each. Very
 long texts are scored whole.
@@ -16,12 +19,14 @@ long texts are scored whole.
 
 from __future__ import annotations
 
+import gc
 import math
 import pickle
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +35,13 @@ from gossamer.session import shared_path
 
 ORDER = 3
 P_MIN = 1e-4
+SUPPORT = 8
 STRENGTH = 10.0
 DIVERGENCE = 20.0
 HEAD = 1 << 16
+TOP = 1 << 19
 FLUSH = 250_000  # distinct words a task holds before it hands its counts on
+BITS = 27  # the bitmap of known sequences has 2**BITS bits
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -58,19 +66,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return texts(docs).select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _head(counts: DataFrame, most: int, floor: float) -> tuple[dict, float]:
-    """The words with at least 2**b occurrences, b the least for which they are at most ``most``, and those with ``floor``; and the lower of these counts."""
+def _least(counts: DataFrame, most: int, floor: float) -> float:
+    """2**b, b the least for which at most ``most`` rows have that ``n``, or ``floor`` if it is lower."""
     sizes = {r["b"]: r["k"] for r in counts.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
     b, held = max(sizes, default=0) + 1, 0
     while b > 0 and held + sizes.get(b - 1, 0) <= most:
         b -= 1
         held += sizes.get(b, 0)
-    least = min(2.0**b, floor)
+    return min(2.0**b, floor)
+
+
+def _head(counts: DataFrame, most: int, floor: float) -> tuple[dict, float]:
+    """The words with at least 2**b occurrences, b the least for which they are at most ``most``, and those with ``floor``; and the lower of these counts."""
+    least = _least(counts, most, floor)
     return {bytes(r["token"]): r["n"] for r in counts.filter(F.col("n") >= least).collect()}, least
 
 
 class WordTree:
-    """Frequent word sequences, level by level, and the retained ones among them as contexts.
+    """The tree in memory, for few texts: frequent word sequences, level by level, and the retained ones among them as contexts. The tests hold the tables against it.
 
     ``codes[d]``: sorted codes of the frequent sequences of d words; a sequence's number is its place plus one, 0 stands for none. A code is the number of the sequence
     without its last word, times ``m``, plus the last word's number.
@@ -185,35 +198,129 @@ class WordTree:
         return log, open_
 
 
-def _train_words(train: DataFrame, tree: WordTree, d: int, floor: float) -> None:
-    """Count the candidates of d words and how often each sequence of d - 1 words stands before a token."""
+def _mix(pre: np.ndarray, suf: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of two longs."""
+    rot = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    p1, p2, p3, p4, p5 = (np.uint64(k) for k in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = np.full(len(pre), 42, np.uint64)
+    for x in (pre, suf):
+        h = rot((h + p5 + np.uint64(8)) ^ (rot(x * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _hashed(texts_: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of several texts, each text between two ends; and which are tokens, all but the first of each."""
+    h = xxhash.xxh64_intdigest
+    lens = np.array([len(w) + 2 for w in texts_])
+    out = np.full(int(lens.sum()), h(b"", 42), np.uint64)
+    token = np.ones(len(out), bool)
+    starts = np.cumsum(lens) - lens
+    token[starts] = False
+    word = token.copy()
+    word[starts + lens - 1] = False
+    out[word] = np.fromiter((h(w, 42) for t in texts_ for w in t), np.uint64, int(word.sum()))
+    return out, token
+
+
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[(h >> np.uint64(6)) & np.uint64(len(bits) - 1)] >> (h & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _sequences(h: np.ndarray, token: np.ndarray, bits: np.ndarray, upto: int):
+    """For d from 2 to ``upto``: places where d words end whose first and last d - 1 are in the bitmap, and the hashes of these two."""
+    ok = _has(bits, h)
+    inside = token[1:]
+    for d in range(2, upto + 1):
+        at = np.flatnonzero(ok[:-1] & ok[1:] & inside) + 1
+        pre, suf = h[at - 1], h[at]
+        yield d, at, pre, suf
+        h, ok, inside = np.zeros(len(h), np.uint64), np.zeros(len(h), bool), True
+        h[at] = _mix(pre, suf)
+        ok[at] = _has(bits, h[at])
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bitmap of the longs of ``h``, gathered as words of 64 bits: at most 2**(BITS - 6) rows."""
+    h = F.col("h")
+    at = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit((1 << (BITS - 6)) - 1))
+    got = hashes.groupBy(at.alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("word")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
+    return out
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    folder = shared_path(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _count(train: DataFrame, bits: np.ndarray, d: int, support: int) -> DataFrame:
+    """(pre, suf, n, h): the sequences of d words that occur ``support`` times."""
+    shared = broadcast(train.sparkSession, bits)
 
     def run(batches):
+        known = pickle.loads(shared.value)
         held, size = [], 0
 
         def flush():
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["code", "n"])
+            pre, suf = (np.concatenate(x) for x in zip(*held))
+            _, first, n = np.unique(_mix(pre, suf), return_index=True, return_counts=True)
+            by = np.argsort(pre[first])  # equal ones together: the shuffle compresses them
+            first, n = first[by], n[by]
+            return pa.RecordBatch.from_arrays([pa.array(pre[first].view(np.int64)), pa.array(suf[first].view(np.int64)), pa.array(n.astype(np.int64))], ["pre", "suf", "n"])
 
         for b in batches:
             for _, part in blocks(b):
-                ids, token = tree.numbers([t.lower().split() for t in part])
-                g = tree.sequences(ids, d - 1)
-                code = tree.candidates(g, d)[token]
-                before = np.concatenate(([0], g[d - 1][:-1]))[token]
-                held += [code[code >= 0], -1 - before[before > 0]]
-                size += sum(len(x) for x in held[-2:])
-                if size > 4_000_000:
+                h, token = _hashed([t.lower().split() for t in part])
+                *_, (_, at, pre, suf) = _sequences(h, token, known, d)
+                held.append((pre, suf))
+                size += len(at)
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
-    got = texts(train).select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter((F.col("code") < 0) | (F.col("n") >= floor)).toArrow()
-    code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
-    seen = np.zeros(len(tree.count[d - 1]))
-    seen[-1 - code[code < 0]] = n[code < 0]
-    tree.add_level(d, code[code >= 0], n[code >= 0].astype(float), seen)
+    got = texts(train).select("text").mapInArrow(run, "pre long, suf long, n long").groupBy("pre", "suf").agg(F.sum("n").alias("n"))
+    found = _stored(got.filter(F.col("n") >= support).withColumn("h", F.xxhash64("pre", "suf")), "sequences")
+    del got
+    gc.collect()
+    train.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the level's shuffle files, which are larger than all tables
+    return found
+
+
+def _values(train: DataFrame, words: DataFrame, order: int, support: int) -> tuple[DataFrame, np.ndarray]:
+    """(h, n, x): what each occurrence of a sequence adds to the natural log of a text's probability beyond the words' own; and the bitmap of the tree.
+
+    ``words`` has h, n and p, a word's probability in the empty context, of the words of the tree.
+    """
+    n, n_ctx, own, short = (F.col(c) for c in ("n", "n_ctx", "own", "short"))
+    level, parts = words, []
+    bits = _bitmap(words)
+    for d in range(2, order + 2):
+        found = _count(train, bits, d, support)
+        # a sequence is followed by a token unless it ends a text, and then it begins none: its count is how often it stands before one
+        both = found.join(level.select(F.col("h").alias("pre"), F.col("n").alias("n_ctx")), "pre").join(level.select(F.col("h").alias("suf"), F.col("p").alias("short")), "suf")
+        both = _stored(both.select("h", "pre", "n", "n_ctx", "short", ((n + STRENGTH * short) / (n_ctx + STRENGTH)).alias("own")), "states")
+        sums = both.groupBy("pre").agg(F.max("n_ctx").alias("n_ctx"), F.sum("n").alias("n"), F.sum("short").alias("short"), F.sum(own * F.log(own / short)).alias("gain"))
+        free = F.greatest(1 - short, F.lit(1e-9))
+        sums = sums.withColumn("free", free).withColumn("factor", F.greatest(n_ctx - n, F.lit(0)) / (n_ctx + STRENGTH) / free + STRENGTH / (n_ctx + STRENGTH))
+        # evidence in nats that the context changes what comes next
+        kept = _stored(sums.filter(n_ctx * (F.col("gain") + F.col("factor") * F.col("free") * F.log("factor")) >= DIVERGENCE).select("pre", "n_ctx", F.log("factor").alias("lost")), "contexts")
+        lost = F.col("lost")
+        level = both.join(kept.select("pre", "lost"), "pre", "left").select("h", "n", F.when(lost.isNull(), short).otherwise(own).alias("p"), F.when(lost.isNull(), 0.0).otherwise(F.log(own / short) - lost).alias("x"))
+        level = _stored(level, "level")
+        parts += [level.select("h", "n", "x"), kept.select(F.col("pre").alias("h"), F.col("n_ctx").alias("n"), lost.alias("x"))]
+        if d <= order:
+            bits |= _bitmap(found)
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    return _stored(every.filter("x != 0").groupBy("h").agg(F.max("n").alias("n"), F.sum("x").alias("x")), "values"), bits
 
 
 def _discount(counts: DataFrame) -> float:
@@ -223,7 +330,7 @@ def _discount(counts: DataFrame) -> float:
     return min(max(got["once"] / both, 0.05), 0.9) if both else 0.05
 
 
-def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_MIN, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_MIN, order: int = ORDER, support: int = SUPPORT, top: int = TOP) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``, learning from ``train``."""
     spark = docs.sparkSession
     stored = shared_path(spark, "words")
@@ -234,31 +341,42 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
     off = _discount(counts)
     floor = max(2.0, p_min * total)
     common, least = _head(counts, head, floor)
-    tree = WordTree({w: n for w, n in common.items() if n >= floor})
-    for d in range(2, order + 2):
-        _train_words(train, tree, d, floor)
-    tree.finish((tree.count[1] - off) / max(total, 1))
+    first = counts.filter(F.col("n") >= support).select(F.xxhash64("token").alias("h"), "n", ((F.col("n") - off) / max(total, 1)).alias("p"))
+    values, bits = _values(train, first, order, support)
+    top_least = _least(values, top, floor)
+    got = values.filter(F.col("n") >= top_least).toArrow()
+    top_h, top_x = got.column("h").to_numpy().view(np.uint64), got.column("x").to_numpy()
+    by = np.argsort(top_h)
+    top_h, top_x = top_h[by], top_x[by]
     # per common word: log10 of count + 1, and log10 of its probability in the empty context
-    shared = broadcast(spark, (tree, {w: (math.log10(n + 1), math.log10((n - off) / total)) for w, n in common.items()}))
+    shared = broadcast(spark, (bits, _bitmap(values), top_h, top_x, {w: (math.log10(n + 1), math.log10((n - off) / total)) for w, n in common.items()}))
     unknown = math.log10(off * v / total) if total else 0.0
-    schema = "row long, doc_id long, n_tokens long, known long, logs double, score double, rest array<struct<token:binary,n:long>>"
+    schema = "row long, doc_id long, n_tokens long, known long, logs double, score double, rest array<struct<token:binary,n:long>>, sequences array<long>"
 
     def run(batches):
-        tree, table = pickle.loads(shared.value)
+        known_, valued, top_h, top_x, table = pickle.loads(shared.value)
         for b in batches:
             for first, part in blocks(b):
                 words = [t.lower().split() for t in part]
-                ids, token = tree.numbers(words)
-                log, open_ = tree.score(ids)
-                place = np.flatnonzero(token)
-                at, out = 0, []
+                h, token = _hashed(words)
+                text = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+                places = np.flatnonzero(token)
+                value, left = np.zeros(len(words)), []
+                for at, seq in [(places, h[places]), *((at, _mix(pre, suf)) for _, at, pre, suf in _sequences(h, token, known_, order + 1))]:
+                    hit = _has(valued, seq)
+                    at, seq = text[at[hit]], seq[hit]
+                    k = np.minimum(np.searchsorted(top_h, seq), max(len(top_h) - 1, 0))
+                    held = top_h[k] == seq if len(top_h) else np.zeros(len(seq), bool)
+                    value += np.bincount(at[held], top_x[k[held]], len(words)) if held.any() else 0
+                    left.append((at[~held], seq[~held]))
+                at, seq = (np.concatenate(x) for x in zip(*left))
+                seq = seq[np.argsort(at, kind="stable")].view(np.int64)
+                n_left = np.bincount(at, minlength=len(words))
+                out = []
                 tokens, counts_, sizes = [], [], []
-                for w in words:
+                for w, x in zip(words, value.tolist()):
                     w.append(b"")
-                    mine = place[at:at + len(w)]
-                    at += len(w)
-                    value = float(log[mine].sum()) / math.log(10)
-                    settled = Counter(w[k] for k in np.flatnonzero(~open_[mine]).tolist())
+                    score_ = x / math.log(10)
                     known, base, before = 0, 0.0, len(tokens)
                     for x, n in Counter(w).items():
                         got = table.get(x)
@@ -268,28 +386,29 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
                         else:
                             known += n
                             base += n * got[0]
-                            value += (n - settled[x]) * got[1]
+                            score_ += n * got[1]
                     sizes.append(len(tokens) - before)
-                    out.append((len(w), known, base, value))
+                    out.append((len(w), known, base, score_))
                 c = list(zip(*out))
                 rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()),
                                                 pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(counts_, pa.int64())], ["token", "n"]))
+                sequences = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_left))), pa.int32()), pa.array(seq))
                 rows = b.slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64()), rest],
-                                                 ["row", "doc_id", "n_tokens", "known", "logs", "score", "rest"])
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64()), rest, sequences],
+                                                 ["row", "doc_id", "n_tokens", "known", "logs", "score", "rest", "sequences"])
 
     scored = shared_path(spark, "scored")
     # the row number is written with the row, so both readers below see the same one
     texts(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, schema).write.parquet(scored)
     rows = spark.read.schema(schema).parquet(scored)
     rest = rows.select("row", F.explode("rest").alias("x")).select("row", "x.token", "x.n")
-    # a word below the head is no frequent one, so no context settles it
     rare = counts.filter(F.col("n") < least).select("token", F.col("n").alias("c"))
     n, c = F.col("n"), F.col("c")
     found = rest.join(rare, "token", "left").groupBy("row").agg(
         F.sum(F.when(c.isNotNull(), n)).alias("more"), F.sum(n * F.log10(F.coalesce(c, F.lit(0)) + 1)).alias("more_logs"),
         F.sum(n * F.coalesce(F.log10((c - off) / max(total, 1)), F.lit(unknown))).alias("more_score"))
+    states = rows.select("row", F.explode("sequences").alias("h")).join(values.filter(F.col("n") < top_least).select("h", "x"), "h").groupBy("row").agg((F.sum("x") / math.log(10)).alias("states"))
     below = math.log10(total + v + 1)
-    return rows.drop("rest").join(found, "row", "left").select(
+    return rows.drop("rest", "sequences").join(found, "row", "left").join(states, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
+        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0)) + F.coalesce("states", F.lit(0.0))).alias("score"))

@@ -297,6 +297,42 @@ def test_tree_is_a_distribution():
             assert abs(total - 1) < 1e-6
 
 
+def test_rare_sequences_are_learnt(spark):
+    """A sequence seen SUPPORT times counts, however small its share of the tokens; scores are those of the tree in memory."""
+    rnd = random.Random(6)
+    texts = [words(rnd, 60, 60) for _ in range(150)] + [f"x{k} y z u v " + words(rnd, 20, 60) for k in range(4)] + ["a rare phrase of six words"] * 9 + ["", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    split = [t.encode().split() for t in texts]
+    count = Counter(w for t in split for w in [*t, b""])
+    total = sum(count.values())
+    once, twice = (sum(n == k for n in count.values()) for k in (1, 2))
+    off = min(max(once / (once + 2 * twice), 0.05), 0.9) if once + twice else 0.05
+    tree = suffixtree.WordTree({w: n for w, n in count.items() if n >= suffixtree.SUPPORT})
+    for d in range(2, suffixtree.ORDER + 2):
+        grams, seen = Counter(), Counter()
+        for t in split:
+            ids, token = tree.numbers([t])
+            g = tree.sequences(ids, d - 1)
+            grams.update(x for x in tree.candidates(g, d)[token].tolist() if x >= 0)
+            seen.update(x for x, ok in zip([0, *g[d - 1][:-1].tolist()], token) if ok and x)
+        keep = {k: n for k, n in grams.items() if n >= suffixtree.SUPPORT}
+        size = np.zeros(len(tree.count[d - 1]))
+        for k, n in seen.items():
+            size[k] = n
+        tree.add_level(d, np.array(sorted(keep)), np.array([keep[k] for k in sorted(keep)], float), size)
+    tree.finish((tree.count[1] - off) / total)
+    want = {}
+    for k, t in enumerate(split):
+        ids, token = tree.numbers([t])
+        log, open_ = tree.score(ids)
+        want[k] = (log[token].sum() + sum(math.log((count[w] - off) / total) for w, o in zip([*t, b""], open_[token]) if o)) / math.log(10)
+    for share in (0.5, 1e-9):
+        got = {r["doc_id"]: r["score"] for r in suffixtree.score(df, df, head=20, p_min=share, top=20).collect()}
+        assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    alone = sum(math.log10((count[w] - off) / total) for w in [*split[-3], b""])
+    assert got[len(texts) - 3] > 0.5 * alone  # its words tell each other
+
+
 def removed(corpus, length=100):
     seen, out = set(), {}
     for d, t in sorted({(2**63 if d is None else d, t or "") for d, t in corpus}):
