@@ -6,7 +6,7 @@ A gear rolling hash of the last 32 bytes sets chunk borders, so an insertion mov
 A task writes each digest of a block once with its first place; further ones inside the block are settled there, so a chunk that a third of
 all documents share is one row per block. Rows then meet by digest in one shuffle; texts are joined to their intervals in another.
 
-Short chunks repeat by chance, so only runs of repeated chunks of ``least`` bytes or more go. A null or empty text has no chunk. A null doc_id
+Every repeated chunk goes, however short; ``least`` keeps shorter runs of them on request. A null or empty text has no chunk. A null doc_id
 counts as the largest. Rows that share a doc_id are one document: repeated rows get equal results. Long texts are cut into blocks that overlap by the
 gear's 32 bytes, and the chunks are those of the whole text.
 """
@@ -29,7 +29,7 @@ WINDOW = 32
 MASK_BITS = 5
 SMALLEST = 24
 LARGEST = 512
-LEAST = 96
+LEAST = 0
 
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 

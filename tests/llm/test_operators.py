@@ -412,6 +412,11 @@ def test_chunks(docs, corpus, none):
     assert chunks.digest(chunks.without_repeated_chunks(none)).count() == 0
 
 
+def test_short_copies_go(spark):
+    got = chunks.digest(chunks.without_repeated_chunks(spark.createDataFrame([(1, "a short text"), (2, "a short text")], "doc_id long, text string"))).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_repeated"], r["n_removed"]) for r in got) == [(1, 12, 0, 0), (2, 12, 1, 12)]
+
+
 def test_chunk_borders_resist_shifts():
     rnd = random.Random(4)
     b = bytes(rnd.randrange(256) for _ in range(20000))
