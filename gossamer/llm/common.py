@@ -28,6 +28,12 @@ def broadcast(spark: SparkSession, value) -> Broadcast:
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete an intermediate table of our own once nothing reads it any more, on whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def is_held_out(doc_id, mod: int, rest: int):
     """crc32 of the id's text leaves ``rest``; a null id is hashed as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == rest

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import chunks, decontamination, langid, packing, pii, quality, repeats, simhash, suffixtree, urlfilter
+from gossamer.llm import chunks, decontamination, langid, packing, pii, quality, repeats, resampling, simhash, suffixtree, urlfilter, vectorcodes, warc
 from gossamer.llm.common import is_held_out, table
 
 
@@ -54,7 +54,21 @@ def op10_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.digest(chunks.without_repeated_chunks(table(spark, sf_dir, "documents")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.digest(*vectorcodes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 QUERIES = {
+    "op11_vector_codes": op11_vector_codes, "op12_warc": op12_warc, "op13_resampling": op13_resampling,
     "op10_chunks": op10_chunks,
     "op7_pii": op7_pii, "op8_scores": op8_scores, "op9_repeats": op9_repeats,
     "op1_quality": op1_quality, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_urls": op4_urls, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing,
@@ -107,4 +121,40 @@ OP5 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT.format(t=
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN c USING (r) LEFT JOIN it USING (r)"""
 
-SQL: dict[str, str] = {"op1_quality": OP1, "op4_urls": OP4, "op5_decontamination": OP5}
+_P, _E = vectorcodes.PARTS, vectorcodes.ENTRIES
+_ASSIGN = "SELECT r, pos, arg_min(e, far * 1000 + e) AS e, min(far) AS far FROM (SELECT r, p.pos, b.e, list_sum(list_transform(list_zip(p.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS far FROM p JOIN {b} b USING (pos)) GROUP BY 1, 2"
+_UPDATE = """SELECT pos, e, coalesce(n.c, o.c) AS c FROM {b} o LEFT JOIN (SELECT pos, e, list(m ORDER BY d) AS c FROM (SELECT pos, e, d, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM {a} JOIN p USING (r, pos), unnest(p.v) WITH ORDINALITY u(x, d) GROUP BY 1, 2, 3) GROUP BY 1, 2) n USING (pos, e)"""
+OP11 = f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT r, pos, v[pos * len(v) // {_P} + 1:(pos + 1) * len(v) // {_P}] AS v FROM k, unnest(range({_P})) x(pos)),
+    b0 AS (SELECT pos, r - 1 AS e, v AS c FROM p WHERE r <= {_E}),
+    a0 AS MATERIALIZED ({_ASSIGN.format(b="b0")}), b1 AS MATERIALIZED ({_UPDATE.format(b="b0", a="a0")}), a1 AS MATERIALIZED ({_ASSIGN.format(b="b1")}), b2 AS MATERIALIZED ({_UPDATE.format(b="b1", a="a1")}),
+    a2 AS ({_ASSIGN.format(b="b2")}),
+    o AS (SELECT r, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY pos) AS code, sum(far)::BIGINT AS error FROM a2 GROUP BY 1)
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha256((SELECT string_agg(array_to_string(c, ','), ',' ORDER BY pos, e) FROM b2)) AS codebooks_sha256 FROM o JOIN k USING (r)"""
+
+OP12 = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+    t AS (SELECT *, CASE WHEN n >= {warc.LEAST_REVISIT} THEN min(page_id) OVER (PARTITION BY d) END AS f FROM p)
+    SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN f IS DISTINCT FROM page_id AND f IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN f IS DISTINCT FROM page_id THEN f END AS refers_to, NULL::VARCHAR AS fault FROM t"""
+
+# crc32 bit by bit, as a fold over a word's bytes.
+_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_N = resampling.BUCKETS
+OP13 = f"""WITH RECURSIVE bits AS (SELECT i AS b, 0 AS k, i::BIGINT AS c FROM range(256) x(i) UNION ALL SELECT b, k + 1, {_STEP} FROM bits WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT.format(t="coalesce(text, '')")} AS w FROM documents),
+    dw AS (SELECT r, unnest(w) AS w FROM d), tw AS (SELECT unnest({_SPLIT.format(t="coalesce(text, '')")}) AS w FROM benchmark),
+    v AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(w)) + 1), lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT)),
+      lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1])), 4294967295) % {_N} AS b FROM (SELECT w FROM dw UNION SELECT w FROM tw), crc),
+    s AS (SELECT b, count(*) AS n FROM dw JOIN v USING (w) GROUP BY 1), t AS (SELECT b, count(*) AS n FROM tw JOIN v USING (w) GROUP BY 1),
+    g AS (SELECT b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + {_N}) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM tw) + {_N}))))::BIGINT AS gain
+      FROM (SELECT DISTINCT b FROM v) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+    m AS (SELECT r, sum(gain) AS total, count(*) AS n FROM dw JOIN v USING (w) JOIN g USING (b) GROUP BY 1),
+    f AS (SELECT r, doc_id, len(w)::BIGINT AS n, CASE WHEN len(w) = 0 THEN 0 ELSE ((total - ((total % m.n) + m.n) % m.n) // m.n)::BIGINT END AS weight,
+      floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise FROM d LEFT JOIN m USING (r)),
+    o AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n >= {resampling.LEAST_WORDS} ORDER BY weight + noise DESC, doc_id NULLS LAST, n) AS place,
+      count(*) FILTER (n >= {resampling.LEAST_WORDS}) OVER () AS whole FROM f)
+    SELECT doc_id, n AS n_features, weight, score, CASE WHEN n >= {resampling.LEAST_WORDS} AND place <= {resampling.PERCENT} * whole // 100 THEN place END AS rank, n AS n_words FROM o"""
+
+SQL: dict[str, str] = {"op11_vector_codes": OP11, "op12_warc": OP12, "op13_resampling": OP13, "op1_quality": OP1, "op4_urls": OP4, "op5_decontamination": OP5}
