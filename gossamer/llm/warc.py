@@ -76,7 +76,10 @@ def page_record(page_id: int | None, url: str | None, html: bytes, digest: str,
     """Response with its payload, or a revisit with the response's HTTP head alone; ``first`` is the page to refer to, if any."""
     revisit = first is not None and first != page_id
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", date), ("Content-Type", HTTP), ("WARC-Payload-Digest", "sha256:" + digest)]
-    fields += [("WARC-Target-URI", target(url))] * (url is not None) + [("X-Page-ID", str(page_id))] * (page_id is not None)
+    if url is not None:
+        fields.append(("WARC-Target-URI", target(url)))
+    if page_id is not None:
+        fields.append(("X-Page-ID", str(page_id)))
     if revisit:
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first, digest)), ("X-Refers-To-Page-ID", str(first))]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
