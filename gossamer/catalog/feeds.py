@@ -1,4 +1,4 @@
-"""Feed normalizers over payloads that Spark writes from the driver tables, as landed text, before parsing them."""
+"""Feed normalizers over files: Spark lands the payloads it makes from the driver tables, and the readers scan them."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from gossamer.catalog.registry import query, table_sql
 from gossamer.catalog.scalars import PACK
 from gossamer.sources import adapter as A
 from gossamer.sources import feeds as S
+from gossamer.sources import landing as L
 from gossamer.sources import messages as MS
 from gossamer.sources import vocab as V
 
@@ -19,9 +20,15 @@ SEC = "(epoch_us(ts) // 1000000)"
 SISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 
 
+def batch_of(rows):
+    """A fetch holds a bounded slice of a feed."""
+    key = next(c for c in ("batch_id", "event_id", "o_orderkey", "seq") if c in rows.columns)
+    return F.col(key) if key == "batch_id" else (F.col(key) / 1000).cast("long")
+
+
 def parsed(rows, struct, ddl):
-    """Write each row's payload as JSON text and read it back with the landing schema, as a file scan would."""
-    return rows.select("*", F.to_json(struct).alias("_json")).select(F.from_json("_json", ddl).alias("f"), "batch_id" if "batch_id" in rows.columns else F.lit(0).alias("batch_id"))
+    """Features of landed FeatureCollection files."""
+    return S.read_features(rows.sparkSession, L.write_features(rows, struct, batch_of(rows)), ddl)
 
 
 def events(spark, sf, kind=None):
@@ -134,20 +141,14 @@ def s5(spark, sf):
     k, v = F.col("event_id"), F.col("value")
     none = F.lit(None).cast("double")
     rows = events(spark, sf).select(
-        F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("station"), F.lit("n").alias("name"), F.lit("").alias("county"), LA().alias("lat"), LO().alias("lon"),
+        "event_id", F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("station"), F.lit("n").alias("name"), F.lit("").alias("county"), LA().alias("lat"), LO().alias("lon"),
         F.date_format("ts", ISO).alias("utc_valid"), F.when(k % 3 != 0, v).alias("tmpf"), none.alias("dwpf"), none.alias("relh"), none.alias("sknt"), F.when(k % 2 == 0, v).alias("gust"),
         F.when(k % 5 == 0, v).alias("phour"), none.alias("alti"), none.alias("vsby"), F.lit("m").alias("raw"))
-    r = S.normalize_stations(rows, mapping(spark, STATION_MAP), dim(spark, sf))
+    landed = S.read_rows(spark, L.write_list(rows, F.struct(*[c for c in rows.columns if c != "event_id"]), batch_of(rows), "data"), S.STATION_ROW, "data")
+    r = S.normalize_stations(landed, mapping(spark, STATION_MAP), dim(spark, sf))
     return r.select("station", F.unix_seconds("observed_at").alias("sec"), "metric", F.round("value", 6).alias("value"), "period", "county_id")
 
 
-def text_rows(df, columns):
-    """Delimited lines of the given columns and the same lines split again, as a text scan would give them."""
-    line = df.select(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in columns]).alias("line"))
-    parts = F.split("line", r"\|")
-    return line.select(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
-
-
 @query("s6_normalize_air", f"""SELECT '17' || lpad(CAST(e.user_id % 40 AS VARCHAR), 3, '0') || e.user_id AS site, hour_s + 3600 AS observed_s, value, coalesce(c.county_id, n.near) AS county_id FROM (
     SELECT user_id, CASE WHEN event_id % 9 = 0 THEN -999.0 ELSE value END AS value, {SEC} - {SEC} % 3600 AS hour_s FROM events WHERE event_type = 'purchase') e
     JOIN near5 n USING (user_id) LEFT JOIN counties5 c ON c.county_id = '17' || lpad(CAST(e.user_id % 40 AS VARCHAR), 3, '0') WHERE value BETWEEN 0 AND 300""")
@@ -155,11 +156,14 @@ def s6(spark, sf):
     u = F.col("user_id")
     site = F.concat(fips(u % 40), u.cast("string"))
     e = events(spark, sf, "purchase")
-    raw = e.select(F.date_format("ts", "MM/dd/yy").alias("date"), F.date_format("ts", "HH:00").alias("time"), site.alias("site"), F.lit("S").alias("name"), F.lit("-6").alias("offset"),
+    raw = e.select("event_id", F.date_format("ts", "MM/dd/yy").alias("date"), F.date_format("ts", "HH:00").alias("time"), site.alias("site"), F.lit("S").alias("name"), F.lit("-6").alias("offset"),
                    F.lit("PM2.5").alias("parameter"), F.lit("UG/M3").alias("unit"), F.when(F.col("event_id") % 9 == 0, "-999").otherwise(F.col("value").cast("string")).alias("value"), F.lit("EPA").alias("agency"))
-    s = events(spark, sf).select(site.alias("site"), F.lit(" Name ").alias("name"), LA().cast("string").alias("lat"), LO().cast("string").alias("lon"), F.col("event_id").alias("line"))
+    s = events(spark, sf).select("event_id", site.alias("site"), F.lit(" Name ").alias("name"), LA().cast("string").alias("lat"), LO().cast("string").alias("lon"))
+    s = s.select("event_id", *[F.col(c) if c in s.columns else F.lit("x").alias(c) for c in S.AIR_SITE_COLUMNS])
+    hours = S.read_pipe(spark, L.write_lines(raw, S.AIR_COLUMNS, batch_of(raw), "|"), S.AIR_COLUMNS)
+    s = S.read_pipe(spark, L.write_lines(s, S.AIR_SITE_COLUMNS, batch_of(s), "|"), S.AIR_SITE_COLUMNS)
     m = mapping(spark, [("PM2.5", "pm25", 1.0, 0.0, "1h", 0.0, 300.0, False, 0)])
-    r = S.normalize_air(text_rows(raw, S.AIR_COLUMNS), S.air_sites(s, "17"), m, dim(spark, sf))
+    r = S.normalize_air(hours, S.air_sites(s, "17"), m, dim(spark, sf))
     return r.select("site", F.unix_seconds("observed_at").alias("observed_s"), "value", "county_id")
 
 
@@ -169,11 +173,12 @@ def s6(spark, sf):
 def s7(spark, sf):
     k = F.col("event_id")
     e = events(spark, sf, "purchase").select(
-        F.date_format("ts", " yyyy-MM-dd").alias("ObservationDate"), F.date_format("ts", " hh:mm a").alias("ObservationTime"), F.concat(F.lit(" il-"), F.col("user_id").cast("string")).alias("StationNumber"),
+        "event_id", F.date_format("ts", " yyyy-MM-dd").alias("ObservationDate"), F.date_format("ts", " hh:mm a").alias("ObservationTime"), F.concat(F.lit(" il-"), F.col("user_id").cast("string")).alias("StationNumber"),
         F.lit("s").alias("StationName"), LA().cast("string").alias("Latitude"), LO().cast("string").alias("Longitude"),
         F.when(k % 8 == 0, "T").when(k % 8 == 4, "NA").otherwise(F.col("value").cast("string")).alias("TotalPrecipAmt"), (k % 7).cast("string").alias("NewSnowDepth"))
     m = mapping(spark, [("TotalPrecipAmt", "rain_mm", 25.4, 0.0, "24h", 0.0, 5000.0, False, 0), ("NewSnowDepth", "snow_cm", 2.54, 0.0, "24h", 0.0, 5000.0, False, 1)])
-    r = S.normalize_rain_observers(e, m, dim(spark, sf), "America/Chicago")
+    landed = S.read_csv_spaced(spark, L.write_lines(e, S.RAIN_COLUMNS, batch_of(e), ",", header=True), S.RAIN_COLUMNS)
+    r = S.normalize_rain_observers(landed, m, dim(spark, sf), "America/Chicago")
     return r.select("station", F.unix_seconds("observed_at").alias("observed_s"), "metric", F.round("value", 6).alias("value"))
 
 
@@ -203,8 +208,9 @@ def s9(spark, sf):
     series = e.groupBy("user_id", "event_type", "depth", chunk).agg(F.sort_array(F.collect_list(F.struct("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("date"), F.when(k % 4 != 0, F.col("value")).alias("value")))).alias("vs"))
     series = series.select("user_id", "file", F.struct(F.struct(F.col("event_type").alias("elementCode"), F.col("depth").alias("heightDepth"), F.lit("pct").alias("storedUnitCode")).alias("stationElement"),
                                                F.transform("vs", lambda v: F.struct(v["date"].alias("date"), v["value"].alias("value"))).alias("values")).alias("d"))
-    st = series.groupBy("user_id", "file").agg(F.collect_list("d").alias("data")).select("user_id", F.to_json(F.struct(F.concat(F.col("user_id").cast("string"), F.lit(":IL:SCAN")).alias("stationTriplet"), "data")).alias("j"))
-    stations = st.select(F.from_json("j", S.SOIL_STATION).alias("s"))
+    st = series.groupBy("user_id", "file").agg(F.collect_list("d").alias("data"))
+    station = F.struct(F.concat(F.col("user_id").cast("string"), F.lit(":IL:SCAN")).alias("stationTriplet"), "data")
+    stations = S.read_structs(spark, L.write_list(st, station, F.col("file")), S.SOIL_STATION, "s")
     places = A.sensors(spark, sf).select(F.concat(F.col("sensor_id").cast("string"), F.lit(":IL:SCAN")).alias("triplet"), "county_id", "lat", "lon")
     m = mapping(spark, [("click", "soil_moisture", 1.0, 0.0, None, 0.0, 300.0, False, 0), ("view", "soil_temp", 1.0, 0.0, None, 0.0, 300.0, False, 1)])
     r = S.normalize_soil(stations, places, m)
@@ -215,9 +221,10 @@ def s9(spark, sf):
     SELECT '17' || lpad(CAST(k AS VARCHAR), 3, '0') AS fips, CASE WHEN value * 0.2::DOUBLE >= 25 THEN 5.0 WHEN value * 0.4::DOUBLE >= 25 THEN 4.0 WHEN value * 0.6::DOUBLE >= 25 THEN 3.0 WHEN value * 0.8::DOUBLE >= 25 THEN 2.0 WHEN value >= 25 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM l""")
 def s10(spark, sf):
     v = F.col("value")
-    rows = events(spark, sf, "view").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("mapDate"), fips(F.col("user_id") % 25).alias("fips"), (v * 0).alias("none"), v.alias("d0"), (v * 0.8).alias("d1"),
+    rows = events(spark, sf, "view").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("mapDate"), fips(F.col("user_id") % 25).alias("fips"), (v * 0).alias("none"), v.alias("d0"), (v * 0.8).alias("d1"),
                                             (v * 0.6).alias("d2"), (v * 0.4).alias("d3"), (v * 0.2).alias("d4"))
-    return S.normalize_drought(rows, dim(spark, sf)).select("fips", "value")
+    landed = S.read_rows(spark, L.write_list(rows, F.struct(*[c for c in rows.columns if c != "event_id"]), batch_of(rows)), S.DROUGHT_ROW)
+    return S.normalize_drought(landed, dim(spark, sf)).select("fips", "value")
 
 
 @query("s11_normalize_quakes", f"""SELECT 'q' || event_id AS quake_id, metric, value, epoch_us(ts) // 1000 AS at_ms, n.near AS county_id FROM (SELECT event_id, user_id, ts, 'mag' AS metric, value / 50 AS value FROM events WHERE event_type = 'signup'
@@ -241,13 +248,14 @@ def s12(spark, sf):
     k = F.col("o_orderkey")
     o = A.table(spark, sf, "orders")
     basis = ((k % 90) - 40).cast("string")
-    rows = o.select(F.when(k % 4 == 0, "Soybeans").otherwise("Corn").alias("commodity"), F.concat(F.lit("District "), (k % 5).cast("string")).alias("trade_loc"), k.cast("string").alias("delivery_point"),
+    rows = o.select("o_orderkey", F.when(k % 4 == 0, "Soybeans").otherwise("Corn").alias("commodity"), F.concat(F.lit("District "), (k % 5).cast("string")).alias("trade_loc"), k.cast("string").alias("delivery_point"),
                     F.when(k % 2 == 0, basis).alias("basis Min"), F.when(k % 2 == 1, basis).alias("basis Max"), F.lit(None).cast("string").alias("price Max"),
                     F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("avg_price"), F.when(k % 3 != 0, "Yes").otherwise("No").alias("current"),
                     F.concat(F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" 06:00:00")).alias("published_date"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("report_date"))
     com = spark.createDataFrame([("Corn", "corn_basis", 0.01), ("Soybeans", "soy_basis", 0.01)], "commodity string, metric string, a double")
     reg = spark.createDataFrame([(f"District {i}", f"1700{i}", 40.0, -89.0) for i in range(5)], "trade_loc string, county_id string, lat double, lon double")
-    r = S.normalize_grain_bids(rows, com, reg, "America/Chicago")
+    landed = S.read_rows(spark, L.write_list(rows, F.struct(*[c for c in rows.columns if c != "o_orderkey"]), batch_of(rows), "results"), S.GRAIN_ROW, "results")
+    r = S.normalize_grain_bids(landed, com, reg, "America/Chicago")
     return r.select(F.col("delivery_point").cast("long").alias("id"), "metric", F.round("value", 6).alias("value"), F.unix_seconds("observed_at").alias("published_s"), F.round("cash_price", 2).alias("cash"))
 
 
@@ -266,19 +274,30 @@ def s14(spark, sf):
     return S.normalize_statements(p).select("item_id", "title", F.length("content").cast("long").alias("n"))
 
 
-@query("s15_normalize_json_readings", """SELECT seq, item, CASE WHEN bad THEN NULL ELSE metric END AS metric, CASE WHEN bad OR unknown OR (metric <> 'signup' AND (value < 0 OR value > 300)) THEN NULL ELSE CASE WHEN metric = 'signup' THEN 1.0 ELSE value END END::DOUBLE AS value,
-    CASE WHEN bad OR unknown OR (metric <> 'signup' AND (value < 0 OR value > 300)) THEN NULL ELSE least(1.0, greatest(0.0, conf)) END::DOUBLE AS confidence FROM (
-    SELECT seq, 0 AS item, CASE WHEN seq % 11 = 3 THEN 'nope' ELSE metric END AS metric, seq % 11 = 3 AS unknown, value, (seq % 15) / 10.0 - 0.2 AS conf, seq % 17 = 5 AS bad FROM signals
-    UNION ALL SELECT seq, 1, 'click', false, 7.0, 1.0, false FROM signals WHERE seq % 4 = 0 AND seq % 17 <> 5)""")
+S15_OK = "NOT (bad OR unknown OR lost OR when_bad OR (metric <> 'signup' AND (value < 0 OR value > 300)))"
+
+
+@query("s15_normalize_json_readings", f"""SELECT seq, item, metric, CASE WHEN {S15_OK} THEN CASE WHEN metric = 'signup' THEN 1.0 ELSE value END END::DOUBLE AS value, CASE WHEN {S15_OK} THEN least(1.0, greatest(0.0, conf)) END::DOUBLE AS confidence,
+    CASE WHEN {S15_OK} THEN stated END AS stated_s, CASE WHEN {S15_OK} THEN coalesce(la, c.lat) END AS lat, CASE WHEN {S15_OK} THEN coalesce(lo, c.lon) END AS lon, CASE WHEN {S15_OK} THEN c.county_id END AS county_id,
+    CASE WHEN {S15_OK} THEN tags END AS tags, CASE WHEN {S15_OK} THEN note END AS note, CASE WHEN bad THEN 'invalid JSON' WHEN unknown THEN 'unknown metric nope' WHEN metric <> 'signup' AND (value < 0 OR value > 300) THEN 'outside plausible range'
+      WHEN lost THEN 'unknown location nowhere' WHEN when_bad THEN 'bad observed_at' END AS error FROM (
+    SELECT seq, 0 AS item, CASE WHEN seq % 17 = 5 THEN NULL WHEN seq % 11 = 3 THEN 'nope' ELSE metric END AS metric, seq % 11 = 3 AS unknown, value, (seq % 15) / 10.0 - 0.2 AS conf, seq % 17 = 5 AS bad, seq % 10 = 7 AS lost, seq % 9 = 4 AS when_bad,
+      CASE WHEN seq % 9 = 2 THEN epoch_us(observed_at) // 1000000 END AS stated, CASE WHEN seq % 10 = 1 THEN lat END AS la, CASE WHEN seq % 10 = 1 THEN lon END AS lo, CASE WHEN seq % 10 = 2 THEN county_id END AS own,
+      CASE WHEN seq % 3 = 0 THEN 'a;b' ELSE '' END AS tags, 'note ' || seq AS note FROM signals
+    UNION ALL SELECT seq, 1, 'click', false, 7.0, 1.0, false, false, false, NULL, NULL, NULL, NULL, '', NULL FROM signals WHERE seq % 4 = 0 AND seq % 17 <> 5) LEFT JOIN dim_county c ON c.county_id = own""")
 def s15(spark, sf):
     k = F.col("seq")
-    one = F.struct(F.when(k % 11 == 3, "nope").otherwise(F.col("metric")).alias("metric"), F.col("value").alias("value"), F.lit("n").alias("unit"), ((k % 15) / 10.0 - 0.2).alias("confidence"))
+    where = (F.when(k % 10 == 1, F.to_json(F.struct("lat", "lon"))).when(k % 10 == 2, F.concat(F.lit("nation "), "county_id", F.lit(" County"))).when(k % 10 == 7, "nowhere"))
+    stated = F.when(k % 9 == 2, F.date_format("observed_at", ISO)).when(k % 9 == 4, "yesterday")
+    one = F.struct(F.when(k % 11 == 3, "nope").otherwise(F.col("metric")).alias("metric"), F.col("value").alias("value"), F.lit("n").alias("unit"), ((k % 15) / 10.0 - 0.2).alias("confidence"),
+                   where.alias("location"), stated.alias("observed_at"), F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("b"))).alias("tags"), F.concat(F.lit("note "), k.cast("string")).alias("note"))
     two = F.struct(F.lit("click").alias("metric"), F.lit(7.0).alias("value"), F.lit("n").alias("unit"), F.lit(1.0).alias("confidence"))
     s = A.signals(spark, sf)
-    payload = F.when(k % 17 == 5, F.lit("{broken")).when(k % 4 == 0, F.to_json(F.array(one, two))).otherwise(F.to_json(one))
+    payload = F.when(k % 17 == 5, F.lit("{broken")).when(k % 4 == 0, F.concat(F.lit("["), F.to_json(one), F.lit(","), F.to_json(two), F.lit("]"))).otherwise(F.to_json(one))
     fr = V.frames(spark, [PACK])
-    dm = fr["dim_metric"]
-    return S.normalize_json_readings(s.select("seq", payload.alias("payload")), "seq", dm, fr["dim_unit"]).select("seq", "item", "metric", "value", "confidence")
+    places = A.dim_county(spark, sf).select(F.concat(F.lit("nation"), "county_id").alias("name_key"), "county_id", F.lit(None).cast("string").alias("zip5"), "lat", "lon")
+    r = S.normalize_json_readings(s.select("seq", payload.alias("payload")), "seq", fr["dim_metric"], fr["dim_unit"], places)
+    return r.select("seq", "item", "metric", "value", "confidence", F.unix_seconds("observed_at").alias("stated_s"), "lat", "lon", "county_id", F.array_join("tags", ";").alias("tags"), "note", "error")
 
 
 MSG = """SELECT seq, 0 AS clause, 'click' AS metric, CASE WHEN value <= 300 THEN value END AS value, NULL::DOUBLE AS minutes_ago, 'nation_3' AS place, CASE WHEN value <= 300 THEN 'ok' ELSE 'range' END AS state FROM signals WHERE seq % 6 = 0
@@ -310,13 +329,32 @@ def s16(spark, sf):
     return r.select("seq", "clause", "metric", F.round("value", 6).alias("value"), "minutes_ago", "place", state.alias("state"))
 
 
-@query("s18_normalize_river_gauges", f"""SELECT CAST(user_id AS VARCHAR) AS lid, {SEC} AS sec, value / 10 AS stage FROM events WHERE event_type = 'view' AND event_id % 6 <> 0""")
-def s18(spark, sf):
+def river_gauges(spark, sf):
     e = events(spark, sf, "view")
     pt = F.struct(F.date_format("ts", ISO).alias("validTime"), F.when(F.col("event_id") % 6 == 0, -999.0).otherwise(F.col("value") / 10).alias("primary"))
-    g = e.groupBy("user_id", (F.col("event_id") / 1000).cast("long").alias("file")).agg(F.collect_list(pt).alias("data")).select(F.to_json(F.struct(F.col("user_id").cast("string").alias("lid"), F.struct("data").alias("observed"))).alias("j"))
-    g = g.select(F.from_json("j", f"struct<lid: string, observed: {S.RIVER_SERIES}>").alias("g")).select("g.*")
-    return S.river_series(g, "observed").select("lid", F.unix_seconds("taken").alias("sec"), "stage")
+    g = e.groupBy("user_id", (F.col("event_id") / 1000).cast("long").alias("file")).agg(F.collect_list(pt).alias("data"))
+    flow = F.transform("data", lambda p: F.struct(p["validTime"].alias("validTime"), F.when(p["primary"] > -900, p["primary"] + 1.5).otherwise(-999.0).alias("primary")))
+    cats = F.struct(*[F.struct(F.when(F.col("user_id") % (i + 2) != 0, 10.0 * (i + 1) - F.col("user_id") % 3).otherwise(-9999.0).alias("stage")).alias(n) for i, n in enumerate(CATEGORIES)])
+    gauge = F.struct(F.col("user_id").cast("string").alias("lid"), F.struct("data").alias("observed"), F.struct(flow.alias("data")).alias("forecast"), cats.alias("categories"))
+    return S.read_structs(spark, L.write_list(g, gauge, F.col("file")), S.RIVER_GAUGE, "g").select("batch_id", "g.*")
+
+
+CATEGORIES = ["action", "minor", "moderate", "major"]
+
+
+@query("s18_normalize_river_gauges", f"""SELECT CAST(user_id AS VARCHAR) AS lid, {SEC} AS sec, value / 10 AS stage, k AS series FROM (SELECT *, 'observed' AS k FROM events UNION ALL SELECT event_id, ts, user_id, event_type, value + 15.0::DOUBLE, props, 'forecast' FROM events)
+    WHERE event_type = 'view' AND event_id % 6 <> 0""")
+def s18(spark, sf):
+    g = river_gauges(spark, sf)
+    both = [S.river_series(g, k).withColumn("series", F.lit(k)) for k in ("observed", "forecast")]
+    return both[0].unionByName(both[1]).select("lid", F.unix_seconds("taken").alias("sec"), F.round("stage", 6).alias("stage"), "series")
+
+
+@query("s18_flood_stages", """SELECT batch_id, CAST(user_id AS VARCHAR) AS lid, string_agg(n || '=' || printf('%.1f', st), ';' ORDER BY st, n) AS stages FROM (SELECT DISTINCT user_id, event_id // 1000 AS batch_id FROM events WHERE event_type = 'view'),
+    (VALUES (0, 'action'), (1, 'minor'), (2, 'moderate'), (3, 'major')) c(i, n), LATERAL (SELECT (10.0 * (i + 1) - user_id % 3)::DOUBLE AS st) WHERE user_id % (i + 2) <> 0 GROUP BY 1, 2""")
+def s18_stages(spark, sf):
+    g = S.flood_stages(river_gauges(spark, sf), CATEGORIES)
+    return g.select(F.col("batch_id").cast("long").alias("batch_id"), "lid", F.array_join(F.transform("stages", lambda x: F.concat(x["name"], F.lit("="), F.format_string("%.1f", x["stage"]))), ";").alias("stages")).filter("stages <> ''")
 
 
 @query("s19_normalize_outlooks", f"""SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS "level", {SEC} AS from_s, {SEC} + 86400 AS to_s, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS n_polygons FROM events WHERE event_type = 'error' AND event_id % 3 <> 2""")
@@ -326,7 +364,8 @@ def s19(spark, sf):
     word = F.when(k % 3 == 0, "Marginal Risk").when(k % 3 == 1, "Slight Risk").otherwise("None")
     geom = F.struct(F.when(k % 2 == 0, "Polygon").otherwise("MultiPolygon").alias("type"), F.when(k % 2 == 0, f"[{ring}]").otherwise(f"[[{ring}],[{ring}]]").alias("coordinates"))
     props = F.create_map(F.lit("id"), k.cast("string"), F.lit("label"), word, F.lit("valid"), F.date_format("ts", ISO), F.lit("expire"), F.date_format(F.col("ts") + F.expr("INTERVAL 24 HOURS"), ISO))
-    f = events(spark, sf, "error").select(F.struct(geom.alias("geometry"), props.alias("properties")).alias("f"))
+    geom = F.struct(geom["type"].alias("type"), F.from_json(geom["coordinates"], "array<variant>").alias("coordinates"))
+    f = parsed(events(spark, sf, "error"), F.struct(geom.alias("geometry"), props.alias("properties")), S.OUTLOOK_FEATURE)
     lv = spark.createDataFrame([("Marginal", 1), ("Slight", 2)], "word string, level int")
     o = S.normalize_outlooks(f.withColumn("id", F.col("f.properties")["id"].cast("long")), lv, "label", "valid", "expire")
     return o.select("id", "level", F.unix_seconds("valid_from").alias("from_s"), F.unix_seconds("valid_to").alias("to_s"), F.size("polygons").alias("n_polygons"))

@@ -13,7 +13,7 @@ from gossamer.sources.adapter import ALERT_SUPPORT, METRICS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ["joins", "filters", "aggregates", "graph", "places", "windows", "notable", "scalars", "feeds", "publish", "streams"]
+MODULES = ["joins", "filters", "aggregates", "graph", "places", "windows", "notable", "scalars", "feeds", "landed", "publish", "streams"]
 
 
 def query(name: str, sql: str | None = None):

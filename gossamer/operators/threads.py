@@ -25,6 +25,29 @@ def alert_threads(alerts: DataFrame) -> DataFrame:
         "alert_id", F.coalesce("root", "alert_id").alias("thread_id"))
 
 
+def reference_threads(messages: DataFrame) -> DataFrame:
+    """G2 over lists of string ids: (alert_id, thread_id). Messages that reference each other, directly, through others or through one that never came,
+    share a thread; the first message sent names it. ``messages`` may hold a row per county.
+    """
+    m = messages.groupBy("alert_id").agg(F.min("observed_at").alias("sent"), F.first("references").alias("references"))
+    edges = m.select(F.col("alert_id").alias("u"), F.explode("references").alias("v"))
+    roots = components(edges)
+    m = m.select("alert_id", "sent").join(roots, F.col("alert_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "alert_id"))
+    named = m.groupBy("root").agg(F.min_by("alert_id", F.struct("sent", "alert_id")).alias("thread_id"))
+    return m.select("alert_id", "root").join(named, "root").select("alert_id", "thread_id")
+
+
+def tag_rises(messages: DataFrame, threads: DataFrame) -> DataFrame:
+    """G4 on S2's tags: (alert_id, tag, level, value, text) of what is new or rose against the thread's previous message. Ordered tags compare their place in the
+    pack's list, others their number; a thread's first message has nothing to rise from."""
+    m = messages.groupBy("alert_id").agg(F.min("observed_at").alias("sent"), F.first("impact").alias("impact")).join(threads, "alert_id")
+    out = lag_columns(m.withColumn("_seen", F.lit(True)), ["thread_id"], "sent", "alert_id", ["impact", "_seen"], 86400 * 10**6).filter("prev__seen")
+    out = out.select("alert_id", "thread_id", "prev_impact", F.inline("impact"))
+    before = F.get(F.filter("prev_impact", lambda x: x["tag"] == F.col("tag")), F.lit(0))
+    rose = before.isNull() | F.coalesce(F.col("level") > before["level"], F.lit(False)) | F.coalesce(F.col("value") > before["value"], F.lit(False))
+    return out.filter(rose).select("alert_id", "thread_id", "tag", "level", "value", "text")
+
+
 def thread_rows(alerts: DataFrame, threads: DataFrame, now: Column) -> DataFrame:
     """One row per thread: newest message's attributes, first time, counties, and whether it has expired."""
     a = alerts.join(threads, "alert_id")
