@@ -79,10 +79,12 @@ def f13(spark, sf):
     return O.hourly_rate(A.signals(spark, sf), ["sensor_id", "metric"])
 
 
-@query("f14_rate_limited", """SELECT seq, n_before, n_before >= 1 AS refused FROM (SELECT seq, count(*) OVER (PARTITION BY sensor_id ORDER BY epoch_us(received_at)
-    RANGE BETWEEN 600000000 PRECEDING AND 1 PRECEDING) AS n_before FROM signals)""")
+@query("f14_rate_limited", """WITH RECURSIVE m AS (SELECT seq, sensor_id, epoch_us(received_at) AS t, row_number() OVER (PARTITION BY sensor_id ORDER BY received_at, seq) AS rn FROM signals),
+    f AS (SELECT sensor_id, rn, seq, t, 0::BIGINT AS n_before, [t] AS kept FROM m WHERE rn = 1
+      UNION ALL SELECT sensor_id, rn, seq, t, len(k), CASE WHEN len(k) >= 2 THEN k ELSE list_append(k, t) END FROM (SELECT m.*, list_filter(f.kept, lambda x: x >= m.t - 28800000000) AS k FROM f JOIN m ON m.sensor_id = f.sensor_id AND m.rn = f.rn + 1))
+    SELECT seq, n_before, n_before >= 2 AS refused FROM f""")
 def f14(spark, sf):
-    return O.rate_limited(A.signals(spark, sf).select("seq", "sensor_id", "received_at"), limit=1).select("seq", "n_before", "refused")
+    return O.rate_limited(A.signals(spark, sf).select("seq", "sensor_id", "received_at"), minutes=480, limit=2).select("seq", "n_before", "refused")
 
 
 @query("f15_banned_senders", "SELECT seq, sensor_id FROM signals WHERE sensor_id NOT IN (SELECT sensor_id FROM sensors WHERE status = 'banned')")

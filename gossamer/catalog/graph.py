@@ -166,30 +166,38 @@ def f19(spark, sf):
     return ended_for_county(TH.thread_rows(al, th, n), "3", n, 240).select("thread_id")
 
 
-# fetch manifests: one fetch per 'view' reading; each lists the messages of the last 5 h that it saw (a share are dropped)
-table_sql("manifests", """SELECT ts AS fetch_at, CAST(event_id % 5 AS BIGINT) AS n_ids FROM events WHERE event_type = 'view' AND event_id % 7 <> 0""")
-table_sql("presence", """SELECT alert_id, sent + to_minutes(30 + alert_id % 200) AS fetch_at FROM alert_rows WHERE alert_id % 3 <> 0""")
-table_sql("life_threads", """SELECT alert_id AS thread_id, alert_id AS current_id, sent AS updated_at, sent + to_hours(4 + alert_id % 5) AS expires FROM alert_rows""")
-table_sql("good_fetch", """SELECT f.fetch_at FROM manifests f LEFT JOIN (SELECT m.fetch_at, count(*) AS in_force FROM (SELECT fetch_at FROM manifests WHERE n_ids = 0) m JOIN life_threads t
-    ON t.updated_at <= m.fetch_at AND t.expires > m.fetch_at GROUP BY 1) k USING (fetch_at) WHERE NOT (n_ids = 0 AND coalesce(in_force, 0) >= 3)""")
-
-
-@query("g3_thread_lifecycle", """WITH a AS (SELECT t.*, greatest(epoch_us(t.updated_at), coalesce(epoch_us(s.last), epoch_us(t.updated_at) - 1)) AS since FROM life_threads t
-      LEFT JOIN (SELECT alert_id, max(fetch_at) AS last FROM presence GROUP BY 1) s ON s.alert_id = t.current_id),
-    m AS (SELECT thread_id, min(epoch_us(fetch_at)) AS missing FROM a JOIN good_fetch ON epoch_us(fetch_at) > since GROUP BY 1),
-    c AS (SELECT thread_id, min(epoch_us(fetch_at)) AS gone FROM m JOIN good_fetch ON epoch_us(fetch_at) >= missing + 90000000 GROUP BY 1),
-    x AS (SELECT thread_id, min(epoch_us(fetch_at)) AS done FROM a JOIN manifests ON fetch_at >= expires GROUP BY 1)
-    SELECT thread_id, CASE WHEN done IS NOT NULL AND (gone IS NULL OR done <= gone) THEN 'expired' WHEN gone IS NOT NULL THEN 'cancelled' END AS reason,
-    least(done, gone) AS ended_us FROM a LEFT JOIN c USING (thread_id) LEFT JOIN x USING (thread_id)""")
+# fetch manifests: one an hour in which something was viewed, but for each seventh; every fifth is empty. An alert is listed now and then until its last hour
+table_sql("manifests", """SELECT h * 3600000000 AS f, CASE WHEN h % 5 = 0 THEN 0 ELSE 1 END AS n_ids FROM (SELECT DISTINCT epoch_us(ts) // 3600000000 AS h FROM events WHERE event_type = 'view') WHERE h % 7 <> 0""")
+table_sql("life_threads", """SELECT alert_id AS thread_id, epoch_us(sent) AS u, epoch_us(sent) + (4 + alert_id % 5) * 3600000000 AS x FROM alert_rows WHERE alert_id % 3 = 0""")
+table_sql("presence", """SELECT alert_id, f FROM alert_rows, range(1, 6) r(k), LATERAL (SELECT (epoch_us(sent) // 3600000000 + k) * 3600000000 AS f) JOIN manifests USING (f) WHERE n_ids > 0 AND k <= 1 + alert_id % 5 AND (alert_id + k) % 4 <> 0""")
+_PUT = "{{'id': a.id, 'u': a.u, 'x': a.x, 'seen': a.seen, 'missing': {m}, 'ended': {e}, 'why': {w}}}"
+_MARK = _PUT.format(e="a.ended", w="a.why", m="CASE WHEN a.ended IS NOT NULL OR a.u >= f OR NOT (n_ids > 0 OR force < 3) THEN a.missing WHEN list_contains(a.seen, f) THEN NULL ELSE coalesce(a.missing, f) END")
+_END = _PUT.format(m="a.missing", e="CASE WHEN a.ended IS NOT NULL THEN a.ended WHEN a.x <= f OR f - a.missing >= 90000000 THEN f END", w="CASE WHEN a.ended IS NOT NULL THEN a.why WHEN a.x <= f THEN 'expired' WHEN f - a.missing >= 90000000 THEN 'cancelled' END")
+
+
+# the fold itself, fetch by fetch, over the list of threads; those long over are left out of the next step's list
+@query("g3_thread_lifecycle", f"""WITH RECURSIVE polls AS (SELECT f, n_ids, row_number() OVER (ORDER BY f) AS k FROM manifests),
+    begun AS (SELECT thread_id AS id, u, x, coalesce(seen, []) AS seen FROM life_threads LEFT JOIN (SELECT alert_id AS thread_id, list(f) AS seen FROM presence GROUP BY 1) USING (thread_id)),
+    joins AS (SELECT k, list({{'id': id, 'u': u, 'x': x, 'seen': seen, 'missing': NULL::BIGINT, 'ended': NULL::BIGINT, 'why': NULL::VARCHAR}}) AS s FROM begun JOIN polls ON polls.f >= u AND NOT EXISTS (SELECT 1 FROM polls g WHERE g.k = polls.k - 1 AND g.f >= u) GROUP BY 1),
+    step AS (SELECT 0::BIGINT AS k, CAST([] AS STRUCT(id BIGINT, u BIGINT, x BIGINT, seen BIGINT[], missing BIGINT, ended BIGINT, why VARCHAR)[]) AS s
+      UNION ALL SELECT k, list_transform(list_transform(s, lambda a: {_MARK}), lambda a: {_END}) FROM (SELECT k, f, n_ids, s, len(list_filter(s, lambda a: a.x > f)) AS force FROM (SELECT polls.*, list_concat(list_filter(step.s, lambda a: a.ended IS NULL), coalesce(joins.s, [])) AS s
+        FROM step JOIN polls ON polls.k = step.k + 1 LEFT JOIN joins ON joins.k = polls.k))),
+    settled AS (SELECT unnest(s, recursive := true) FROM step)
+    SELECT thread_id, why AS reason, ended AS ended_us FROM life_threads LEFT JOIN (SELECT id AS thread_id, why, ended FROM settled WHERE ended IS NOT NULL) USING (thread_id)""")
 def g3(spark, sf):
-    e = A.table(spark, sf, "events")
-    fetches = e.filter("event_type = 'view' and event_id % 7 <> 0").select(F.col("ts").alias("fetch_at"), (F.col("event_id") % 5).alias("n_ids"))
+    return TH.thread_lifecycle(*fetched_threads(spark, sf))
+
+
+def fetched_threads(spark, sf):
+    """Threads, manifests and sightings of ``life_threads``, ``manifests`` and ``presence``."""
+    hour, k = F.lit(3600 * 10**6).cast("long"), F.col("alert_id")
+    h = A.table(spark, sf, "events").filter("event_type = 'view'").select(F.floor(us("ts") / hour).alias("h")).distinct().filter("h % 7 <> 0")
+    fetches = h.select(F.timestamp_micros(F.col("h") * hour).alias("fetch_at"), F.when(F.col("h") % 5 == 0, 0).otherwise(1).alias("n_ids"))
     al = A.alert_rows(spark, sf)
-    k = F.col("alert_id")
-    seen = al.filter(k % 3 != 0).select("alert_id", F.timestamp_micros(us("sent") + (30 + k % 200) * 60000000).alias("fetch_at"))
-    th = al.select(k.alias("thread_id"), k.alias("current_id"), F.col("sent").alias("updated_at"),
-                   F.timestamp_micros(us("sent") + (4 + k % 5) * 3600000000).alias("expires"))
-    return TH.thread_lifecycle(th, fetches, seen)
+    seen = al.select("alert_id", "sent", F.explode(F.sequence(F.lit(1), (1 + k % 5).cast("int"))).alias("i")).filter((k + F.col("i")) % 4 != 0)
+    seen = seen.select("alert_id", F.timestamp_micros((F.floor(us("sent") / hour) + F.col("i")) * hour).alias("fetch_at")).join(fetches.filter("n_ids > 0").select("fetch_at"), "fetch_at", "left_semi")
+    th = al.filter(k % 3 == 0).select(k.alias("thread_id"), k.alias("current_id"), F.col("sent").alias("updated_at"), F.timestamp_micros(us("sent") + (4 + k % 5) * hour).alias("expires"))
+    return th, fetches, seen
 
 
 @query("g4_impact_rises", """WITH v AS (SELECT a.alert_id, thread_id, sent, 'wind' AS tag, NULL AS "level", CAST(alert_id % 60 AS DOUBLE) AS value FROM alerts a JOIN closure USING (alert_id)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gossamer.functions import geo
 from gossamer.functions import scalars as X
-from gossamer.plans.bucketed import trailing_count
+from gossamer.plans.bucketed import bucket_of, sessions
 
 
 def hours_before(now: Column, hours: float) -> Column:
@@ -108,13 +111,33 @@ def hourly_rate(signals: DataFrame, keys: list[str]) -> DataFrame:
     return signals.groupBy(*keys).agg(F.coalesce(F.max(period_hours("period") < 6), F.lit(False)).alias("is_rate"))
 
 
-def rate_limited(messages: DataFrame, at: str = "received_at", minutes: int = 10, limit: int = 20) -> DataFrame:
-    """requests of the sensor in the minutes before, and whether this one is refused.
+def rate_limited(messages: DataFrame, at: str = "received_at", row_id: str = "seq", minutes: int = 10, limit: int = 20) -> DataFrame:
+    """the sensor's stored requests in the minutes before each one, and whether it is refused. A refused request is not stored and counts for nothing later.
 
-    Counts all requests, refused ones too; the reference counts stored ones only (a per-sensor fold).
+    That is a fold in order of arrival, but a silence longer than the window forgets everything: each burst between silences is folded by itself, streamed in
+    sorted order past a queue of at most ``limit`` times, so neither a busy sensor nor a long burst is held in memory.
     """
-    out = trailing_count(messages, ["sensor_id"], at, minutes * 60 * 10**6, "n_before")
-    return out.withColumn("refused", F.col("n_before") >= limit)
+    span = minutes * 60 * 10**6
+    keyed = messages.withColumn("_b", bucket_of(at, span)).join(sessions(messages, ["sensor_id"], at, span), ["sensor_id", "_b"]).drop("_b").withColumn("_t", F.unix_micros(at))
+    schema = T.StructType([*messages.schema.fields, T.StructField("n_before", T.LongType()), T.StructField("refused", T.BooleanType())])
+    names = messages.columns
+
+    def fold(batches):
+        now, kept = None, deque()
+        for b in batches:
+            before = []
+            for key, t in zip(zip(b.column("sensor_id").to_pylist(), b.column("session_at").to_pylist()), b.column("_t").to_pylist()):
+                if key != now:
+                    now, kept = key, deque()
+                while kept and kept[0] < t - span:
+                    kept.popleft()
+                before.append(len(kept))
+                if len(kept) < limit:
+                    kept.append(t)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(before, pa.int64()), pa.array([n >= limit for n in before], pa.bool_())], [*names, "n_before", "refused"])
+
+    order = keyed.repartition("sensor_id", "session_at").sortWithinPartitions("sensor_id", "session_at", "_t", row_id)
+    return order.mapInArrow(fold, schema)
 
 
 def without_banned(signals: DataFrame, sensors: DataFrame) -> DataFrame:

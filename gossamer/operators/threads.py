@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gossamer.plans.bounded import bounded_rows
 from gossamer.plans.bucketed import lag_columns
 from gossamer.plans.components import components
 from gossamer.session import checkpointed
@@ -61,74 +60,81 @@ def thread_rows(alerts: DataFrame, threads: DataFrame, now: Column) -> DataFrame
 
 
 HOUR_US, DAY_US = 3600 * 10**6, 86400 * 10**6
-MAX_DAYS = 200_000  # days with a fetch or a change: five centuries
+MAX_ROUNDS = 100
 
 
 def thread_lifecycle(threads: DataFrame, manifests: DataFrame, seen: DataFrame) -> DataFrame:
     """How and when each thread ended, from fetch manifests.
 
     ``threads`` (thread_id, current_id, updated_at, expires); ``manifests`` (fetch_at, n_ids) one row per successful
-    fetch; ``seen`` (fetch_at, alert_id). A thread is cancelled at the first fetch at least 90 s after the first fetch
-    of the absence run that follows its last sighting; it expires when a fetch finds its end passed. An empty fetch with
-    three or more threads in force, by their own ends, is a glitch and says nothing.
+    fetch; ``seen`` (fetch_at, alert_id). A trusted fetch without a thread begins its absence; a fetch 90 s later or more, without a sighting in between, cancels it. It
+    expires when a fetch finds its end passed. An empty fetch with three or more threads in force is a glitch and begins no absence.
+
+    Which empty fetches are trusted depends on threads cancelled before them. Rounds start from the threads' own ends alone, which trusts the fewest; every
+    round can only cancel earlier and trust more, and each settles at least the first fetch still open, so the rounds end at the fold's own answer.
     """
-    f = manifests.select(F.unix_micros("fetch_at").alias("f"), "n_ids")
-    t = threads.select("thread_id", "current_id", F.unix_micros("updated_at").alias("u"), F.unix_micros("expires").alias("x"))
-    good = checkpointed(f.filter("n_ids > 0").select("f").unionByName(_trusted_empty(f.filter("n_ids = 0").select("f"), t)).distinct())
-    last_seen = seen.groupBy("alert_id").agg(F.max(F.unix_micros("fetch_at")).alias("last"))
-    t = t.join(last_seen, t.current_id == last_seen.alert_id, "left").select("thread_id", "x", (F.greatest("u", F.coalesce("last", F.col("u") - 1)) + 1).alias("_p"))
-    days = _day_firsts(good)
-    missing = next_at_or_after(t, "_p", good, days, "missing_at").withColumn("_p", F.col("missing_at") + ABSENT_US)
-    gone = next_at_or_after(missing, "_p", good, days, "cancel_at").withColumn("_p", F.col("x"))
-    every = f.select("f").distinct()
-    done = next_at_or_after(gone, "_p", every, _day_firsts(every), "expire_at")
-    reason = F.when(F.col("expire_at").isNotNull() & (F.col("cancel_at").isNull() | (F.col("expire_at") <= F.col("cancel_at"))), "expired") \
-        .when(F.col("cancel_at").isNotNull(), "cancelled")
-    return done.select("thread_id", reason.alias("reason"), F.least("expire_at", "cancel_at").alias("ended_us"))
+    f = checkpointed(manifests.select(F.unix_micros("fetch_at").alias("f"), "n_ids").groupBy("f").agg(F.max("n_ids").alias("n_ids")))
+    t = checkpointed(threads.select("thread_id", "current_id", F.unix_micros("updated_at").alias("u"), F.unix_micros("expires").alias("x")))
+    every, full, empty = f.select("f"), f.filter("n_ids > 0").select("f"), f.filter("n_ids = 0").select("f")
+    ids = t.select("thread_id", "current_id", "x")
+    marks = t.select("current_id", F.col("u").alias("s")).unionByName(seen.select(F.col("alert_id").alias("current_id"), F.unix_micros("fetch_at").alias("s"))).distinct()
+    # each sighting with the next one: an absence lies between them
+    runs = lag_columns(marks.withColumn("at", F.timestamp_micros(-F.col("s"))), ["current_id"], "at", "s", ["s"], DAY_US)
+    runs = checkpointed(ids.join(runs.select("current_id", "s", F.col("prev_s").alias("next")), "current_id").withColumn("_p", F.col("s") + 1).drop("current_id", "s", "x"))
+    ends = t.select("thread_id", "u", "x", F.lit(None).cast("long").alias("cancel_at"))
+    trusted, n = _trusted_empty(empty, ends), -1
+    for _ in range(MAX_ROUNDS):
+        trusted = checkpointed(trusted)
+        now = trusted.count()
+        if now == n:
+            break
+        n = now
+        missing = next_at_or_after(runs, "_p", full.unionByName(trusted), "missing_at").filter("missing_at IS NOT NULL AND (next IS NULL OR missing_at < next)")
+        gone = next_at_or_after(missing.withColumn("_p", F.col("missing_at") + ABSENT_US), "_p", every, "gone_at").filter("gone_at IS NOT NULL AND (next IS NULL OR gone_at < next)")
+        cancelled = gone.groupBy("thread_id").agg(F.min("gone_at").alias("cancel_at"))
+        ends = checkpointed(t.join(cancelled, "thread_id", "left").select("thread_id", "u", "x", "cancel_at"))
+        trusted = _trusted_empty(empty, ends)
+    else:
+        raise RuntimeError("threads did not settle")
+    done = next_at_or_after(ends.withColumn("_p", F.col("x")), "_p", every, "expire_at")
+    expired = F.col("expire_at").isNotNull() & (F.col("cancel_at").isNull() | (F.col("expire_at") <= F.col("cancel_at")))
+    return done.select("thread_id", F.when(expired, "expired").when(F.col("cancel_at").isNotNull(), "cancelled").alias("reason"), F.least("expire_at", "cancel_at").alias("ended_us"))
 
 
 def _trusted_empty(empty: DataFrame, t: DataFrame) -> DataFrame:
-    """Empty fetches with fewer than three threads in force: starts minus ends so far, summed within the hour, over the hours of the day, and over days."""
-    steps = t.select(F.col("u").alias("at"), F.lit(1).alias("d")).unionByName(t.filter("x IS NOT NULL").select(F.col("x").alias("at"), F.lit(-1).alias("d")))
+    """Empty fetches with fewer than three threads in force, neither past their end nor cancelled before: starts minus ends so far, summed within the hour, over the
+    hours of the day, and over days."""
+    over = F.least("x", F.col("cancel_at") + 1)
+    steps = t.select(F.col("u").alias("at"), F.lit(1).alias("d")).unionByName(t.select(F.greatest(over, "u").alias("at"), F.lit(-1).alias("d")).filter("at IS NOT NULL"))
     steps = steps.groupBy("at").agg(F.sum("d").alias("d"))
-    axis = steps.select("at", "d", F.lit(0).alias("is_fetch")).unionByName(empty.distinct().select(F.col("f").alias("at"), F.lit(0).cast("long").alias("d"), F.lit(1).alias("is_fetch")))
+    axis = steps.select("at", "d", F.lit(0).alias("is_fetch")).unionByName(empty.select(F.col("f").alias("at"), F.lit(0).cast("long").alias("d"), F.lit(1).alias("is_fetch")))
     axis = axis.withColumns({"_h": F.floor(F.col("at") / HOUR_US), "_d": F.floor(F.col("at") / DAY_US)})
     hours = axis.groupBy("_d", "_h").agg(F.sum("d").alias("n"))
-    before, rows = 0, []
-    for day, n in sorted(bounded_rows(hours.groupBy("_d").agg(F.sum("n").alias("n")), MAX_DAYS)):
-        rows.append((day, before))
-        before += n
-    days = t.sparkSession.createDataFrame(rows, "_d long, _days long")
-    in_day = F.coalesce(F.sum("n").over(W.partitionBy("_d").orderBy("_h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    hours = hours.withColumn("_hours", in_day).join(days, "_d").select("_h", (F.col("_hours") + F.col("_days")).alias("_before"))
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = hours.groupBy("_d").agg(F.sum("n").alias("n")).select("_d", so_far(W.orderBy("_d")).alias("_days"))  # one row per day
+    hours = hours.withColumn("_hours", so_far(W.partitionBy("_d").orderBy("_h"))).join(days, "_d").select("_h", (F.col("_hours") + F.col("_days")).alias("_before"))
     force = F.col("_before") + F.sum("d").over(W.partitionBy("_h").orderBy("at", "is_fetch"))
     return axis.join(hours, "_h").withColumn("in_force", force).filter((F.col("is_fetch") == 1) & (F.col("in_force") < SUSPECT_EMPTY)).select(F.col("at").alias("f"))
 
 
-def _day_firsts(ticks: DataFrame) -> list[tuple[int, int]]:
-    """(day, first tick) of every day that has one."""
-    return sorted((r["d"], r["f"]) for r in bounded_rows(ticks.groupBy(F.floor(F.col("f") / DAY_US).alias("d")).agg(F.min("f").alias("f")), MAX_DAYS))
-
-
-def next_at_or_after(rows: DataFrame, at: str, ticks: DataFrame, days: list[tuple[int, int]], name: str) -> DataFrame:
+def next_at_or_after(rows: DataFrame, at: str, ticks: DataFrame, name: str) -> DataFrame:
     """Add the first tick ``f`` at or after each row's ``at`` (microseconds) as ``name``, NULL when none; ``at`` is dropped.
 
     Ticks and rows are put in one order inside each hour; past the hour the first tick of the day's later hours counts, past the day that of the
-    next day in ``days``.
+    days after, each from a window over one summary row per hour or day.
     """
-    own = [F.col(c) for c in rows.columns]
-    both = rows.select(F.struct(*own).alias("r"), F.col(at).alias("_at")).unionByName(ticks.select(F.lit(None).cast(rows.select(F.struct(*own).alias("r")).schema["r"].dataType).alias("r"), F.col("f").alias("_at")))
+    own = F.struct(*[F.col(c) for c in rows.columns])
+    kind = rows.select(own.alias("r")).schema["r"].dataType
+    both = rows.select(own.alias("r"), F.col(at).alias("_at")).unionByName(ticks.select(F.lit(None).cast(kind).alias("r"), F.col("f").alias("_at")))
     f = F.when(F.col("r").isNull(), F.col("_at"))
     both = both.withColumns({"_h": F.floor(F.col("_at") / HOUR_US), "_d": F.floor(F.col("_at") / DAY_US)})
+    later = lambda w: F.first("_first", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    hours = both.groupBy("_d", "_h").agg(F.min(f).alias("_first"))
+    days = hours.groupBy("_d").agg(F.min("_first").alias("_first")).select("_d", later(W.orderBy("_d")).alias("_days"))
+    hours = hours.withColumn("_today", later(W.partitionBy("_d").orderBy("_h"))).join(days, "_d").select("_h", "_today", "_days")
     on = W.partitionBy("_h").orderBy("_at", F.col("r").isNull()).rowsBetween(0, W.unboundedFollowing)
-    later = W.partitionBy("_d").orderBy("_h").rowsBetween(1, W.unboundedFollowing)
-    hours = both.groupBy("_d", "_h").agg(F.min(f).alias("_first")).select("_h", F.first("_first", ignorenulls=True).over(later).alias("_today"))
     found = both.withColumn("_now", F.first(f, ignorenulls=True).over(on)).filter("r IS NOT NULL").join(hours, "_h", "left")
-    table = F.lit([d for d, _ in days]).cast("array<long>"), F.lit([x for _, x in days]).cast("array<long>")
-    # days are sorted: as many as do not lie after the row's own precede the one looked for
-    passed = F.size(F.filter(table[0], lambda d: d <= F.col("_d")))
-    tomorrow = F.get(table[1], passed)
-    return found.select("r.*", F.coalesce("_now", "_today", F.when(F.col("_at").isNotNull(), tomorrow)).alias(name)).drop(at)
+    return found.select("r.*", F.coalesce("_now", "_today", "_days").alias(name)).drop(at)
 
 
 def impact_rises(versions: DataFrame) -> DataFrame:
