@@ -246,3 +246,24 @@ def test_area_keys_and_audience(spark):
     subs = spark.createDataFrame([(1, "events", "il"), (1, "events", "il.cook"), (2, "events", "il.zip.60601-1234"), (3, "reports", "il"), (4, "events", "il.will"), (5, "events", "il")], "chat_id long, category string, area string")
     sen = spark.createDataFrame([(5, "banned")], "chat_id long, status string")
     assert sorted(x["chat_id"] for x in AU.subscribers_for(t, subs, sen, "il").collect()) == [1, 2]
+
+
+def test_refused_requests_count_for_nothing(spark):
+    import datetime as dt
+    import random
+    from collections import defaultdict
+
+    from gossamer.operators.filters import rate_limited
+
+    rnd = random.Random(4)
+    t0 = dt.datetime(2024, 5, 1, tzinfo=dt.timezone.utc)
+    rows = [(k, rnd.choice("aab"), t0 + dt.timedelta(seconds=rnd.choice([0, 600, 601, 1201]) + rnd.randrange(0, 9000))) for k in range(400)]
+    kept, want = defaultdict(list), {}
+    for k, s, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        n = sum((t - x).total_seconds() <= 600 for x in kept[s])
+        want[k] = (n, n >= 3)
+        if n < 3:
+            kept[s].append(t)
+    df = spark.createDataFrame(rows, "seq long, sensor_id string, received_at timestamp").repartition(5)
+    got = {r["seq"]: (r["n_before"], r["refused"]) for r in rate_limited(df, limit=3).collect()}
+    assert got == want and sum(x for _, x in want.values()) > 50

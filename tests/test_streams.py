@@ -1,9 +1,16 @@
 """Several micro-batches end where one batch over everything does."""
 
+import datetime as dt
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from gossamer.catalog.graph import crossing_points
+from gossamer.catalog.graph import storm_members
+from gossamer.functions import scalars as X
+from gossamer.operators import corroborate as C
 from gossamer.operators import stories as ST
+from gossamer.operators import threads as TH
 from gossamer.sources import adapter as A
 from gossamer.streaming import jobs as J
 
@@ -16,15 +23,89 @@ def parts(df, order, folder, n=3):
         df.sparkSession.createDataFrame(chunk, df.schema).coalesce(1).write.mode("append").parquet(str(folder))
 
 
-def test_stories_over_batches(spark, sf, tmp_path):
-    m = crossing_points(spark, sf)
-    parts(m, "observed_at", tmp_path / "in")
+@pytest.mark.parametrize("order", ["observed_at", "backward", "mixed"])
+def test_stories_over_batches(spark, sf, tmp_path, order):
+    m = storm_members(spark, sf).withColumns({"backward": -F.unix_micros("observed_at"), "mixed": F.xxhash64("ref")})
+    parts(m, order, tmp_path / "in")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.schema)
-    got = J.stories(J.landed(spark, str(tmp_path / "in"), schema, files_per_batch=1), "stories-test")
+    got = J.stories(J.landed(spark, str(tmp_path / "in"), schema, files_per_batch=1).drop("backward", "mixed"), "stories-test")
     want = ST.stories_components(m).select("ref", "story_id")
     assert got.select("ref", "story_id").exceptAll(want).isEmpty() and got.count() == want.count()
 
 
+def feed_fold(messages, fetches):
+    """Plain fold over fetches: {thread: (reason, at)}."""
+    live, over = {}, {}
+    for at, n, listed in sorted(fetches, key=lambda x: x[0]):
+        for u, t, x in [m for m in messages if m[0] <= at]:
+            if t not in live and t not in over:
+                live[t] = [u, x, None]
+        force = sum(x > at for _, x, _ in live.values())
+        for t, v in live.items():
+            if (n or force < 3) and v[0] < at:
+                v[2] = None if n and t in listed else at if v[2] is None else v[2]
+        for t, (u, x, miss) in list(live.items()):
+            if x <= at or miss is not None and at - miss >= 90:
+                over[t] = ("expired" if x <= at else "cancelled", at)
+                del live[t]
+    return over
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_threads_end_alike_in_batch_and_stream(spark, tmp_path, seed):
+    """The fold, the fixed point over all fetches, and the stream over three files in two orders."""
+    rnd = random.Random(seed)
+    at = lambda s: dt.datetime(2024, 5, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
+    messages = [(rnd.randrange(0, 3000), t, 0) for t in range(40)]
+    messages = [(u, t, u + rnd.randrange(60, 2500)) for u, t, _ in messages]
+    fetches = []
+    for s in range(15, 4000, 30):
+        n = 0 if rnd.random() < 0.4 else 5
+        fetches.append((s, n, {t for u, t, x in messages if u <= s and rnd.random() < 0.6} if n else set()))
+    want = feed_fold(messages, fetches)
+    th = spark.createDataFrame([(t, t, at(u), at(x)) for u, t, x in messages], "thread_id long, current_id long, updated_at timestamp, expires timestamp")
+    fe = spark.createDataFrame([(at(s), n) for s, n, _ in fetches], "fetch_at timestamp, n_ids long")
+    se = spark.createDataFrame([(at(s), t) for s, _, ls in fetches for t in ls], "fetch_at timestamp, alert_id long")
+    us = lambda s: int(at(s).timestamp() * 10**6)
+    got = {r["thread_id"]: (r["reason"], r["ended_us"]) for r in TH.thread_lifecycle(th, fe, se).collect() if r["reason"]}
+    assert got == {t: (why, us(s)) for t, (why, s) in want.items()} and {w for w, _ in got.values()} == {"expired", "cancelled"}
+    feed = F.lit("x").alias("feed")
+    e = J.thread_events(th.select(feed, F.col("updated_at").alias("at"), "thread_id", "expires"), se.select(feed, F.col("fetch_at").alias("at"), F.col("alert_id").alias("thread_id")), fe.select(feed, F.col("fetch_at").alias("at"), "n_ids"))
+    for order in ("at", "mixed"):
+        parts(e.withColumn("mixed", F.xxhash64("at", "kind", "thread_id")), order, tmp_path / order)
+        out = J.threads(J.landed(spark, str(tmp_path / order), J.THREAD_EVENT, files_per_batch=1), "3 hours" if order == "mixed" else "10 minutes")
+        ended = {r["thread_id"]: (r["reason"], r["ended_us"]) for r in J.run_to_files(out, "threads-test").collect()}
+        mark = us(3975) - (10800 if order == "mixed" else 600) * 10**6
+        assert ended == {t: v for t, v in got.items() if v[1] < mark}
+
+
+def test_a_cancelled_thread_makes_an_empty_fetch_trusted(spark):
+    """Three threads, one of them gone before the empty fetch: judged by their own ends alone, all three would be in force and the fetch a glitch."""
+    at = lambda s: dt.datetime(2024, 5, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
+    th = spark.createDataFrame([(t, t, at(0), at(99999)) for t in (1, 2, 3)], "thread_id long, current_id long, updated_at timestamp, expires timestamp")
+    fe = spark.createDataFrame([(at(s), n) for s, n in ((30, 2), (60, 2), (120, 2), (150, 2), (200, 0), (300, 0))], "fetch_at timestamp, n_ids long")
+    se = spark.createDataFrame([(at(s), t) for s in (30, 60, 120, 150) for t in (1, 2)], "fetch_at timestamp, alert_id long")
+    got = {r["thread_id"]: (r["reason"], r["ended_us"]) for r in TH.thread_lifecycle(th, fe, se).collect()}
+    us = lambda s: int(at(s).timestamp() * 10**6)
+    assert got == {3: ("cancelled", us(120)), 1: ("cancelled", us(300)), 2: ("cancelled", us(300))}
+
+
+def test_verdicts_over_batches(spark, sf, tmp_path):
+    """The chain of stateful steps over three files against the batch rule, past the watermark."""
+    s = A.signals(spark, sf).select("seq", "sensor_id", "kind", "metric", "topic", "value", "observed_at", "lat", "lon", "period", "precision")
+    parts(s, "observed_at", tmp_path / "in")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema)
+    read = lambda: J.landed(spark, str(tmp_path / "in"), schema, files_per_batch=1).drop("topic", "precision")
+    dm = A.dim_metric(spark)
+    out = J.run_to_files(J.judged(read(), read(), dm.drop("topic")), "verdicts-test")
+    newest = s.agg(F.max(F.unix_micros("observed_at"))).first()[0]
+    passed = (F.unix_micros("observed_at") < newest - 10 * 3600 * 10**6) & X.is_people()
+    cols = ["seq", "n_corr", "n_contra", "reference", "quality"]
+    want = C.arrival_quality(s, dm, C.judged_neighbors(s, dm)).filter(passed).select(*cols)
+    got = out.filter(passed).select(*cols)
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 0
+
+
 def test_fan_out_once_over_batches(spark, tmp_path):
     t = spark.createDataFrame([("e1", "events", ["st"], []), ("e2", "events", ["st"], []), ("e1", "events", ["st.1"], [])], "target_id string, category string, area_keys array<string>, zips array<string>")
     for row in t.collect():
