@@ -7,7 +7,7 @@ A task writes each digest of a block once with its first place; further ones ins
 all documents share is one row per block. Rows then meet by digest in one shuffle; texts are joined to their intervals in another.
 
 Every repeated chunk goes, however short; ``least`` keeps shorter runs of them on request. A null or empty text has no chunk. A null doc_id
-counts as the largest. Rows that share a doc_id are one document: repeated rows get equal results. Long texts are cut into blocks that overlap by the
+counts as the largest. Rows equal in doc_id and text are one document and get equal results; rows that share only the doc_id, or have none, are documents of their own. Long texts are cut into blocks that overlap by the
 gear's 32 bytes, and the chunks are those of the whole text.
 """
 
@@ -22,8 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import BLOCK_BYTES, blocks, merged, texts
-from gossamer.llm.repeats import LAST, merged_by, packed
+from gossamer.llm.common import BLOCK_BYTES, blocks, identified, merged, texts
+from gossamer.llm.repeats import merged_by, packed
 
 WINDOW = 32
 MASK_BITS = 5
@@ -134,7 +134,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 def without_repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, z, spans): compressed text and the repeated chunks of every row of ``docs``."""
-    keyed = texts(docs).withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
+    keyed = identified(texts(docs))
     spans = repeated_chunks(keyed).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return packed(keyed).join(spans, "doc", "left").select("doc_id", "z", "spans")
 

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, cloudpickle
+from pyspark import Broadcast, TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gossamer.session import shared_path
+
 # Text handed to numpy at a time inside a task: bounds a Python worker's memory whatever the Arrow batch holds.
 BLOCK_BYTES = 2 << 20
 
@@ -23,6 +25,51 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+NULL_ID = 2**62
+_LEAST_BITS = 24
+
+
+def identified(docs: DataFrame, name: str = "doc") -> DataFrame:
+    """``docs`` with one number for each different (doc_id, text), in order of doc_id, then of a hash of the text; null ids come last.
+
+    Rows that share an id but not a text are different documents, so what one of them holds is never cut from another. The id takes the upper bits, the hash those left,
+    24 at least; null ids take half of all numbers. Ids spread so wide that fewer bits would be left are ranked first, which moves each row once more.
+    """
+    own = F.col("doc_id").cast("long")
+    ends = docs.agg(F.min(own).alias("lo"), F.max(own).alias("hi")).first()
+    lo, span = ends["lo"] or 0, (ends["hi"] or 0) - (ends["lo"] or 0) + 1
+    place, t = own - F.lit(lo), docs
+    if span >= 1 << (62 - _LEAST_BITS):
+        t, span = _ranked(docs)
+        place = F.col("_gs_place")
+    bits = 62 - span.bit_length()
+    h = F.xxhash64(F.col("text").cast("string"))
+    doc = F.when(own.isNull(), F.lit(NULL_ID) + h.bitwiseAND(F.lit(NULL_ID - 1))).otherwise(F.shiftleft(place, bits).bitwiseOR(h.bitwiseAND(F.lit((1 << bits) - 1))))
+    return t.withColumn(name, doc).drop("_gs_place")
+
+
+def _ranked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with the rank of their id, and the number of ids: ids sorted by range, counted per part, numbered within it."""
+    spark = docs.sparkSession
+
+    def number(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("_gs_id"), pa.array(np.full(b.num_rows, part)), pa.array(np.arange(n, n + b.num_rows))], ["_gs_id", "_part", "_row"])
+            n += b.num_rows
+
+    folder, schema = shared_path(spark, "ids"), "_gs_id long, _part long, _row long"
+    ids = docs.select(F.col("doc_id").cast("long").alias("_gs_id")).filter("_gs_id IS NOT NULL").distinct()
+    ids.repartitionByRange("_gs_id").sortWithinPartitions("_gs_id").mapInArrow(number, schema).write.parquet(folder)
+    ids = spark.read.schema(schema).parquet(folder)
+    before, n = [], 0
+    for part, size in sorted((r["_part"], r["n"]) for r in ids.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        before.append((part, n))
+        n += size
+    ids = ids.join(F.broadcast(spark.createDataFrame(before, "_part long, _before long")), "_part").select("_gs_id", (F.col("_before") + F.col("_row")).alias("_gs_place"))
+    return docs.join(ids, F.col("doc_id").cast("long") == F.col("_gs_id"), "left").drop("_gs_id"), n
+
+
 def broadcast(spark: SparkSession, value) -> Broadcast:
     """A model for Python workers; ``pickle.loads`` of the broadcast's value gives it back. Its classes travel with it."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

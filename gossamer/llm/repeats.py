@@ -15,8 +15,8 @@
 Texts cross the shuffle compressed. Only equality of 128-bit hashes is taken for equality of segments; windows that share just a gram are
 compared as text.
 
-A null or empty text has nothing to remove. A null doc_id counts as the largest. Rows that share a doc_id are one document: repeated rows get
-equal results. Very long texts are cut into overlapping blocks for numpy and are otherwise whole.
+A null or empty text has nothing to remove. A null doc_id counts as the largest. Rows equal in doc_id and text are one document and get
+equal results; rows that share only the doc_id, or have none, are documents of their own. Very long texts are cut into overlapping blocks for numpy and are otherwise whole.
 """
 
 from __future__ import annotations
@@ -31,13 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import BLOCK_BYTES, blocks, concatenated, merged, texts
+from gossamer.llm.common import BLOCK_BYTES, blocks, concatenated, identified, merged, texts
 from gossamer.session import shared_path
 
 LENGTH = 100
 GRAM = 32
 HOT = 4096
-LAST = 2**63 - 1
 SUFFIX_BYTES = 1 << 20  # text under one suffix array: some 130 bytes of ranks and sort buffers each
 
 _U = np.uint64
@@ -382,7 +381,7 @@ def compared(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans removed (start, end), kept text as bytes is left to ``digest``; one row per row of ``docs``."""
     spark = docs.sparkSession
-    keyed = texts(docs).withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
+    keyed = identified(texts(docs))
     found = shared_path(spark, "repeats")
     met(anchors(keyed, length), length).write.parquet(found)
     rows = spark.read.schema(_MET).parquet(found)
