@@ -10,6 +10,9 @@ Only connectivity is asked for, so a task never writes pairs: it unites what it
 of its group. A node whose values all belong to the query's group already is left as well, which keeps a dense group of near copies
 from being compared pair by pair. Groups are then joined across keys by the library's component rounds.
 
+``similar`` is the production form: five-word similarity of 0.8 and more moves far more than four bits, so it links by two fingerprints. That of two-word shingles, which
+edits disturb least, routes by 48 samples of 20 bits and is searched by the same index within 10 bits; that of five-word shingles must then be within 14.
+
 A null or empty text has fingerprint zero and is linked like any other. Rows without a doc_id take part in links; their component is
 the least doc_id reachable, null if there is none. Repeated rows get the same fingerprint and component each.
 """
@@ -34,39 +37,46 @@ LIMIT = 4
 # Six blocks of 64 bits: (first bit, width). Four differing bits leave two blocks untouched.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 FAN = 8
+# Of ``similar``: shingles and limits of the routed and the checking fingerprint, samples of bits, and buckets compared directly up to a size.
+SHINGLES, LIMITS = (2, 5), (10, 14)
+SAMPLES = [np.sort(np.random.default_rng(100 + k).permutation(64)[:20]) for k in range(48)]
+SMALL = 32
 
 
-def _hashes(text: bytes) -> list[int]:
+def _hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
     w = text.lower().split()  # bytes: A-Z only, and breaks are \x20 and \x09-\x0D
     if not w:
         return []
     h = xxhash.xxh64_intdigest
-    if len(w) < SHINGLE:
+    if len(w) < shingle:
         return [h(b" ".join(w), SEED)]
-    return [h(b" ".join(s), SEED) for s in zip(*(w[k:] for k in range(SHINGLE)))]
+    return [h(b" ".join(s), SEED) for s in zip(*(w[k:] for k in range(shingle)))]
+
+
+def _fingerprints(part: list[bytes], shingle: int) -> np.ndarray:
+    each = [_hashes(t, shingle) for t in part]
+    n = np.array([len(x) for x in each])
+    votes = np.zeros((len(part), 64), np.int64)
+    if n.sum():
+        h = np.fromiter(itertools.chain.from_iterable(each), np.uint64, int(n.sum()))
+        full = np.flatnonzero(n)
+        starts = np.concatenate(([0], np.cumsum(n[full])[:-1]))
+        bits = np.unpackbits(h.byteswap().view(np.uint8).reshape(-1, 8), axis=1)  # highest bit first
+        votes[full] = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingles: tuple[int, ...] = (SHINGLE,)) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long; further shingle lengths give fp2 and so on."""
+    names = ["fp", *(f"fp{k}" for k in range(2, len(shingles) + 1))]
 
     def run(batches):
         for b in batches:
-            fps = []
-            for _, part in blocks(b):
-                each = [_hashes(t) for t in part]
-                n = np.array([len(x) for x in each])
-                votes = np.zeros((len(part), 64), np.int64)
-                if n.sum():
-                    h = np.fromiter(itertools.chain.from_iterable(each), np.uint64, int(n.sum()))
-                    full = np.flatnonzero(n)
-                    starts = np.concatenate(([0], np.cumsum(n[full])[:-1]))
-                    bits = np.unpackbits(h.byteswap().view(np.uint8).reshape(-1, 8), axis=1)  # highest bit first
-                    votes[full] = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-                fps.append(np.packbits(votes * 2 > n[:, None], axis=1).view(">u8").ravel())
-            fp = np.concatenate(fps).astype(np.uint64).view(np.int64) if fps else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+            found = [[_fingerprints(part, k) for k in shingles] for _, part in blocks(b)]
+            cols = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, cols)], ["doc_id", *names])
+
+    return texts(docs).mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in names)]))
 
 
 def gray_rank(v: np.ndarray) -> np.ndarray:
@@ -80,8 +90,10 @@ def gray_rank(v: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Hierarchy over the values of one key, sorted by Gray rank. ``group`` is each value's group so far (index of its least member)."""
 
-    def __init__(self, values: np.ndarray):
-        self.values = values[np.argsort(gray_rank(values), kind="stable")]
+    def __init__(self, values: np.ndarray, check: np.ndarray | None = None, within: int = 64):
+        """``check`` holds a second value for each, and links need at most ``within`` differing bits there too."""
+        self.order = np.argsort(gray_rank(values), kind="stable")
+        self.values, self.check, self.within = values[self.order], None if check is None else check[self.order], within
         n = len(values)
         self.group = np.arange(n)
         full = np.uint64(2**64 - 1)
@@ -94,6 +106,12 @@ class GrayIndex:
             levels.append((both, both | neither, lo[at], hi[np.minimum(at + FAN, len(v)) - 1]))
         self.levels = levels[::-1]
 
+    def checked(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.check is None:
+            return a, b
+        ok = np.bitwise_count(self.check[a] ^ self.check[b]) <= self.within
+        return a[ok], b[ok]
+
     def unite(self, a: np.ndarray, b: np.ndarray) -> None:
         """Join the groups of linked items, until every linked pair has one label."""
         while True:
@@ -114,7 +132,7 @@ class GrayIndex:
         width = min(max(256, n // 64), 4096)
         for step in (1, 2, 4):  # neighbours in Gray order first: most of a dense group is one group before any walk
             near = np.flatnonzero(np.bitwise_count(v[step:] ^ v[:-step]) <= limit)
-            self.unite(near, near + step)
+            self.unite(*self.checked(near, near + step))
         # few queries at a time, so later ones profit from what earlier ones united
         for start in range(0, n, width):
             q = np.arange(start, min(start + width, n))
@@ -140,6 +158,7 @@ class GrayIndex:
                 ok = (diff <= limit) & (lo[node] < query) & ~known  # each pair once, from its later item
                 query, node, diff = query[ok], node[ok], diff[ok]
                 stated = mask[node]
+            query, node = self.checked(query, node)
             if len(query):
                 self.unite(query, node)
         return self.group
@@ -205,5 +224,69 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _sampled(fp: np.ndarray) -> np.ndarray:
+    """Keys of every value: the number of a sample and its bits."""
+    u = fp.view(np.uint64)
+    keys = []
+    for k, sample in enumerate(SAMPLES):
+        key = np.full(len(u), k, np.uint64)
+        for bit in sample.tolist():
+            key = (key << np.uint64(1)) | ((u >> np.uint64(bit)) & np.uint64(1))
+        keys.append(key)
+    return np.concatenate(keys).view(np.int64)
+
+
+def _similar(table: pa.Table, limits: tuple[int, int]) -> pa.Table:
+    """Edges between values of one key, both as (fp, fp2). Small keys are compared side by side, all keys at once; larger ones through the index."""
+    key, fp, fp2 = (table.column(c).to_numpy() for c in ("key", "fp", "fp2"))
+    order = np.argsort(key, kind="stable")
+    key, fp, fp2 = key[order], fp[order].view(np.uint64), fp2[order].view(np.uint64)
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
+    size = np.diff(np.append(at, len(key)))
+    small = np.repeat(size <= SMALL, size)
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, min(SMALL, int(size.max(initial=1)))):
+        a = np.flatnonzero(small[:-step] & (key[step:] == key[:-step]))
+        a = a[np.bitwise_count(fp[a] ^ fp[a + step]) <= limits[0]]
+        a = a[np.bitwise_count(fp2[a] ^ fp2[a + step]) <= limits[1]]
+        us.append(a + step)
+        vs.append(a)
+    for s, n in zip(at[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        x = GrayIndex(fp[s:s + n], fp2[s:s + n], limits[1])
+        g = x.link(limits[0])
+        moved = np.flatnonzero(g != np.arange(n))
+        us.append(s + x.order[moved])
+        vs.append(s + x.order[g[moved]])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return pa.table({"a": fp[u].view(np.int64), "a2": fp2[u].view(np.int64), "b": fp[v].view(np.int64), "b2": fp2[v].view(np.int64)})
+
+
+def similar(docs: DataFrame, shingles: tuple[int, int] = SHINGLES, limits: tuple[int, int] = LIMITS) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs``: groups linked by both fingerprints, named by their least doc_id.
+
+    A link is found if its bits agree on one sample: nearly certain up to six differing bits, 96 % at eight. Small keys hold at most ``SMALL`` values, so no task writes the
+    pairs of a dense group.
+    """
+    rows = checkpointed(fingerprints(docs, shingles))
+    values = rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("least"))
+
+    def route(batches):
+        for b in batches:
+            fp, fp2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "fp2"))
+            yield pa.RecordBatch.from_arrays([pa.array(_sampled(fp)), pa.array(np.tile(fp, len(SAMPLES))), pa.array(np.tile(fp2, len(SAMPLES)))], ["key", "fp", "fp2"])
+
+    def search(batches):
+        got = [b for b in batches if b.num_rows]
+        if got:
+            yield from _similar(pa.Table.from_batches(got), limits).to_batches()
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = values.select("fp", "fp2").mapInArrow(route, "key long, fp long, fp2 long").repartition(parts, "key")
+    edges = dealt.mapInArrow(search, "a long, a2 long, b long, b2 long").select(F.xxhash64("a", "a2").alias("u"), F.xxhash64("b", "b2").alias("v"))
+    named = values.withColumn("node", F.xxhash64("fp", "fp2")).join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(named.join(least, "root").select("fp", "fp2", "component_id"), ["fp", "fp2"]).select("doc_id", "component_id")
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -63,4 +63,4 @@ def test_empty(spark, folder, tmp_path):
 
 def test_registered():
     q = entry.queries()
-    assert "pipeline" in q and len([n for n in q if n.startswith("op")]) == 10
+    assert "pipeline" in q and len([n for n in q if n.startswith("op")]) == 13
