@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gossamer.llm import decontamination, langid, packing, pii, simhash
-from gossamer.llm.common import table
+from gossamer.llm.common import identified, table
 from gossamer.session import checkpointed, shared_path
 
 
@@ -23,14 +23,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the least doc_id, once if it is repeated. A row without a doc_id comes after all others, by a hash of its text."""
-    own = F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1))
-    keyed = docs.withColumn("_gs_key", F.coalesce(F.col("doc_id").cast("long"), own))
-    classes = simhash.near_duplicates(keyed.select(F.col("_gs_key").alias("doc_id"), "text"))
-    stay = checkpointed(classes.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_gs_key")).agg(F.count(F.lit(1)).alias("_gs_n")))
-    kept = keyed.join(stay.select("_gs_key"), "_gs_key", "left_semi")
+    """Of each group of near-duplicates (five-word similarity of 0.8 and more, see ``simhash.similar``) the document with the least doc_id stays, once if its row is repeated.
+    Rows that share a doc_id but not a text are different documents; one without a doc_id comes after all others."""
+    keyed = identified(docs, "_gs_doc")
+    classes = simhash.similar(keyed.select(F.col("_gs_doc").alias("doc_id"), "text"))
+    stay = checkpointed(classes.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_gs_doc")).agg(F.count(F.lit(1)).alias("_gs_n")))
+    kept = keyed.join(stay.select("_gs_doc"), "_gs_doc", "left_semi")
     if not stay.filter("_gs_n > 1").isEmpty():
-        kept = kept.dropDuplicates(["_gs_key"])
+        kept = kept.dropDuplicates(["_gs_doc"])
     return kept.select(*docs.columns)
 
 
