@@ -1,6 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The symbols are the training words, one end token per text, and one class for every unknown word. Contexts are the last 0 to ``ORDER`` words. A sequence
+The symbols are the training words, one end token per text, and one class for all unknown words, whose mass is shared evenly by as many words as are estimated never to
+have occurred. Contexts are the last 0 to ``ORDER`` words. A sequence
 belongs to the tree if the training texts hold it ``support`` times, however many texts there are, so the tree grows with the corpus. A context is retained
 if its next-symbol distribution diverges from that of the next shorter retained context; its listed symbols are the sequences of the tree that it begins.
 Listed and unlisted symbols are smoothed towards the shorter context; the empty context gives each word its count less an absolute discount, and the unknown
@@ -19,10 +20,10 @@ long texts are scored whole.
 
 from __future__ import annotations
 
-import gc
 import math
 import pickle
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import blocks, broadcast, texts
+from gossamer.llm.common import blocks, broadcast, drop_folder, texts
 from gossamer.session import shared_path
 
 ORDER = 3
@@ -41,6 +42,7 @@ DIVERGENCE = 20.0
 HEAD = 1 << 16
 TOP = 1 << 19
 FLUSH = 250_000  # distinct words a task holds before it hands its counts on
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BITS = 27  # the bitmap of known sequences has 2**BITS bits
 
 
@@ -211,17 +213,26 @@ def _mix(pre: np.ndarray, suf: np.ndarray) -> np.ndarray:
     return h
 
 
-def _hashed(texts_: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+class _Hashes(dict):
+    """Hashes of words met so far, a bounded number of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HEAD:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+def _hashed(texts_: list[list[bytes]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of several texts, each text between two ends; and which are tokens, all but the first of each."""
-    h = xxhash.xxh64_intdigest
     lens = np.array([len(w) + 2 for w in texts_])
-    out = np.full(int(lens.sum()), h(b"", 42), np.uint64)
+    out = np.full(int(lens.sum()), hashes[b""], np.uint64)
     token = np.ones(len(out), bool)
     starts = np.cumsum(lens) - lens
     token[starts] = False
     word = token.copy()
     word[starts + lens - 1] = False
-    out[word] = np.fromiter((h(w, 42) for t in texts_ for w in t), np.uint64, int(word.sum()))
+    out[word] = np.fromiter(map(hashes.__getitem__, chain.from_iterable(texts_)), np.uint64, int(word.sum()))
     return out, token
 
 
@@ -252,45 +263,78 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    folder = shared_path(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame written to the shared folder and read back, and where. Spark drops the write's shuffle files at its end: the folder is all that is read later."""
+    spark = df.sparkSession
+    folder, kept = shared_path(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, kept)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+_PACKED = "part int, pre binary, suf binary, n binary"
+_FOUND = "pre long, suf long, n long, h long"
+
+
+def _united(pre: np.ndarray, suf: np.ndarray, n: np.ndarray):
+    """(code, pre, suf, n) of the distinct pairs in order of their code, counts added up."""
+    code = _mix(pre, suf)
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
+    return code[first], pre[order[first]], suf[order[first]], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def _count(train: DataFrame, bits: np.ndarray, d: int, support: int) -> DataFrame:
-    """(pre, suf, n, h): the sequences of d words that occur ``support`` times."""
-    shared = broadcast(train.sparkSession, bits)
+def _count(train: DataFrame, bits: np.ndarray, d: int, support: int) -> tuple[DataFrame, str]:
+    """(pre, suf, n, h): the sequences of d words that occur ``support`` times.
+
+    A task unites some million occurrences at a time and hands them on packed, one row per part of the codes' range, so the shuffle moves few rows and no row
+    carries more than its two hashes and its count. A part is united by numpy; parts follow spark.sql.shuffle.partitions, and codes are spread evenly.
+    """
+    spark = train.sparkSession
+    shared = broadcast(spark, bits)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        known = pickle.loads(shared.value)
+        known, hashes = pickle.loads(shared.value), _Hashes()
         held, size = [], 0
 
         def flush():
             pre, suf = (np.concatenate(x) for x in zip(*held))
-            _, first, n = np.unique(_mix(pre, suf), return_index=True, return_counts=True)
-            by = np.argsort(pre[first])  # equal ones together: the shuffle compresses them
-            first, n = first[by], n[by]
-            return pa.RecordBatch.from_arrays([pa.array(pre[first].view(np.int64)), pa.array(suf[first].view(np.int64)), pa.array(n.astype(np.int64))], ["pre", "suf", "n"])
+            code, pre, suf, n = _united(pre, suf, np.ones(len(pre), np.int64))
+            part = ((code >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            by = np.lexsort((pre, part))  # equal first parts side by side: the shuffle compresses them
+            ends = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(ends))
+            cut = lambda x, kind: pa.array([x[by[ends[k]:ends[k + 1]]].astype(kind).tobytes() for k in full], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(pre, np.uint64), cut(suf, np.uint64), cut(n, np.uint32)], ["part", "pre", "suf", "n"])
 
         for b in batches:
             for _, part in blocks(b):
-                h, token = _hashed([t.lower().split() for t in part])
+                h, token = _hashed([t.lower().split() for t in part], hashes)
                 *_, (_, at, pre, suf) = _sequences(h, token, known, d)
                 held.append((pre, suf))
                 size += len(at)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
 
-    got = texts(train).select("text").mapInArrow(run, "pre long, suf long, n long").groupBy("pre", "suf").agg(F.sum("n").alias("n"))
-    found = _stored(got.filter(F.col("n") >= support).withColumn("h", F.xxhash64("pre", "suf")), "sequences")
-    del got
-    gc.collect()
-    train.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the level's shuffle files, which are larger than all tables
-    return found
+    def unite(batches):
+        joined = lambda b, c, kind: np.frombuffer(b"".join(v.as_py() for v in b.column(c)), kind)
+        got = [tuple(joined(b, c, kind) for c, kind in (("pre", np.uint64), ("suf", np.uint64), ("n", np.uint32))) for b in batches if b.num_rows]
+        if got:
+            pre, suf, n = (np.concatenate(x) for x in zip(*got))
+            code, pre, suf, n = _united(pre, suf, n.astype(np.int64))
+            often = n >= support
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[often].view(np.int64)) for x in (pre, suf, n, code))], [f.split()[0] for f in _FOUND.split(", ")])
+
+    packed = texts(train).select("text").mapInArrow(run, _PACKED)
+    return _stored(packed.repartition(parts, "part").mapInArrow(unite, _FOUND), "sequences")
 
 
 def _values(train: DataFrame, words: DataFrame, order: int, support: int) -> tuple[DataFrame, np.ndarray]:
@@ -299,46 +343,51 @@ def _values(train: DataFrame, words: DataFrame, order: int, support: int) -> tup
     ``words`` has h, n and p, a word's probability in the empty context, of the words of the tree.
     """
     n, n_ctx, own, short = (F.col(c) for c in ("n", "n_ctx", "own", "short"))
-    level, parts = words, []
-    bits = _bitmap(words)
+    level, parts, used = words, [], []
+    spark, bits = train.sparkSession, _bitmap(words)
     for d in range(2, order + 2):
-        found = _count(train, bits, d, support)
+        found, at_found = _count(train, bits, d, support)
         # a sequence is followed by a token unless it ends a text, and then it begins none: its count is how often it stands before one
         both = found.join(level.select(F.col("h").alias("pre"), F.col("n").alias("n_ctx")), "pre").join(level.select(F.col("h").alias("suf"), F.col("p").alias("short")), "suf")
-        both = _stored(both.select("h", "pre", "n", "n_ctx", "short", ((n + STRENGTH * short) / (n_ctx + STRENGTH)).alias("own")), "states")
+        both, at_both = _stored(both.select("h", "pre", "n", "n_ctx", "short", ((n + STRENGTH * short) / (n_ctx + STRENGTH)).alias("own")), "states")
         sums = both.groupBy("pre").agg(F.max("n_ctx").alias("n_ctx"), F.sum("n").alias("n"), F.sum("short").alias("short"), F.sum(own * F.log(own / short)).alias("gain"))
         free = F.greatest(1 - short, F.lit(1e-9))
         sums = sums.withColumn("free", free).withColumn("factor", F.greatest(n_ctx - n, F.lit(0)) / (n_ctx + STRENGTH) / free + STRENGTH / (n_ctx + STRENGTH))
         # evidence in nats that the context changes what comes next
-        kept = _stored(sums.filter(n_ctx * (F.col("gain") + F.col("factor") * F.col("free") * F.log("factor")) >= DIVERGENCE).select("pre", "n_ctx", F.log("factor").alias("lost")), "contexts")
+        kept, at_kept = _stored(sums.filter(n_ctx * (F.col("gain") + F.col("factor") * F.col("free") * F.log("factor")) >= DIVERGENCE).select("pre", "n_ctx", F.log("factor").alias("lost")), "contexts")
         lost = F.col("lost")
         level = both.join(kept.select("pre", "lost"), "pre", "left").select("h", "n", F.when(lost.isNull(), short).otherwise(own).alias("p"), F.when(lost.isNull(), 0.0).otherwise(F.log(own / short) - lost).alias("x"))
-        level = _stored(level, "level")
+        level, at_level = _stored(level, "level")
         parts += [level.select("h", "n", "x"), kept.select(F.col("pre").alias("h"), F.col("n_ctx").alias("n"), lost.alias("x"))]
         if d <= order:
             bits |= _bitmap(found)
+        for folder in (at_found, at_both):
+            drop_folder(spark, folder)
+        used += [at_kept, at_level]
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
-    return _stored(every.filter("x != 0").groupBy("h").agg(F.max("n").alias("n"), F.sum("x").alias("x")), "values"), bits
+    values, _ = _stored(every.filter("x != 0").groupBy("h").agg(F.max("n").alias("n"), F.sum("x").alias("x")), "values")
+    for folder in used:
+        drop_folder(spark, folder)
+    return values, bits
 
 
-def _discount(counts: DataFrame) -> float:
-    """Absolute discount from the numbers of words that occur once and twice."""
+def _discount(counts: DataFrame) -> tuple[float, float]:
+    """Absolute discount, and an estimate of how many words there are that never occurred: both from the numbers of words that occur once and twice."""
     got = counts.agg(F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice")).first()
-    both = got["once"] + 2 * got["twice"]
-    return min(max(got["once"] / both, 0.05), 0.9) if both else 0.05
+    once, twice = got["once"], got["twice"]
+    unseen = once * once / (2 * twice) if twice else once * (once - 1) / 2
+    return min(max(once / (once + 2 * twice), 0.05), 0.9) if once + twice else 0.05, max(unseen, 1.0)
 
 
 def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_MIN, order: int = ORDER, support: int = SUPPORT, top: int = TOP) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``, learning from ``train``."""
     spark = docs.sparkSession
-    stored = shared_path(spark, "words")
-    word_counts(train).write.parquet(stored)
-    counts = spark.read.schema("token binary, n long").parquet(stored)
+    counts, _ = _stored(word_counts(train), "words")
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, v = size["n"], size["v"]
-    off = _discount(counts)
+    off, unseen = _discount(counts)
     floor = max(2.0, p_min * total)
     common, least = _head(counts, head, floor)
     first = counts.filter(F.col("n") >= support).select(F.xxhash64("token").alias("h"), "n", ((F.col("n") - off) / max(total, 1)).alias("p"))
@@ -349,64 +398,59 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
     by = np.argsort(top_h)
     top_h, top_x = top_h[by], top_x[by]
     # per common word: log10 of count + 1, and log10 of its probability in the empty context
-    shared = broadcast(spark, (bits, _bitmap(values), top_h, top_x, {w: (math.log10(n + 1), math.log10((n - off) / total)) for w, n in common.items()}))
-    unknown = math.log10(off * v / total) if total else 0.0
-    schema = "row long, doc_id long, n_tokens long, known long, logs double, score double, rest array<struct<token:binary,n:long>>, sequences array<long>"
+    head_h = np.array([xxhash.xxh64_intdigest(w, 42) for w in common], np.uint64)
+    by = np.argsort(head_h)
+    head_n = np.array(list(common.values()), float)[by]
+    shared = broadcast(spark, (bits, _bitmap(values), top_h, top_x, head_h[by], np.log10(head_n + 1), np.log10((head_n - off) / max(total, 1))))
+    unknown = math.log10(off * v / total / unseen) if total else 0.0
+    schema = "row long, doc_id long, n_tokens long, known long, logs double, score double, rest array<long>, sequences array<long>"
 
     def run(batches):
-        known_, valued, top_h, top_x, table = pickle.loads(shared.value)
+        known_, valued, top_h, top_x, head_h, head_base, head_log = pickle.loads(shared.value)
+        hashes = _Hashes()
+
+        def at_home(table, h):
+            """Place of each hash in a sorted table, and which are there."""
+            k = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
+            return k, table[k] == h if len(table) else np.zeros(len(h), bool)
+
+        def lists(at, h, n):
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(at, minlength=n)))), pa.int32()), pa.array(h[np.argsort(at, kind="stable")].view(np.int64)))
+
         for b in batches:
             for first, part in blocks(b):
                 words = [t.lower().split() for t in part]
-                h, token = _hashed(words)
-                text = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+                n = len(words)
+                h, token = _hashed(words, hashes)
+                text = np.repeat(np.arange(n), [len(w) + 2 for w in words])
+                del words
                 places = np.flatnonzero(token)
-                value, left = np.zeros(len(words)), []
-                for at, seq in [(places, h[places]), *((at, _mix(pre, suf)) for _, at, pre, suf in _sequences(h, token, known_, order + 1))]:
+                own, doc = h[places], text[places]
+                k, common_ = at_home(head_h, own)
+                add = lambda at, x: np.bincount(at, x, n) if len(at) else np.zeros(n)
+                base, value = add(doc[common_], head_base[k[common_]]), np.zeros(n)
+                score_ = add(doc[common_], head_log[k[common_]])
+                left = []
+                for at, seq in [(places, own), *((at, _mix(pre, suf)) for _, at, pre, suf in _sequences(h, token, known_, order + 1))]:
                     hit = _has(valued, seq)
                     at, seq = text[at[hit]], seq[hit]
-                    k = np.minimum(np.searchsorted(top_h, seq), max(len(top_h) - 1, 0))
-                    held = top_h[k] == seq if len(top_h) else np.zeros(len(seq), bool)
-                    value += np.bincount(at[held], top_x[k[held]], len(words)) if held.any() else 0
+                    j, held = at_home(top_h, seq)
+                    value += add(at[held], top_x[j[held]])
                     left.append((at[~held], seq[~held]))
                 at, seq = (np.concatenate(x) for x in zip(*left))
-                seq = seq[np.argsort(at, kind="stable")].view(np.int64)
-                n_left = np.bincount(at, minlength=len(words))
-                out = []
-                tokens, counts_, sizes = [], [], []
-                for w, x in zip(words, value.tolist()):
-                    w.append(b"")
-                    score_ = x / math.log(10)
-                    known, base, before = 0, 0.0, len(tokens)
-                    for x, n in Counter(w).items():
-                        got = table.get(x)
-                        if got is None:
-                            tokens.append(x)
-                            counts_.append(n)
-                        else:
-                            known += n
-                            base += n * got[0]
-                            score_ += n * got[1]
-                    sizes.append(len(tokens) - before)
-                    out.append((len(w), known, base, score_))
-                c = list(zip(*out))
-                rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()),
-                                                pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(counts_, pa.int64())], ["token", "n"]))
-                sequences = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_left))), pa.int32()), pa.array(seq))
                 rows = b.slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64()), rest, sequences],
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(np.bincount(doc, minlength=n)), pa.array(add(doc[common_], None).astype(np.int64)), pa.array(base),
+                                                  pa.array(score_ + value / math.log(10)), lists(doc[~common_], own[~common_], n), lists(at, seq, n)],
                                                  ["row", "doc_id", "n_tokens", "known", "logs", "score", "rest", "sequences"])
 
-    scored = shared_path(spark, "scored")
     # the row number is written with the row, so both readers below see the same one
-    texts(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, schema).write.parquet(scored)
-    rows = spark.read.schema(schema).parquet(scored)
-    rest = rows.select("row", F.explode("rest").alias("x")).select("row", "x.token", "x.n")
-    rare = counts.filter(F.col("n") < least).select("token", F.col("n").alias("c"))
-    n, c = F.col("n"), F.col("c")
-    found = rest.join(rare, "token", "left").groupBy("row").agg(
-        F.sum(F.when(c.isNotNull(), n)).alias("more"), F.sum(n * F.log10(F.coalesce(c, F.lit(0)) + 1)).alias("more_logs"),
-        F.sum(n * F.coalesce(F.log10((c - off) / max(total, 1)), F.lit(unknown))).alias("more_score"))
+    rows, _ = _stored(texts(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, schema), "scored")
+    rest = rows.select("row", F.explode("rest").alias("h"))
+    rare = counts.filter(F.col("n") < least).select(F.xxhash64("token").alias("h"), F.col("n").alias("c"))
+    c = F.col("c")
+    found = rest.join(rare, "h", "left").groupBy("row").agg(
+        F.count("c").alias("more"), F.sum(F.log10(F.coalesce(c, F.lit(0)) + 1)).alias("more_logs"),
+        F.sum(F.coalesce(F.log10((c - off) / max(total, 1)), F.lit(unknown))).alias("more_score"))
     states = rows.select("row", F.explode("sequences").alias("h")).join(values.filter(F.col("n") < top_least).select("h", "x"), "h").groupBy("row").agg((F.sum("x") / math.log(10)).alias("states"))
     below = math.log10(total + v + 1)
     return rows.drop("rest", "sequences").join(found, "row", "left").join(states, "row", "left").select(
