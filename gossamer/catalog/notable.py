@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from gossamer.catalog.aggregates import events
 from gossamer.catalog.filters import NOW, now
 from gossamer.catalog.joins import PEOPLE
+from gossamer.catalog import windows as WD
 from gossamer.catalog.registry import SQL, query, table_sql
 from gossamer.functions import scalars as X
+from gossamer.operators import ahead as AH
+from gossamer.operators import filters as O
 from gossamer.operators import notable as N
 from gossamer.operators import text as TX
 from gossamer.operators.filters import hours_before
@@ -31,14 +34,31 @@ table_sql("reason_rows", f"""WITH g AS (SELECT sensor_id AS place, metric, topic
 table_sql("place_scores", "SELECT place, sum(w) AS score FROM (SELECT place, kind, max(weight) AS w FROM reason_rows GROUP BY 1, 2) GROUP BY 1")
 
 
-@query("x28_reason_weight", "SELECT place, metric, kind, round(weight, 6) AS weight FROM reason_rows")
+table_sql("every_reason", f"""SELECT * FROM reason_rows UNION ALL SELECT place, metric, topic, stat, 0.35::DOUBLE FROM ({SQL['w4_statewide_headline']}) JOIN dim_metric USING (metric) WHERE NOT coalesce(CASE WHEN stat = 'max' THEN value < headline_min ELSE value > headline_min END, false)
+    UNION ALL SELECT site, metric, topic, 'rise', weight FROM ({SQL['w3_rank_rises']}) JOIN dim_metric USING (metric) WHERE NOT accumulates AND NOT is_flag AND direction = 'above'
+    UNION ALL SELECT site, 'click', 'web', 'flood', weight FROM ({SQL['j30_flood_to_place']})""")
+table_sql("every_score", "SELECT place, sum(w) AS score FROM (SELECT place, kind, max(weight) AS w FROM every_reason GROUP BY 1, 2) GROUP BY 1")
+
+
+def all_reasons(spark, sf):
+    """Reasons of all kinds but the news, stored once."""
+    floods = WD.floods(spark, sf).withColumn("metric", F.lit("click"))
+    return checkpointed(N.every_reason(N.reasons(recent(spark, sf)), WD.headlines(spark, sf), AH.rank_rises(WD.rise_rows(spark, sf)), floods, A.dim_metric(spark)))
+
+
+@query("x28_reason_weight", "SELECT place, metric, kind, round(weight, 6) AS weight FROM every_reason")
 def x28(spark, sf):
-    return N.reasons(recent(spark, sf)).select("place", "metric", "kind", F.round("weight", 6).alias("weight"))
+    return all_reasons(spark, sf).select("place", "metric", "kind", F.round("weight", 6).alias("weight"))
 
 
-@query("a33_place_score", "SELECT place, round(score, 6) AS score FROM place_scores")
+@query("a33_place_score", "SELECT place, round(sum(w), 6) AS score FROM (SELECT place, kind, max(weight) AS w FROM (SELECT place, kind, weight FROM every_reason UNION ALL SELECT place, 'news', 0.4::DOUBLE FROM shown_links) GROUP BY 1, 2) GROUP BY 1")
 def a33(spark, sf):
-    return N.place_scores(N.reasons(recent(spark, sf))).withColumn("score", F.round("score", 6))
+    """Scores of the finished map: news counts where a story of a shown group is tied."""
+    why = all_reasons(spark, sf)
+    st = checkpointed(story_rows(spark, sf))
+    links = checkpointed(news_links(spark, sf, why, st))
+    shown = links.join(N.rank_groups(ranked_stories(spark, sf, st, links)).select("group"), "group", "left_semi")
+    return N.place_scores(why.unionByName(N.news_reasons(shown))).withColumn("score", F.round("score", 6))
 
 
 @query("a30_county_areas", """WITH l AS (SELECT metric, county_id, arg_max(value, row(observed_at, seq)) AS value FROM signals GROUP BY 1, 2)
@@ -125,28 +145,62 @@ def g7(spark, sf):
     return N.group_stories(story_rows(spark, sf))
 
 
-@query("j15_link_news_to_readings")
-def j15(spark, sf):
-    st = checkpointed(story_rows(spark, sf))
-    g = N.group_stories(st).join(st, "item_id")
-    flat = g.select("group", F.explode("counties").alias("county_id"), "measures", "item_id").select("group", "county_id", "item_id", F.explode_outer("measures").alias("metric"))
-    named = flat.groupBy("group", "metric").agg(F.count_distinct("item_id").alias("named"))
-    groups = flat.select("group", "county_id", "metric").distinct().join(named, ["group", "metric"], "left")
+table_sql("story_groups", SQL["g7_group_stories_by_place"])
+table_sql("bears", """SELECT t.place, t.county_id, t.metric, CASE WHEN direction = 'above' AND NOT accumulates AND NOT is_flag THEN r.rise END AS rise, v FROM (SELECT sensor_id AS place, county_id, metric, direction, accumulates, is_flag,
+      CASE WHEN direction = 'below' THEN -min(value) ELSE max(value) END AS v FROM recents JOIN dim_metric USING (metric) GROUP BY sensor_id, county_id, metric, direction, accumulates, is_flag HAVING NOT (accumulates AND bool_or(coalesce(period = '1h', false)))) t LEFT JOIN rise_rows r ON r.site = t.place AND r.metric = t.metric""")
+_SAYS = "coalesce(arg_max(place, row(rise, -place)) FILTER (rise IS NOT NULL), arg_max(place, row(v, -place)))"
+table_sql("news_links", f"""WITH g AS (SELECT DISTINCT "group", unnest(counties) AS county_id FROM story_groups JOIN story_sets USING (item_id)),
+    n AS (SELECT "group", metric, count(DISTINCT item_id) AS n FROM (SELECT "group", item_id, unnest(measures) AS metric FROM story_groups JOIN story_sets USING (item_id)) GROUP BY 1, 2),
+    b AS (SELECT "group", metric, n, {_SAYS} AS place FROM g JOIN bears USING (county_id) JOIN n USING ("group", metric) GROUP BY 1, 2, 3),
+    f AS (SELECT b.*, m.headline IS NULL AS plain FROM b JOIN dim_metric m USING (metric) LEFT JOIN bears r USING (place, metric) WHERE m.accumulates OR r.rise IS NOT NULL OR EXISTS (SELECT 1 FROM every_reason w WHERE w.place = b.place AND w.metric = b.metric)),
+    p AS (SELECT "group", place, arg_min(metric, row(-n, plain, metric)) AS metric, 0 AS part, min(row(-n::DOUBLE, plain, metric)) AS o FROM f GROUP BY 1, 2),
+    e AS (SELECT DISTINCT g."group", s.place, NULL AS metric, 1 AS part, row(-round(s.score, 9), false, NULL::VARCHAR) AS o FROM g JOIN (SELECT DISTINCT place, county_id FROM bears) c USING (county_id) JOIN every_score s USING (place)
+      WHERE s.place IN (SELECT place FROM every_reason WHERE kind = 'event') AND NOT EXISTS (SELECT 1 FROM p WHERE p."group" = g."group" AND p.place = s.place)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY CASE WHEN place IN (SELECT place FROM every_reason) THEN 0 ELSE 1 END, part, o, place) AS rank FROM (SELECT * FROM p UNION ALL SELECT * FROM e))
+    SELECT "group", place, metric, rank FROM r WHERE rank <= 4""")
+table_sql("group_rank", """SELECT "group", max(coalesce(relevance, 0)) + CASE WHEN "group" IN (SELECT "group" FROM news_links) THEN 0.3 ELSE 0 END::DOUBLE + 0.05::DOUBLE * (count(*) - 1) AS score FROM story_groups JOIN items USING (item_id) GROUP BY 1 ORDER BY score DESC, "group" LIMIT 7""")
+table_sql("shown_links", """SELECT DISTINCT place FROM news_links WHERE "group" IN (SELECT "group" FROM group_rank)""")
+
+
+def place_readings(spark, sf):
     r = recent(spark, sf)
-    ext = r.groupBy("county_id", "metric", F.col("sensor_id").alias("place")).agg(F.max("value").alias("value"))
-    why = N.reasons(r)
-    why = checkpointed(why)
-    places = N.place_scores(why).join(why.groupBy("place").agg(F.max(F.col("kind") == "event").alias("is_event"), F.lit(True).alias("own")), "place").join(
-        A.sensors(spark, sf).select(F.col("sensor_id").alias("place"), "county_id"), "place")
-    return N.link_news(groups, ext, places).select("group", "place", "metric", "rank")
+    tops = r.groupBy(F.col("sensor_id").alias("place"), "county_id", "metric").agg(F.max("value").alias("hi"), F.min("value").alias("lo"), F.coalesce(F.max(O.period_hours("period") < 6), F.lit(False)).alias("is_rate"))
+    return N.bearing(tops, WD.rise_rows(spark, sf), A.dim_metric(spark))
+
+
+def news_links(spark, sf, why, st):
+    g = N.group_stories(st).join(st.select("item_id", "counties", "measures"), "item_id")
+    counties = g.select("group", F.explode("counties").alias("county_id")).distinct()
+    named = g.select("group", "item_id", F.explode("measures").alias("metric")).groupBy("group", "metric").agg(F.count_distinct("item_id").alias("n"))
+    return N.link_news(counties, named, place_readings(spark, sf), why, N.place_scores(why), A.dim_metric(spark))
 
 
-@query("t6_group_stories_ranked", """SELECT feed AS "group", round(score, 6) AS score FROM (SELECT feed, max(relevance) + CASE WHEN max(item_id) % 2 = 0 THEN 0.3 ELSE 0 END::DOUBLE + 0.05::DOUBLE * (count(*) - 1) AS score FROM items
-    WHERE relevance IS NOT NULL GROUP BY 1) ORDER BY score DESC, feed LIMIT 7""")
+def ranked_stories(spark, sf, st, links):
+    """Groups with their best relevance, size, and whether a reading bears them out."""
+    g = N.group_stories(st).join(A.items(spark, sf).select("item_id", "relevance"), "item_id").groupBy("group").agg(F.max(F.coalesce("relevance", F.lit(0))).alias("relevance"), F.count(F.lit(1)).alias("n"))
+    return g.join(links.select("group", F.lit(True).alias("_l")).distinct(), "group", "left").withColumn("linked", F.coalesce("_l", F.lit(False)))
+
+
+@query("j15_link_news_to_readings", 'SELECT "group", place, metric, rank FROM news_links')
+def j15(spark, sf):
+    return news_links(spark, sf, all_reasons(spark, sf), checkpointed(story_rows(spark, sf))).select("group", "place", "metric", F.col("rank").cast("long").alias("rank"))
+
+
+@query("j15_statewide_links", f"""WITH b AS (SELECT metric, {_SAYS} AS place FROM bears WHERE place IN (SELECT place FROM every_reason) GROUP BY 1),
+    f AS (SELECT s.item_id, b.place, min(row(m.headline IS NULL, b.metric)) AS o, arg_min(b.metric, row(m.headline IS NULL, b.metric)) AS metric FROM ({SQL['j14_measures_in_text']}) s JOIN b USING (metric) JOIN dim_metric m USING (metric)
+      WHERE s.item_id NOT IN (SELECT item_id FROM story_sets) AND EXISTS (SELECT 1 FROM every_reason w WHERE w.place = b.place AND w.metric = b.metric) GROUP BY 1, 2)
+    SELECT item_id, place, metric, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY o, place) AS rank FROM f) WHERE rank <= 4""")
+def j15_wide(spark, sf):
+    t = titled(spark, sf)
+    m = TX.measures_in_text(t, "item_id", F.col("headline"), spark.createDataFrame(NEWS, "metric string, name string"), 2)
+    wide = m.join(story_rows(spark, sf).select("item_id"), "item_id", "left_anti").select("item_id", "metric").distinct()
+    return N.link_statewide(wide, place_readings(spark, sf), all_reasons(spark, sf), A.dim_metric(spark)).select("item_id", "place", "metric", F.col("rank").cast("long").alias("rank"))
+
+
+@query("t6_group_stories_ranked", 'SELECT "group", round(score, 6) AS score FROM group_rank')
 def t6(spark, sf):
-    g = A.items(spark, sf).filter("relevance is not null").groupBy(F.col("feed").alias("group")).agg(
-        F.max("relevance").alias("relevance"), (F.max("item_id") % 2 == 0).alias("linked"), F.count(F.lit(1)).alias("n"))
-    return N.rank_groups(g).select("group", F.round("score", 6).alias("score"))
+    st = checkpointed(story_rows(spark, sf))
+    return N.rank_groups(ranked_stories(spark, sf, st, checkpointed(news_links(spark, sf, all_reasons(spark, sf), st)))).select("group", F.round("score", 6).alias("score"))
 
 
 @query("t6_statewide_variety", """WITH r AS (SELECT item_id, topic, relevance + CASE WHEN item_id % 3 = 0 THEN 0.2 ELSE 0 END::DOUBLE AS score FROM items WHERE relevance IS NOT NULL),
@@ -159,7 +213,7 @@ def t6v(spark, sf):
 # ── graph ──
 
 H = "'sensor:s-' || substr(sha1(CAST({c} AS VARCHAR)), 1, 5)"
-table_sql("kept", f"SELECT sensor_id FROM (SELECT sensor_id, count(*) AS n FROM assessed WHERE kind IN {PEOPLE} GROUP BY 1 ORDER BY n DESC, sensor_id LIMIT 60)")
+table_sql("kept", f"SELECT sensor_id FROM (SELECT sensor_id, count(*) AS n FROM assessed WHERE kind IN {PEOPLE} GROUP BY 1 ORDER BY n DESC, sensor_id LIMIT 200)")
 
 
 @query("a29_graph_nodes", f"""SELECT 'topic:' || topic AS id, 'topic' AS kind, count(*) AS n FROM assessed GROUP BY 1 UNION ALL SELECT 'metric:' || metric, 'metric', count(*) FROM assessed GROUP BY 1
@@ -168,7 +222,7 @@ table_sql("kept", f"SELECT sensor_id FROM (SELECT sensor_id, count(*) AS n FROM
     UNION ALL SELECT 'feed:' || source, 'feed', count(*) FROM assessed WHERE kind NOT IN {PEOPLE} GROUP BY 1 UNION ALL SELECT 'event:' || event_id, 'event', n_signals FROM event_rows""")
 def a29n(spark, sf):
     s = A.assessed(spark, sf)
-    return N.graph_nodes(s, A.dim_metric(spark), events(spark, sf), N.busiest_people(s, 60))
+    return N.graph_nodes(s, A.dim_metric(spark), events(spark, sf), N.busiest_people(s))
 
 
 @query("a29_graph_edges", f"""WITH p AS (SELECT * FROM assessed WHERE kind IN {PEOPLE} AND sensor_id IN (SELECT sensor_id FROM kept)),
@@ -181,4 +235,4 @@ def a29n(spark, sf):
     UNION ALL SELECT 'event:' || event_id, 'metric:' || metric, 'about', 1 FROM event_rows UNION ALL SELECT 'event:' || event_id, 'county:' || county_id, 'in', 1 FROM event_rows""")
 def a29e(spark, sf):
     s = A.assessed(spark, sf)
-    return N.graph_edges(s, A.dim_metric(spark), events(spark, sf), N.busiest_people(s, 60))
+    return N.graph_edges(s, A.dim_metric(spark), events(spark, sf), N.busiest_people(s))

@@ -43,6 +43,10 @@ def w3(spark, sf):
     SELECT metric, stat, arg_max(place, row(CASE WHEN stat = 'max' THEN value ELSE -value END, -place)) AS place, arg_max(value, row(CASE WHEN stat = 'max' THEN value ELSE -value END, -place)) AS value, count(*) AS field
     FROM p GROUP BY 1, 2 HAVING count(*) >= 3""")
 def w4(spark, sf):
+    return headlines(spark, sf)
+
+
+def headlines(spark, sf):
     m = A.dim_metric(spark).select("metric", F.col("headline").alias("stat"), "accumulates").filter("stat is not null")
     r = A.assessed(spark, sf).filter((F.col("quality") != "rejected") & (F.col("observed_at") >= hours_before(now(spark, sf), 240))).join(F.broadcast(m), "metric")
     p = r.groupBy("metric", "stat", F.col("sensor_id").alias("place"), "accumulates").agg(
@@ -105,6 +109,10 @@ def x26(spark, sf):
 @query("j30_flood_to_place", """SELECT g.site, CASE WHEN g.stage_now >= 12 THEN 0.75 WHEN g.stage_now >= 6 THEN 0.55 WHEN g.stage_now >= 4 THEN 0.3 END::DOUBLE AS weight, s.county_id FROM med3 g JOIN sensors s ON s.sensor_id = g.site
     WHERE g.metric = 'click' AND g.stage_now >= 4""")
 def j30(spark, sf):
+    return floods(spark, sf)
+
+
+def floods(spark, sf):
     from gossamer.operators.notable import flood_reasons
 
     lv = H.median_of_last_three(series(spark, sf).filter("metric = 'click'"), ["site"])

@@ -122,27 +122,74 @@ def group_stories(stories: DataFrame) -> DataFrame:
     return s.join(roots.withColumnRenamed("node", "key"), "key").select("item_id", F.col("root").alias("group"))
 
 
-def link_news(groups: DataFrame, extremes: DataFrame, notable_places: DataFrame, k: int = LINKS) -> DataFrame:
-    """Up to four places per story group: the best reading in its counties of each measure it names, most named
-    first, then its event places by score.
+def every_reason(own: DataFrame, headlines: DataFrame, rises: DataFrame, floods: DataFrame, dim_metric: DataFrame) -> DataFrame:
+    """X28, all kinds but the news: ``own`` reasons, the state's extremes (W4: metric, stat, place, value), the ranked rises (W3: metric, site, weight) and gauges near flood
+    stage (J30: site, metric, weight). An extreme short of the pack's least worth telling is none, and only measures whose rise at one site says something have one."""
+    m = F.broadcast(dim_metric.select("metric", "topic", "headline_min", _rises().alias("_rises")))
+    short = F.when(F.col("stat") == "max", F.col("value") < F.col("headline_min")).otherwise(F.col("value") > F.col("headline_min"))
+    row = lambda df, place, kind, weight: df.select(place.alias("place"), "metric", "topic", kind.alias("kind"), weight.cast("double").alias("weight"))
+    extreme = row(headlines.join(m, "metric").filter(~F.coalesce(short, F.lit(False))), F.col("place"), F.col("stat"), F.lit(W_HEADLINE))
+    up = row(rises.join(m, "metric").filter("_rises"), F.col("site"), F.lit("rise"), F.col("weight"))
+    flood = row(floods.join(m, "metric"), F.col("site"), F.lit("flood"), F.col("weight"))
+    return own.select("place", "metric", "topic", "kind", "weight").unionByName(extreme).unionByName(up).unionByName(flood)
 
-    ``groups`` (group, county_id, metric, named); ``extremes`` (county_id, metric, place, value) holds one row per place;
-    ``notable_places`` (place, county_id, score, own) with own = some reason of its own. Best readings are reduced per
-    (county, metric) before they meet the groups.
+
+def _rises() -> Column:
+    """Whether a rise at one site means something: not of a running amount, a flag, or what matters when it falls."""
+    return ~F.col("accumulates") & ~F.col("is_flag") & (F.col("direction") == "above")
+
+
+def news_reasons(links: DataFrame) -> DataFrame:
+    """The places that stories were tied to."""
+    return links.groupBy("place").agg(F.min("metric").alias("metric")).select("place", "metric", F.lit(None).cast("string").alias("topic"), F.lit("news").alias("kind"), F.lit(W_NEWS).alias("weight"))
+
+
+def bearing(tops: DataFrame, rises: DataFrame, dim_metric: DataFrame) -> DataFrame:
+    """(place, county_id, metric, rise, signed): what each place's readings of a measure can say: its rise, and its extreme in the measure's own direction, larger
+    saying more. ``tops`` (place, county_id, metric, hi, lo, is_rate): a running amount counts only as a total."""
+    m = F.broadcast(dim_metric.select("metric", "direction", "accumulates", _rises().alias("_rises")))
+    t = tops.join(m, "metric").filter(~(F.col("accumulates") & F.col("is_rate")))
+    up = rises.select(F.col("site").alias("place"), "metric", F.col("rise").alias("_up"))
+    return t.join(up, ["place", "metric"], "left").select("place", "county_id", "metric", F.when(F.col("_rises"), F.col("_up")).alias("rise"), F.when(F.col("direction") == "below", -F.col("lo")).otherwise(F.col("hi")).alias("signed"))
+
+
+def _best(df: DataFrame, keys: list[str], place: str = "place") -> DataFrame:
+    """Per key the place with the largest rise, else the largest ``signed`` value; ties to the lesser place. One partial aggregate."""
+    order = F.struct(F.col("rise").isNotNull().alias("r"), F.coalesce("rise", "signed").alias("v"), (-F.col(place)).alias("p"))
+    return df.groupBy(*keys).agg(F.max_by(F.struct(place, "rise", "signed"), order).alias("b")).select(*keys, "b.*")
+
+
+def link_news(groups: DataFrame, named: DataFrame, readings: DataFrame, reason_rows: DataFrame, scores: DataFrame, dim_metric: DataFrame, k: int = LINKS) -> DataFrame:
+    """(group, place, metric, rank): up to four places that a group of stories bears on.
+
+    For each measure the group's stories name, most named first, headline measures before others, the place in its counties whose reading says most (``bearing``), if the
+    place stands out by that measure, or the measure is a running amount, or it rose there. Then places past a threshold there, best score first. Places with a reason of
+    their own go before the others. ``groups`` (group, county_id), ``named`` (group, metric, n), ``reason_rows`` without news. Readings are reduced per (county, metric) first.
     """
-    best = extremes.groupBy("county_id", "metric").agg(F.max_by(F.struct("place", "value"), F.struct("value", (-F.col("place")).alias("p"))).alias("b")).select(
-        "county_id", "metric", "b.place", "b.value")
-    named = groups.filter(F.col("metric").isNotNull()).join(best, ["county_id", "metric"])
-    named = named.groupBy("group", "metric", "named").agg(F.max_by("place", F.struct("value", (-F.col("place")).alias("p"))).alias("place"))
-    named = named.join(notable_places.select("place", "own", "score"), "place").filter("own")
-    named = named.groupBy("group", "place").agg(F.min(F.struct((-F.col("named")).alias("n"), "metric")).alias("o")).select(
-        "group", "place", F.lit(0).alias("part"), F.col("o.n").cast("double").alias("key"), F.col("o.metric").alias("metric"))
-    counties = groups.select("group", "county_id").distinct()
-    here = counties.join(notable_places.filter("is_event"), "county_id").groupBy("group", "place").agg((-F.max("score")).alias("key"))
-    rest = here.join(named.select("group", "place"), ["group", "place"], "left_anti").select(
-        "group", "place", F.lit(1).alias("part"), "key", F.lit(None).cast("string").alias("metric"))
-    both = named.unionByName(rest)
-    return top_per_key(both, ["group"], [F.asc("part"), F.asc("key"), F.asc_nulls_last("metric"), F.asc("place")], k, "place")
+    m = F.broadcast(dim_metric.select("metric", "accumulates", F.col("headline").isNull().alias("plain")))
+    here = groups.join(_best(readings, ["county_id", "metric"]), "county_id").join(named, ["group", "metric"])
+    best = _best(here, ["group", "metric", "n"]).join(m, "metric")
+    own = reason_rows.select("place", "metric", F.lit(True).alias("own")).distinct()
+    fit = best.join(own, ["place", "metric"], "left").filter(F.col("own") | F.col("accumulates") | F.col("rise").isNotNull())
+    order = F.struct((-F.col("n")).cast("double").alias("k1"), F.col("plain").alias("k2"), F.col("metric").alias("k3"))
+    picks = fit.groupBy("group", "place").agg(F.min(order).alias("o")).select("group", "place", F.col("o.k3").alias("metric"), F.lit(0).alias("part"), "o.k1", "o.k2")
+    events = reason_rows.filter("kind = 'event'").select("place").distinct().join(scores, "place").join(readings.select("place", "county_id").distinct(), "place")
+    more = groups.join(events, "county_id").groupBy("group", "place").agg(F.max("score").alias("score")).join(picks.select("group", "place"), ["group", "place"], "left_anti")
+    more = more.select("group", "place", F.lit(None).cast("string").alias("metric"), F.lit(1).alias("part"), (-F.round("score", 9)).alias("k1"), F.lit(False).alias("k2"))
+    stands = reason_rows.select("place", F.lit(0).alias("bare")).distinct()
+    both = picks.unionByName(more).join(stands, "place", "left").withColumn("bare", F.coalesce("bare", F.lit(1)))
+    out = top_per_key(both, ["group"], [F.asc("bare"), F.asc("part"), F.asc("k1"), F.asc("k2"), F.asc_nulls_last("metric"), F.asc("place")], k, "place")
+    return out.select("group", "place", "metric", "rank")
+
+
+def link_statewide(named: DataFrame, readings: DataFrame, reason_rows: DataFrame, dim_metric: DataFrame, k: int = LINKS) -> DataFrame:
+    """J15 for stories about no county: (item_id, place, metric, rank): of each measure named the notable place whose reading says most, if it stands out by that measure."""
+    notable = reason_rows.select("place").distinct()
+    best = _best(readings.join(notable, "place", "left_semi"), ["metric"]).join(reason_rows.select("place", "metric").distinct(), ["place", "metric"])
+    m = F.broadcast(dim_metric.select("metric", F.col("headline").isNull().alias("plain")))
+    fit = named.join(F.broadcast(best.select("metric", "place")), "metric").join(m, "metric")  # one row per measure of the packs
+    picks = fit.groupBy("item_id", "place").agg(F.min(F.struct("plain", "metric")).alias("o")).select("item_id", "place", "o.plain", "o.metric")
+    return top_per_key(picks, ["item_id"], [F.asc("plain"), F.asc("metric")], k, "place").select("item_id", "place", "metric", "rank")
 
 
 def rank_groups(groups: DataFrame, limit: int = 7) -> DataFrame:
