@@ -424,4 +424,29 @@ def test_chunk_borders_resist_shifts():
     c = b"inserted" + b
     shifted = {c[s:e] for s, e in zip([0, *chunks.cuts(c)], chunks.cuts(c))}
     assert len(a & shifted) > 0.98 * len(a)
-    assert chunks.candidates(b).tolist() == [k + 1 for k, h in enumerate(chunks.gear(np.frombuffer(b, np.uint8)).tolist()) if h >> 27 == 0]
+    h, r = chunks.gear(np.frombuffer(b, np.uint8)).tolist(), chunks.RADIUS
+    assert chunks.candidates(b).tolist() == [k + 1 for k in range(r, len(h) - r) if max(h[k - r:k]) < h[k] >= max(h[k + 1:k + r + 1])]
+    assert min(len(x) for x in a) >= r and max(len(x) for x in a) <= chunks.LARGEST + r
+    assert [len(x) for x in (b"a" * n for n in (0, 5, 97)) for _ in chunks.cuts(x)] == [5, 97]
+    assert max(np.diff(chunks.cuts(b"a" * 5000))) == chunks.LARGEST
+
+
+def test_chunk_borders_do_not_depend_on_blocks(monkeypatch):
+    rnd = random.Random(5)
+    for n in (0, 1, 47, 96, 97, 1000, 1010, 5000):
+        b = bytes(rnd.randrange(97, 123) for _ in range(n))
+        whole = chunks.cuts(b)
+        monkeypatch.setattr(chunks, "BLOCK_BYTES", 500)
+        assert chunks.cuts(b) == whole
+        monkeypatch.undo()
+
+
+def test_chunks_find_passages_and_leave_phrases():
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randint(2, 10))) for _ in range(3000)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    parts = lambda t: {t.encode()[s:e] for s, e in zip([0, *chunks.cuts(t.encode())], chunks.cuts(t.encode()))}
+    within = lambda p: " ".join((text(rnd.randint(20, 200)), p, text(rnd.randint(20, 200))))
+    shared = lambda n: sum(bool(parts(within(p)) & parts(within(p))) for p in (text(n) for _ in range(300)))
+    assert shared(55) >= 285
+    assert shared(6) == 0
