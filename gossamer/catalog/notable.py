@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gossamer.catalog.aggregates import events
 from gossamer.catalog.filters import NOW, now
-from gossamer.catalog.joins import PEOPLE
+from gossamer.catalog.joins import PEOPLE, hav
 from gossamer.catalog import windows as WD
 from gossamer.catalog.registry import SQL, query, table_sql
 from gossamer.functions import scalars as X
@@ -51,13 +51,18 @@ def x28(spark, sf):
     return all_reasons(spark, sf).select("place", "metric", "kind", F.round("weight", 6).alias("weight"))
 
 
-@query("a33_place_score", "SELECT place, round(sum(w), 6) AS score FROM (SELECT place, kind, max(weight) AS w FROM (SELECT place, kind, weight FROM every_reason UNION ALL SELECT place, 'news', 0.4::DOUBLE FROM shown_links) GROUP BY 1, 2) GROUP BY 1")
-def a33(spark, sf):
-    """Scores of the finished map: news counts where a story of a shown group is tied."""
+def shown_news(spark, sf):
+    """Reasons of all kinds but the news, and the places tied to groups of stories that are shown."""
     why = all_reasons(spark, sf)
     st = checkpointed(story_rows(spark, sf))
     links = checkpointed(news_links(spark, sf, why, st))
-    shown = links.join(N.rank_groups(ranked_stories(spark, sf, st, links)).select("group"), "group", "left_semi")
+    return why, links.join(N.rank_groups(ranked_stories(spark, sf, st, links)).select("group"), "group", "left_semi")
+
+
+@query("a33_place_score", "SELECT place, round(sum(w), 6) AS score FROM (SELECT place, kind, max(weight) AS w FROM (SELECT place, kind, weight FROM every_reason UNION ALL SELECT place, 'news', 0.4::DOUBLE FROM shown_links) GROUP BY 1, 2) GROUP BY 1")
+def a33(spark, sf):
+    """Scores of the finished map: news counts where a story of a shown group is tied."""
+    why, shown = shown_news(spark, sf)
     return N.place_scores(why.unionByName(N.news_reasons(shown))).withColumn("score", F.round("score", 6))
 
 
@@ -74,19 +79,6 @@ def a31(spark, sf):
     return N.quiet_topics(A.dim_metric(spark), shown)
 
 
-def label_rows(spark, sf):
-    r = N.reasons(recent(spark, sf))
-    lead = r.groupBy("place").agg(F.max_by(F.struct("metric", "topic", "kind"), F.struct("weight", "metric", "kind")).alias("l"))
-    s = A.sensors(spark, sf).select(F.col("sensor_id").alias("place"), "lat", "lon")
-    p = lead.join(N.place_scores(r), "place").join(s, "place").select("place", "l.topic", "l.metric", F.when(F.col("place") % 5 == 0, "max").when(F.col("place") % 5 == 1, "rise").otherwise("event").alias("kind"), "score", "lat", "lon")
-    return p.withColumn("headline", (F.col("place") % 10).isin(0, 6) & (F.col("score") > 0.6))
-
-
-@query("t5_pick_labels")
-def t5(spark, sf):
-    return N.pick_labels(label_rows(spark, sf))
-
-
 # ── texts: county names planted in titles, and the documents' own words ──
 
 GAZ = [(f"Nation {k}", [str(k)]) for k in range(25)] + [("Nation 1 area", ["1", "2", "3"]), ("the of", ["4"]), ("der die", ["5", "6"]), ("le la", ["7"]), ("Nation 20 district", ["20", "21"])]
@@ -186,6 +178,44 @@ def j15(spark, sf):
     return news_links(spark, sf, all_reasons(spark, sf), checkpointed(story_rows(spark, sf))).select("group", "place", "metric", F.col("rank").cast("long").alias("rank"))
 
 
+def label_rows(spark, sf, why, score):
+    """Places with a reason of their own: what leads, whether it is a headline of the state, and the score with news."""
+    head = F.max(F.col("kind").isin(*N.HEADLINE_KINDS) & (F.col("weight") >= N.W_HEADLINE))
+    lead = why.groupBy("place").agg(F.max_by(F.struct("metric", "topic", "kind"), F.struct(F.round("weight", 6), "metric", "kind")).alias("l"), head.alias("headline"))
+    s = A.sensors(spark, sf).select(F.col("sensor_id").alias("place"), "lat", "lon")
+    return lead.join(score, "place").join(s, "place").select("place", "l.topic", "l.metric", "l.kind", "headline", F.round("score", 6).alias("score"), "lat", "lon")
+
+
+_KM = hav("{t}.lat", "{t}.lon", "c.lat", "c.lon")
+_FAR = "NOT EXISTS (SELECT 1 FROM {c} c WHERE c.metric = t.metric AND " + _KM.format(t="t") + f" < {N.TWIN_KM})"
+_COLS = "place, topic, metric, what, score, lat, lon"
+_BEST = "SELECT " + _COLS + " FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY score DESC, place) AS rn FROM {t} t WHERE {w}) WHERE rn <= {n}"
+_ROOM = "SELECT " + _COLS + ", {s} AS step FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, place) AS rn FROM {t}) t WHERE rn + (SELECT count(*) FROM {c} c WHERE c.topic = t.topic) <= 3"
+table_sql("label_rows", f"""WITH s AS (SELECT place, sum(w) AS score FROM (SELECT place, kind, max(weight) AS w FROM (SELECT place, kind, weight FROM every_reason UNION ALL SELECT place, 'news', 0.4::DOUBLE FROM shown_links) GROUP BY 1, 2) GROUP BY 1),
+    l AS (SELECT place, arg_max(row(topic, metric, kind), row(round(weight, 6), metric, kind)) AS l, bool_or(kind IN ('max', 'min', 'rise') AND weight >= {N.W_HEADLINE}::DOUBLE) AS headline FROM every_reason GROUP BY 1)
+    SELECT place, l[1] AS topic, l[2] AS metric, l[1] || '|' || l[2] || '|' || CASE WHEN l[3] IN ('max', 'min', 'rise') THEN l[3] ELSE 'other' END AS what, headline, round(score, 6) AS score, lat, lon
+    FROM l JOIN s USING (place) JOIN sensors ON sensor_id = place""")
+table_sql("labels_worth", f"SELECT * FROM label_rows WHERE score >= {N.MIN_LABELLED}")
+table_sql("labels_first", _BEST.format(k="topic", t="labels_worth", w="headline", n=3))
+table_sql("labels_new", _BEST.format(k="what", t="labels_worth", w="what NOT IN (SELECT what FROM labels_first)", n=1))
+table_sql("labels_two", f"SELECT *, 1 AS step FROM labels_first UNION ALL {_ROOM.format(s=2, t='labels_new', c='labels_first')}")
+table_sql("labels_left", f"SELECT {_COLS} FROM labels_worth t WHERE place NOT IN (SELECT place FROM labels_two) AND {_FAR.format(c='labels_two')}")
+table_sql("labels_a", _BEST.format(k="metric", t="labels_left", w="true", n=1))
+table_sql("labels_b", _BEST.format(k="metric", t="labels_left", w=_FAR.format(c="labels_a"), n=1))
+table_sql("labels_c", _BEST.format(k="metric", t="labels_left", w=_FAR.format(c="labels_a") + " AND " + _FAR.format(c="labels_b"), n=1))
+table_sql("labels_rest", f"SELECT {_COLS} FROM labels_a UNION ALL SELECT {_COLS} FROM labels_b UNION ALL SELECT {_COLS} FROM labels_c")
+table_sql("labels_shown", f"""SELECT place, rank FROM (SELECT place, row_number() OVER (ORDER BY step, score DESC, place) AS rank FROM (SELECT * FROM labels_two UNION ALL {_ROOM.format(s=3, t='labels_rest', c='labels_two')}))
+    WHERE rank <= {N.LABELLED}""")
+
+
+@query("t5_pick_labels", f"""SELECT place, 1 AS tier, rank::INTEGER AS rank FROM labels_shown UNION ALL SELECT place, 2, NULL FROM (SELECT place, row_number() OVER (ORDER BY score DESC, place) AS dot FROM label_rows
+    WHERE place NOT IN (SELECT place FROM labels_shown)) WHERE dot <= {N.DOTS} OR place IN (SELECT place FROM shown_links)""")
+def t5(spark, sf):
+    why, shown = shown_news(spark, sf)
+    return N.pick_labels(label_rows(spark, sf, why, N.place_scores(why.unionByName(N.news_reasons(shown)))), shown)
+
+
+
 @query("j15_statewide_links", f"""WITH b AS (SELECT metric, {_SAYS} AS place FROM bears WHERE place IN (SELECT place FROM every_reason) GROUP BY 1),
     f AS (SELECT s.item_id, b.place, min(row(m.headline IS NULL, b.metric)) AS o, arg_min(b.metric, row(m.headline IS NULL, b.metric)) AS metric FROM ({SQL['j14_measures_in_text']}) s JOIN b USING (metric) JOIN dim_metric m USING (metric)
       WHERE s.item_id NOT IN (SELECT item_id FROM story_sets) AND EXISTS (SELECT 1 FROM every_reason w WHERE w.place = b.place AND w.metric = b.metric) GROUP BY 1, 2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from gossamer.functions import scalars as X
 from gossamer.functions.geo import haversine_km
@@ -65,36 +66,50 @@ def quiet_topics(dim_metric: DataFrame, shown: DataFrame) -> DataFrame:
 
 # ── labels ───────────────────────────────────────────────────────────────
 
-def pick_labels(places: DataFrame) -> DataFrame:
-    """T5: (place, tier, rank): at most 14 labelled places in three passes, at most three of a topic; the next 80 as dots.
+def _fitting(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Candidates by score as far as their topic has room: three a topic, those already chosen among them."""
+    used = F.broadcast(chosen.groupBy("topic").agg(F.count(F.lit(1)).alias("_used")))  # a row per topic of the packs
+    by = W.partitionBy("topic").orderBy(F.desc("score"), F.asc("place"))
+    ranked = candidates.withColumn("_r", F.row_number().over(by)).join(used, "topic", "left")
+    return ranked.filter(F.col("_r") + F.coalesce("_used", F.lit(0)) <= PER_TOPIC).select(*candidates.columns)
 
-    ``places`` (place, topic, metric, kind, headline, score, lat, lon), one row each. Within a pass a place once skipped
-    stays skipped, so a pass is "take the best place that still fits" until none does. Each take is one aggregated max
-    over all places with the few labels so far as constants: at most 17 jobs, no candidate list and no cut-off.
+
+def _far_from(places: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Places with none of ``chosen`` (some rows per measure of the packs) of the same measure nearby."""
+    c = F.broadcast(chosen.select(F.col("metric").alias("_m"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")))
+    return places.join(c, (F.col("metric") == F.col("_m")) & (haversine_km("lat", "lon", "_lat", "_lon") < TWIN_KM), "left_anti")
+
+
+def pick_labels(places: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """T5: (place, tier, rank): at most 14 labelled places (tier 1) in three passes by score, at most three of a topic; the next 80 as dots, and
+    those of ``linked`` (place: a story is tied to it) that are neither (tier 2, without rank).
+
+    The passes take headline places, then places that say something no label says yet, then any without a label of the same measure within 50 km.
+    ``places`` (place, topic, metric, kind, headline, score, lat, lon), one row each; a measure belongs to one topic. Ties go to the lesser place.
+
+    What a pass can take is bounded by the packs, so each is a few aggregates: three headline places a topic; the best place of each thing said; and of each
+    measure the best place, the best one far from it, and the best one far from both, as no topic has room for more.
     """
-    p = checkpointed(places.filter(F.col("score").isNotNull()))
+    best = F.max_by(F.struct("place", "topic", "score", "lat", "lon", "_what"), F.struct("score", -F.col("place")))
     what = F.concat_ws("|", "topic", "metric", F.when(F.col("kind").isin(*HEADLINE_KINDS), F.col("kind")).otherwise("other"))
-    p = p.withColumn("_what", what)
-    chosen: list = []
-
-    def best(rule: Column):
-        full = [t for t in {c.topic for c in chosen} if sum(c.topic == t for c in chosen) >= PER_TOPIC]
-        left = p.filter(rule & (F.col("score") >= MIN_LABELLED) & ~F.col("topic").isin(full) & ~F.col("place").isin([c.place for c in chosen]))
-        fields = ["place", "topic", "metric", "_what", "lat", "lon"]
-        return left.agg(F.max_by(F.struct(*fields), F.struct("score", -F.col("place"))).alias("b")).first()["b"]
-
-    def roomy() -> Column:
-        near = F.lit(False)
-        for c in chosen:
-            near = near | ((F.col("metric") == c.metric) & (haversine_km(F.col("lat"), F.col("lon"), F.lit(c.lat), F.lit(c.lon)) < TWIN_KM))
-        return ~near
-
-    rules = (lambda: F.col("headline"), lambda: ~F.col("_what").isin([c["_what"] for c in chosen]), roomy)
-    for rule in rules:
-        while len(chosen) < LABELLED and (b := best(rule())) is not None:
-            chosen.append(b)
-    picked = places.sparkSession.createDataFrame([(c.place, 1, i) for i, c in enumerate(chosen, start=1)], "place long, tier int, rank int")
-    dots = p.filter(~F.col("place").isin([c.place for c in chosen])).orderBy(F.desc("score"), F.asc("place")).limit(DOTS)
+    p = checkpointed(places.filter(F.col("score").isNotNull()).select("place", "topic", "metric", "headline", "score", "lat", "lon", what.alias("_what")))
+    worth = p.filter(F.col("score") >= MIN_LABELLED)
+    cols = ["place", "topic", "metric", "score", "lat", "lon", "_what"]
+    first = top_per_key(worth.filter("headline").select(*cols), ["topic"], [F.desc("score"), F.asc("place")], PER_TOPIC, "place").select(*cols)
+    new = worth.join(F.broadcast(first.select("_what")), "_what", "left_anti").groupBy("_what", "metric").agg(best.alias("b")).select("metric", "b.*").select(*cols)
+    two = checkpointed(first.withColumn("step", F.lit(1)).unionByName(_fitting(new, first).withColumn("step", F.lit(2))))
+    left = _far_from(worth.select(*cols).join(F.broadcast(two.select("place")), "place", "left_anti"), two)
+    rest = None
+    for _ in range(PER_TOPIC):
+        take = left.groupBy("metric").agg(best.alias("b")).select("metric", "b.*").select(*cols)
+        rest, left = take if rest is None else rest.unionByName(take), _far_from(left, take)
+    three = two.unionByName(_fitting(rest, two).withColumn("step", F.lit(3)))
+    order = W.orderBy("step", F.desc("score"), F.asc("place"))  # three rows a topic and step at most
+    picked = checkpointed(three.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LABELLED).select("place", F.lit(1).alias("tier"), "rank"))
+    others = p.join(F.broadcast(picked.select("place")), "place", "left_anti").select("place", "score")
+    dots = others.orderBy(F.desc("score"), F.asc("place")).limit(DOTS).select("place")
+    if linked is not None:
+        dots = dots.unionByName(others.join(linked.select("place"), "place", "left_semi").select("place")).distinct()
     return picked.unionByName(dots.select("place", F.lit(2).alias("tier"), F.lit(None).cast("int").alias("rank")))
 
 

@@ -207,6 +207,42 @@ def test_pick_labels_equals_plain_passes(spark):
     assert N.pick_labels(df).filter("tier = 2").count() == 80
 
 
+def test_pick_labels_spreads_twins(spark):
+    """Few measures over a small area: the third pass decides, and skips what is near a label of its measure."""
+    import random
+
+    rows_of = lambda rnd: [(i, f"t{m % 3}", f"m{m}", rnd.choice(["max", "event", "people"]), rnd.random() < 0.02, rnd.choice([0.2, 0.3, 0.5, 0.8, round(rnd.random(), 1)]), 39 + rnd.random(), -90 + rnd.random())
+                           for i in range(60) for m in [rnd.randrange(4)]]
+    schema = "place long, topic string, metric string, kind string, headline boolean, score double, lat double, lon double"
+    third = 0
+    for seed in range(3):
+        rows = rows_of(random.Random(seed))
+        chosen, seen, per = [], set(), {}
+        for stage in range(3):
+            for p in sorted((r for r in rows if r[5] >= 0.3), key=lambda r: (-r[5], r[0])):
+                what = (p[1], p[2], p[3] if p[3] == "max" else "other")
+                ok = (p[4], what not in seen, all(q[2] != p[2] or ST._km(p[6], p[7], q[6], q[7]) >= 50 for q in chosen))[stage]
+                if len(chosen) < 14 and p not in chosen and per.get(p[1], 0) < 3 and ok:
+                    chosen.append(p)
+                    seen.add(what)
+                    per[p[1]] = per.get(p[1], 0) + 1
+                    third += stage == 2
+        got = N.pick_labels(spark.createDataFrame(rows, schema), spark.createDataFrame([(r[0],) for r in rows[:5]] + [(999,)], "place long")).collect()
+        assert [r["place"] for r in sorted((r for r in got if r["tier"] == 1), key=lambda r: r["rank"])] == [p[0] for p in chosen]
+        assert sorted(r["place"] for r in got) == list(range(60))
+    assert third > 0
+    none = spark.createDataFrame([], schema)
+    assert N.pick_labels(none).count() == 0
+
+
+def test_linked_places_join_the_dots(spark):
+    rows = [(i, "t", "m", "people", False, 1.0 - i / 1000, 40.0, -90.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "place long, topic string, metric string, kind string, headline boolean, score double, lat double, lon double")
+    got = N.pick_labels(df, spark.createDataFrame([(0,), (5,), (99,), (99,), (7777,)], "place long")).collect()
+    assert [r["place"] for r in got if r["tier"] == 1] == [0]
+    assert sorted(r["place"] for r in got if r["tier"] == 2) == [*range(1, 81), 99]
+
+
 def test_group_stories(spark):
     rows = [(1, ["1", "2", "3"], ["rain"], "w"), (2, ["1"], ["rain"], "w"), (3, ["2"], [], "w"), (4, ["3"], ["hail"], "w"), (5, ["3", "4"], [], "w"), (6, ["4"], [], "w"), (7, ["2", "1"], ["rain", "hail"], "x"), (8, ["4"], [], "w")]
     df = spark.createDataFrame(rows, "item_id long, counties array<string>, measures array<string>, topic string")
