@@ -117,6 +117,44 @@ def k6(spark, sf):
     return spark.read.parquet(f"{path}/readings").select("seq", "topic", "sensor", "lat", "lon", "quality")
 
 
+_HANDLE = f"CASE WHEN kind IN {REFS} THEN CAST(sensor_id AS VARCHAR) ELSE 's-' || substr(sha1(CAST(sensor_id AS VARCHAR)), 1, 5) END"
+_SHARED = f"(kind IN {PEOPLE} OR kind = 'official')"
+
+
+@query("k6_research_events", f"""SELECT event_id, topic, metric, county_id, pub_lat AS lat, pub_lon AS lon, opened_us, updated_us, CASE WHEN status = 'closed' THEN updated_us END AS closed_us, round(peak, 6) AS peak_value, n_signals, n_sensors, n_reference,
+    severity, round(score, 3) AS score, status FROM pub_events WHERE updated_us >= epoch_us({NOW} - INTERVAL 2160 HOURS)""")
+def k6_events(spark, sf):
+    path = shared_path(spark, "research")
+    PB.write_research_tables({"events": PB.research_events(public_events(spark, sf), now(spark, sf))}, path)
+    b = spark.read.parquet(f"{path}/events")
+    return b.select("event_id", "topic", "metric", "county_id", "lat", "lon", us("opened_at").alias("opened_us"), us("updated_at").alias("updated_us"), us("closed_at").alias("closed_us"),
+                    F.round("peak_value", 6).alias("peak_value"), "n_signals", "n_sensors", "n_reference", "severity", F.round("score", 3).alias("score"), "status")
+
+
+@query("k6_research_alerts", f"""SELECT thread_id, severity, array_to_string(counties, ';') AS counties, epoch_us(opened_at) AS opened_us, CASE WHEN expires <= {NOW} THEN epoch_us(expires) END AS ended_us,
+    CASE WHEN expires <= {NOW} THEN 'expired' END AS ended_reason, CASE WHEN expires <= {NOW} THEN 'ended' ELSE 'active' END AS status FROM thread_tab WHERE opened_at >= {NOW} - INTERVAL 2160 HOURS""")
+def k6_alerts(spark, sf):
+    path, n = shared_path(spark, "research"), now(spark, sf)
+    PB.write_research_tables({"alerts": PB.research_alerts(TH.thread_rows(*GR.threads(spark, sf), n), n)}, path)
+    b = spark.read.parquet(f"{path}/alerts")
+    return b.select("thread_id", "severity", F.array_join("counties", ";").alias("counties"), us("opened_at").alias("opened_us"), us("ended_at").alias("ended_us"), "ended_reason", "status")
+
+
+@query("k6_research_sensors", f"""SELECT {_HANDLE} AS sensor, kind, county_id, coalesce(n, 0) AS n_signals, coalesce(c, 0) AS n_corroborated, coalesce(f, 0) AS n_contradicted, round(trust_prior, 3) AS trust FROM sensors
+    LEFT JOIN (SELECT sensor_id, count(*) AS n, count(*) FILTER (quality = 'corroborated') AS c, count(*) FILTER (quality = 'flagged') AS f FROM assessed GROUP BY 1) USING (sensor_id) WHERE status = 'active' AND {_SHARED}""")
+def k6_sensors(spark, sf):
+    path = shared_path(spark, "research")
+    PB.write_research_tables({"sensors": PB.research_sensors(A.sensors(spark, sf), A.assessed(spark, sf))}, path)
+    return spark.read.parquet(f"{path}/sensors")
+
+
+@query("k6_research_reading_events", f"""SELECT seq, event_id FROM assessed LEFT JOIN (SELECT seq, event_id FROM event_members) USING (seq) WHERE {_SHARED} AND observed_at >= {NOW} - INTERVAL 2160 HOURS""")
+def k6_reading_events(spark, sf):
+    path, a = shared_path(spark, "research"), A.assessed(spark, sf)
+    PB.write_research_tables({"readings": PB.with_events(PB.research_readings(a, now(spark, sf)), AG.members(spark, sf))}, path)
+    return spark.read.parquet(f"{path}/readings").select("seq", "event_id")
+
+
 @query("k7_append_run_log", "SELECT 'feed' AS source, count(*) AS fetched, count(*) FILTER (seq % 3 = 0) AS n_new, 'ok' AS status FROM signals")
 def k7(spark, sf):
     path, log = shared_path(spark, "landed"), shared_path(spark, "runlog")

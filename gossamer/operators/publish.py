@@ -120,9 +120,43 @@ def research_readings(signals: DataFrame, now: Column, days: int = 90) -> DataFr
                     keep("lat").alias("lat"), keep("lon").alias("lon"), "quality")
 
 
-def research_sensors(sensors: DataFrame) -> DataFrame:
+def with_events(readings: DataFrame, members: DataFrame) -> DataFrame:
+    """K6: the readings with the event each belongs to, if any (``members``: seq, event_id)."""
+    return readings.join(members.select("seq", "event_id"), "seq", "left")
+
+
+def research_events(events: DataFrame, now: Column, days: int = 90, units: DataFrame | None = None, story_of: DataFrame | None = None) -> DataFrame:
+    """K6, events: one row per event of the last ``days``, at its county's public point; a closed event ended with its last reading. ``units`` (metric, unit), a row
+    per measure of the packs, and ``story_of`` (event_id, story_id) fill their columns, which are null without them."""
+    e = events.filter(F.col("updated_at") >= hours_before(now, days * 24))
+    e = e.withColumn("unit", F.lit(None).cast("string")) if units is None else e.join(F.broadcast(units.select("metric", "unit")), "metric", "left")
+    e = e.withColumn("story_id", F.lit(None).cast("string")) if story_of is None else e.join(story_of.select("event_id", "story_id"), "event_id", "left")
+    return e.select("event_id", "topic", "metric", "county_id", F.col("pub_lat").alias("lat"), F.col("pub_lon").alias("lon"), "opened_at", "updated_at", F.when(F.col("status") == "closed", F.col("updated_at")).alias("closed_at"),
+                    F.col("peak").alias("peak_value"), "unit", "n_signals", "n_sensors", "n_reference", "severity", "score", "status", "title", "story_id")
+
+
+def research_storms(stories: DataFrame, now: Column, days: int = 90) -> DataFrame:
+    """K6, storms: one row per storm of the last ``days``; storms merged into another are not listed. Columns of ``stories`` pass as they are."""
+    merged = F.col("merged_into").isNull() if "merged_into" in stories.columns else F.lit(True)
+    return stories.filter((F.col("updated_at") >= hours_before(now, days * 24)) & merged).drop("merged_into")
+
+
+def research_alerts(threads: DataFrame, now: Column, days: int = 90) -> DataFrame:
+    """K6, alerts: one row per thread opened in the last ``days``, all its updates folded in."""
+    reason = F.col("ended_reason") if "ended_reason" in threads.columns else F.when(F.col("status") == "ended", "expired")
+    return threads.filter(F.col("opened_at") >= hours_before(now, days * 24)).select("thread_id", "severity", "counties", "opened_at", "ended_at", reason.alias("ended_reason"), "status")
+
+
+def research_sensors(sensors: DataFrame, readings: DataFrame | None = None) -> DataFrame:
+    """K6, sensors: active people by handle with their home county, and official ones by id; with ``readings`` how many they sent, how many of
+    these were corroborated or contradicted (flagged), and their trust to three places, 0.5 where none is known."""
     s = sensors.filter((F.col("status") == "active") & (X.is_people() | (F.col("kind") == "official")))
-    return s.select(F.when(X.is_reference(), F.col("sensor_id").cast("string")).otherwise(X.public_handle("sensor_id")).alias("sensor"), "kind", "county_id")
+    out = s.select("sensor_id", F.when(X.is_reference(), F.col("sensor_id").cast("string")).otherwise(X.public_handle("sensor_id")).alias("sensor"), "kind", "county_id",
+                   F.round(F.coalesce(F.col("trust_prior"), F.lit(X.TRUST_PRIOR)), 3).alias("trust"))
+    if readings is None:
+        return out.select("sensor", "kind", "county_id")
+    n = readings.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n_signals"), F.count_if(F.col("quality") == "corroborated").alias("n_corroborated"), F.count_if(F.col("quality") == "flagged").alias("n_contradicted"))
+    return out.join(n, "sensor_id", "left").fillna(0, ["n_signals", "n_corroborated", "n_contradicted"]).select("sensor", "kind", "county_id", "n_signals", "n_corroborated", "n_contradicted", "trust")
 
 
 def write_research_tables(tables: dict[str, DataFrame], path: str) -> None:

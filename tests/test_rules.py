@@ -303,3 +303,21 @@ def test_refused_requests_count_for_nothing(spark):
     df = spark.createDataFrame(rows, "seq long, sensor_id string, received_at timestamp").repartition(5)
     got = {r["seq"]: (r["n_before"], r["refused"]) for r in rate_limited(df, limit=3).collect()}
     assert got == want and sum(x for _, x in want.values()) > 50
+
+
+def test_research_tables(spark):
+    from gossamer.operators import publish as PB
+
+    now, old = dt.datetime(2024, 6, 1), dt.datetime(2024, 1, 1)
+    e = spark.createDataFrame([("e1", now, "closed"), ("e2", now, "open"), ("e3", old, "closed")], "event_id string, updated_at timestamp, status string").selectExpr(
+        "*", "'w' topic", "'rain' metric", "'1' county_id", "1.0 pub_lat", "2.0 pub_lon", "updated_at opened_at", "3.5D peak", "2L n_signals", "2L n_sensors", "0L n_reference", "0.5D severity", "0.7D score", "'t' title")
+    got = {r["event_id"]: r for r in PB.research_events(e, F.lit(now), units=spark.createDataFrame([("rain", "mm")], "metric string, unit string"), story_of=spark.createDataFrame([("e2", "s1")], "event_id string, story_id string")).collect()}
+    assert set(got) == {"e1", "e2"} and got["e1"]["closed_at"] == now and got["e2"]["closed_at"] is None
+    assert [got[k]["story_id"] for k in ("e1", "e2")] == [None, "s1"] and got["e1"]["unit"] == "mm"
+    assert PB.research_events(e, F.lit(now)).filter("unit IS NULL AND story_id IS NULL").count() == 2
+    storms = spark.createDataFrame([(1, now, None), (2, now, 1), (3, old, None)], "story_id long, updated_at timestamp, merged_into long")
+    assert [tuple(r) for r in PB.research_storms(storms, F.lit(now)).collect()] == [(1, now)]
+    s = spark.createDataFrame([(1, "human", "active", None), (2, "official", "active", 0.71234), (3, "station", "active", 0.5), (4, "bot", "banned", 0.5)], "sensor_id long, kind string, status string, trust_prior double").selectExpr("*", "'1' county_id")
+    r = spark.createDataFrame([(1, "corroborated"), (1, "flagged"), (1, "raw")], "sensor_id long, quality string")
+    found = sorted(tuple(x) for x in PB.research_sensors(s, r).select("kind", "n_signals", "n_corroborated", "n_contradicted", "trust").collect())
+    assert found == [("human", 3, 1, 1, 0.5), ("official", 0, 0, 0, 0.712)]
