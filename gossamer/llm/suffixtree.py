@@ -12,7 +12,8 @@ word. Sequences are counted level by level: one is a candidate only if both thes
 some that are not and loses none. The log of a word's probability is that of its own count plus one value for each sequence of the tree that ends at it, and
 one for each that ends before it, so a text's score is a sum of values of the sequences in it. Those with at least a ``p_min`` share of all training tokens are
 broadcast with their values, as are others of a high count, at most ``top`` of them, and words of a high count, at most ``head`` of them, with theirs; the
-rest of each document is joined to the tables.
+rest is looked up where the tables' parts lie: lookups go there packed, a task's million at a time, and come back as sums per document. A document is known
+there by its id and a hash of its text.
 
 A null text is the empty text: one end token. Without training texts every text has probability 1 of unknown words. Repeated rows are scored each. Very
 long texts are scored whole.
@@ -381,6 +382,84 @@ def _discount(counts: DataFrame) -> tuple[float, float]:
     return min(max(once / (once + 2 * twice), 0.05), 0.9) if once + twice else 0.05, max(unseen, 1.0)
 
 
+_LOOKED = "part int, kind int, h binary, a binary, b binary"
+_SUMS = "id long, key long, named boolean, m long, n_tokens long, known long, logs double, score double"
+_WHO = np.dtype([("id", "i8"), ("key", "u8")])
+_DOC = np.dtype([*_WHO.descr, ("named", "?"), ("n_tokens", "i8"), ("known", "i8"), ("logs", "f8"), ("score", "f8")])
+
+
+def _dealt(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the hashes, and where each part of their range ends in it."""
+    by = np.argsort(h)
+    return by, np.concatenate((np.searchsorted(h[by], (np.arange(parts, dtype=np.uint64) * np.uint64((1 << 64) // parts))), [len(h)]))
+
+
+def _packed(parts: list[int], kind: int, h: list[bytes], a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+    n = len(parts)
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([kind] * n, pa.int32()), *(pa.array(x, pa.binary()) for x in (h, a, b))], ["part", "kind", "h", "a", "b"])
+
+
+def _tails(table: DataFrame, parts: int) -> DataFrame:
+    """The table (h, base, x) as one row per task, some million rows of it, and part of the hashes' range."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            h, base, x = (np.concatenate(c) for c in zip(*held))
+            by, ends = _dealt(h, parts)
+            full = np.flatnonzero(np.diff(ends))
+            cut = lambda v: [v[by[ends[k]:ends[k + 1]]].tobytes() for k in full]
+            return _packed(full, 0, cut(h), cut(base), cut(x))
+
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column("h").to_numpy().view(np.uint64), b.column("base").to_numpy(), b.column("x").to_numpy()))
+                size += b.num_rows
+            if size > 1_000_000:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    return table.select("h", "base", "x").mapInArrow(run, _LOOKED)
+
+
+def _settled(batches):
+    """Sums per document of one part's lookups; the rows of its table come first."""
+    now, table, tail = None, [], None
+    names = [f.split()[0] for f in _SUMS.split(", ")]
+    for b in batches:
+        for i in range(b.num_rows):
+            part, kind = b.column("part")[i].as_py(), b.column("kind")[i].as_py()
+            h, a, x = (b.column(c)[i].as_py() for c in ("h", "a", "b"))
+            if part != now:
+                now, table, tail = part, [], None
+            if kind == 0:
+                table.append((np.frombuffer(h, np.uint64), np.frombuffer(a), np.frombuffer(x)))
+                continue
+            if kind == 2:
+                d = np.frombuffer(a, _DOC)
+                yield pa.RecordBatch.from_arrays([pa.array(d["id"]), pa.array(d["key"].view(np.int64)), pa.array(d["named"]), pa.array(np.ones(len(d), np.int64)), *(pa.array(d[c]) for c in names[4:])], names)
+                continue
+            if tail is None:
+                h_, base_, x_ = (np.concatenate(c) for c in zip(*table)) if table else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+                by = np.argsort(h_)
+                tail, table = (h_[by], base_[by], x_[by]), []
+            seq, who, at = np.frombuffer(h, np.uint64), np.frombuffer(a, _WHO), np.frombuffer(x, np.uint32)
+            if not len(tail[0]):
+                continue
+            k = np.minimum(np.searchsorted(tail[0], seq), len(tail[0]) - 1)
+            hit = tail[0][k] == seq
+            k, at, n = k[hit], at[hit], len(who)
+            some = np.flatnonzero(np.bincount(at, minlength=n))
+            base = tail[1][k]
+            sums = [np.bincount(at, w, n)[some] if len(at) else np.zeros(0) for w in (base > 0, base, tail[2][k])]
+            none = np.zeros(len(some), np.int64)
+            who = who[some]
+            yield pa.RecordBatch.from_arrays([pa.array(who["id"]), pa.array(who["key"].view(np.int64)), pa.array(none > 0), pa.array(none), pa.array(none), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names)
+
+
 def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_MIN, order: int = ORDER, support: int = SUPPORT, top: int = TOP) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``, learning from ``train``."""
     spark = docs.sparkSession
@@ -403,24 +482,43 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
     head_n = np.array(list(common.values()), float)[by]
     shared = broadcast(spark, (bits, _bitmap(values), top_h, top_x, head_h[by], np.log10(head_n + 1), np.log10((head_n - off) / max(total, 1))))
     unknown = math.log10(off * v / total / unseen) if total else 0.0
-    schema = "row long, doc_id long, n_tokens long, known long, logs double, score double, rest array<long>, sequences array<long>"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         known_, valued, top_h, top_x, head_h, head_base, head_log = pickle.loads(shared.value)
         hashes = _Hashes()
+        held, found, size, n_held = [], [], 0, 0
 
         def at_home(table, h):
             """Place of each hash in a sorted table, and which are there."""
             k = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
             return k, table[k] == h if len(table) else np.zeros(len(h), bool)
 
-        def lists(at, h, n):
-            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(at, minlength=n)))), pa.int32()), pa.array(h[np.argsort(at, kind="stable")].view(np.int64)))
+        def flush():
+            d = np.concatenate(held)
+            yield _packed([int(d["key"][0] % np.uint64(parts))], 2, [b""], [d.tobytes()], [b""])
+            if size:
+                at, h = (np.concatenate(x) for x in zip(*found))
+                by, ends = _dealt(h, parts)
+                who = np.zeros(len(d), _WHO)
+                who["id"], who["key"] = d["id"], d["key"]
+                full, tables, places = np.flatnonzero(np.diff(ends)), [], []
+                for k in full:
+                    docs_, at_ = np.unique(at[by[ends[k]:ends[k + 1]]], return_inverse=True)
+                    tables.append(who[docs_].tobytes())
+                    places.append(at_.astype(np.uint32).tobytes())
+                yield _packed(full, 1, [h[by[ends[k]:ends[k + 1]]].tobytes() for k in full], tables, places)
 
         for b in batches:
+            ids = b.column("doc_id")
             for first, part in blocks(b):
+                n = len(part)
+                own_ids = ids.slice(first, n)
+                d = np.zeros(n, _DOC)
+                d["named"] = own_ids.is_valid().to_numpy(False)
+                d["id"] = own_ids.fill_null(0).to_numpy()
+                d["key"] = [xxhash.xxh64_intdigest(t, int(k)) for t, k in zip(part, d["named"])]
                 words = [t.lower().split() for t in part]
-                n = len(words)
                 h, token = _hashed(words, hashes)
                 text = np.repeat(np.arange(n), [len(w) + 2 for w in words])
                 del words
@@ -428,31 +526,37 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
                 own, doc = h[places], text[places]
                 k, common_ = at_home(head_h, own)
                 add = lambda at, x: np.bincount(at, x, n) if len(at) else np.zeros(n)
-                base, value = add(doc[common_], head_base[k[common_]]), np.zeros(n)
-                score_ = add(doc[common_], head_log[k[common_]])
-                left = []
+                d["n_tokens"], d["known"] = np.bincount(doc, minlength=n), add(doc[common_], None)
+                d["logs"] = add(doc[common_], head_base[k[common_]])
+                # words outside the head count as unknown here; the table gives the difference for those that are not
+                score_ = add(doc[common_], head_log[k[common_]]) + (d["n_tokens"] - d["known"]) * unknown
+                found.append((doc[~common_] + n_held, ~own[~common_]))
+                size += len(found[-1][0])
                 for at, seq in [(places, own), *((at, _mix(pre, suf)) for _, at, pre, suf in _sequences(h, token, known_, order + 1))]:
                     hit = _has(valued, seq)
                     at, seq = text[at[hit]], seq[hit]
-                    j, held = at_home(top_h, seq)
-                    value += add(at[held], top_x[j[held]])
-                    left.append((at[~held], seq[~held]))
-                at, seq = (np.concatenate(x) for x in zip(*left))
-                rows = b.slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(np.bincount(doc, minlength=n)), pa.array(add(doc[common_], None).astype(np.int64)), pa.array(base),
-                                                  pa.array(score_ + value / math.log(10)), lists(doc[~common_], own[~common_], n), lists(at, seq, n)],
-                                                 ["row", "doc_id", "n_tokens", "known", "logs", "score", "rest", "sequences"])
-
-    # the row number is written with the row, so both readers below see the same one
-    rows, _ = _stored(texts(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, schema), "scored")
-    rest = rows.select("row", F.explode("rest").alias("h"))
-    rare = counts.filter(F.col("n") < least).select(F.xxhash64("token").alias("h"), F.col("n").alias("c"))
-    c = F.col("c")
-    found = rest.join(rare, "h", "left").groupBy("row").agg(
-        F.count("c").alias("more"), F.sum(F.log10(F.coalesce(c, F.lit(0)) + 1)).alias("more_logs"),
-        F.sum(F.coalesce(F.log10((c - off) / max(total, 1)), F.lit(unknown))).alias("more_score"))
-    states = rows.select("row", F.explode("sequences").alias("h")).join(values.filter(F.col("n") < top_least).select("h", "x"), "h").groupBy("row").agg((F.sum("x") / math.log(10)).alias("states"))
-    below = math.log10(total + v + 1)
-    return rows.drop("rest", "sequences").join(found, "row", "left").join(states, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0)) + F.coalesce("states", F.lit(0.0))).alias("score"))
+                    j, there = at_home(top_h, seq)
+                    score_ += add(at[there], top_x[j[there]]) / math.log(10)
+                    found.append((at[~there] + n_held, seq[~there]))
+                    size += len(found[-1][0])
+                d["score"] = score_
+                held.append(d)
+                n_held += n
+                if size > 1_000_000 or n_held > 100_000:
+                    yield from flush()
+                    held, found, size, n_held = [], [], 0, 0
+        if held:
+            yield from flush()
+
+    # one shuffle deals lookups, the tables they look in and the documents; each part's table comes first, so its lookups are streamed past it
+    c = F.col("n")
+    rare = counts.filter(c < least).select(F.bitwise_not(F.xxhash64("token")).alias("h"), F.log10(c + 1).alias("base"), (F.log10((c - off) / max(total, 1)) - unknown).alias("x"))
+    rare = rare.unionByName(values.filter(c < top_least).select("h", F.lit(0.0).alias("base"), (F.col("x") / math.log(10)).alias("x")))
+    looked = texts(docs).select("doc_id", "text").mapInArrow(run, _LOOKED).unionByName(_tails(rare, parts))
+    sums = looked.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_settled, _SUMS)
+    # rows equal in id and text are one document here, and as many rows again at the end
+    m, below = F.col("m"), math.log10(total + v + 1)
+    each = sums.groupBy("id", "key").agg(F.max("named").alias("named"), *[F.sum(x).alias(x) for x in ("m", "n_tokens", "known", "logs", "score")])
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), m))).select(
+        F.when(F.col("named"), F.col("id")).alias("doc_id"), (F.col("n_tokens") / m).cast("long").alias("n_tokens"), (F.col("known") / m).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") / m - F.col("n_tokens") / m * below).alias("base_score"), (F.col("score") / m).alias("score"))
