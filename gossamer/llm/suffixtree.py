@@ -11,8 +11,8 @@ The tree is tables in the shared folder, a row per sequence, keyed by a 64-bit h
 word. Sequences are counted level by level: one is a candidate only if both these parts are in the tree, which a bitmap of fixed size tells; it lets through
 some that are not and loses none. The log of a word's probability is that of its own count plus one value for each sequence of the tree that ends at it, and
 one for each that ends before it, so a text's score is a sum of values of the sequences in it. Those with at least a ``p_min`` share of all training tokens are
-broadcast with their values, as are others of a high count, at most ``top`` of them, and words of a high count, at most ``head`` of them, with theirs; the
-rest is looked up where the tables' parts lie: lookups go there packed, a task's million at a time, and come back as sums per document. A document is known
+broadcast with their values, as are others of a high count, at most ``top`` of them, and words of a high count, at most ``head`` of them, with theirs: by default
+the sequences' head is one of shares only, which covers alike at every size; the rest is looked up where the tables' parts lie: lookups go there packed, a task's million at a time, and come back as sums per document. A document is known
 there by its id and a hash of its text.
 
 A null text is the empty text: one end token. Without training texts every text has probability 1 of unknown words. Repeated rows are scored each. Very
@@ -36,12 +36,12 @@ from gossamer.llm.common import blocks, broadcast, drop_folder, texts
 from gossamer.session import shared_path
 
 ORDER = 3
-P_MIN = 1e-4
+P_MIN = 1e-5
 SUPPORT = 8
 STRENGTH = 10.0
 DIVERGENCE = 20.0
 HEAD = 1 << 16
-TOP = 1 << 19
+TOP = 0
 FLUSH = 250_000  # distinct words a task holds before it hands its counts on
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BITS = 27  # the bitmap of known sequences has 2**BITS bits
@@ -388,10 +388,9 @@ _WHO = np.dtype([("id", "i8"), ("key", "u8")])
 _DOC = np.dtype([*_WHO.descr, ("named", "?"), ("n_tokens", "i8"), ("known", "i8"), ("logs", "f8"), ("score", "f8")])
 
 
-def _dealt(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the hashes, and where each part of their range ends in it."""
-    by = np.argsort(h)
-    return by, np.concatenate((np.searchsorted(h[by], (np.arange(parts, dtype=np.uint64) * np.uint64((1 << 64) // parts))), [len(h)]))
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the hashes' range that each lies in."""
+    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
 def _packed(parts: list[int], kind: int, h: list[bytes], a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
@@ -407,7 +406,9 @@ def _tails(table: DataFrame, parts: int) -> DataFrame:
 
         def flush():
             h, base, x = (np.concatenate(c) for c in zip(*held))
-            by, ends = _dealt(h, parts)
+            part = _part(h, parts)
+            by = np.argsort(part)
+            ends = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(ends))
             cut = lambda v: [v[by[ends[k]:ends[k + 1]]].tobytes() for k in full]
             return _packed(full, 0, cut(h), cut(base), cut(x))
@@ -446,7 +447,8 @@ def _settled(batches):
                 h_, base_, x_ = (np.concatenate(c) for c in zip(*table)) if table else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
                 by = np.argsort(h_)
                 tail, table = (h_[by], base_[by], x_[by]), []
-            seq, who, at = np.frombuffer(h, np.uint64), np.frombuffer(a, _WHO), np.frombuffer(x, np.uint32)
+            seq, who = np.frombuffer(h, np.uint64), np.frombuffer(a, _WHO)
+            at = np.repeat(np.arange(len(who)), np.frombuffer(x, np.uint32))
             if not len(tail[0]):
                 continue
             k = np.minimum(np.searchsorted(tail[0], seq), len(tail[0]) - 1)
@@ -499,15 +501,18 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
             yield _packed([int(d["key"][0] % np.uint64(parts))], 2, [b""], [d.tobytes()], [b""])
             if size:
                 at, h = (np.concatenate(x) for x in zip(*found))
-                by, ends = _dealt(h, parts)
                 who = np.zeros(len(d), _WHO)
                 who["id"], who["key"] = d["id"], d["key"]
-                full, tables, places = np.flatnonzero(np.diff(ends)), [], []
-                for k in full:
-                    docs_, at_ = np.unique(at[by[ends[k]:ends[k + 1]]], return_inverse=True)
-                    tables.append(who[docs_].tobytes())
-                    places.append(at_.astype(np.uint32).tobytes())
-                yield _packed(full, 1, [h[by[ends[k]:ends[k + 1]]].tobytes() for k in full], tables, places)
+                # by part, then by document: a document's lookups follow each other, so their number is all that is said of them
+                slot = _part(h, parts).astype(np.int64) * len(d) + at
+                by = np.argsort(slot)
+                h, slot = h[by], slot[by]
+                starts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+                n, part_, doc_ = np.diff(np.append(starts, len(slot))).astype(np.uint32), slot[starts] // len(d), slot[starts] % len(d)
+                ends = np.searchsorted(part_, np.arange(parts + 1))
+                full, bounds = np.flatnonzero(np.diff(ends)), np.append(starts, len(slot))
+                yield _packed(full, 1, [h[bounds[ends[k]]:bounds[ends[k + 1]]].tobytes() for k in full], [who[doc_[ends[k]:ends[k + 1]]].tobytes() for k in full],
+                              [n[ends[k]:ends[k + 1]].tobytes() for k in full])
 
         for b in batches:
             ids = b.column("doc_id")
