@@ -6,7 +6,7 @@ settled once by the first later evidence. Both are declarative, so any partition
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,7 +17,8 @@ from gossamer.plans.bucketed import running_count
 from gossamer.plans.spacetime import within
 
 MIN_US = 60 * 10**6
-MAX_TIER = 16  # 6 hours times two to this power: 45 years
+UNIT = 30  # 2^30 microseconds: 18 minutes
+LAST_US = 2**55  # the year 3111
 PARAMS = ["radius_km", "window_min", "tol_abs", "tol_rel", "lo", "hi", "direction", "accumulates", "is_flag", "scored", "thresholds"]
 
 
@@ -106,42 +107,47 @@ def alert_support(signals: DataFrame, alerts: DataFrame, dim_support: DataFrame)
     """The alert that supports a reading: same county, listed for its metric, not expired when it was observed,
     already received; highest severity, then newest.
 
-    Time buckets follow the alerts' spans: 6 hours times a power of two, so each alert lies in one or two buckets of its own
-    width, and a reading is copied once per width in use. An alert without an end, or with one beyond all widths, supports everything observed
-    from its sending on; of those only the best one sent so far counts.
+    No reading meets its alerts one by one. Time is cut into units no longer than an alert: its first unit is held from its sending on, its last one until it
+    expires, and what lies between is covered whole and written as dyadic blocks, of which only the best alert each goes on. A reading then takes the
+    best of its unit, the best sent so far in it and the best still to expire in it. An alert without an end covers blocks up to the last one.
     """
-    width = 6 * 3600 * 10**6
-    s = signals.filter(X.is_people() & F.col("county_id").isNotNull()).join(F.broadcast(dim_support), "metric").select("seq", "county_id", "slug", "observed_at")
-    span = F.unix_micros("expires") - F.unix_micros("sent")
-    k = F.greatest(F.lit(0), F.ceil(F.log2(span / F.lit(width)))).cast("int")
-    a = alerts.select("alert_id", "county_id", "slug", "severity", "sent", "expires", F.when(span > 0, k).otherwise(F.when(span.isNotNull(), -1)).alias("_k")).filter("_k IS NULL OR _k >= 0")
-    closed = a.filter(F.col("_k") <= MAX_TIER)
-    tiers = sorted(r["_k"] for r in closed.select("_k").distinct().collect())  # MAX_TIER + 1 values at most
-    size = F.call_function("shiftleft", F.lit(width).cast("long"), F.col("_k"))
-    copies = s.withColumn("_k", F.explode(F.lit(tiers).cast("array<int>"))).withColumn("_b", F.floor(F.unix_micros("observed_at") / size))
-    lives = closed.withColumn("_b", F.explode(F.sequence(F.floor(F.unix_micros("sent") / size), F.floor(F.unix_micros("expires") / size))))
-    hit = copies.join(lives.select("alert_id", "county_id", "slug", "severity", "sent", "expires", "_k", "_b"), ["county_id", "slug", "_k", "_b"]).filter(
-        (F.col("expires") > F.col("observed_at")) & (F.col("sent") <= F.col("observed_at"))).select("seq", "severity", "sent", "alert_id")
-    open_ended = a.filter(F.col("_k").isNull() | (F.col("_k") > MAX_TIER))
-    hit = hit.unionByName(_open_support(s, open_ended))
-    rank = F.struct("severity", F.unix_micros("sent"), "alert_id")
-    return hit.groupBy("seq").agg(F.max_by(F.struct("alert_id", "severity"), rank).alias("a")).select("seq", "a.alert_id", "a.severity")
-
-
-def _open_support(s: DataFrame, alerts: DataFrame) -> DataFrame:
-    """The best alert without an end that was sent by the time of each reading: readings and alerts of a (county, slug) in one order, the best so far carried on."""
-    best = F.struct("severity", F.unix_micros("sent").alias("sent"), "alert_id")
-    both = s.select("county_id", "slug", "observed_at", F.lit(1).alias("o"), "seq", F.lit(None).cast(alerts.select(best.alias("b")).schema["b"].dataType).alias("b")).unionByName(
-        alerts.select("county_id", "slug", F.col("sent").alias("observed_at"), F.lit(0).alias("o"), F.lit(None).cast("long").alias("seq"), best.alias("b")))
-    # the order is cut at days: a day's best goes on to the later days, so no window holds a whole (county, slug)
-    day = F.floor(F.unix_micros("observed_at") / F.lit(86400 * 10**6))
-    both = both.withColumn("_d", day)
-    inside = W.partitionBy("county_id", "slug", "_d").orderBy("observed_at", "o").rowsBetween(W.unboundedPreceding, W.currentRow)
-    days = both.groupBy("county_id", "slug", "_d").agg(F.max("b").alias("top"))
-    before = W.partitionBy("county_id", "slug").orderBy("_d").rowsBetween(W.unboundedPreceding, -1)
-    days = days.withColumn("before", F.max("top").over(before)).select("county_id", "slug", "_d", "before")
-    got = both.withColumn("b", F.max("b").over(inside)).filter("o = 1").join(days, ["county_id", "slug", "_d"])
-    return got.withColumn("b", F.greatest("b", "before")).filter("b IS NOT NULL").select("seq", "b.severity", F.timestamp_micros("b.sent").alias("sent"), "b.alert_id")
+    best = F.struct("severity", F.unix_micros("sent").alias("sent"), "alert_id").alias("b")
+    s = signals.filter(X.is_people() & F.col("county_id").isNotNull()).join(F.broadcast(dim_support), "metric").select("seq", "county_id", "slug", F.unix_micros("observed_at").alias("t"))
+    t0 = F.unix_micros("sent")
+    t1 = F.least(F.coalesce(F.unix_micros("expires"), F.lit(LAST_US)), F.lit(LAST_US))
+    # the unit is 2^k microseconds: 18 minutes, less for shorter alerts
+    a = alerts.filter(t1 > t0).select("county_id", "slug", t0.alias("t0"), t1.alias("t1"), best, F.least(F.lit(UNIT), F.length(F.bin(t1 - t0)) - 1).alias("k"))
+    units = sorted(r["k"] for r in a.select("k").distinct().collect())  # UNIT + 1 values at most
+    a = a.withColumn("u0", _shift("right", "t0", "k")).withColumn("u1", _shift("right", "t1", "k"))
+    where = ["county_id", "slug", "k", "u"]
+    starts = a.select("county_id", "slug", "k", F.col("u0").alias("u"), F.col("t0").alias("t"), "b").groupBy(*where, "t").agg(F.max("b").alias("b"))
+    ends = a.select("county_id", "slug", "k", F.col("u1").alias("u"), F.col("t1").alias("t"), "b").groupBy(*where, "t").agg(F.max("b").alias("b"))
+    # whole units from l up to r: at level j the odd ends of that range, halved j times
+    inner = a.select("county_id", "slug", "k", "b", (F.col("u0") + 1).alias("l"), F.col("u1").alias("r")).filter("l < r").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(55) - F.col("k"))))
+    inner = inner.withColumn("l", -_shift("right", -F.col("l"), "j")).withColumn("r", _shift("right", "r", "j")).filter("l < r")
+    inner = inner.withColumn("u", F.explode(F.filter(F.array(F.when(F.col("l") % 2 != 0, F.col("l")), F.when(F.col("r") % 2 != 0, F.col("r") - 1)), lambda x: x.isNotNull())))
+    blocks = inner.groupBy("county_id", "slug", "k", "j", "u").agg(F.max("b").alias("b"))
+
+    seen = s.withColumn("k", F.explode(F.lit(units).cast("array<int>"))).withColumn("u", _shift("right", "t", "k"))
+    levels = seen.select(*where).distinct().withColumn("unit", F.col("u")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(55) - F.col("k")))).withColumn("u", _shift("right", "u", "j"))
+    whole = levels.join(blocks, ["county_id", "slug", "k", "j", "u"]).groupBy("county_id", "slug", "k", F.col("unit").alias("u")).agg(F.max("b").alias("b"))
+    whole = whole.withColumn("t", _shift("left", "u", "k"))
+
+    def rows(df, kind):
+        return df.select(*where, "t", F.lit(kind).alias("o"), F.lit(None).cast("long").alias("seq"), "b")
+
+    none = F.lit(None).cast(a.schema["b"].dataType).alias("b")
+    both = seen.select(*where, "t", F.lit(1).alias("o"), "seq", none).unionByName(rows(whole, 0)).unionByName(rows(starts, 0)).unionByName(rows(ends, 2))
+    unit = W.partitionBy(*where).orderBy("t", "o")
+    so_far = F.max(F.when(F.col("o") == 0, F.col("b"))).over(unit.rowsBetween(W.unboundedPreceding, W.currentRow))
+    # in falling order an alert that expires at the reading's instant comes after it: it supports no longer
+    still = F.max(F.when(F.col("o") == 2, F.col("b"))).over(W.partitionBy(*where).orderBy(F.desc("t"), "o").rowsBetween(W.unboundedPreceding, W.currentRow))
+    got = both.withColumn("_so_far", so_far).withColumn("_still", still).filter("o = 1").withColumn("b", F.greatest("_so_far", "_still")).filter("b IS NOT NULL")
+    return got.groupBy("seq").agg(F.max("b").alias("b")).select("seq", "b.alert_id", "b.severity")
+
+
+def _shift(way: str, value, by) -> Column:
+    return F.call_function(f"shift{way}", F.col(value) if isinstance(value, str) else value, F.col(by))
 
 
 def arrival_quality(signals: DataFrame, dim_metric: DataFrame, j: DataFrame, alerts: DataFrame | None = None,

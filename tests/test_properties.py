@@ -131,6 +131,28 @@ def test_alert_support_with_and_without_end(spark):
     assert got == want
 
 
+def test_alert_support_of_short_and_touching_alerts(spark):
+    import random
+
+    from gossamer.operators.corroborate import alert_support
+
+    rnd = random.Random(5)
+    at = lambda us: T0 + dt.timedelta(microseconds=us)
+    top = 3 * 2**30
+    alerts = [(i, rnd.choice(["a", None]) if i % 9 == 0 else "a", rnd.choice(["wind", "hail"]), rnd.randrange(1, 4), at(s := rnd.randrange(0, top)), at(s + rnd.choice([-5, 0, 1, 2, 63, 2**20, 2**30 - 1, 2**30, 2**31, 2**33]))) for i in range(80)]
+    readings = [(i, "human", "m", "a", at(rnd.choice([rnd.randrange(0, top), int((alerts[i % 80][4 + i % 2] - T0).total_seconds() * 10**6)]))) for i in range(300)]
+    want = {}
+    for seq, _, _, county, t in readings:
+        best = max(((sev, sent, i) for i, c, _, sev, sent, end in alerts if c == county and sent <= t < end), default=None)
+        if best:
+            want[seq] = (best[2], best[0])
+    s = spark.createDataFrame(readings, "seq long, kind string, metric string, county_id string, observed_at timestamp")
+    a = spark.createDataFrame(alerts, "alert_id long, county_id string, slug string, severity long, sent timestamp, expires timestamp")
+    out = alert_support(s, a, spark.createDataFrame([("m", "wind"), ("m", "hail")], "metric string, slug string"))
+    assert "Window" in out._jdf.queryExecution().optimizedPlan().toString()  # readings and alerts in one order, not in a join of each with all
+    assert {r["seq"]: (r["alert_id"], r["severity"]) for r in out.collect()} == want and len(want) > 100
+
+
 def test_median(spark):
     for values in ([3.0], [1.0, 4.0], [5.0, 1.0, 9.5, 2.25], [7.5] * 3 + [0.1]):
         df = spark.createDataFrame([(v,) for v in values], "v double")
