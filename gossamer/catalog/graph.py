@@ -48,15 +48,14 @@ table_sql("scored", """SELECT e.*, greatest(1, witnesses) AS witnesses, r.refere
     FROM event_stat e JOIN wit USING (event_id) JOIN (SELECT event_id, arg_max(a.reference, m.seq) AS reference FROM event_members m JOIN arrival a USING (seq) GROUP BY 1) r USING (event_id)""")
 
 
-def trust_table(spark, sf, j):
-    return C.pooled_trust(J.outcome_rows(spark, sf, j), A.sensors(spark, sf), now(spark, sf))
+def trust_table(spark, sf, ar=None):
+    return C.pooled_trust(J.outcome_rows(spark, sf, ar), A.sensors(spark, sf), now(spark, sf))
 
 
 def trusted_members(spark, sf):
     """Members combined per sensor with their trust, written once: stats, witnesses and scores all read it."""
-    j = checkpointed(J.neighbors(spark, sf))
-    ar = checkpointed(J.arrival(spark, sf, j))
-    trust = C.pooled_trust(J.all_outcomes(spark, sf, j, ar), A.sensors(spark, sf), now(spark, sf))
+    ar = checkpointed(J.arrival(spark, sf))
+    trust = trust_table(spark, sf, ar)
     return checkpointed(E.sensor_trust(E.per_sensor(members(spark, sf).join(ar.select("seq", "reference"), "seq")), trust))
 
 
@@ -68,7 +67,7 @@ def a6(spark, sf):
 
 @query("j17_event_attach_join", "SELECT seq, event_id, sensor_id, round(trust, 6) AS trust FROM member_trust")
 def j17(spark, sf):
-    trust = trust_table(spark, sf, checkpointed(J.neighbors(spark, sf)))
+    trust = trust_table(spark, sf)
     return E.sensor_trust(members(spark, sf), trust).select("seq", "event_id", "sensor_id", F.round("trust", 6).alias("trust"))
 
 

@@ -153,6 +153,33 @@ def test_alert_support_of_short_and_touching_alerts(spark):
     assert {r["seq"]: (r["alert_id"], r["severity"]) for r in out.collect()} == want and len(want) > 100
 
 
+def test_closest_neighbours_without_a_shuffle_of_pairs(spark):
+    import random
+
+    from gossamer.functions.geo import haversine_km
+    from gossamer.operators import corroborate as C
+    from gossamer.sources import adapter as A
+
+    rnd = random.Random(3)
+    rows = [(i, rnd.randrange(12), "human", "purchase", "sales", rnd.choice([None, 5.0, 50.0, 250.0]), T0 + dt.timedelta(minutes=rnd.randrange(0, 900)), 40.0 + rnd.random() * 1.5, -89.0 + rnd.random() * 1.5,
+             "point", rnd.choice([None, "1h"])) for i in range(250)]
+    s = spark.createDataFrame(rows, "seq long, sensor_id long, kind string, metric string, topic string, value double, observed_at timestamp, lat double, lon double, precision string, period string")
+    far = s.alias("a").join(s.alias("b"), F.expr("b.seq < a.seq AND a.sensor_id <> b.sensor_id AND a.period IS NOT DISTINCT FROM b.period"))
+    far = far.select("a.seq", F.col("b.seq").alias("o"), haversine_km("a.lat", "a.lon", "b.lat", "b.lon").alias("km")).collect()
+    want, best = {}, {}
+    for r in far:
+        a, b = rows[r["seq"]], rows[r["o"]]
+        gap = (b[6] - a[6]).total_seconds()
+        if r["km"] <= 60 and abs(gap) <= 180 * 60:
+            best[a[0], b[1]] = min(best.get((a[0], b[1]), (1e9,)), (abs(gap), gap < 0, -b[0]))
+    want = {k: -v[2] for k, v in best.items() if rows[k[0]][5] is not None and rows[-v[2]][5] is not None}
+    j = C.judged_neighbors(s, A.dim_metric(spark))
+    assert {(r["seq"], r["o_sensor_id"]): r["o_seq"] for r in j.collect()} == want and len(want) > 100
+    plan = j._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 3  # two small vocabularies and the range join: nothing is joined to the pairs afterwards
+    assert plan.index("Join Inner") < plan.index("Aggregate")  # and they are not grouped
+
+
 def test_median(spark):
     for values in ([3.0], [1.0, 4.0], [5.0, 1.0, 9.5, 2.25], [7.5] * 3 + [0.1]):
         df = spark.createDataFrame([(v,) for v in values], "v double")
