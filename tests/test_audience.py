@@ -34,3 +34,36 @@ def test_alert_audience_by_class(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     above = plan[:plan.index("Generate explode(_chats")]
     assert not re.search(r"Aggregate|Join|Repartition", above)
+
+
+def crowd(spark):
+    alerts = [(i, "7", RING, float(i % 2 * 90 + 180), 30.0 if i < 40 else 3.0, [[36.5, -91.0], [36.6, -90.7]], T0 + dt.timedelta(minutes=i)) for i in range(80)]
+    alerts = spark.createDataFrame(alerts, "alert_id long, county_id string, polygon array<array<array<double>>>, from_deg double, speed_kt double, points array<array<double>>, sent timestamp")
+    alerts = alerts.withColumn("expires", F.col("sent") + F.expr("INTERVAL 6 HOURS")).withColumn("motion_at", F.when(F.col("alert_id") != 3, F.col("sent")))
+    places = [(37.5, -91.0), (37.1, -90.8), (38.6, -91.0), (None, None)]
+    people = spark.createDataFrame([("7", k, *places[k % 4]) for k in range(100)] + [("8", 500, 37.5, -91.0)], "county_id string, chat_id long, lat double, lon double")
+    return alerts, people
+
+
+def test_audience_places_once_each(spark):
+    alerts, people = crowd(spark)
+    met = AU.audience_places(alerts, people)
+    assert met.count() == 4 * 4  # distinct motions times distinct places, of 8,000 pairs
+    got = AU.unfolded(met, "inside", "km_outside", "side", "hours", alert=("motion_at",)).withColumn("arrives", AU.arrival_us(F.col("motion_at"), F.col("hours")))
+    gap = geo.polygon_gap("lat", "lon", "polygon")
+    hours = geo.storm_arrival_hours("from_deg", "speed_kt", "points", "lat", "lon")
+    pairs = alerts.join(people, "county_id").withColumn("inside", geo.point_in_polygon("lat", "lon", "polygon"))
+    want = pairs.select("alert_id", "chat_id", "inside", F.when(~F.col("inside"), gap["km"]).alias("km_outside"), F.when(~F.col("inside"), geo.compass(gap["bearing"])).alias("side"), hours.alias("hours"),
+                        (F.unix_micros("motion_at") + (hours * 3600e6).cast("long")).alias("arrives"))
+    cols = want.columns
+    want = sorted(map(repr, want.collect()))
+    assert sorted(map(repr, got.select(*cols).collect())) == want and len(want) == 8000
+    assert got.filter("hours IS NOT NULL").count() > 0
+
+
+def test_question_eligible_asks_inside_only(spark):
+    alerts, people = crowd(spark)
+    asked = spark.createDataFrame([(0, T0), (4, T0 - dt.timedelta(hours=9))], "chat_id long, asked_at timestamp")
+    got = AU.question_eligible(alerts, people, asked, F.lit(T0)).collect()
+    chats = {k for k in range(100) if k % 4 in (0, 1)} - {0}
+    assert {(r["alert_id"], r["chat_id"]) for r in got} == {(a, c) for a in range(80) for c in chats} and len(got) == 80 * len(chats)
