@@ -155,7 +155,7 @@ def settling(spark, sf, ar):
     s, m = _inputs(spark, sf)
     asked = C.in_question(s, ar)
     open_ = asked.filter("unsettled").select("seq")
-    found = C.weighted(C.agreements(C.judged_neighbors(asked, m, ("unsettled", "weighed"))), ("weighed", "o_unsettled"))
+    found = C.weighted(C.agreements_in_question(asked, m), ("weighed", "o_unsettled"))
     found = checkpointed(found.filter("weighed OR o_unsettled").select("seq", "o_seq", "observed_at", "weight", "weighed", "o_unsettled"))
     rest = asked.filter(F.col("unsettled") | ~F.col("kind").isin("human", "bot"))
     by_alert = C.settle_by_alert(rest, A.standing_alerts(spark, sf), A.dim_alert_support(spark), m)

@@ -110,11 +110,14 @@ def closest_within(left: DataFrame, right: DataFrame, on: list[str], radius: str
         gap = F.unix_micros(x["o_observed_at"]) - F.unix_micros("observed_at")
         return F.struct(F.abs(gap).alias("g"), (gap < 0).alias("e"), (-x[f"o_{row_id}"]).alias("r"), x.alias("x"))
 
+    # what bounds a left row's partners is worked out once per row: the join itself compares plain columns
     here = F.unix_micros("observed_at")
     reach = F.col(radius) / KM_PER_DEG
     wide = _reach_lon(F.col("_cy"), _band_height(F.col(radius), grain), F.col(radius))
-    box = ((F.col("_t1") >= here - F.col(window_us)) & (F.col("_t0") <= here + F.col(window_us)) & (F.col("_y1") >= F.col("lat") - reach) & (F.col("_y0") <= F.col("lat") + reach)
-           & (F.col("_x1") >= F.col("lon") - wide) & (F.col("_x0") <= F.col("lon") + wide) & (F.col(by) != F.col(f"o_{by}")))
+    bounds = {"_ta": here - F.col(window_us), "_tz": here + F.col(window_us), "_ya": F.col("lat") - reach, "_yz": F.col("lat") + reach, "_xa": F.col("lon") - wide, "_xz": F.col("lon") + wide}
+    l = l.withColumns(bounds).repartition(*keys)
+    box = ((F.col("_t1") >= F.col("_ta")) & (F.col("_t0") <= F.col("_tz")) & (F.col("_y1") >= F.col("_ya")) & (F.col("_y0") <= F.col("_yz"))
+           & (F.col("_x1") >= F.col("_xa")) & (F.col("_x0") <= F.col("_xz")) & (F.col(by) != F.col(f"o_{by}")))
     one = F.col("_o")[0]
     best = F.when(F.size("_o") == 1, F.when(fits(one), one)).otherwise(F.array_min(F.transform(F.filter("_o", fits), ranked))["x"])
     out = l.join(r, keys).filter(box).withColumn("_best", best).filter("_best IS NOT NULL")
