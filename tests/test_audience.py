@@ -67,3 +67,15 @@ def test_question_eligible_asks_inside_only(spark):
     got = AU.question_eligible(alerts, people, asked, F.lit(T0)).collect()
     chats = {k for k in range(100) if k % 4 in (0, 1)} - {0}
     assert {(r["alert_id"], r["chat_id"]) for r in got} == {(a, c) for a in range(80) for c in chats} and len(got) == 80 * len(chats)
+
+
+def test_in_or_near_judges_places_once(spark):
+    from gossamer.operators.filters import in_or_near
+
+    pts = spark.createDataFrame([(k, *[(0.5, 0.5), (0.5, 1.05), (3.0, 3.0), (None, 0.5)][k % 4]) for k in range(80)], "id long, lat double, lon double")
+    ring = F.array(F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]))
+    for km, of in ((0.0, {0}), (10.0, {0, 1})):
+        got = in_or_near(pts, ring, km)
+        assert got.columns == pts.columns and sorted(r["id"] for r in got.collect()) == [k for k in range(80) if k % 4 in of]
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join LeftSemi" in plan and plan.index("exists(") < plan.index("Aggregate [lat")
