@@ -10,7 +10,7 @@ from gossamer.functions import geo
 from gossamer.functions import scalars as X
 from gossamer.operators.filters import hours_before
 from gossamer.plans.bounded import bounded_rows, broadcast_if_small, literal_array
-from gossamer.plans.spacetime import within
+from gossamer.plans.spacetime import cell_keys, cells_reached, within
 
 MAX_COUNTIES = 5000
 CELL_DEG = 0.25
@@ -83,13 +83,26 @@ def county_of_point(points: DataFrame, rings: DataFrame, counties: DataFrame) ->
     return out.withColumn("county_at", F.coalesce("_hit", near["id"])).withColumn("inside", F.col("_hit").isNotNull()).drop("_hit")
 
 
+# Copies of ZIP places to cells that may be broadcast.
+MAX_ZIP_COPIES = 200_000
+
+
+def with_zip(points: DataFrame, zips: DataFrame, max_km: float = 15.0) -> DataFrame:
+    """Adds ``zip5`` and ``zip_km``: the nearest ZIP centre strictly nearer than ``max_km``, ties to table order, else NULL. Of ZIPs at one place only the first can be
+    nearest. A point meets one row, the ZIP places in reach of its cell, so no pairs are sorted or grouped."""
+    places = zips.groupBy("lat", "lon").agg(F.min(F.struct("ord", "zip5")).alias("_z")).select("lat", "lon", F.col("_z.ord").alias("ord"), F.col("_z.zip5").alias("id"))
+    reached = cells_reached(places, F.lit(max_km), grain=1.0)
+    cells = reached.groupBy("_cy", "_cx").agg(F.collect_list(F.struct("ord", "id", "lat", "lon")).alias("_near"))
+    small = reached.limit(MAX_ZIP_COPIES + 1).count() <= MAX_ZIP_COPIES
+    out = cell_keys(points, F.lit(max_km), grain=1.0).join(F.broadcast(cells) if small else cells, ["_cy", "_cx"], "left")
+    out = out.withColumn("_n", geo.nearest_of("lat", "lon", F.col("_near"), max_km))
+    return out.withColumns({"zip5": F.col("_n.id"), "zip_km": F.col("_n.km")}).drop("_n", "_near", "_cy", "_cx")
+
+
 def nearest_zip(points: DataFrame, point_id: str, zips: DataFrame, max_km: float = 15.0) -> DataFrame:
-    """Nearest ZIP centre strictly nearer than ``max_km``; ties to table order. Only cells in reach are compared."""
-    l = points.select(point_id, "lat", "lon").withColumn("_r", F.lit(max_km))
-    r = zips.select("zip5", "ord", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon")).withColumn("_r", F.lit(max_km))
-    p = within(l, r, [], "_r").filter(F.col("km") < max_km)
-    best = p.groupBy(point_id).agg(F.min(F.struct("km", "ord", "zip5")).alias("b"))
-    return best.select(point_id, F.col("b.zip5").alias("zip5"), F.col("b.km").alias("km"))
+    """Points, one row each, that have a ZIP centre in reach."""
+    near = with_zip(points.select(point_id, "lat", "lon"), zips, max_km).filter("zip5 IS NOT NULL")
+    return near.select(point_id, "zip5", F.col("zip_km").alias("km"))
 
 
 def around_centres(centres: DataFrame, things: DataFrame, centre_id: str, keep: list[str], km: float, extra: Column | None = None) -> DataFrame:
