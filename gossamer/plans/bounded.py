@@ -31,6 +31,9 @@ def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
 
 
 SPLIT_BYTES = 128 * 2**20
+MAX_TASKS = 20_000
+# The planner's size of rows it knows nothing about is near the largest long.
+UNKNOWN_BYTES = 2**60
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -46,3 +49,17 @@ def spread(df: DataFrame) -> DataFrame:
     if size >= cores * SPLIT_BYTES or not 0 < len(df.inputFiles()) < cores:
         return df
     return df.repartition(cores)
+
+
+def tasks_for(df: DataFrame, task_bytes: int) -> int:
+    """Tasks of ``task_bytes`` of the tables a plan scans, one per core at least. Each scan counts by its files; a join's estimate, the product of its sides, is not used."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    scanned = sum(n for n in sizes if n < UNKNOWN_BYTES)
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(MAX_TASKS, -(-scanned // task_bytes)))
+
+
+def dealt(df: DataFrame, keys: list[str], task_bytes: int) -> DataFrame:
+    """Rows dealt by their keys over ``tasks_for`` tasks. For work whose memory is a multiple of its input: adaptive execution measures shuffled bytes and would put too
+    much of it in one task. Changes the plan only."""
+    return df.repartition(tasks_for(df, task_bytes), *keys)

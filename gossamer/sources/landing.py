@@ -1,7 +1,7 @@
 """The landing zone: how fetched payloads lie in it, one document per fetch, and what of it cannot be read.
 
-A fetch is a file under ``batch_id=<n>/``: a JSON document, or delimited lines with an optional head. Readers with the landing schemas are in ``feeds``;
-a file's batch comes back as the partition column.
+A fetch is a row (batch_id, document) of Parquet files that hold many: a JSON document, or delimited lines with an optional head, as it came. A file or folder per
+fetch would make the driver list and commit, and tasks open, as many as there are fetches. Readers with the landing schemas are in ``feeds``.
 """
 
 from __future__ import annotations
@@ -9,18 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gossamer.plans.bounded import dealt
 from gossamer.session import shared_path
 
+DOCUMENTS = "batch_id long, document string"
+# Scanned bytes whose records one task gathers to documents, some twenty times as large.
+TASK_BYTES = 2**20
+
 
 def write_documents(rows: DataFrame, record: Column, batch: Column, head: str, tail: str, folder: str | None = None, joint: str = ",") -> str:
     """Write one document per batch: its records between ``head`` and ``tail``. A batch is one fetch, so its size is the provider's."""
     folder = folder or shared_path(rows.sparkSession, "landed")
-    each = rows.select(batch.cast("long").alias("batch_id"), record.alias("_r"))
-    docs = each.groupBy("batch_id").agg(F.concat(F.lit(head), F.array_join(F.collect_list("_r"), joint), F.lit(tail)).alias("value"))
-    docs.write.mode("append").partitionBy("batch_id").text(folder)
+    each = dealt(rows.withColumn("batch_id", batch.cast("long")), ["batch_id"], TASK_BYTES)
+    docs = each.groupBy("batch_id").agg(F.concat(F.lit(head), F.array_join(F.collect_list(record), joint), F.lit(tail)).alias("document"))
+    docs.write.mode("append").parquet(folder)
     return folder
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Landed documents as they came: (batch_id, document)."""
+    return spark.read.schema(DOCUMENTS).parquet(folder)
+
+
 def write_features(rows: DataFrame, feature: Column, batch: Column, folder: str | None = None) -> str:
     """FeatureCollection documents."""
     return write_documents(rows, F.to_json(feature), batch, '{"type": "FeatureCollection",\n"features": [', "]}", folder)
@@ -38,15 +48,15 @@ def write_lines(rows: DataFrame, columns: list[str], batch: Column, sep: str, he
     return write_documents(rows, line, batch, sep.join(columns) + "\n" if header else "", "\n", folder, "\n")
 
 
-def unreadable(spark: SparkSession, folder: str, ddl: str, multi_line: bool = True) -> DataFrame:
-    """(batch_id, file, record, lost) of documents, or lines, that do not parse under the schema. ``lost`` says that nothing of one could be read; else single
+def unreadable(spark: SparkSession, folder: str, ddl: str) -> DataFrame:
+    """(batch_id, file, record, lost) of documents that do not parse under the schema. ``lost`` says that nothing of one could be read; else single
     fields were of another type and read as null."""
-    from gossamer.sources.feeds import CORRUPT
+    from gossamer.sources.feeds import CORRUPT, as_documents
 
-    df = spark.read.schema(f"{ddl}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).json(folder, multiLine=multi_line)
-    own = [c for c in df.columns if c not in (CORRUPT, "batch_id")]
+    docs = documents(spark, folder).select("batch_id", F.col("_metadata.file_path").alias("file"), as_documents(F.col("document"), f"{ddl}, {CORRUPT} string").alias("_d"))
+    seen = docs.select("batch_id", "file", "_d.*")
     nothing = F.lit(True)
-    for c in own:
-        nothing = nothing & F.col(c).isNull()
-    seen = df.select("batch_id", F.col("_metadata.file_path").alias("file"), F.col(CORRUPT).alias("record"), nothing.alias("lost"))
-    return seen.filter("record IS NOT NULL")
+    for c in seen.columns[2:]:
+        if c != CORRUPT:
+            nothing = nothing & F.col(c).isNull()
+    return seen.select("batch_id", "file", F.col(CORRUPT).alias("record"), nothing.alias("lost")).filter("record IS NOT NULL")
