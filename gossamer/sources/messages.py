@@ -18,13 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gossamer.functions import scalars as X
-from gossamer.plans.bounded import spread
+from gossamer.plans.bounded import dealt, spread
 from gossamer.sources.vocab import convert_unit
 
 TOKEN = r"[#@][\p{L}\p{N}_.-]+|-?(?:\p{N}+(?:\.\p{N}+)?|\.\p{N}+)|[\p{L}_]+|\S"
 FILLER = [":", "=", "of"]
 # Minutes in each unit of "<number> <unit> ago".
 SPANS = {"m": 1.0, "min": 1.0, "mins": 1.0, "minute": 1.0, "minutes": 1.0, "h": 60.0, "hr": 60.0, "hrs": 60.0, "hour": 60.0, "hours": 60.0}
+TASK_BYTES = 2**18  # scanned bytes a task; its sorted tokens take some hundred times as many
 REACH = 4  # tokens between a name and its value word
 
 
@@ -50,7 +51,7 @@ def extract_readings(messages: DataFrame, message_id: str, vocab: dict[str, list
     spark = messages.sparkSession
     key = [message_id, "clause"]
     line, whole = W.partitionBy(*key).orderBy("pos"), W.partitionBy(*key)
-    t = tokens(messages, message_id)
+    t = dealt(tokens(messages, message_id), key, TASK_BYTES)
 
     # what concerns the whole clause: time, tags, place
     number = F.col("tok").rlike(r"^-?\.?\p{N}")
