@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions import geo
 from gossamer.functions import scalars as X
-from gossamer.plans.bounded import spread
+from gossamer.plans.bounded import spread, tasks_for
 from gossamer.plans.spacetime import closest_within, within
 
 MIN_US = 60 * 10**6
@@ -232,6 +232,10 @@ def settle_by_alert(signals: DataFrame, alerts: DataFrame, dim_support: DataFram
     return hit.groupBy("seq").agg(F.min_by(F.struct("alert_id", "sent"), rank).alias("a")).select("seq", "a.alert_id", "a.sent")
 
 
+# Scanned bytes whose pairs of readings and day totals one task sorts.
+TOTALS_BYTES = 2**18
+
+
 def settle_by_daily_total(signals: DataFrame, dim_metric: DataFrame, totals_filter) -> DataFrame:
     """A day total confirms people's readings within the radius over its period that agree; the first one counts.
 
@@ -248,7 +252,9 @@ def settle_by_daily_total(signals: DataFrame, dim_metric: DataFrame, totals_filt
     extra = ((F.unix_micros("observed_at") - F.unix_micros("o_observed_at") <= F.col("_span"))
              & (F.col("o_period").isNull() | (F.col("o_period") == F.col("_period")))
              & X.compatible("value", "o_value", "is_flag", "tol_abs", "tol_rel"))
-    p = within(refs, people, ["metric"], "radius_km", "_lo", "_hi", extra=extra)
+    tasks = tasks_for(signals, TOTALS_BYTES)
+    # a reading is copied to some sixteen cells: a task that copies takes a bounded share of the scan
+    p = within(refs, people.repartition(-(-tasks // 8)), ["metric"], "radius_km", "_lo", "_hi", extra=extra, tasks=tasks)
     rank = F.struct(F.unix_micros("observed_at"), "seq")
     return p.groupBy(F.col("o_seq").alias("seq")).agg(F.min_by(F.struct("seq", "observed_at"), rank).alias("r")).select("seq", F.col("r.seq").alias("ref_seq"), F.col("r.observed_at").alias("ref_at"))
 

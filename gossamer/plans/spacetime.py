@@ -46,15 +46,18 @@ def cells_reached(df: DataFrame, radius: Column, lat="lat", lon="lon", grain: fl
 
 def within(left: DataFrame, right: DataFrame, on: list[str], radius: str, before_us: str | None = None,
            after_us: str | None = None, left_at: str = "observed_at", right_at: str = "o_observed_at",
-           how: str = "inner", extra: Column | None = None, grain: float = 2.0) -> DataFrame:
+           how: str = "inner", extra: Column | None = None, grain: float = 2.0, tasks: int | None = None) -> DataFrame:
     """Pairs with distance <= radius and, when given, right time in [left - before, left + after] (inclusive).
 
     Left has lat/lon, right o_lat/o_lon; radius, before and after are columns of both sides that depend on ``on`` only.
-    Adds ``km``. ``extra`` is a further exact condition on the pair.
+    Adds ``km``. ``extra`` is a further exact condition on the pair. ``tasks`` fixes how many tasks the cells are dealt over, for pairs that are sorted in the
+    same task: adaptive execution sees only the sides' bytes and joins small shares.
     """
     from gossamer.functions.geo import haversine_km
 
     l, r, keys = _cells(left, right, on, radius, before_us, after_us, left_at, right_at, grain)
+    if tasks:
+        l, r = l.repartition(tasks, *keys), r.repartition(tasks, *keys)
     cond = _near(radius) & (haversine_km("lat", "lon", "o_lat", "o_lon") <= F.col(radius))
     if extra is not None:
         cond = extra & cond
