@@ -12,8 +12,8 @@ word. Sequences are counted level by level: one is a candidate only if both thes
 some that are not and loses none. The log of a word's probability is that of its own count plus one value for each sequence of the tree that ends at it, and
 one for each that ends before it, so a text's score is a sum of values of the sequences in it. Those with at least a ``p_min`` share of all training tokens are
 broadcast with their values, as are others of a high count, at most ``top`` of them, and words of a high count, at most ``head`` of them, with theirs; the
-rest is looked up where the tables' parts lie: lookups go there packed, a task's million at a time, and come back as sums per document. A document is known
-there by its id and a hash of its text.
+rest is looked up where the tables' parts lie: lookups go there packed, a block of texts with a million at a time, and the answers come back packed by block. A document
+is known there by its block, the task and number of it, and its place in it, so ``docs`` must come in an order that a retried task repeats, as from a scan.
 
 A null text is the empty text: one end token. Without training texts every text has probability 1 of unknown words. Repeated rows are scored each. Very
 long texts are scored whole.
@@ -23,12 +23,14 @@ from __future__ import annotations
 
 import math
 import pickle
+from array import array
 from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,7 @@ HEAD = 1 << 16
 TOP = 1 << 19
 FLUSH = 250_000  # distinct words a task holds before it hands its counts on
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+UNIT = 2.0**30  # values of sequences are whole numbers of 1 / UNIT
 BITS = 27  # the bitmap of known sequences has 2**BITS bits
 
 
@@ -214,27 +217,56 @@ def _mix(pre: np.ndarray, suf: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Hashes(dict):
-    """Hashes of words met so far, a bounded number of them."""
+class _Words(dict):
+    """Numbers of the common words. Another word gets the next free one each time it is met, until ``fresh`` lets go of those: most are not met again soon."""
+
+    def __init__(self, common: list[bytes]):
+        super().__init__(zip(common, range(len(common))))
+        self.common = len(common)
+        self.h = array("Q", [xxhash.xxh64_intdigest(w, 42) for w in common])
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= HEAD:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return h
+        self.h.append(xxhash.xxh64_intdigest(word, 42))
+        return len(self.h) - 1
+
+    def fresh(self) -> None:
+        del self.h[self.common:]
 
 
-def _hashed(texts_: list[list[bytes]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of several texts, each text between two ends; and which are tokens, all but the first of each."""
+def _hashed(texts_: list[list[bytes]], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and numbers of the words of several texts, each text between two ends; and which are tokens, all but the first of each."""
+    words.fresh()
     lens = np.array([len(w) + 2 for w in texts_])
-    out = np.full(int(lens.sum()), hashes[b""], np.uint64)
-    token = np.ones(len(out), bool)
+    number = np.full(int(lens.sum()), words[b""], np.int64)
+    token = np.ones(len(number), bool)
     starts = np.cumsum(lens) - lens
     token[starts] = False
     word = token.copy()
     word[starts + lens - 1] = False
-    out[word] = np.fromiter(map(hashes.__getitem__, chain.from_iterable(texts_)), np.uint64, int(word.sum()))
-    return out, token
+    number[word] = np.fromiter(map(words.__getitem__, chain.from_iterable(texts_)), np.int64, int(word.sum()))
+    return np.array(words.h, np.uint64)[number], number, token
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers for a shuffle: equal bytes of all of them side by side, so that those of small numbers vanish."""
+    x = np.ascontiguousarray(x)
+    return pa.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), codec="zstd", asbytes=True) + len(x).to_bytes(4, "little") if len(x) else b""
+
+
+def _loosed(b: bytes, kind) -> np.ndarray:
+    if not b:
+        return np.zeros(0, kind)
+    n, wide = int.from_bytes(b[-4:], "little"), np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(b[:-4], n * wide, codec="zstd", asbytes=True), np.uint8).reshape(wide, n).T.copy().view(kind).ravel()
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Rising numbers by their differences."""
+    return _squeezed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _unsteps(b: bytes, kind) -> np.ndarray:
+    return np.cumsum(_loosed(b, kind), dtype=kind)
 
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -276,7 +308,7 @@ def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(folder), folder
 
 
-_PACKED = "part int, pre binary, suf binary, n binary"
+_PACKED = "part int, code binary, times binary, pre binary, suf binary, n binary"
 _FOUND = "pre long, suf long, n long, h long"
 
 
@@ -289,35 +321,57 @@ def _united(pre: np.ndarray, suf: np.ndarray, n: np.ndarray):
     return code[first], pre[order[first]], suf[order[first]], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def _count(train: DataFrame, bits: np.ndarray, d: int, support: int) -> tuple[DataFrame, str]:
+def _cuts(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, ends): places by part, otherwise as they stand, and where each part begins in that order."""
+    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=part.dtype))
+
+
+def _count(train: DataFrame, bits: np.ndarray, common: list[bytes], d: int, support: int) -> tuple[DataFrame, str]:
     """(pre, suf, n, h): the sequences of d words that occur ``support`` times.
 
-    A task unites some million occurrences at a time and hands them on packed, one row per part of the codes' range, so the shuffle moves few rows and no row
-    carries more than its two hashes and its count. A part is united by numpy; parts follow spark.sql.shuffle.partitions, and codes are spread evenly.
+    A task unites some million occurrences at a time and hands them on packed, one row per part, so the shuffle moves few rows. A sequence of common words only
+    travels as their numbers in one code, codes by their differences; any other as its two hashes. A part is united by numpy; parts follow
+    spark.sql.shuffle.partitions, and codes are spread evenly.
     """
     spark = train.sparkSession
-    shared = broadcast(spark, bits)
+    shared = broadcast(spark, (bits, common))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = min(16, 64 // d)
+    coded = min(len(common), 1 << width)
+    head = broadcast(spark, np.array([xxhash.xxh64_intdigest(w, 42) for w in common[:coded]], np.uint64))
 
     def run(batches):
-        known, hashes = pickle.loads(shared.value), _Hashes()
+        known, common_ = pickle.loads(shared.value)
+        words = _Words(common_)
         held, size = [], 0
 
         def flush():
-            pre, suf = (np.concatenate(x) for x in zip(*held))
-            code, pre, suf, n = _united(pre, suf, np.ones(len(pre), np.int64))
-            part = ((code >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            by = np.lexsort((pre, part))  # equal first parts side by side: the shuffle compresses them
-            ends = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
-            full = np.flatnonzero(np.diff(ends))
-            cut = lambda x, kind: pa.array([x[by[ends[k]:ends[k + 1]]].astype(kind).tobytes() for k in full], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(pre, np.uint64), cut(suf, np.uint64), cut(n, np.uint32)], ["part", "pre", "suf", "n"])
+            code, pre, suf = (np.concatenate(x) for x in zip(*held))
+            code.sort()
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
+            code, times = code[first], np.diff(np.append(first, len(code)))
+            by, ends = _cuts(_part(code * np.uint64(0x9E3779B97F4A7C15), parts), parts)
+            code, times = code[by], times[by].astype(np.uint32)
+            other, pre, suf, n = _united(pre, suf, np.ones(len(pre), np.int64))
+            by = np.lexsort((pre, _part(other, parts)))  # equal first parts side by side: the shuffle compresses them
+            ends_ = np.searchsorted(_part(other, parts), np.arange(parts + 1, dtype=np.uint64))
+            pre, suf, n = pre[by], suf[by], n[by].astype(np.uint32)
+            full = np.flatnonzero(np.diff(ends) + np.diff(ends_))
+            a, b = [slice(ends[k], ends[k + 1]) for k in full], [slice(ends_[k], ends_[k + 1]) for k in full]
+            cells = [_steps(code[k]) for k in a], [_squeezed(times[k]) for k in a], [pre[k].tobytes() for k in b], [suf[k].tobytes() for k in b], [_squeezed(n[k]) for k in b]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in cells)], [f.split()[0] for f in _PACKED.split(", ")])
 
         for b in batches:
             for _, part in blocks(b):
-                h, token = _hashed([t.lower().split() for t in part], hashes)
+                h, number, token = _hashed([t.lower().split() for t in part], words)
                 *_, (_, at, pre, suf) = _sequences(h, token, known, d)
-                held.append((pre, suf))
+                code, short = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
+                for k in range(d):
+                    own = number[at - k]
+                    short &= own < coded
+                    code |= own.astype(np.uint64) << np.uint64(width * k)
+                held.append((code[short], pre[~short], suf[~short]))
                 size += len(at)
                 if size > 1_000_000:
                     yield flush()
@@ -326,20 +380,40 @@ def _count(train: DataFrame, bits: np.ndarray, d: int, support: int) -> tuple[Da
             yield flush()
 
     def unite(batches):
-        joined = lambda b, c, kind: np.frombuffer(b"".join(v.as_py() for v in b.column(c)), kind)
-        got = [tuple(joined(b, c, kind) for c, kind in (("pre", np.uint64), ("suf", np.uint64), ("n", np.uint32))) for b in batches if b.num_rows]
-        if got:
-            pre, suf, n = (np.concatenate(x) for x in zip(*got))
-            code, pre, suf, n = _united(pre, suf, n.astype(np.int64))
+        codes, pairs = [], []
+        for b in batches:
+            for code, times, pre, suf, n in zip(*(b.column(c).to_pylist() for c in ("code", "times", "pre", "suf", "n"))):
+                codes.append((_unsteps(code, np.uint64), _loosed(times, np.uint32)))
+                pairs.append((np.frombuffer(pre, np.uint64), np.frombuffer(suf, np.uint64), _loosed(n, np.uint32)))
+        if not codes:
+            return
+        names = [f.split()[0] for f in _FOUND.split(", ")]
+        out = lambda pre, suf, n, h: pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (pre, suf, n, h)], names)
+        code, times = (np.concatenate(x) for x in zip(*codes))
+        if len(code):
+            by = np.argsort(code)
+            code = code[by]
+            first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            n = np.add.reduceat(times[by].astype(np.int64), first)
             often = n >= support
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[often].view(np.int64)) for x in (pre, suf, n, code))], [f.split()[0] for f in _FOUND.split(", ")])
+            code, n = code[first[often]], n[often]
+            h = pickle.loads(head.value)
+            run_ = [h[(code >> np.uint64(width * k)) & np.uint64((1 << width) - 1)] for k in range(d - 1, -1, -1)]
+            while len(run_) > 2:
+                run_ = [_mix(x, y) for x, y in zip(run_, run_[1:])]
+            yield out(*run_, n, _mix(*run_))
+        pre, suf, n = (np.concatenate(x) for x in zip(*pairs))
+        code, pre, suf, n = _united(pre, suf, n.astype(np.int64))
+        often = n >= support
+        yield out(pre[often], suf[often], n[often], code[often])
 
     packed = texts(train).select("text").mapInArrow(run, _PACKED)
     return _stored(packed.repartition(parts, "part").mapInArrow(unite, _FOUND), "sequences")
 
 
-def _values(train: DataFrame, words: DataFrame, order: int, support: int) -> tuple[DataFrame, np.ndarray]:
-    """(h, n, x): what each occurrence of a sequence adds to the natural log of a text's probability beyond the words' own; and the bitmap of the tree.
+def _values(train: DataFrame, words: DataFrame, common: list[bytes], order: int, support: int) -> tuple[DataFrame, np.ndarray]:
+    """(h, n, x): what each occurrence of a sequence adds to the natural log of a text's probability beyond the words' own, in whole units, so that sums do not depend on
+    their order; and the bitmap of the tree.
 
     ``words`` has h, n and p, a word's probability in the empty context, of the words of the tree.
     """
@@ -347,7 +421,7 @@ def _values(train: DataFrame, words: DataFrame, order: int, support: int) -> tup
     level, parts, used = words, [], []
     spark, bits = train.sparkSession, _bitmap(words)
     for d in range(2, order + 2):
-        found, at_found = _count(train, bits, d, support)
+        found, at_found = _count(train, bits, common, d, support)
         # a sequence is followed by a token unless it ends a text, and then it begins none: its count is how often it stands before one
         both = found.join(level.select(F.col("h").alias("pre"), F.col("n").alias("n_ctx")), "pre").join(level.select(F.col("h").alias("suf"), F.col("p").alias("short")), "suf")
         both, at_both = _stored(both.select("h", "pre", "n", "n_ctx", "short", ((n + STRENGTH * short) / (n_ctx + STRENGTH)).alias("own")), "states")
@@ -368,7 +442,7 @@ def _values(train: DataFrame, words: DataFrame, order: int, support: int) -> tup
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
-    values, _ = _stored(every.filter("x != 0").groupBy("h").agg(F.max("n").alias("n"), F.sum("x").alias("x")), "values")
+    values, _ = _stored(every.filter("x != 0").groupBy("h").agg(F.max("n").alias("n"), F.round(F.sum("x") * UNIT).cast("long").alias("x")), "values")
     for folder in used:
         drop_folder(spark, folder)
     return values, bits
@@ -382,10 +456,11 @@ def _discount(counts: DataFrame) -> tuple[float, float]:
     return min(max(once / (once + 2 * twice), 0.05), 0.9) if once + twice else 0.05, max(unseen, 1.0)
 
 
-_LOOKED = "part int, kind int, h binary, a binary, b binary"
-_SUMS = "id long, key long, named boolean, m long, n_tokens long, known long, logs double, score double"
-_WHO = np.dtype([("id", "i8"), ("key", "u8")])
-_DOC = np.dtype([*_WHO.descr, ("named", "?"), ("n_tokens", "i8"), ("known", "i8"), ("logs", "f8"), ("score", "f8")])
+_LOOKED = "part int, kind int, block long, a binary, b binary, c binary"
+_SUMS = "block long, kind int, a binary, b binary, c binary"
+_SCORED = "doc_id long, n_tokens long, n_known long, logs double, score double"
+_DOC = np.dtype([("id", "i8"), ("named", "?"), ("n_tokens", "i8"), ("known", "i8"), ("logs", "f8"), ("score", "f8")])
+WORDS, VALUES, DOCS, OF_WORDS, OF_VALUES = range(5)  # tables come before the lookups in them, documents before what is said of them
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -393,29 +468,29 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def _packed(parts: list[int], kind: int, h: list[bytes], a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+def _packed(parts: list[int], kind: int, block: int, *cells: list[bytes]) -> pa.RecordBatch:
     n = len(parts)
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([kind] * n, pa.int32()), *(pa.array(x, pa.binary()) for x in (h, a, b))], ["part", "kind", "h", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([block] * n, pa.int64()), *(pa.array(x, pa.binary()) for x in cells)], [f.split()[0] for f in _LOOKED.split(", ")])
 
 
-def _tails(table: DataFrame, parts: int) -> DataFrame:
-    """The table (h, base, x) as one row per task, some million rows of it, and part of the hashes' range."""
+def _tails(table: DataFrame, kind: int, parts: int) -> DataFrame:
+    """The table (h, x) as one row per task, some million rows of it, and part of the hashes' range."""
 
     def run(batches):
         held, size = [], 0
 
         def flush():
-            h, base, x = (np.concatenate(c) for c in zip(*held))
-            part = _part(h, parts)
-            by = np.argsort(part)
-            ends = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
+            h, x = (np.concatenate(c) for c in zip(*held))
+            by = np.argsort(h)
+            h, x = h[by], x[by]
+            ends = np.searchsorted(_part(h, parts), np.arange(parts + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(ends))
-            cut = lambda v: [v[by[ends[k]:ends[k + 1]]].tobytes() for k in full]
-            return _packed(full, 0, cut(h), cut(base), cut(x))
+            cut = lambda v, put: [put(v[ends[k]:ends[k + 1]]) for k in full]
+            return _packed(full, kind, 0, cut(h, _steps), cut(x, _squeezed), [b""] * len(full))
 
         for b in batches:
             if b.num_rows:
-                held.append((b.column("h").to_numpy().view(np.uint64), b.column("base").to_numpy(), b.column("x").to_numpy()))
+                held.append((b.column("h").to_numpy().view(np.uint64), b.column("x").to_numpy()))
                 size += b.num_rows
             if size > 1_000_000:
                 yield flush()
@@ -423,43 +498,53 @@ def _tails(table: DataFrame, parts: int) -> DataFrame:
         if size:
             yield flush()
 
-    return table.select("h", "base", "x").mapInArrow(run, _LOOKED)
+    return table.select("h", "x").mapInArrow(run, _LOOKED)
+
+
+def _rows(b: pa.RecordBatch, names: str):
+    for i in range(b.num_rows):
+        yield tuple(b.column(f.split()[0])[i].as_py() for f in names.split(", "))
+
+
+def _said(block: int, kind: int, *cells: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], [f.split()[0] for f in _SUMS.split(", ")])
 
 
 def _settled(batches):
-    """Sums per document of one part's lookups; the rows of its table come first."""
-    now, table, tail = None, [], None
-    names = [f.split()[0] for f in _SUMS.split(", ")]
-    for b in batches:
-        for i in range(b.num_rows):
-            part, kind = b.column("part")[i].as_py(), b.column("kind")[i].as_py()
-            h, a, x = (b.column(c)[i].as_py() for c in ("h", "a", "b"))
+    """What one part's tables say to each block's lookups, a row per block and kind: documents' places in the block, how many answers each has, and the answers: counts of
+    words, or one sum of values per document."""
+    now, tables, sorted_ = None, {}, {}
+    for batch in batches:
+        for part, kind, block, a, b, c in _rows(batch, _LOOKED):
             if part != now:
-                now, table, tail = part, [], None
-            if kind == 0:
-                table.append((np.frombuffer(h, np.uint64), np.frombuffer(a), np.frombuffer(x)))
+                now, tables, sorted_ = part, {}, {}
+            if kind in (WORDS, VALUES):
+                tables.setdefault(kind, []).append((_unsteps(a, np.uint64), _loosed(b, np.int64)))
+                continue
+            if kind == DOCS:
+                yield _said(block, kind, a, b, c)
                 continue
-            if kind == 2:
-                d = np.frombuffer(a, _DOC)
-                yield pa.RecordBatch.from_arrays([pa.array(d["id"]), pa.array(d["key"].view(np.int64)), pa.array(d["named"]), pa.array(np.ones(len(d), np.int64)), *(pa.array(d[c]) for c in names[4:])], names)
+            of = WORDS if kind == OF_WORDS else VALUES
+            if of not in sorted_:
+                h, x = (np.concatenate(v) for v in zip(*tables.pop(of))) if of in tables else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                by = np.argsort(h)
+                sorted_[of] = h[by], x[by]
+            h, x = sorted_[of]
+            if not len(h):
                 continue
-            if tail is None:
-                h_, base_, x_ = (np.concatenate(c) for c in zip(*table)) if table else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-                by = np.argsort(h_)
-                tail, table = (h_[by], base_[by], x_[by]), []
-            seq, who = np.frombuffer(h, np.uint64), np.frombuffer(a, _WHO)
-            at = np.repeat(np.arange(len(who)), np.frombuffer(x, np.uint32))
-            if not len(tail[0]):
+            seq, doc, n = _loosed(a, np.uint64), _unsteps(b, np.uint32), _loosed(c, np.uint32)
+            k = np.minimum(np.searchsorted(h, seq), len(h) - 1)
+            hit = h[k] == seq
+            at, said = np.repeat(np.arange(len(doc)), n)[hit], x[k[hit]]
+            n = np.bincount(at, minlength=len(doc))
+            some = n > 0
+            if not len(said):
                 continue
-            k = np.minimum(np.searchsorted(tail[0], seq), len(tail[0]) - 1)
-            hit = tail[0][k] == seq
-            k, at, n = k[hit], at[hit], len(who)
-            some = np.flatnonzero(np.bincount(at, minlength=n))
-            base = tail[1][k]
-            sums = [np.bincount(at, w, n)[some] if len(at) else np.zeros(0) for w in (base > 0, base, tail[2][k])]
-            none = np.zeros(len(some), np.int64)
-            who = who[some]
-            yield pa.RecordBatch.from_arrays([pa.array(who["id"]), pa.array(who["key"].view(np.int64)), pa.array(none > 0), pa.array(none), pa.array(none), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names)
+            if of == VALUES:
+                said = np.add.reduceat(said, np.flatnonzero(np.diff(at, prepend=-1)))
+            else:
+                said = said.astype(np.uint64)
+            yield _said(block, kind, _steps(doc[some]), _squeezed(n[some].astype(np.uint32)) if of == WORDS else b"", _squeezed(said))
 
 
 def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_MIN, order: int = ORDER, support: int = SUPPORT, top: int = TOP) -> DataFrame:
@@ -471,25 +556,25 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
     off, unseen = _discount(counts)
     floor = max(2.0, p_min * total)
     common, least = _head(counts, head, floor)
+    ranked = sorted(common, key=lambda w: (-common[w], w))
     first = counts.filter(F.col("n") >= support).select(F.xxhash64("token").alias("h"), "n", ((F.col("n") - off) / max(total, 1)).alias("p"))
-    values, bits = _values(train, first, order, support)
+    values, bits = _values(train, first, ranked, order, support)
     top_least = _least(values, top, floor)
     got = values.filter(F.col("n") >= top_least).toArrow()
     top_h, top_x = got.column("h").to_numpy().view(np.uint64), got.column("x").to_numpy()
     by = np.argsort(top_h)
     top_h, top_x = top_h[by], top_x[by]
     # per common word: log10 of count + 1, and log10 of its probability in the empty context
-    head_h = np.array([xxhash.xxh64_intdigest(w, 42) for w in common], np.uint64)
-    by = np.argsort(head_h)
-    head_n = np.array(list(common.values()), float)[by]
-    shared = broadcast(spark, (bits, _bitmap(values), top_h, top_x, head_h[by], np.log10(head_n + 1), np.log10((head_n - off) / max(total, 1))))
+    head_n = np.array([common[w] for w in ranked], float)
+    shared = broadcast(spark, (bits, _bitmap(values), top_h, top_x, ranked, np.log10(head_n + 1), np.log10((head_n - off) / max(total, 1))))
     unknown = math.log10(off * v / total / unseen) if total else 0.0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_log10 = UNIT * math.log(10)
 
     def run(batches):
-        known_, valued, top_h, top_x, head_h, head_base, head_log = pickle.loads(shared.value)
-        hashes = _Hashes()
-        held, found, size, n_held = [], [], 0, 0
+        known_, valued, top_h, top_x, common_, head_base, head_log = pickle.loads(shared.value)
+        words = _Words(common_)
+        held, found, size, n_held, block = [], {OF_WORDS: [], OF_VALUES: []}, 0, 0, TaskContext.get().partitionId() << 32
 
         def at_home(table, h):
             """Place of each hash in a sorted table, and which are there."""
@@ -497,22 +582,19 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
             return k, table[k] == h if len(table) else np.zeros(len(h), bool)
 
         def flush():
-            d = np.concatenate(held)
-            yield _packed([int(d["key"][0] % np.uint64(parts))], 2, [b""], [d.tobytes()], [b""])
-            if size:
-                at, h = (np.concatenate(x) for x in zip(*found))
-                who = np.zeros(len(d), _WHO)
-                who["id"], who["key"] = d["id"], d["key"]
+            yield _packed([block % parts], DOCS, block, [np.concatenate(held).tobytes()], [b""], [b""])
+            for kind, pairs in found.items():
+                at, h = (np.concatenate(x) for x in zip(*pairs))
                 # by part, then by document: a document's lookups follow each other, so their number is all that is said of them
-                slot = _part(h, parts).astype(np.int64) * len(d) + at
-                by = np.argsort(slot)
+                slot = _part(h, parts).astype(np.int64) * n_held + at
+                by = np.argsort(slot, kind="stable")
                 h, slot = h[by], slot[by]
-                starts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-                n, part_, doc_ = np.diff(np.append(starts, len(slot))).astype(np.uint32), slot[starts] // len(d), slot[starts] % len(d)
+                starts = np.flatnonzero(np.diff(slot, prepend=-1))
+                n, part_, doc_ = np.diff(np.append(starts, len(slot))).astype(np.uint32), slot[starts] // n_held, (slot[starts] % n_held).astype(np.uint32)
                 ends = np.searchsorted(part_, np.arange(parts + 1))
                 full, bounds = np.flatnonzero(np.diff(ends)), np.append(starts, len(slot))
-                yield _packed(full, 1, [h[bounds[ends[k]]:bounds[ends[k + 1]]].tobytes() for k in full], [who[doc_[ends[k]:ends[k + 1]]].tobytes() for k in full],
-                              [n[ends[k]:ends[k + 1]].tobytes() for k in full])
+                own = [slice(ends[k], ends[k + 1]) for k in full]
+                yield _packed(full, kind, block, [_squeezed(h[bounds[k.start]:bounds[k.stop]]) for k in own], [_steps(doc_[k]) for k in own], [_squeezed(n[k]) for k in own])
 
         for b in batches:
             ids = b.column("doc_id")
@@ -522,46 +604,70 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
                 d = np.zeros(n, _DOC)
                 d["named"] = own_ids.is_valid().to_numpy(False)
                 d["id"] = own_ids.fill_null(0).to_numpy()
-                d["key"] = [xxhash.xxh64_intdigest(t, int(k)) for t, k in zip(part, d["named"])]
-                words = [t.lower().split() for t in part]
-                h, token = _hashed(words, hashes)
-                text = np.repeat(np.arange(n), [len(w) + 2 for w in words])
-                del words
+                split = [t.lower().split() for t in part]
+                h, number, token = _hashed(split, words)
+                text = np.repeat(np.arange(n), [len(w) + 2 for w in split])
+                del split
                 places = np.flatnonzero(token)
-                own, doc = h[places], text[places]
-                k, common_ = at_home(head_h, own)
+                own, doc, k = h[places], text[places], number[places]
+                common_ = k < words.common
                 add = lambda at, x: np.bincount(at, x, n) if len(at) else np.zeros(n)
                 d["n_tokens"], d["known"] = np.bincount(doc, minlength=n), add(doc[common_], None)
                 d["logs"] = add(doc[common_], head_base[k[common_]])
                 # words outside the head count as unknown here; the table gives the difference for those that are not
                 score_ = add(doc[common_], head_log[k[common_]]) + (d["n_tokens"] - d["known"]) * unknown
-                found.append((doc[~common_] + n_held, ~own[~common_]))
-                size += len(found[-1][0])
+                found[OF_WORDS].append((doc[~common_] + n_held, own[~common_]))
+                size += len(found[OF_WORDS][-1][0])
                 for at, seq in [(places, own), *((at, _mix(pre, suf)) for _, at, pre, suf in _sequences(h, token, known_, order + 1))]:
                     hit = _has(valued, seq)
                     at, seq = text[at[hit]], seq[hit]
                     j, there = at_home(top_h, seq)
-                    score_ += add(at[there], top_x[j[there]]) / math.log(10)
-                    found.append((at[~there] + n_held, seq[~there]))
-                    size += len(found[-1][0])
+                    score_ += add(at[there], top_x[j[there]]) / per_log10
+                    found[OF_VALUES].append((at[~there] + n_held, seq[~there]))
+                    size += len(found[OF_VALUES][-1][0])
                 d["score"] = score_
                 held.append(d)
                 n_held += n
                 if size > 1_000_000 or n_held > 100_000:
                     yield from flush()
-                    held, found, size, n_held = [], [], 0, 0
+                    held, found, size, n_held, block = [], {OF_WORDS: [], OF_VALUES: []}, 0, 0, block + 1
         if held:
             yield from flush()
 
-    # one shuffle deals lookups, the tables they look in and the documents; each part's table comes first, so its lookups are streamed past it
+    def summed(batches):
+        """Documents of each block with what was said of them added."""
+        now, d, score_ = None, None, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(d["id"], mask=~d["named"]), *(pa.array(x) for x in (d["n_tokens"], d["known"], d["logs"], d["score"] + score_ / per_log10))], [f.split()[0] for f in _SCORED.split(", ")])
+
+        for batch in batches:
+            for block, kind, a, b, c in _rows(batch, _SUMS):
+                if kind == DOCS:
+                    if d is not None:
+                        yield done()
+                    now, d = block, np.frombuffer(a, _DOC).copy()
+                    score_ = np.zeros(len(d), np.int64)
+                    continue
+                if block != now:
+                    raise ValueError("lookups of texts that came in another order: docs must come from a scan")
+                doc = _unsteps(a, np.uint32)
+                if kind == OF_VALUES:
+                    score_[doc] += _loosed(c, np.int64)
+                    continue
+                at, times = np.repeat(doc, _loosed(b, np.uint32)), _loosed(c, np.uint64).astype(float)
+                add = lambda x: np.bincount(at, x, len(d))
+                d["known"] += add(None)
+                d["logs"] += add(np.log10(times + 1))
+                d["score"] += add(np.log10((times - off) / max(total, 1)) - unknown)
+        if d is not None:
+            yield done()
+
+    # one shuffle deals lookups, the tables they look in and the documents; each part's table comes first, so its lookups are streamed past it. Another brings the answers back
+    # to the documents, packed by block, so that what they are named is not said with each
     c = F.col("n")
-    rare = counts.filter(c < least).select(F.bitwise_not(F.xxhash64("token")).alias("h"), F.log10(c + 1).alias("base"), (F.log10((c - off) / max(total, 1)) - unknown).alias("x"))
-    rare = rare.unionByName(values.filter(c < top_least).select("h", F.lit(0.0).alias("base"), (F.col("x") / math.log(10)).alias("x")))
-    looked = texts(docs).select("doc_id", "text").mapInArrow(run, _LOOKED).unionByName(_tails(rare, parts))
-    sums = looked.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_settled, _SUMS)
-    # rows equal in id and text are one document here, and as many rows again at the end
-    m, below = F.col("m"), math.log10(total + v + 1)
-    each = sums.groupBy("id", "key").agg(F.max("named").alias("named"), *[F.sum(x).alias(x) for x in ("m", "n_tokens", "known", "logs", "score")])
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), m))).select(
-        F.when(F.col("named"), F.col("id")).alias("doc_id"), (F.col("n_tokens") / m).cast("long").alias("n_tokens"), (F.col("known") / m).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") / m - F.col("n_tokens") / m * below).alias("base_score"), (F.col("score") / m).alias("score"))
+    rare = counts.filter(c < least).select(F.xxhash64("token").alias("h"), c.alias("x"))
+    looked = texts(docs).select("doc_id", "text").mapInArrow(run, _LOOKED).unionByName(_tails(rare, WORDS, parts)).unionByName(_tails(values.filter(c < top_least), VALUES, parts))
+    answers = looked.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_settled, _SUMS)
+    each = answers.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(summed, _SCORED)
+    return each.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * math.log10(total + v + 1)).alias("base_score"), "score")

@@ -450,3 +450,18 @@ def test_chunks_find_passages_and_leave_phrases():
     shared = lambda n: sum(bool(parts(within(p)) & parts(within(p))) for p in (text(n) for _ in range(300)))
     assert shared(55) >= 285
     assert shared(6) == 0
+
+
+def test_answers_follow_blocks_not_documents():
+    """Answers to the lookups of many documents of one block come back as one row per kind, and as they were asked."""
+    rnd = np.random.default_rng(3)
+    h, x = np.sort(rnd.integers(0, 2**63, 500).astype(np.uint64)), rnd.integers(-2**40, 2**40, 500)
+    assert (suffixtree._unsteps(suffixtree._steps(h), np.uint64) == h).all() and (suffixtree._loosed(suffixtree._squeezed(x), np.int64) == x).all()
+    asked = [np.concatenate((h[rnd.integers(0, 500, 3)], rnd.integers(0, 2**63, 1).astype(np.uint64))) for _ in range(300)]
+    ask = [suffixtree._squeezed(np.concatenate(asked))], [suffixtree._steps(np.arange(300, dtype=np.uint32))], [suffixtree._squeezed(np.full(300, 4, np.uint32))]
+    rows = [suffixtree._packed([0], suffixtree.VALUES, 0, [suffixtree._steps(h)], [suffixtree._squeezed(x)], [b""]), suffixtree._packed([0], suffixtree.OF_VALUES, 7, *ask)]
+    got = [r for b in suffixtree._settled(rows) for r in suffixtree._rows(b, suffixtree._SUMS)]
+    assert len(got) == 1 and got[0][:2] == (7, suffixtree.OF_VALUES)
+    value = dict(zip(h.tolist(), x.tolist()))
+    assert suffixtree._unsteps(got[0][2], np.uint32).tolist() == list(range(300))
+    assert suffixtree._loosed(got[0][4], np.int64).tolist() == [sum(value.get(k, 0) for k in a.tolist()) for a in asked]
