@@ -73,17 +73,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _least(counts: DataFrame, most: int, floor: float) -> float:
-    """2**b, b the least for which at most ``most`` rows have that ``n``, or ``floor`` if it is lower."""
-    sizes = {r["b"]: r["k"] for r in counts.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    """2**(b / 8), b the least for which at most ``most`` rows have that ``n``, or ``floor`` if it is lower."""
+    sizes = {r["b"]: r["k"] for r in counts.groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
     b, held = max(sizes, default=0) + 1, 0
     while b > 0 and held + sizes.get(b - 1, 0) <= most:
         b -= 1
         held += sizes.get(b, 0)
-    return min(2.0**b, floor)
+    return min(2.0 ** (b / 8), floor)
 
 
 def _head(counts: DataFrame, most: int, floor: float) -> tuple[dict, float]:
-    """The words with at least 2**b occurrences, b the least for which they are at most ``most``, and those with ``floor``; and the lower of these counts."""
+    """The words with at least 2**(b / 8) occurrences, b the least for which they are at most ``most``, and those with ``floor``; and the lower of these counts."""
     least = _least(counts, most, floor)
     return {bytes(r["token"]): r["n"] for r in counts.filter(F.col("n") >= least).collect()}, least
 
@@ -566,7 +566,9 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
     top_h, top_x = top_h[by], top_x[by]
     # per common word: log10 of count + 1, and log10 of its probability in the empty context
     head_n = np.array([common[w] for w in ranked], float)
-    shared = broadcast(spark, (bits, _bitmap(values), top_h, top_x, ranked, np.log10(head_n + 1), np.log10((head_n - off) / max(total, 1))))
+    # a second bit of each, from other bits of its hash: few are looked up that are not there
+    valued_bits = _bitmap(values) | _bitmap(values.select(F.shiftrightunsigned("h", BITS).alias("h")))
+    shared = broadcast(spark, (bits, valued_bits, top_h, top_x, ranked, np.log10(head_n + 1), np.log10((head_n - off) / max(total, 1))))
     unknown = math.log10(off * v / total / unseen) if total else 0.0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     per_log10 = UNIT * math.log(10)
@@ -619,7 +621,8 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD, p_min: float = P_
                 found[OF_WORDS].append((doc[~common_] + n_held, own[~common_]))
                 size += len(found[OF_WORDS][-1][0])
                 for at, seq in [(places, own), *((at, _mix(pre, suf)) for _, at, pre, suf in _sequences(h, token, known_, order + 1))]:
-                    hit = _has(valued, seq)
+                    hit = np.flatnonzero(_has(valued, seq))
+                    hit = hit[_has(valued, seq[hit] >> np.uint64(BITS))]
                     at, seq = text[at[hit]], seq[hit]
                     j, there = at_home(top_h, seq)
                     score_ += add(at[there], top_x[j[there]]) / per_log10
