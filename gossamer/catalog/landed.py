@@ -144,8 +144,7 @@ def u2(spark, sf):
 @query("a4_landed_quality", 'SELECT "key", a.metric, n_corr, n_contra, reference, quality FROM landed_arrival a JOIN landed USING (seq)')
 def a4(spark, sf):
     r, dm = landed(spark, sf), vocabulary(spark)["dim_metric"]
-    j = C.judged_neighbors(r, dm)
-    return C.arrival_quality(r, dm, j).join(r.select("seq", "key"), "seq").select("key", "metric", "n_corr", "n_contra", "reference", "quality")
+    return C.arrival_quality(r, dm, C.counted_neighbors(r, dm)).join(r.select("seq", "key"), "seq").select("key", "metric", "n_corr", "n_contra", "reference", "quality")
 
 
 @query("s0_unreadable", """SELECT event_id // 1000 + 1000000000 AS batch_id, true AS lost FROM events WHERE user_id % 10 IN (1, 3) GROUP BY 1 HAVING (event_id // 1000 + 1000000000) % 7 = 3""")

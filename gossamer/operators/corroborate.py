@@ -6,12 +6,15 @@ settled once by the first later evidence. Both are declarative, so any partition
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gossamer.functions import geo
 from gossamer.functions import scalars as X
+from gossamer.plans import closest as CL
 from gossamer.plans.bounded import spread, tasks_for
 from gossamer.plans.spacetime import closest_within, within
 
@@ -92,6 +95,225 @@ def corroborate(j: DataFrame) -> DataFrame:
         F.max(F.when(ref, F.col("agrees"))).alias("ref_agrees"))
 
 
+# ── the same, counted or picked where the pairs are found: no pair reaches a plan that doesn't return it ──
+
+SENSOR_BITS = 24  # a pair of sensors falls into one of 2^24 buckets
+
+
+# bits of a compared reading beside those of the plan
+REF, PERSON, POINT, FLAG, NO_FLAG, UNSETTLED, WEIGHED, REST = (8 << i for i in range(8))
+
+
+def _bits(flags: dict) -> Column:
+    out = F.lit(0)
+    for bit, flag in flags.items():
+        out = out + F.when(flag, bit).otherwise(0)
+    return out
+
+
+def _compared(signals: DataFrame, dim_metric: DataFrame, bits: dict | None = None) -> DataFrame:
+    """Readings with what their comparison takes; yes and no in the bits of ``_f``, ``bits`` adds some."""
+    asked = [c for c in ("unsettled", "weighed") if c in signals.columns]
+    base = with_metric(spread(signals.select("seq", "sensor_id", "kind", "metric", "value", "observed_at", "lat", "lon", "precision", "period", *asked)), dim_metric)
+    flags = {CL.ASKS: X.is_people() & F.col("scored"), CL.ANSWERS: not_rejected(), CL.STRICT: F.coalesce("accumulates", F.lit(True)), REF: X.is_reference(), PERSON: X.is_people(),
+             POINT: F.col("precision") == "point", FLAG: F.col("is_flag"), NO_FLAG: ~F.col("is_flag"), **(bits or {})}
+    base = base.withColumns({"_f": _bits(flags), "_t": F.unix_micros("observed_at"), "_w": F.col("window_min") * F.lit(MIN_US).cast("long")})
+    return base.select("metric", "radius_km", "_w", "seq", "sensor_id", "_t", "lat", "lon", "value", "period", "tol_abs", "tol_rel", "_f")
+
+
+def _asked_bits() -> dict:
+    return {UNSETTLED: F.col("unsettled"), WEIGHED: F.col("weighed"), REST: ~F.coalesce("weighed", F.lit(False))}
+
+
+def _closest(rows: DataFrame, finish, schema: str, turns: tuple = ((None, None),)) -> DataFrame:
+    return CL.closest(rows, "metric", "radius_km", "_w", "sensor_id", "seq", "period", finish, schema, turns)
+
+
+def _type(df: DataFrame, c: str) -> str:
+    return df.schema[c].dataType.simpleString()
+
+
+def _judge(table):
+    """X8 on vectors: a function of two rows' numbers that gives (agree, known, both have a value). Comparisons are SQL's: NaN is the largest number."""
+    value, valued = CL.floats(table, "value")
+    (abs_, has_abs), (rel, has_rel) = CL.floats(table, "tol_abs"), CL.floats(table, "tol_rel")
+    flag, not_flag = CL.has(table, FLAG), CL.has(table, NO_FLAG)
+    always = flag | (~has_abs & ~has_rel)
+
+    def judge(i, j):
+        a, b = value[i], value[j]
+        with np.errstate(invalid="ignore"):
+            part = np.where(has_rel[i], rel[i] * np.maximum(np.abs(a), np.abs(b)), 0.0)
+            allowed = np.maximum(abs_[i], part)
+            near = (np.abs(a - b) <= allowed) | np.isnan(allowed)
+        both = valued[i] & valued[j]
+        agree = both & (always[i] | near)
+        return agree, agree | (both & not_flag[i]), both
+
+    return judge
+
+
+def counted_neighbors(signals: DataFrame, dim_metric: DataFrame) -> DataFrame:
+    """J3 of ``judged_neighbors``: only a row per reading leaves the workers that compare."""
+
+    def finish(table, pairs):
+        judge, ref = _judge(table), CL.has(table, REF).astype(np.int64) * 4
+        counts = np.zeros((table.num_rows, 16), np.int64)  # by (both have a value, reference, known, agrees)
+        for g, k, j in pairs:
+            agree, known, both = judge(g[k], j)
+            counts[g] += np.bincount(k * 16 + (both * 8 + ref[j] + known * 2 + agree), minlength=16 * len(g)).reshape(-1, 16)
+        rows = np.flatnonzero(counts[:, 8:].any(axis=1))
+        if len(rows):
+            c = counts[rows]
+            yes, no, by_ref, ref_yes = c[:, 11] + c[:, 15], c[:, 10] + c[:, 14], c[:, 14] + c[:, 15], c[:, 15]
+            yield pa.RecordBatch.from_arrays([_taken(table, "seq", rows), pa.array(yes), pa.array(no), pa.array(ref_yes > 0, mask=by_ref == 0)], ["seq", "n_corroborating", "n_contradicting", "ref_agrees"])
+
+    out = _closest(_compared(signals, dim_metric), finish, f"seq {_type(signals, 'seq')}, n_corroborating long, n_contradicting long, ref_agrees boolean")
+    return out.groupBy("seq").agg(F.sum("n_corroborating").alias("n_corroborating"), F.sum("n_contradicting").alias("n_contradicting"), F.max("ref_agrees").alias("ref_agrees"))
+
+
+def _taken(table, name: str, rows) -> pa.Array:
+    got = table.column(name).take(pa.array(rows))
+    return got.combine_chunks() if isinstance(got, pa.ChunkedArray) else got
+
+
+def _gathered(pairs, chosen):
+    """(asking rows, answering rows) of the pairs chosen, some ten thousand at a time."""
+    left, right, n = [], [], 0
+    for g, k, j in pairs:
+        i = g[k]
+        keep = chosen(i, j)
+        if keep.any():
+            left.append(i[keep])
+            right.append(j[keep])
+            n += len(left[-1])
+        if n >= CL.ROWS:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, n = [], [], 0
+    if n:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def closest_neighbors(signals: DataFrame, dim_metric: DataFrame) -> DataFrame:
+    """(seq, o_sensor_id, o_seq, km, agrees): ``judged_neighbors`` with the columns of J2 only."""
+
+    def finish(table, pairs):
+        judge = _judge(table)
+        lat, lon = table.column("lat").to_numpy(), table.column("lon").to_numpy()
+        for i, j in _gathered(pairs, lambda i, j: judge(i, j)[2]):
+            agree, known, _ = judge(i, j)
+            yield pa.RecordBatch.from_arrays([_taken(table, "seq", i), _taken(table, "sensor_id", j), _taken(table, "seq", j), pa.array(CL.haversine_km(lat[i], lon[i], lat[j], lon[j])),
+                                              pa.array(agree, mask=~known)], ["seq", "o_sensor_id", "o_seq", "km", "agrees"])
+
+    seq, who = _type(signals, "seq"), _type(signals, "sensor_id")
+    return _closest(_compared(signals, dim_metric), finish, f"seq {seq}, o_sensor_id {who}, o_seq {seq}, km double, agrees boolean")
+
+
+def _same_roof(table):
+    lat, lon, point = table.column("lat").to_numpy(), table.column("lon").to_numpy(), CL.has(table, POINT)
+
+    def same(i, j):
+        roof = point[i] & point[j] & (np.abs(lat[i] - lat[j]) * CL.KM_PER_DEG < X.SAME_PLACE_KM)
+        q = np.flatnonzero(roof)
+        roof[q] = CL.haversine_km(lat[i[q]], lon[i[q]], lat[j[q]], lon[j[q]]) < X.SAME_PLACE_KM
+        return roof
+
+    return same
+
+
+def people_agreements(signals: DataFrame, dim_metric: DataFrame, buckets: np.ndarray | None = None) -> DataFrame:
+    """Agreements of ``judged_neighbors`` between people: (seq, o_seq, a, b, observed_at, same_roof), of rows of ``in_question`` also (weighed, o_unsettled).
+    ``buckets`` (bits, see ``_hash``) names the pairs of sensors wanted and perhaps some more; those of all other pairs stay in the workers.
+    """
+    asked = "unsettled" in signals.columns
+    rows = _compared(signals, dim_metric, _asked_bits() if asked else None)
+    if buckets is not None:
+        rows = rows.withColumn("_hs", _hash("sensor_id"))
+
+    def finish(table, pairs):
+        judge, person, roof = _judge(table), CL.has(table, PERSON), _same_roof(table)
+        weighed, unsettled = CL.has(table, WEIGHED), CL.has(table, UNSETTLED)
+        if buckets is not None:
+            hs = table.column("_hs").to_numpy()
+
+        def chosen(i, j):
+            keep = person[j]
+            if buckets is not None:
+                h = hs[i] ^ hs[j]
+                keep &= ((buckets[h >> 3] >> (h & 7).astype(np.uint8)) & 1).astype(bool)
+            q = np.flatnonzero(keep)
+            keep[q] = judge(i[q], j[q])[0]
+            return keep
+
+        for i, j in _gathered(pairs, chosen):
+            cols = [_taken(table, "seq", i), _taken(table, "seq", j), _taken(table, "sensor_id", i), _taken(table, "sensor_id", j), _taken(table, "_t", i), pa.array(roof(i, j))]
+            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(weighed[i]), pa.array(unsettled[j])] if asked else [])], names)
+
+    names = ["seq", "o_seq", "sensor_id", "o_sensor_id", "_t", "same_roof", *(["weighed", "o_unsettled"] if asked else [])]
+    kinds = [_type(signals, c) for c in ("seq", "seq", "sensor_id", "sensor_id")] + ["long", "boolean", "boolean", "boolean"]
+    out = pair_keys(_closest(rows, finish, ", ".join(f"{n} {k}" for n, k in zip(names, kinds))))
+    return out.select("seq", "o_seq", "a", "b", F.timestamp_micros("_t").alias("observed_at"), *names[5:])
+
+
+def _hash(c: str) -> Column:
+    """A sensor's SENSOR_BITS bits; a pair's bucket is the exclusive or of both."""
+    return F.xxhash64(c).bitwiseAND(F.lit(2**SENSOR_BITS - 1))
+
+
+def settling_pairs(asked: DataFrame, dim_metric: DataFrame, weighed: bool = True) -> DataFrame:
+    """Agreements of people whose weight can count, of the rows of ``in_question``: those of ``weighed`` readings, and of each unsettled one the first later agreement
+    (all that share its time and row), as only the first evidence settles: (seq, o_seq, sensor_id, o_sensor_id, observed_at, weighed). Without ``weighed`` only the latter.
+    """
+    rows = _compared(asked, dim_metric, _asked_bits())
+    turns = ((WEIGHED, None), (REST, UNSETTLED)) if weighed else ((None, UNSETTLED),)
+
+    def finish(table, pairs):
+        judge, person, t, row = _judge(table), CL.has(table, PERSON), table.column("_t").to_numpy(), table.column("seq").to_numpy()
+        mine, open_ = CL.has(table, WEIGHED) & weighed, CL.has(table, UNSETTLED)
+
+        def chosen(i, j):
+            keep = person[j] & (mine[i] | open_[j])
+            q = np.flatnonzero(keep)
+            keep[q] = judge(i[q], j[q])[0]
+            return keep
+
+        def batch(i, j, counts):
+            return pa.RecordBatch.from_arrays([_taken(table, "seq", i), _taken(table, "seq", j), _taken(table, "sensor_id", i), _taken(table, "sensor_id", j), _taken(table, "_t", i),
+                                               pa.array(counts)], ["seq", "o_seq", "sensor_id", "o_sensor_id", "_t", "weighed"])
+
+        def firsts(i, j):
+            order = np.lexsort((row[i], t[i], j))
+            i, j = i[order], j[order]
+            start = np.flatnonzero(np.append(True, j[1:] != j[:-1]))
+            first = np.repeat(start, np.diff(np.append(start, len(j))))
+            keep = (t[i] == t[i[first]]) & (row[i] == row[i[first]])
+            return i[keep], j[keep]
+
+        i0, j0 = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for i, j in _gathered(pairs, chosen):
+            if mine[i].any():
+                yield batch(i[mine[i]], j[mine[i]], np.ones(int(mine[i].sum()), bool))
+            if open_[j].any():
+                i0, j0 = firsts(np.concatenate([i0, i[open_[j]]]), np.concatenate([j0, j[open_[j]]]))
+        if len(i0):
+            yield batch(i0, j0, np.zeros(len(i0), bool))
+
+    seq, who = _type(asked, "seq"), _type(asked, "sensor_id")
+    out = _closest(rows, finish, f"seq {seq}, o_seq {seq}, sensor_id {who}, o_sensor_id {who}, _t long, weighed boolean", turns)
+    # a reading's first agreement of all cells it reaches
+    first = F.rank().over(W.partitionBy("weighed", "o_seq").orderBy("_t", "seq"))
+    return out.withColumn("_n", first).filter("weighed OR _n = 1").select("seq", "o_seq", "sensor_id", "o_sensor_id", F.timestamp_micros("_t").alias("observed_at"), "weighed")
+
+
+def settling_agreements(asked: DataFrame, dim_metric: DataFrame) -> DataFrame:
+    """All agreements, for running counts, of the pairs of people in ``settling_pairs``. Which those are comes to the driver as buckets, 2^24 small numbers at most."""
+    bucket = _hash("sensor_id").bitwiseXOR(_hash("o_sensor_id")).cast("int").alias("h")
+    got = settling_pairs(asked, dim_metric).select(bucket).distinct().toArrow().column("h").to_numpy()
+    bits = np.zeros(2**SENSOR_BITS, bool)
+    bits[got] = True
+    return people_agreements(asked, dim_metric, np.packbits(bits, bitorder="little"))
+
+
 def alert_support(signals: DataFrame, alerts: DataFrame, dim_support: DataFrame) -> DataFrame:
     """The alert that supports a reading: same county, listed for its metric, not expired when it was observed,
     already received; highest severity, then newest.
@@ -141,9 +363,9 @@ def _shift(way: str, value, by) -> Column:
 
 def arrival_quality(signals: DataFrame, dim_metric: DataFrame, j: DataFrame, alerts: DataFrame | None = None,
                     dim_support: DataFrame | None = None) -> DataFrame:
-    """A4: quality of every reading at arrival, with the counts behind it."""
+    """A4: quality of every reading at arrival, with the counts behind it. ``j`` are its neighbours, judged or already counted."""
     base = with_metric(signals, dim_metric, ["lo", "hi", "scored"])
-    c = corroborate(j)
+    c = j if "n_corroborating" in j.columns else corroborate(j)
     out = base.join(c, "seq", "left")
     n_yes, n_no = F.coalesce("n_corroborating", F.lit(0)).cast("long"), F.coalesce("n_contradicting", F.lit(0)).cast("long")
     alert = F.lit(None).cast("long")
@@ -285,7 +507,7 @@ def agreements(j: DataFrame) -> DataFrame:
 
 def pair_agreements(agreed: DataFrame) -> DataFrame:
     """Agreements per unordered pair of people."""
-    return agreed.filter(X.is_people("o_kind")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return (agreed if "same_roof" in agreed.columns else agreed.filter(X.is_people("o_kind"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def running_pair_count(agreed: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -293,7 +515,9 @@ def running_pair_count(agreed: DataFrame, keep: tuple = ()) -> DataFrame:
 
     One shuffle of narrow rows. A pair has at most one agreement per reading of its two sensors; its order is sorted on disk where it must be, never held.
     """
-    rows = agreed.filter(X.is_people("o_kind")).select("seq", "o_seq", "a", "b", "observed_at", same_roof().alias("same_roof"), *keep)
+    if "same_roof" not in agreed.columns:
+        agreed = agreed.filter(X.is_people("o_kind")).withColumn("same_roof", same_roof())
+    rows = agreed.select("seq", "o_seq", "a", "b", "observed_at", "same_roof", *keep)
     before = W.partitionBy("a", "b").orderBy("seq", "o_seq")
     return rows.withColumn("together", (F.row_number().over(before) - 1).cast("long"))
 
