@@ -36,6 +36,37 @@ def test_alert_audience_by_class(spark):
     assert not re.search(r"Aggregate|Join|Repartition", above)
 
 
+def test_subscribers_by_areas(spark):
+    areas = ["st", "st.1", "st.2", "st.zip.60001", "st.zip.60002", None]
+    targets = [(None if i == 39 else i % 30, ["events", "alerts", None][i % 3], [["st", f"st.{i % 3}"], ["st", None, "st.2"], None][i % 4 % 3], [["60001"], [], None, ["60001", "60002"]][i % 4]) for i in range(45)]
+    subs = [(None if k % 31 == 0 else k % 50, ["events", "alerts", "digest", None][k % 4], areas[k % 6]) for k in range(300)]
+    banned = {k for k in range(50) if k % 9 == 0}
+    got = AU.subscribers_for(spark.createDataFrame(targets, "target_id long, category string, area_keys array<string>, zips array<string>"), spark.createDataFrame(subs, "chat_id long, category string, area string"),
+                             spark.createDataFrame([(k, "banned" if k in banned else "active") for k in range(50)], "chat_id long, status string"))
+    want = {(t, c, chat) for t, c, keys, zips in targets for chat, cat, area in subs if c and c == cat and area and chat not in banned
+            and (area in (keys or []) or (area.startswith("st.zip.") and area[7:] in (zips or [])))}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 100
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate|Join|Repartition", plan[:plan.index("Generate explode(_chats")])
+
+
+def test_outlooks_of_one_shape_meet_points_once(spark):
+    """A point meets each shape once, however many outlooks have it, and gets the highest level."""
+    from gossamer.operators import ahead as H
+
+    square = lambda d: [[-90.0 + x * d, 40.0 + y * d] for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    looks = [("storms", 1 + i % 2, i % 5 or None, T0 - dt.timedelta(hours=i % 3), T0 + dt.timedelta(hours=1), [[square(1.2), square(0.3)] if i % 4 else [square(0.1)]]) for i in range(400)]
+    looks = spark.createDataFrame(looks, "name string, day int, level int, valid_from timestamp, valid_to timestamp, polygons array<array<array<array<double>>>>")
+    points = spark.createDataFrame([(i, 39.0 + i * 0.05, -90.013) for i in range(40)], "p long, lat double, lon double")
+    got = H.outlook_over_point(points, "p", looks, F.lit(T0).cast("timestamp"))
+    hit = points.join(H.covering(looks, F.lit(T0).cast("timestamp"))).filter(geo.point_in_polygon_with_holes("lat", "lon", "polygons"))
+    want = sorted(map(tuple, hit.groupBy("p", "name").agg(F.max("level")).collect()))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 10
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[name#\d+, polygons#\d+\]", plan)
+
+
 def crowd(spark):
     alerts = [(i, "7", RING, float(i % 2 * 90 + 180), 30.0 if i < 40 else 3.0, [[36.5, -91.0], [36.6, -90.7]], T0 + dt.timedelta(minutes=i)) for i in range(80)]
     alerts = spark.createDataFrame(alerts, "alert_id long, county_id string, polygon array<array<array<double>>>, from_deg double, speed_kt double, points array<array<double>>, sent timestamp")
