@@ -27,10 +27,10 @@ def covering(outlooks: DataFrame, at: Column) -> DataFrame:
 def outlook_over_point(points: DataFrame, point_id: str, outlooks: DataFrame, at: Column) -> DataFrame:
     """Highest level whose polygons (holes respected) hold each point.
 
-    Polygons are listed by the cells their box touches; a point meets only those of its own cell, and the highest level
-    is a partially aggregated max.
+    Outlooks of one shape become one with the highest level; shapes are listed by the cells their box touches; a point meets only those of its own cell,
+    and the highest level is a partially aggregated max.
     """
-    o = covering(outlooks, at)
+    o = covering(outlooks, at).groupBy("name", "polygons").agg(F.max("level").alias("level"))
     fl = lambda c: F.floor(c / CELL_DEG).cast("long")
     o = o.withColumn("_q", geo.ring_bounds(F.flatten("polygons")))
     o = o.withColumn("_y", F.explode(F.sequence(fl(F.col("_q.y0")), fl(F.col("_q.y1"))))).withColumn("_x", F.explode(F.sequence(fl(F.col("_q.x0")), fl(F.col("_q.x1")))))
